@@ -14,9 +14,10 @@ which holds for concave shapes, holes and several parts alike, and needs no clip
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 MULTIPOLYGON = "array<array<array<array<double>>>>"
+MULTIPOLYGON_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
 EDGE = "struct<x1:double,y1:double,x2:double,y2:double,w:double>"
 NO_EDGES = f"array<{EDGE}>"
 
@@ -233,7 +234,7 @@ def _clean_ring(pts: Column) -> Column:
         return F.abs(_turn(q[0], q[1], r[0], r[1], p[0], p[1])) > reach * reach * 1e-9
 
     corners = F.transform(F.array(distinct), lambda ring: F.filter(ring, lambda p, i: is_corner(p, i, ring)))[0]
-    return F.transform(F.array(corners), lambda ring: F.concat(ring, F.array(ring[0])))[0]
+    return F.transform(F.array(corners), lambda ring: F.concat(ring, F.array(F.get(ring, F.lit(0)))))[0]
 
 
 def _outline(parts: Column) -> Column:

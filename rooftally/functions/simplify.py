@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
-from rooftally.functions.geometry import MULTIPOLYGON
+from rooftally.functions.geometry import MULTIPOLYGON_TYPE
 
 
 def _distance(px, py, ax, ay, bx, by):
@@ -74,7 +74,7 @@ def simplifier(tolerance: float) -> Callable[[Column], Column]:
     if not tolerance > 0:
         raise ValueError(f"tolerance must be positive: {tolerance!r}")
 
-    @F.arrow_udf(MULTIPOLYGON)
+    @F.arrow_udf(MULTIPOLYGON_TYPE)
     def simplify(column: pa.Array) -> pa.Array:
         polygons = column.flatten()
         rings = polygons.flatten()

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from rooftally.functions.geometry import MULTIPOLYGON
+from rooftally.functions.geometry import MULTIPOLYGON_TYPE
 
 # Fixed values of the format.
 POLYGON, MULTI = 3, 6
 EWKB_SRID_FLAG = 0x20000000
 
-STATS = "struct<minx:double,miny:double,maxx:double,maxy:double,area_deg2:double>"
+STATS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("minx", "miny", "maxx", "maxy", "area_deg2")])
 
 
 def _ranges(counts: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def _offsets(counts):
     return pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
 
 
-@F.arrow_udf(MULTIPOLYGON)
+@F.arrow_udf(MULTIPOLYGON_TYPE)
 def wkb_to_multipolygon(column: pa.Array) -> pa.Array:
     parts, geom, poly, ring, count, x, y = _rings(column)
     flat = pa.array(np.column_stack([x, y]).ravel())
@@ -157,7 +157,7 @@ def wkb_stats(column: pa.Array) -> pa.Array:
         [pa.array(v, mask=empty) for v in (*box, area)], ["minx", "miny", "maxx", "maxy", "area_deg2"])
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def multipolygon_to_wkb(column: pa.Array) -> pa.Array:
     """Little-endian WKB; a single polygon is written as Polygon, anything else as MultiPolygon."""
     polygons = column.flatten()

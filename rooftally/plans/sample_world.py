@@ -95,6 +95,11 @@ def _aoi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         h=F.when(whole_town, F.lit(0.1503)).otherwise(F.lit(0.009) + F.pmod(key, F.lit(5)) * F.lit(0.005)))
 
 
+def shape_of(key: Column) -> Column:
+    return (F.when(key % 4 == 0, "box").when(key % 4 == 1, "corner").when(key % 4 == 2, "holed")
+            .otherwise("parts"))
+
+
 def aoi_documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
     """GeoJSON text per supplier: box, L-shape, box with a hole, or two parts. With ``broken``, some break a rule."""
     df = _aoi_frame(spark, sf_dir)
@@ -132,7 +137,7 @@ def aoi_documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> Dat
         F.col("s_name").alias("nome"), F.when(key % 5 != 4, F.col("n_name")).alias("uf"),
         (F.lit(3100000) + key).cast("string").alias("ibge_code"),
         F.when(key % 3 != 0, (w * h * F.lit(12321.0))).alias("area_km2_oficial"),
-        (key * 7 + 100).alias("populacao_2022")))
+        shape_of(key).alias("tipologia"), (key * 7 + 100).alias("populacao_2022")))
     feature = F.format_string('{"type":"Feature","properties":%s,"geometry":{"type":"%s","coordinates":%s}}',
                               properties, geometry_type, coordinates)
     document = F.format_string('{"type":"%s","name":"%s","features":[%s]}', document_type, F.col("slug"),
@@ -140,3 +145,36 @@ def aoi_documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> Dat
     if broken:
         document = F.when(key % 20 == 7, F.concat(F.lit("nao eh json "), F.col("slug"))).otherwise(document)
     return compute_once(df, document=document).select("slug", "document")
+
+
+# --- edge contact --------------------------------------------------------------------------------------------------
+def lattice_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on multiples of 1/512 degree, so that shared edges and corners are exact."""
+    key = F.col("o_orderkey")
+    lot, town = F.pmod(key, F.lit(LOTS_PER_TOWN)), F.floor(key / LOTS_PER_TOWN)
+    x0, y0 = _lattice_origin(town)
+    size = F.when(key % 3 == 0, 2.0 ** -8).otherwise(2.0 ** -9)
+    placed = compute_once(table(spark, sf_dir, "orders"), id=key, size=size,
+                          x0=x0 + F.pmod(lot, F.lit(64)) / 256.0, y0=y0 + F.floor(lot / 64) / 256.0)
+    ring = G.box(F.col("x0"), F.col("y0"), F.col("x0") + F.col("size"), F.col("y0") + F.col("size"))
+    return compute_once(placed, geometry=F.array(F.array(ring))).select("id", "geometry")
+
+
+def _lattice_origin(town: Column) -> tuple[Column, Column]:
+    return (F.lit(-180.0) + F.pmod(town, F.lit(1440)) * F.lit(0.25),
+            F.lit(-90.0) + F.pmod(F.floor(town / 1440), F.lit(360)) * F.lit(0.5))
+
+
+def lattice_aois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with a hole on the same lattice: footprints touch them from outside and from inside the hole."""
+    key = F.col("s_suppkey")
+    seat, town = F.pmod(key, F.lit(AOIS_PER_TOWN)), F.floor(key / AOIS_PER_TOWN)
+    ox, oy = _lattice_origin(town)
+    placed = compute_once(table(spark, sf_dir, "supplier"), slug=key.cast("string"),
+                          minx=ox + F.pmod(seat, F.lit(10)) * F.lit(0.0234375),
+                          miny=oy + F.floor(seat / 10) * F.lit(0.09375))
+    placed = compute_once(placed, maxx=F.col("minx") + F.lit(0.03125), maxy=F.col("miny") + F.lit(0.0625))
+    outer = G.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])
+    inner = G.box(F.col("minx") + 2.0 ** -7, F.col("miny") + 2.0 ** -6, F.col("maxx") - 2.0 ** -7,
+                  F.col("maxy") - 2.0 ** -6)
+    return compute_once(placed, mp=F.array(F.array(outer, inner))).select("slug", "mp", "minx", "miny", "maxx", "maxy")

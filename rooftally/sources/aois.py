@@ -46,10 +46,20 @@ def _parsed() -> Column:
     return F.from_json("document", DOCUMENT, {"mode": "PERMISSIVE"})
 
 
-def _multipolygon(geometry: Column) -> Column:
-    coordinates = geometry["coordinates"]
-    return (F.when(geometry["type"] == "Polygon", F.array(F.from_json(coordinates, _POLYGON)))
-            .when(geometry["type"] == "MultiPolygon", F.from_json(coordinates, f"array<{_POLYGON}>")))
+def _multipolygon(kind: Column, coordinates: Column) -> Column:
+    return (F.when(kind == "Polygon", F.array(F.from_json(coordinates, _POLYGON)))
+            .when(kind == "MultiPolygon", F.from_json(coordinates, f"array<{_POLYGON}>")))
+
+
+def _opened(documents: DataFrame) -> DataFrame:
+    """Documents with their type, feature count and the parts of their first feature, parsed once."""
+    def fields(doc):
+        first = F.get(doc.features, F.lit(0))
+        return F.struct(doc.type.alias("_type"), F.size(doc.features).alias("_n"),
+                        first["properties"].alias("properties"), first["geometry"]["type"].alias("_kind"),
+                        first["geometry"]["coordinates"].alias("_coordinates"))
+
+    return documents.select("slug", "document", F.inline(F.transform(F.array(_parsed()), fields)))
 
 
 def list_aois(documents: DataFrame) -> DataFrame:
@@ -58,36 +68,32 @@ def list_aois(documents: DataFrame) -> DataFrame:
     Text that is not JSON, and an empty feature list, are left out; a missing feature list is kept with no
     properties.
     """
-    parsed = compute_once(documents, _doc=_parsed(), _json=F.try_parse_json("document").isNotNull())
-    features = F.col("_doc.features")
+    opened = compute_once(_opened(documents), _json=F.try_parse_json("document").isNotNull())
     no_properties = F.create_map().cast("map<string,string>")
-    return (parsed.where(F.col("_json") & (features.isNull() | (F.size(features) > 0)))
-            .select("slug", F.coalesce(features[0]["properties"], no_properties).alias("properties"))
+    return (opened.where(F.col("_json") & (F.col("_n").isNull() | (F.col("_n") != 0)))
+            .select("slug", F.coalesce("properties", no_properties).alias("properties"))
             .orderBy("slug"))
 
 
 def check_aois(documents: DataFrame) -> DataFrame:
     """All documents with geometry, bounds and the list of broken rules, in one pass."""
-    parsed = compute_once(documents, _doc=_parsed())
-    shaped = compute_once(parsed, mp=_multipolygon(F.col("_doc.features")[0]["geometry"]))
+    shaped = compute_once(_opened(documents).drop("document"), mp=_multipolygon(F.col("_kind"), F.col("_coordinates")))
     listed = compute_once(shaped, _x=F.transform(G.points(F.col("mp")), lambda p: p[0]),
                           _y=F.transform(G.points(F.col("mp")), lambda p: p[1]))
-    located = compute_once(listed, _n=F.coalesce(F.size("_doc.features"), F.lit(0)),
-                           minx=F.array_min("_x"), miny=F.array_min("_y"),
+    located = compute_once(listed, minx=F.array_min("_x"), miny=F.array_min("_y"),
                            maxx=F.array_max("_x"), maxy=F.array_max("_y"))
-    kind = F.col("_doc.features")[0]["geometry"]["type"]
-    polygonal = F.coalesce(kind.isin("Polygon", "MultiPolygon"), F.lit(False))
+    polygonal = F.coalesce(F.col("_kind").isin("Polygon", "MultiPolygon"), F.lit(False))
     rules = (
-        ~F.col("_doc.type").eqNullSafe("FeatureCollection"),
-        F.col("_n") != 1,
+        ~F.col("_type").eqNullSafe("FeatureCollection"),
+        F.coalesce(F.col("_n"), F.lit(0)) != 1,
         ~polygonal,
         polygonal & F.col("minx").isNull(),
         (F.col("minx") < -180) | (F.col("maxx") > 180),
         (F.col("miny") < -90) | (F.col("maxy") > 90),
     )
     broken = F.array_compact(F.array(*[F.when(rule, text) for rule, text in zip(rules, VIOLATIONS)]))
-    checked = compute_once(located, properties=F.col("_doc.features")[0]["properties"], violations=broken)
-    return checked.select("slug", "mp", "minx", "miny", "maxx", "maxy", "properties", "violations")
+    return (compute_once(located, violations=broken)
+            .select("slug", "mp", "minx", "miny", "maxx", "maxy", "properties", "violations"))
 
 
 def read_aois(documents: DataFrame) -> DataFrame:
@@ -101,10 +107,10 @@ def read_aois(documents: DataFrame) -> DataFrame:
 
 def read_features(documents: DataFrame) -> DataFrame:
     """Every feature of every document, without the one-feature rule: slug, feature number, geometry, properties."""
-    return (documents.withColumn("_doc", _parsed())
-            .select("slug", F.posexplode("_doc.features").alias("feature_no", "_f"))
-            .select("slug", "feature_no", _multipolygon(F.col("_f.geometry")).alias("mp"),
-                    F.col("_f.properties").alias("properties")))
+    shape = F.col("_f")["geometry"]
+    return (documents.select("slug", F.posexplode(_parsed()["features"]).alias("feature_no", "_f"))
+            .select("slug", "feature_no", _multipolygon(shape["type"], shape["coordinates"]).alias("mp"),
+                    F.col("_f")["properties"].alias("properties")))
 
 
 def get_aoi(documents: DataFrame, slug: str) -> DataFrame:
