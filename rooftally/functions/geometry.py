@@ -1,4 +1,4 @@
-"""Planar polygon maths as Spark Column expressions.
+"""Planar polygon maths as Spark SQL expressions.
 
 A geometry is a MultiPolygon ``ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>``: polygons, rings (the first one is the
 shell, the others are holes), closed point lists, ``[x, y]``. Rings may run either way round.
@@ -10,6 +10,10 @@ regions under its edges, so for two polygons ``A`` and ``B``
     area(A & B) = sum over edge pairs of  wA * wB * integral of min(yA(x), yB(x)) dx
 
 which holds for concave shapes, holes and several parts alike, and needs no clipping of vertex lists.
+
+The functions take column names (or other SQL text) and return SQL text for ``F.expr``: one call to the session
+per expression instead of one per arithmetic step. A one-element array with ``transform`` binds a value that is
+used more than once.
 """
 
 from __future__ import annotations
@@ -18,39 +22,31 @@ from pyspark.sql import Column, functions as F, types as T
 
 MULTIPOLYGON = "array<array<array<array<double>>>>"
 MULTIPOLYGON_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
-EDGE = "struct<x1:double,y1:double,x2:double,y2:double,w:double>"
-NO_EDGES = f"array<{EDGE}>"
+_NO_EDGES = "cast(array() AS array<struct<x1:double,y1:double,x2:double,y2:double,w:double>>)"
 
 # An overlap below this share of the footprint is rounding noise, not area.
 AREA_NOISE = 1e-9
 
 
 # --- rings and polygons ------------------------------------------------------------------------------------
-def ring_signed_area(ring: Column) -> Column:
+def ring_signed_area(ring: str) -> str:
     """Shoelace area of a closed ring, positive when counter-clockwise, shifted to the first vertex."""
-    ox, oy = ring[0][0], ring[0][1]
-
-    def step(acc, i):
-        p, q = ring[i], ring[i + 1]
-        return acc + ((p[0] - ox) * (q[1] - oy) - (q[0] - ox) * (p[1] - oy))
-
-    steps = F.when(F.size(ring) > 3, F.sequence(F.lit(1), F.size(ring) - 3)).otherwise(
-        F.array().cast("array<int>"))
-    return F.aggregate(steps, F.lit(0.0), step) / 2
+    r = ring
+    return f"""(aggregate(
+        CASE WHEN size({r}) > 3 THEN sequence(1, size({r}) - 3) ELSE cast(array() AS array<int>) END, 0D,
+        (s, k) -> s + (({r}[k][0] - {r}[0][0]) * ({r}[k + 1][1] - {r}[0][1])
+                       - ({r}[k + 1][0] - {r}[0][0]) * ({r}[k][1] - {r}[0][1]))) / 2D)"""
 
 
-def polygon_area(mp: Column) -> Column:
+def polygon_area(mp: str) -> str:
     """Planar area in squared coordinate units: shells minus holes."""
-
-    def of_polygon(acc, polygon):
-        rings = F.transform(polygon, lambda r, i: F.when(i == 0, 1.0).otherwise(-1.0) * F.abs(ring_signed_area(r)))
-        return acc + F.aggregate(rings, F.lit(0.0), lambda a, r: a + r)
-
-    return F.aggregate(mp, F.lit(0.0), of_polygon)
+    return f"""aggregate({mp}, 0D, (total, polygon) -> total + aggregate(
+        transform(polygon, (ring, n) -> if(n = 0, 1D, -1D) * abs({ring_signed_area("ring")})), 0D,
+        (part, a) -> part + a))"""
 
 
-def points(mp: Column) -> Column:
-    return F.flatten(F.flatten(mp))
+def points(mp: str) -> str:
+    return f"flatten(flatten({mp}))"
 
 
 def box(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
@@ -59,212 +55,155 @@ def box(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
                    F.array(minx, miny))
 
 
-def ring_is_closed(ring: Column) -> Column:
-    return ring[0] == F.element_at(ring, -1)
-
-
 # --- signed edges ------------------------------------------------------------------------------------------
-def ring_edges(ring: Column, side: Column) -> Column:
-    """Edges of one closed ring; ``side`` is +1 when the polygon is on the left of the ring, else -1."""
-
-    def edge(i):
-        p, q = ring[i], ring[i + 1]
-        swap = p[0] > q[0]
-        return F.struct(
-            F.when(swap, q[0]).otherwise(p[0]).alias("x1"), F.when(swap, q[1]).otherwise(p[1]).alias("y1"),
-            F.when(swap, p[0]).otherwise(q[0]).alias("x2"), F.when(swap, p[1]).otherwise(q[1]).alias("y2"),
-            (side * F.signum(p[0] - q[0])).alias("w"),
-        )
-
-    return F.when(F.size(ring) > 1, F.transform(F.sequence(F.lit(0), F.size(ring) - 2), edge)).otherwise(
-        F.array().cast(NO_EDGES))
+def ring_side(ring: str, ring_number: str) -> str:
+    """+1 when the polygon is on the left of the ring as written (shells counter-clockwise, holes clockwise)."""
+    return f"(if({ring_number} = 0, 1D, -1D) * signum({ring_signed_area(ring)}))"
 
 
-def ring_side(ring: Column, ring_index: Column) -> Column:
-    """+1 when the polygon is on the left of the ring as written (shells counter-clockwise, holes clockwise)."""
-    return F.when(ring_index == 0, 1.0).otherwise(-1.0) * F.signum(ring_signed_area(ring))
+def ring_edges(ring: str, side: str) -> str:
+    """Edges of one closed ring; ``side`` (a cheap expression) is +1 with the polygon on the left, else -1."""
+    r = ring
+    return f"""CASE WHEN size({r}) > 1 THEN transform(sequence(0, size({r}) - 2), i -> CASE
+        WHEN {r}[i][0] > {r}[i + 1][0]
+        THEN named_struct('x1', {r}[i + 1][0], 'y1', {r}[i + 1][1], 'x2', {r}[i][0], 'y2', {r}[i][1],
+                          'w', {side})
+        ELSE named_struct('x1', {r}[i][0], 'y1', {r}[i][1], 'x2', {r}[i + 1][0], 'y2', {r}[i + 1][1],
+                          'w', if({r}[i][0] = {r}[i + 1][0], 0D, -{side})) END)
+        ELSE {_NO_EDGES} END"""
 
 
-def edges(mp: Column) -> Column:
+def edges(mp: str) -> str:
     """All edges of a MultiPolygon with their weights."""
-    return F.flatten(F.transform(mp, lambda polygon: F.flatten(
-        F.transform(polygon, lambda ring, i: ring_edges(ring, ring_side(ring, i))))))
+    bound = f"array(named_struct('ring', ring, 'side', {ring_side('ring', 'n')}))"
+    return f"""flatten(transform({mp}, polygon -> flatten(transform(polygon, (ring, n) ->
+        transform({bound}, b -> {ring_edges("b.ring", "b.side")})[0]))))"""
 
 
-def edges_near(segs: Column, minx: Column, miny: Column, maxx: Column) -> Column:
+def edges_near(segs: str, minx: str, miny: str, maxx: str) -> str:
     """Edges that can matter to a shape in the given box: they share its x range and are not wholly below it."""
-    return F.filter(segs, lambda s: (s.x2 >= minx) & (s.x1 <= maxx) & (F.greatest(s.y1, s.y2) >= miny))
-
-
-# --- overlap of two edge sets --------------------------------------------------------------------------------
-def overlap_area(a: Column, b: Column, ox: Column, oy: Column) -> Column:
-    """Overlap area of two polygons given as signed edges; (ox, oy) is a nearby origin that keeps precision."""
+    return f"filter({segs}, s -> s.x2 >= {minx} AND s.x1 <= {maxx} AND greatest(s.y1, s.y2) >= {miny})"
 
-    def with_span(e, f):
-        return F.struct(F.greatest(e.x1, f.x1).alias("l"), F.least(e.x2, f.x2).alias("r"), f.alias("f"))
 
-    def with_heights(e, t):
-        def height(s, x):
-            return (s.y1 - oy) + (x - s.x1) * (s.y2 - s.y1) / (s.x2 - s.x1)
+def with_weight(segs: str) -> str:
+    return f"filter({segs}, s -> s.w != 0)"
 
-        return F.struct((t.r - t.l).alias("dx"), (e.w * t.f.w).alias("w"),
-                        height(e, t.l).alias("el"), height(e, t.r).alias("er"),
-                        height(t.f, t.l).alias("fl"), height(t.f, t.r).alias("fr"))
 
-    def with_gaps(t):
-        return F.struct((t.w * t.dx).alias("k"), ((t.el + t.er + t.fl + t.fr) / 4).alias("mean"),
-                        (t.el - t.fl).alias("dl"), (t.er - t.fr).alias("dr"))
+def _height(edge: str, x: str, origin: str = "0D") -> str:
+    e = edge
+    return f"(({e}.y1 - {origin}) + ({x} - {e}.x1) * ({e}.y2 - {e}.y1) / ({e}.x2 - {e}.x1))"
 
-    def term(acc, t):
-        total = F.abs(t.dl) + F.abs(t.dr)
-        gap = (F.when(t.dl * t.dr >= 0, total / 2)
-               .otherwise((t.dl * t.dl + t.dr * t.dr) / (total * 2)))
-        return acc + t.k * (t.mean - gap / 2)
 
-    def per_edge(acc, e):
-        spans = F.filter(F.transform(b, lambda f: with_span(e, f)), lambda t: t.r > t.l)
-        gaps = F.transform(F.transform(spans, lambda t: with_heights(e, t)), with_gaps)
-        return acc + F.aggregate(gaps, F.lit(0.0), term)
+# --- overlap of two edge sets --------------------------------------------------------------------------------
+def overlap_area(a: str, b: str, oy: str) -> str:
+    """Overlap area of two polygons given as signed edges (without vertical ones in ``b``).
 
-    return F.aggregate(F.filter(a, lambda e: e.w != 0), F.lit(0.0), per_edge)
+    ``oy`` is a nearby height: measuring from there keeps the precision of small shapes far from the origin.
+    """
+    spans = f"""transform(filter({b}, f -> f.x2 > e.x1 AND f.x1 < e.x2),
+        f -> named_struct('l', greatest(e.x1, f.x1), 'r', least(e.x2, f.x2), 'f', f))"""
+    heights = f"""transform({spans}, t -> named_struct('k', e.w * t.f.w * (t.r - t.l),
+        'el', {_height('e', 't.l', oy)}, 'er', {_height('e', 't.r', oy)},
+        'fl', {_height('t.f', 't.l', oy)}, 'fr', {_height('t.f', 't.r', oy)}))"""
+    gaps = f"""transform({heights}, t -> named_struct('k', t.k, 'mean', (t.el + t.er + t.fl + t.fr) / 4D,
+        'dl', t.el - t.fl, 'dr', t.er - t.fr))"""
+    # integral of the smaller height = mean height less half the mean distance
+    return f"""aggregate({with_weight(a)}, 0D, (total, e) -> total + aggregate({gaps}, 0D, (part, t) ->
+        part + t.k * (t.mean - CASE WHEN t.dl * t.dr >= 0 THEN (abs(t.dl) + abs(t.dr)) / 4D
+            ELSE (t.dl * t.dl + t.dr * t.dr) / ((abs(t.dl) + abs(t.dr)) * 4D) END)))"""
 
 
-def _turn(ax, ay, bx, by, px, py):
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+def _turn(line: str, px: str, py: str) -> str:
+    s = line
+    return f"signum(({s}.x2 - {s}.x1) * ({py} - {s}.y1) - ({s}.y2 - {s}.y1) * ({px} - {s}.x1))"
 
 
-def edges_meet(a: Column, b: Column) -> Column:
+def edges_meet(a: str, b: str) -> str:
     """True when any two edges share a point (closed segments, so touching counts)."""
-
-    def meet(e, f):
-        return (
-            (e.x1 <= f.x2) & (f.x1 <= e.x2)
-            & (F.least(e.y1, e.y2) <= F.greatest(f.y1, f.y2)) & (F.least(f.y1, f.y2) <= F.greatest(e.y1, e.y2))
-            & (F.signum(_turn(f.x1, f.y1, f.x2, f.y2, e.x1, e.y1))
-               * F.signum(_turn(f.x1, f.y1, f.x2, f.y2, e.x2, e.y2)) <= 0)
-            & (F.signum(_turn(e.x1, e.y1, e.x2, e.y2, f.x1, f.y1))
-               * F.signum(_turn(e.x1, e.y1, e.x2, e.y2, f.x2, f.y2)) <= 0)
-        )
-
-    return F.exists(a, lambda e: F.exists(b, lambda f: meet(e, f)))
+    return f"""exists({a}, e -> exists({b}, f -> e.x1 <= f.x2 AND f.x1 <= e.x2
+        AND least(e.y1, e.y2) <= greatest(f.y1, f.y2) AND least(f.y1, f.y2) <= greatest(e.y1, e.y2)
+        AND {_turn('f', 'e.x1', 'e.y1')} * {_turn('f', 'e.x2', 'e.y2')} <= 0
+        AND {_turn('e', 'f.x1', 'f.y1')} * {_turn('e', 'f.x2', 'f.y2')} <= 0))"""
 
 
-def point_inside(segs: Column, px: Column, py: Column) -> Column:
+def point_inside(segs: str, px: str, py: str) -> str:
     """Point in polygon by the edges above the point (boundary points are left to ``edges_meet``)."""
-    above = F.filter(segs, lambda s: (s.x1 <= px) & (px < s.x2)
-                     & (s.y1 + (px - s.x1) * (s.y2 - s.y1) / (s.x2 - s.x1) > py))
-    return F.aggregate(above, F.lit(0.0), lambda acc, s: acc + s.w) != 0
+    above = f"filter({segs}, s -> s.x1 <= {px} AND {px} < s.x2 AND {_height('s', px)} > {py})"
+    return f"(aggregate({above}, 0D, (total, s) -> total + s.w) != 0)"
 
 
 # --- overlap as a geometry -----------------------------------------------------------------------------------
-_SLICE = "struct<xl:double,xr:double,tl:double,tr:double,bl:double,br:double>"
-_EDGE_AT = "struct<ym:double,yl:double,yr:double,a:double,b:double>"
+_SLICES = "array<struct<xl:double,xr:double,tl:double,tr:double,bl:double,br:double>>"
 
 
-def _cut_positions(a: Column, b: Column, minx: Column, maxx: Column) -> Column:
+def _cut_positions(a: str, b: str, minx: str, maxx: str) -> str:
     """x of every vertex and every crossing: between two of them no edges start, end or cross."""
+    gap = f"""named_struct('lo', g.lo, 'hi', g.hi, 'gl', {_height('e', 'g.lo')} - {_height('f', 'g.lo')},
+        'gr', {_height('e', 'g.hi')} - {_height('f', 'g.hi')})"""
+    crossings = f"""flatten(transform({a}, e -> flatten(transform(
+        filter({b}, f -> f.x2 > e.x1 AND f.x1 < e.x2), f -> transform(filter(transform(
+            array(named_struct('lo', greatest(e.x1, f.x1), 'hi', least(e.x2, f.x2))), g -> {gap}),
+            g -> g.gl * g.gr < 0), g -> g.lo + (g.hi - g.lo) * g.gl / (g.gl - g.gr))))))"""
+    ends = f"flatten(transform(concat({a}, {b}), s -> array(s.x1, s.x2)))"
+    return f"array_sort(array_distinct(filter(concat({ends}, {crossings}), x -> x >= {minx} AND x <= {maxx})))"
 
-    def crossings(e, f):
-        lo, hi = F.greatest(e.x1, f.x1), F.least(e.x2, f.x2)
 
-        def gap(x):
-            return ((e.y1 + (x - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1))
-                    - (f.y1 + (x - f.x1) * (f.y2 - f.y1) / (f.x2 - f.x1)))
-
-        # one-element arrays bind the intermediate values
-        return F.flatten(F.transform(F.array(F.struct(gap(lo).alias("gl"), gap(hi).alias("gr"))),
-                                     lambda g: F.when((hi > lo) & (g.gl * g.gr < 0),
-                                                      F.array(lo + (hi - lo) * g.gl / (g.gl - g.gr)))
-                                     .otherwise(F.array().cast("array<double>"))))
-
-    ends = F.flatten(F.transform(F.concat(a, b), lambda s: F.array(s.x1, s.x2)))
-    cross = F.flatten(F.transform(a, lambda e: F.flatten(F.transform(b, lambda f: crossings(e, f)))))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(ends, cross), lambda x: (x >= minx) & (x <= maxx))))
-
-
-def _slices(a: Column, b: Column, xs: Column) -> Column:
+def _slices(a: str, b: str, xs: str) -> str:
     """Overlap between neighbouring cut positions, as an array of trapezoid arrays (one per gap)."""
 
-    def edge_at(s, l, r, in_a):
+    def over(segs, in_a, in_b):
         def y(x):
-            return F.when(x == s.x2, s.y2).otherwise(s.y1 + (x - s.x1) * (s.y2 - s.y1) / (s.x2 - s.x1))
-
-        zero = F.lit(0.0)
-        return F.struct(y((l + r) / 2).alias("ym"), y(l).alias("yl"), y(r).alias("yr"),
-                        (s.w if in_a else zero).alias("a"), (zero if in_a else s.w).alias("b"))
-
-    def between(i):
-        l, r = xs[i], xs[i + 1]
-
-        def over(segs, in_a):
-            live = F.filter(segs, lambda s: (s.w != 0) & (s.x1 <= l) & (s.x2 >= r))
-            return F.transform(live, lambda s: edge_at(s, l, r, in_a))
-
-        downwards = F.reverse(F.array_sort(F.concat(over(a, True), over(b, False))))
-
-        def walk(acc, e):
-            na, nb = acc.a + e.a, acc.b + e.b
-            was_in, is_in = (acc.a > 0) & (acc.b > 0), (na > 0) & (nb > 0)
-            piece = F.array(F.struct(l.alias("xl"), r.alias("xr"), acc.tl.alias("tl"), acc.tr.alias("tr"),
-                                     e.yl.alias("bl"), e.yr.alias("br")))
-            closes = was_in & ~is_in & ((acc.tl > e.yl) | (acc.tr > e.yr))
-            opens = is_in & ~was_in
-            return F.struct(na.alias("a"), nb.alias("b"),
-                            F.when(opens, e.yl).otherwise(acc.tl).alias("tl"),
-                            F.when(opens, e.yr).otherwise(acc.tr).alias("tr"),
-                            F.when(closes, F.concat(acc.out, piece)).otherwise(acc.out).alias("out"))
-
-        start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("tl"),
-                         F.lit(0.0).alias("tr"), F.array().cast(f"array<{_SLICE}>").alias("out"))
-        return F.aggregate(downwards, start, walk, lambda acc: acc.out)
-
-    return F.when(F.size(xs) > 1, F.transform(F.sequence(F.lit(0), F.size(xs) - 2), between)).otherwise(
-        F.array().cast(f"array<array<{_SLICE}>>"))
-
-
-def _clean_ring(pts: Column) -> Column:
-    """Drop repeated and collinear points of an open point list, then close the ring."""
-    n = F.size(pts)
-    distinct = F.filter(pts, lambda p, i: p != pts[F.pmod(i - 1, n)])
-
-    def is_corner(p, i, ring):
-        m = F.size(ring)
-        q, r = ring[F.pmod(i + m - 1, m)], ring[F.pmod(i + 1, m)]
-        reach = F.greatest(F.abs(r[0] - q[0]), F.abs(r[1] - q[1]), F.abs(p[0] - q[0]), F.abs(p[1] - q[1]))
-        return F.abs(_turn(q[0], q[1], r[0], r[1], p[0], p[1])) > reach * reach * 1e-9
-
-    corners = F.transform(F.array(distinct), lambda ring: F.filter(ring, lambda p, i: is_corner(p, i, ring)))[0]
-    return F.transform(F.array(corners), lambda ring: F.concat(ring, F.array(F.get(ring, F.lit(0)))))[0]
-
-
-def _outline(parts: Column) -> Column:
+            return f"if({x} = s.x2, s.y2, {_height('s', x)})"
+
+        return f"""transform(filter({segs}, s -> s.x1 <= c.l AND s.x2 >= c.r), s -> named_struct(
+            'ym', {y('((c.l + c.r) / 2D)')}, 'yl', {y('c.l')}, 'yr', {y('c.r')}, 'a', {in_a}, 'b', {in_b}))"""
+
+    was_in, is_in = "(m.a > 0 AND m.b > 0)", "(m.a + e.a > 0 AND m.b + e.b > 0)"
+    piece = """array(named_struct('xl', c.l, 'xr', c.r, 'tl', m.tl, 'tr', m.tr, 'bl', e.yl, 'br', e.yr))"""
+    walk = f"""named_struct('a', m.a + e.a, 'b', m.b + e.b,
+        'tl', if({is_in} AND NOT {was_in}, e.yl, m.tl), 'tr', if({is_in} AND NOT {was_in}, e.yr, m.tr),
+        'out', if({was_in} AND NOT {is_in} AND (m.tl > e.yl OR m.tr > e.yr), concat(m.out, {piece}), m.out))"""
+    downwards = f"reverse(array_sort(concat({over(a, 's.w', '0D')}, {over(b, '0D', 's.w')})))"
+    between = f"""aggregate({downwards}, named_struct('a', 0D, 'b', 0D, 'tl', 0D, 'tr', 0D,
+        'out', cast(array() AS {_SLICES})), (m, e) -> {walk}, m -> m.out)"""
+    return f"""CASE WHEN size({xs}) > 1 THEN transform(sequence(0, size({xs}) - 2), i ->
+        transform(array(named_struct('l', {xs}[i], 'r', {xs}[i + 1])), c -> {between})[0])
+        ELSE cast(array() AS array<{_SLICES}>) END"""
+
+
+def _closed(pts: str) -> str:
+    """Ring of a point list without its repeated and collinear points."""
+    distinct = f"""transform(array({pts}), raw -> filter(raw, (p, j) ->
+        p != raw[pmod(j - 1, size(raw))]))[0]"""
+    before, after = "open[pmod(j + size(open) - 1, size(open))]", "open[pmod(j + 1, size(open))]"
+    near = f"""array(named_struct('q', {before}, 'r', {after}, 'p', p))"""
+    reach = """greatest(abs(v.r[0] - v.q[0]), abs(v.r[1] - v.q[1]), abs(v.p[0] - v.q[0]), abs(v.p[1] - v.q[1]))"""
+    is_corner = f"""exists({near}, v -> abs((v.r[0] - v.q[0]) * (v.p[1] - v.q[1])
+        - (v.r[1] - v.q[1]) * (v.p[0] - v.q[0])) > {reach} * {reach} * 1e-9D)"""
+    corners = f"transform(array({distinct}), open -> filter(open, (p, j) -> {is_corner}))[0]"
+    return f"transform(array({corners}), open -> concat(open, array(get(open, 0))))[0]"
+
+
+def _outline(parts: str) -> str:
     """Ring around neighbouring slices: along their lower sides, back along their upper sides."""
-    lower = F.flatten(F.transform(parts, lambda t: F.array(F.array(t.xl, t.bl), F.array(t.xr, t.br))))
-    upper = F.flatten(F.transform(F.reverse(parts), lambda t: F.array(F.array(t.xr, t.tr), F.array(t.xl, t.tl))))
-    return _clean_ring(F.concat(lower, upper))
+    lower = f"flatten(transform({parts}, t -> array(array(t.xl, t.bl), array(t.xr, t.br))))"
+    upper = f"flatten(transform(reverse({parts}), t -> array(array(t.xr, t.tr), array(t.xl, t.tl))))"
+    return _closed(f"concat({lower}, {upper})")
 
 
-def overlap_geometry(a: Column, b: Column, minx: Column, maxx: Column) -> Column:
-    """Overlap of two edge sets as a MultiPolygon.
+def overlap_geometry(a: str, b: str, minx: str, maxx: str) -> str:
+    """Overlap of two edge sets (without vertical edges) as a MultiPolygon.
 
     One ring when the overlap is a single run of slices; otherwise one polygon per slice (adjacent polygons that
     cover the same points). A mere touch gives an empty MultiPolygon.
     """
-    live_a, live_b = F.filter(a, lambda s: s.w != 0), F.filter(b, lambda s: s.w != 0)
-    by_gap = F.transform(F.array(_cut_positions(live_a, live_b, minx, maxx)),
-                         lambda xs: _slices(live_a, live_b, xs))[0]
-
-    def assemble(gaps):
-        parts = F.flatten(gaps)
-        n = F.size(parts)
-        joined = F.forall(
-            F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-            lambda i: (n < 2) | ((parts[i].xr == parts[i + 1].xl)
-                                 & (F.greatest(parts[i].br, parts[i + 1].bl)
-                                    < F.least(parts[i].tr, parts[i + 1].tl))))
-        single = F.forall(gaps, lambda g: F.size(g) <= 1) & joined
-        return (F.when(n == 0, F.array().cast(MULTIPOLYGON))
-                .when(single, F.array(F.array(_outline(parts))))
-                .otherwise(F.transform(parts, lambda t: F.array(_outline(F.array(t))))))
-
-    return F.filter(F.transform(F.array(by_gap), assemble)[0], lambda polygon: F.size(polygon[0]) >= 4)
+    gaps = f"transform(array({_cut_positions(a, b, minx, maxx)}), xs -> {_slices(a, b, 'xs')})[0]"
+    joined = """forall(sequence(0, greatest(size(d.parts) - 2, 0)), k -> size(d.parts) < 2 OR (
+        d.parts[k].xr = d.parts[k + 1].xl
+        AND greatest(d.parts[k].br, d.parts[k + 1].bl) < least(d.parts[k].tr, d.parts[k + 1].tl)))"""
+    shape = f"""CASE WHEN size(d.parts) = 0 THEN cast(array() AS {MULTIPOLYGON})
+        WHEN d.simple AND {joined} THEN array(array({_outline("d.parts")}))
+        ELSE transform(d.parts, u -> array({_outline("array(u)")})) END"""
+    described = f"""transform(array({gaps}), g -> named_struct('parts', flatten(g),
+        'simple', forall(g, h -> size(h) <= 1)))"""
+    return f"filter(transform({described}, d -> {shape})[0], polygon -> size(polygon[0]) >= 4)"

@@ -14,3 +14,9 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in columns]
     return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer partitions than that; large scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

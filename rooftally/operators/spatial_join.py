@@ -26,6 +26,8 @@ from rooftally.workspace import write_and_read
 # Both label the same system; coordinates are never transformed.
 SAME_SYSTEM = ("EPSG:4326", "OGC:CRS84")
 
+# What every tile knows about its area.
+ABOUT = ("base", "m2_factor", "minx", "miny", "maxx", "maxy")
 CHUNK = 1024  # ring vertices handled per row while tiling
 BROADCAST_BYTES = 128 << 20
 BOXES_IN_FILTER = 16
@@ -55,37 +57,33 @@ def check_crs(*labels: str) -> None:
 def _aoi_edges(aois: DataFrame) -> DataFrame:
     """One row per boundary edge, with its area's attributes; long rings are spread over the cluster."""
     extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    sized = compute_once(aois, _extent=extent, _points=F.size(G.points(F.col("mp"))))
+    sized = compute_once(aois, _extent=extent, _points=F.size(F.expr(G.points("mp"))))
     described = compute_once(sized, base=grid.area_level(F.col("_extent"), F.col("_points")),
                              m2_factor=M.m2_factor(M.mean_latitude(F.col("miny"), F.col("maxy"))))
     rings = (
-        described.select("aoi", "mp", F.struct("base", "m2_factor", "minx", "miny", "maxx", "maxy").alias("about"))
-        .select("aoi", "about", F.posexplode("mp").alias("polygon_no", "polygon"))
-        .select("aoi", "about", "polygon_no", F.posexplode("polygon").alias("ring_no", "ring"))
+        described.select("aoi", *ABOUT, F.posexplode("mp").alias("polygon_no", "polygon"))
+        .select("aoi", *ABOUT, "polygon_no", F.posexplode("polygon").alias("ring_no", "ring"))
         .where(F.size("ring") >= 2)
     )
     chunks = (
-        compute_once(rings, side=G.ring_side(F.col("ring"), F.col("ring_no"))).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("ring") - 2, F.lit(CHUNK))))
+        compute_once(rings, side=F.expr(G.ring_side("ring", "ring_no"))).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("ring") - 2, F.lit(CHUNK))))
         .withColumn("ring", F.slice("ring", F.col("start") + 1, CHUNK + 1))
         .repartition("aoi", "polygon_no", "ring_no", "start")
     )
-    return chunks.select("aoi", "about", F.explode(G.ring_edges(F.col("ring"), F.col("side"))).alias("e"))
+    return chunks.select("aoi", *ABOUT, F.explode(F.expr(G.ring_edges("ring", "side"))).alias("e"))
 
 
-def _tile_rows(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges per tile they touch, and steps of the inside/outside state along the top of the tiles below them."""
-    base = F.col("about.base")
-    leveled = edges.withColumn("level", F.explode(F.concat(
-        F.filter(F.transform(F.sequence(F.lit(0), F.lit(grid.COARSER)), lambda k: base + k), lambda j: j < grid.TOP),
-        F.array(F.lit(grid.TOP)))))
+def _tile_rows(edges: DataFrame) -> DataFrame:
+    """Per tile: the edges that touch it, and the steps of the inside/outside state along its upper rim.
 
-    top = (leveled.where(F.col("level") == grid.TOP)
-           .select("aoi", "about", "level", F.lit(0).cast("bigint").alias("ix"), F.lit(0).cast("bigint").alias("iy"),
-                   "e"))
-
-    s = F.col("s")
+    An edge that passes above a tile matters to it only by where it starts and ends: a shape in the tile sees a
+    lid over that stretch. Starts and ends of neighbouring edges cancel in the sum, mostly before the shuffle.
+    """
+    e, s, level = F.col("e"), F.col("s"), F.col("level")
+    top = level == grid.TOP
     reach = 1 + grid.OVERHANG
     slack = 1e-9  # in tiles; only ever adds an edge to a tile it nearly touches
+    zero = F.lit(0).cast("bigint")
 
     def first_tile(v):
         return F.ceil(v / s - reach - slack)
@@ -93,62 +91,60 @@ def _tile_rows(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     def last_tile(v):
         return F.floor(v / s + slack)
 
-    e = F.col("e")
+    levels = F.concat(F.filter(F.sequence("base", F.col("base") + grid.COARSER), lambda j: j < grid.TOP),
+                      F.array(F.lit(grid.TOP)))
     columns = (
-        leveled.where(F.col("level") < grid.TOP)
-        .withColumn("s", grid.tile_size(F.col("level")))
-        .withColumn("ix", F.explode(F.sequence(first_tile(e.x1), last_tile(e.x2))))
+        edges.withColumn("level", F.explode(levels))
+        .withColumn("s", grid.tile_size(level))
+        .withColumn("ix", F.explode(F.when(top, F.array(zero)).otherwise(
+            F.sequence(first_tile(e.x1), last_tile(e.x2)))))
         .withColumn("wx0", F.col("ix") * s).withColumn("wx1", (F.col("ix") + reach) * s)
-        .withColumn("xa", F.greatest(F.col("wx0"), F.least(e.x1, F.col("wx1"))))
-        .withColumn("xb", F.greatest(F.col("wx0"), F.least(e.x2, F.col("wx1"))))
     )
+    columns = compute_once(columns, xa=F.greatest(F.col("wx0"), F.least(e.x1, F.col("wx1"))),
+                           xb=F.greatest(F.col("wx0"), F.least(e.x2, F.col("wx1"))))
 
     def y_at(x):
-        y = e.y1 + (F.greatest(e.x1, F.least(x, e.x2)) - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1)
-        return F.when(e.x1 == e.x2, e.y1).otherwise(y)
+        return e.y1 + (F.greatest(e.x1, F.least(x, e.x2)) - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1)
 
     vertical = e.x1 == e.x2
-    ya, yb = y_at(F.col("xa")), F.when(vertical, e.y2).otherwise(y_at(F.col("xb")))
-    spans = compute_once(compute_once(columns, ya=ya, yb=yb),
-                         row_lo=first_tile(F.least("ya", "yb")), row_hi=last_tile(F.greatest("ya", "yb")))
-    touching = (
-        spans.withColumn("iy", F.explode(F.sequence("row_lo", "row_hi")))
-        .select("aoi", "about", "level", "ix", "iy", "e")
-    )
-    lowest = first_tile(F.col("about.miny"))
-    steps = (
-        spans.where((F.col("e.w") != 0) & (F.col("row_lo") - 1 >= lowest))
-        .withColumn("step", F.explode(F.array(F.struct(F.col("xa").alias("x"), e.w.alias("w")),
-                                              F.struct(F.col("xb").alias("x"), (-e.w).alias("w")))))
-        .where(F.col("step.x") < F.col("wx1"))
-        .withColumn("iy", F.explode(F.sequence(lowest, F.col("row_lo") - 1)))
-        .groupBy("aoi", "about", "level", "ix", "iy", F.col("step.x").alias("x"))
-        .agg(F.sum("step.w").alias("w"))
-        .where(F.col("w") != 0)
-    )
-    size = grid.tile_size(F.col("level"))
-    lid = (F.col("iy") + reach) * size
-    steps = steps.select("aoi", "about", "level", "ix", "iy", F.struct(
-        F.col("x").alias("x1"), lid.alias("y1"), ((F.col("ix") + reach) * size).alias("x2"), lid.alias("y2"),
-        F.col("w").alias("w")).alias("e"))
-    return touching.unionByName(top), steps
+    spans = compute_once(columns, ya=F.when(vertical, e.y1).otherwise(y_at(F.col("xa"))),
+                         yb=F.when(vertical, e.y2).otherwise(y_at(F.col("xb"))))
+    spans = compute_once(spans,
+                         row_lo=F.when(top, zero).otherwise(first_tile(F.least("ya", "yb"))),
+                         row_hi=F.when(top, zero).otherwise(last_tile(F.greatest("ya", "yb"))),
+                         lowest=F.when(top, zero).otherwise(first_tile(F.col("miny"))))
+
+    def row(iy, real, x1, y1, x2, y2, w):
+        return F.struct(iy.alias("iy"), F.lit(real).alias("real"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"),
+                        y2.alias("y2"), w.alias("w"))
+
+    def lid(iy, x, w):
+        height = (iy + reach) * s
+        return row(iy, False, x, height, F.col("wx1"), height, w)
+
+    touching = F.transform(F.sequence("row_lo", "row_hi"), lambda iy: row(iy, True, e.x1, e.y1, e.x2, e.y2, e.w))
+    lids = F.flatten(F.transform(F.sequence(F.col("lowest"), F.col("row_lo") - 1), lambda iy: F.filter(
+        F.array(lid(iy, F.col("xa"), e.w), lid(iy, F.col("xb"), -e.w)), lambda r: r.x1 < F.col("wx1"))))
+    has_lids = (e.w != 0) & (F.col("row_lo") > F.col("lowest"))
+    rows = spans.select("aoi", *ABOUT, "level", "ix", F.inline(
+        F.when(has_lids, F.concat(touching, lids)).otherwise(touching)))
+    return (rows.groupBy("aoi", *ABOUT, "level", "ix", "iy", "real", "x1", "y1", "x2", "y2")
+            .agg(F.sum("w").alias("w")).where(F.col("real") | (F.col("w") != 0)))
 
 
 def tile_aois(aois: DataFrame, slug: str = "slug") -> AoiTiles:
     """Cut areas (slug, mp, minx, miny, maxx, maxy) into tiles, keep them as a table, and measure it."""
-    edges = _aoi_edges(aois.withColumnRenamed(slug, "aoi"))
-    touching, steps = _tile_rows(edges)
-    rows = touching.withColumn("real", F.lit(True)).unionByName(steps.withColumn("real", F.lit(False)))
-    grouped = rows.groupBy("aoi", "about", "level", "ix", "iy").agg(
-        F.collect_list(F.when(F.col("real"), F.col("e"))).alias("segs"),
-        F.collect_list(F.when(~F.col("real"), F.col("e"))).alias("lids"))
+    rows = _tile_rows(_aoi_edges(aois.withColumnRenamed(slug, "aoi")))
+    side = F.struct("x1", "y1", "x2", "y2", "w")
+    grouped = rows.groupBy("aoi", *ABOUT, "level", "ix", "iy").agg(
+        F.collect_list(F.when(F.col("real"), side)).alias("segs"),
+        F.collect_list(F.when(~F.col("real"), side)).alias("lids"))
     border = F.size("segs") > 0
     inside = F.aggregate("lids", F.lit(0.0), lambda acc, s: acc + s.w) != 0
     tiles = grouped.where(border | inside).select(
-        "aoi", F.col("about.base").alias("base"), "level", "ix", "iy",
-        grid.tile_key(F.col("level"), F.col("ix"), F.col("iy")).alias("tile"),
-        F.col("about.m2_factor").alias("m2_factor"),
-        *[F.col(f"about.{c}").alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")],
+        "aoi", "base", "level", "ix", "iy",
+        grid.tile_key(F.col("level"), F.col("ix"), F.col("iy")).alias("tile"), "m2_factor",
+        *[F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")],
         F.when(border, F.col("segs")).alias("segs"),
         F.when(border, F.col("lids")).alias("lids"),
     )
@@ -159,17 +155,17 @@ def measure_tiles(tiles: DataFrame) -> AoiTiles:
     """Size, levels and bounds of a tile table (also of one written by an earlier run)."""
     bounds = ("a_minx", "a_miny", "a_maxx", "a_maxy")
     held = F.coalesce(F.size("segs"), F.lit(0)) + F.coalesce(F.size("lids"), F.lit(0))
+    # every area has exactly one TOP tile
     r = tiles.agg(
-        F.coalesce(F.sum(held.cast("bigint") * 56 + 144), F.lit(0)).alias("bytes"),
+        F.count_if(F.col("level") == grid.TOP).alias("n_aois"),
+        F.coalesce(F.sum(held.cast("bigint") * 56 + 144), F.lit(0)).alias("n_bytes"),
         F.collect_set("base").alias("bases"),
         F.min("a_minx").alias("minx"), F.min("a_miny").alias("miny"),
         F.max("a_maxx").alias("maxx"), F.max("a_maxy").alias("maxy"),
     ).first()
-    # every area has exactly one TOP tile
-    per_aoi = tiles.where(F.col("level") == grid.TOP)
-    n_aois = per_aoi.count()
-    boxes = per_aoi.select(*bounds).collect() if n_aois <= BOXES_IN_FILTER else []
-    return AoiTiles(tiles, n_aois, int(r["bytes"]), tuple(sorted(r.bases)),
+    boxes = (tiles.where(F.col("level") == grid.TOP).select(*bounds).collect()
+             if r.n_aois <= BOXES_IN_FILTER else [])
+    return AoiTiles(tiles, r.n_aois, r.n_bytes, tuple(sorted(r.bases)),
                     None if r.minx is None else (r.minx, r.miny, r.maxx, r.maxy),
                     tuple(tuple(b) for b in boxes))
 
@@ -250,7 +246,8 @@ def clip(
     """
     if not tiles.bases:
         raise ValueError("no valid area of interest to clip with")
-    keep = tuple(dict.fromkeys(keep))
+    # the measured columns of the clip go before those of the same name
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in ("aoi", "area_deg2", "m2_factor", "cut", "mp"))
     box = ("minx", "miny", "maxx", "maxy")
     columns = list(dict.fromkeys((*keep, *box, "area_deg2", geometry)))
     pairs = _candidates(prepare_footprints(footprints, geometry).select(*columns), tiles, broadcast_bytes)
@@ -260,23 +257,21 @@ def clip(
         # only border candidates are decoded
         pairs = pairs.withColumn(geometry, F.when(border, F.col(geometry)))
     pairs = pairs.withColumn("_mp", as_multipolygon(pairs, geometry))
-    near = G.edges_near(F.col("_segs"), F.col("minx"), F.col("miny"), F.col("maxx"))
-    pairs = compute_once(pairs, _edges=F.when(border, G.edges(F.col("_mp"))), _near=F.when(border, near),
-                         _sides=F.when(border, F.filter(F.concat(near, "_lids"), lambda s: s.w != 0)))
-    sides = F.col("_sides")
-    overlap = G.overlap_area(F.col("_edges"), sides, F.col("minx"), F.col("miny"))
-    pairs = compute_once(pairs, _overlap=F.when(border, overlap))
+    near = G.edges_near("_segs", "minx", "miny", "maxx")
+    pairs = compute_once(pairs, _edges=F.when(border, F.expr(G.edges("_mp"))), _near=F.when(border, F.expr(near)),
+                         _sides=F.when(border, F.expr(G.with_weight(f"concat({near}, _lids)"))))
+    pairs = compute_once(pairs, _overlap=F.when(border, F.expr(G.overlap_area("_edges", "_sides", "miny"))))
 
     has_area = F.col("_overlap") > F.col("area_deg2") * G.AREA_NOISE
-    corner = F.col("_edges")[0]
-    matches = (~border | has_area | G.edges_meet(F.col("_edges"), F.col("_near"))
-               | G.point_inside(sides, corner.x1, corner.y1))
+    touches = F.expr(f"""{G.edges_meet("_edges", "_near")}
+        OR {G.point_inside("_sides", "_edges[0].x1", "_edges[0].y1")}""")
+    matches = ~border | has_area | touches
     clipped = F.least("area_deg2", F.when(has_area, F.col("_overlap")).otherwise(0.0))
     out = ["aoi", *keep, F.when(border, clipped).otherwise(F.col("area_deg2")).alias("area_deg2"),
            "m2_factor", border.alias("cut")]
+    matched = pairs.where(matches)
     if with_geometry:
-        shape = G.overlap_geometry(F.col("_edges"), sides, F.col("minx"), F.col("maxx"))
-        out.append(F.when(border, shape).otherwise(F.col("_mp")).alias("mp"))
-    # names kept from the footprint must not clash with the measured ones
-    out = [c for c in out if not (isinstance(c, str) and c == "area_deg2")]
-    return pairs.where(matches).select(*out)
+        shape = F.expr(G.overlap_geometry(G.with_weight("_edges"), "_sides", "minx", "maxx"))
+        matched = compute_once(matched, mp=F.when(border, shape).otherwise(F.col("_mp")))
+        out.append("mp")
+    return matched.select(*out)

@@ -179,7 +179,7 @@ def simplify_vertices(spark, sf):
     dense = W.footprints(spark, sf).select("id", F.transform("geometry", lambda p: F.transform(p, with_midpoints))
                                            .alias("mp"))
     def n_points(mp):
-        return F.size(G.points(F.col(mp))).cast("bigint")
+        return F.size(F.expr(G.points(mp))).cast("bigint")
 
     kept = L.simplify(dense.withColumn("n_before", n_points("mp")), 1e-6)
     return kept.select("id", "n_before", n_points("mp").alias("n_after"))
@@ -307,7 +307,7 @@ def layers(spark, sf):
     thin = L.layers(world_clip(spark, sf, with_geometry=True), min_area_m2=100.0, tolerance=1e-7)
     return _rounded(thin.groupBy("aoi", "bf_source").agg(
         F.count("*").alias("n"), F.sum("area_m2").alias("area_m2"),
-        F.sum(G.polygon_area(F.col("mp")) * 1e9).alias("simplified_area")))
+        F.sum(F.expr(G.polygon_area("mp")) * 1e9).alias("simplified_area")))
 
 
 def write_layers(spark, sf):
@@ -348,7 +348,7 @@ def wkb_decode(spark, sf):
     decoded = encoded.select("id", F.octet_length("geometry").cast("bigint").alias("n_bytes"), mp.alias("mp"))
     return decoded.select("id", "n_bytes", F.size("mp").cast("bigint").alias("n_parts"),
                           F.size(F.flatten("mp")).cast("bigint").alias("n_rings"),
-                          F.size(G.points(F.col("mp"))).cast("bigint").alias("n_points"))
+                          F.size(F.expr(G.points("mp"))).cast("bigint").alias("n_points"))
 
 
 def payload(spark, sf):

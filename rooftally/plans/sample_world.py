@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rooftally.functions import geometry as G
-from rooftally.functions.plan import compute_once
+from rooftally.functions.plan import compute_once, spread_small_scan
 from rooftally.sources.footprints import ISO3_TO_ISO2
 
 LOTS_PER_TOWN = 7500
@@ -39,7 +39,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", "microsoft").otherwise("google").alias("bf_source"))
     town = F.floor(F.col("id") / LOTS_PER_TOWN)
     lot = compute_once(
-        orders, side=F.sqrt("o_totalprice") / 20.0 / 111000.0,
+        spread_small_scan(orders), side=F.sqrt("o_totalprice") / 20.0 / 111000.0,
         x0=_town_x(town) + F.pmod("id", F.lit(100)) * F.lit(0.002),
         y0=_town_y(town) + F.pmod(F.floor(F.col("id") / 100), F.lit(75)) * F.lit(0.002))
     x0, y0, side, key = F.col("x0"), F.col("y0"), F.col("side"), F.col("id")

@@ -78,8 +78,8 @@ def list_aois(documents: DataFrame) -> DataFrame:
 def check_aois(documents: DataFrame) -> DataFrame:
     """All documents with geometry, bounds and the list of broken rules, in one pass."""
     shaped = compute_once(_opened(documents).drop("document"), mp=_multipolygon(F.col("_kind"), F.col("_coordinates")))
-    listed = compute_once(shaped, _x=F.transform(G.points(F.col("mp")), lambda p: p[0]),
-                          _y=F.transform(G.points(F.col("mp")), lambda p: p[1]))
+    listed = compute_once(shaped, _x=F.expr(f"transform({G.points('mp')}, p -> p[0])"),
+                          _y=F.expr(f"transform({G.points('mp')}, p -> p[1])"))
     located = compute_once(listed, minx=F.array_min("_x"), miny=F.array_min("_y"),
                            maxx=F.array_max("_x"), maxy=F.array_max("_y"))
     polygonal = F.coalesce(F.col("_kind").isin("Polygon", "MultiPolygon"), F.lit(False))
@@ -130,9 +130,9 @@ def ring_checks(aois: DataFrame, country_box: tuple[float, float, float, float])
     return aois.select(
         "slug",
         F.size(rings).cast("bigint").alias("n_rings"),
-        F.forall(rings, G.ring_is_closed).alias("closed"),
+        F.forall(rings, lambda r: F.get(r, F.lit(0)).eqNullSafe(F.try_element_at(r, F.lit(-1)))).alias("closed"),
         F.forall(rings, lambda r: F.size(r) >= 4).alias("four_points"),
-        F.forall(G.points(F.col("mp")), lambda p: p[0].between(minx, maxx) & p[1].between(miny, maxy))
+        F.forall(F.expr(G.points("mp")), lambda p: p[0].between(minx, maxx) & p[1].between(miny, maxy))
         .alias("in_country"),
     )
 

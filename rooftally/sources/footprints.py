@@ -57,11 +57,10 @@ def prepare_footprints(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     if dict(df.dtypes)[geometry] == "binary":
         measured = df.withColumn("_stats", wkb_stats(F.col(geometry)))
         return measured.select(*df.columns, *[F.col("_stats")[c].alias(c) for c in PREPARED])
-    mp = F.col(geometry)
-    listed = compute_once(df, _x=F.transform(G.points(mp), lambda p: p[0]),
-                          _y=F.transform(G.points(mp), lambda p: p[1]))
+    listed = compute_once(df, _x=F.expr(f"transform({G.points(geometry)}, p -> p[0])"),
+                          _y=F.expr(f"transform({G.points(geometry)}, p -> p[1])"))
     return compute_once(listed, minx=F.array_min("_x"), miny=F.array_min("_y"), maxx=F.array_max("_x"),
-                        maxy=F.array_max("_y"), area_deg2=G.polygon_area(mp)).drop("_x", "_y")
+                        maxy=F.array_max("_y"), area_deg2=F.expr(G.polygon_area(geometry))).drop("_x", "_y")
 
 
 def as_multipolygon(df: DataFrame, geometry: str = "geometry"):
