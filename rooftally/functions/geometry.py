@@ -26,6 +26,8 @@ _NO_EDGES = "cast(array() AS array<struct<x1:double,y1:double,x2:double,y2:doubl
 
 # An overlap below this share of the footprint is rounding noise, not area.
 AREA_NOISE = 1e-9
+# Computed corners closer than this (in degrees; a micrometre) are one point.
+SAME_POINT = "1e-11D"
 
 
 # --- rings and polygons ------------------------------------------------------------------------------------
@@ -173,8 +175,9 @@ def _slices(a: str, b: str, xs: str) -> str:
 
 def _closed(pts: str) -> str:
     """Ring of a point list without its repeated and collinear points."""
+    previous = "raw[pmod(j + size(raw) - 1, size(raw))]"
     distinct = f"""transform(array({pts}), raw -> filter(raw, (p, j) ->
-        p != raw[pmod(j - 1, size(raw))]))[0]"""
+        abs(p[0] - {previous}[0]) > {SAME_POINT} OR abs(p[1] - {previous}[1]) > {SAME_POINT}))[0]"""
     before, after = "open[pmod(j + size(open) - 1, size(open))]", "open[pmod(j + 1, size(open))]"
     near = f"""array(named_struct('q', {before}, 'r', {after}, 'p', p))"""
     reach = """greatest(abs(v.r[0] - v.q[0]), abs(v.r[1] - v.q[1]), abs(v.p[0] - v.q[0]), abs(v.p[1] - v.q[1]))"""
