@@ -14,7 +14,8 @@ from rooftally.workspace import ship_package  # noqa: E402
 def spark():
     session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-               .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+               .config("spark.ui.showConsoleProgress", "false").config("spark.sql.maxMetadataStringLength", "5000")
+               .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session
