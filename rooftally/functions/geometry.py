@@ -87,6 +87,12 @@ def edges_near(segs: str, minx: str, miny: str, maxx: str) -> str:
     return f"filter({segs}, s -> s.x2 >= {minx} AND s.x1 <= {maxx} AND greatest(s.y1, s.y2) >= {miny})"
 
 
+def any_edge_in_box(segs: str, minx: str, miny: str, maxx: str, maxy: str) -> str:
+    """Does the box of any edge meet the given box?"""
+    return f"""exists({segs}, s -> s.x2 >= {minx} AND s.x1 <= {maxx}
+        AND greatest(s.y1, s.y2) >= {miny} AND least(s.y1, s.y2) <= {maxy})"""
+
+
 def with_weight(segs: str) -> str:
     return f"filter({segs}, s -> s.w != 0)"
 
@@ -128,10 +134,10 @@ def edges_meet(a: str, b: str) -> str:
         AND {_turn('e', 'f.x1', 'f.y1')} * {_turn('e', 'f.x2', 'f.y2')} <= 0))"""
 
 
-def point_inside(segs: str, px: str, py: str) -> str:
-    """Point in polygon by the edges above the point (boundary points are left to ``edges_meet``)."""
+def winding(segs: str, px: str, py: str) -> str:
+    """Weights of the edges above a point, 0 outside the polygon (boundary points are left to ``edges_meet``)."""
     above = f"filter({segs}, s -> s.x1 <= {px} AND {px} < s.x2 AND {_height('s', px)} > {py})"
-    return f"(aggregate({above}, 0D, (total, s) -> total + s.w) != 0)"
+    return f"aggregate({above}, 0D, (total, s) -> total + s.w)"
 
 
 # --- overlap as a geometry -----------------------------------------------------------------------------------

@@ -68,7 +68,8 @@ def _aoi_edges(aois: DataFrame) -> DataFrame:
     chunks = (
         compute_once(rings, side=F.expr(G.ring_side("ring", "ring_no"))).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("ring") - 2, F.lit(CHUNK))))
         .withColumn("ring", F.slice("ring", F.col("start") + 1, CHUNK + 1))
-        .repartition("aoi", "polygon_no", "ring_no", "start")
+        .repartition(int(aois.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                     "aoi", "polygon_no", "ring_no", "start")
     )
     return chunks.select("aoi", *ABOUT, F.explode(F.expr(G.ring_edges("ring", "side"))).alias("e"))
 
@@ -241,7 +242,7 @@ def clip(
     """Intersection join and clip: one row per (footprint, area) that share at least a point.
 
     Columns: ``aoi``, the kept footprint columns, ``area_deg2`` of the clipped shape, ``m2_factor`` of the area,
-    ``cut`` (was it compared with the boundary), and ``mp`` (the clipped shape) when asked for. A footprint that
+    ``cut`` (does the boundary come near), and ``mp`` (the clipped shape) when asked for. A footprint that
     only touches an area is a match with area 0 and an empty shape.
     """
     if not tiles.bases:
@@ -252,26 +253,31 @@ def clip(
     columns = list(dict.fromkeys((*keep, *box, "area_deg2", geometry)))
     pairs = _candidates(prepare_footprints(footprints, geometry).select(*columns), tiles, broadcast_bytes)
 
-    border = F.col("_segs").isNotNull()
+    # Where no boundary edge comes near the footprint's box, the box is wholly inside or wholly outside.
+    border, crossed = F.col("_segs").isNotNull(), F.col("_crossed")
+    pairs = compute_once(pairs, _crossed=border & F.expr(G.any_edge_in_box("_segs", "minx", "miny", "maxx", "maxy")))
+    within = F.expr(f"""{G.winding("_segs", "minx", "miny")} + {G.winding("_lids", "minx", "miny")} != 0""")
+    pairs = pairs.where(~border | crossed | within)
+
+    # The others are compared with the boundary edge by edge.
     if dict(footprints.dtypes)[geometry] == "binary" and not with_geometry:
-        # only border candidates are decoded
-        pairs = pairs.withColumn(geometry, F.when(border, F.col(geometry)))
+        pairs = pairs.withColumn(geometry, F.when(crossed, F.col(geometry)))  # decode no more than needed
     pairs = pairs.withColumn("_mp", as_multipolygon(pairs, geometry))
     near = G.edges_near("_segs", "minx", "miny", "maxx")
-    pairs = compute_once(pairs, _edges=F.when(border, F.expr(G.edges("_mp"))), _near=F.when(border, F.expr(near)),
-                         _sides=F.when(border, F.expr(G.with_weight(f"concat({near}, _lids)"))))
-    pairs = compute_once(pairs, _overlap=F.when(border, F.expr(G.overlap_area("_edges", "_sides", "miny"))))
+    pairs = compute_once(pairs, _edges=F.when(crossed, F.expr(G.edges("_mp"))), _near=F.when(crossed, F.expr(near)),
+                         _sides=F.when(crossed, F.expr(G.with_weight(f"concat({near}, _lids)"))))
+    pairs = compute_once(pairs, _overlap=F.when(crossed, F.expr(G.overlap_area("_edges", "_sides", "miny"))))
 
     has_area = F.col("_overlap") > F.col("area_deg2") * G.AREA_NOISE
     touches = F.expr(f"""{G.edges_meet("_edges", "_near")}
-        OR {G.point_inside("_sides", "_edges[0].x1", "_edges[0].y1")}""")
-    matches = ~border | has_area | touches
+        OR {G.winding("_sides", "_edges[0].x1", "_edges[0].y1")} != 0""")
+    matches = ~crossed | has_area | touches
     clipped = F.least("area_deg2", F.when(has_area, F.col("_overlap")).otherwise(0.0))
-    out = ["aoi", *keep, F.when(border, clipped).otherwise(F.col("area_deg2")).alias("area_deg2"),
-           "m2_factor", border.alias("cut")]
+    out = ["aoi", *keep, F.when(crossed, clipped).otherwise(F.col("area_deg2")).alias("area_deg2"),
+           "m2_factor", crossed.alias("cut")]
     matched = pairs.where(matches)
     if with_geometry:
         shape = F.expr(G.overlap_geometry(G.with_weight("_edges"), "_sides", "minx", "maxx"))
-        matched = compute_once(matched, mp=F.when(border, shape).otherwise(F.col("_mp")))
+        matched = compute_once(matched, mp=F.when(crossed, shape).otherwise(F.col("_mp")))
         out.append("mp")
     return matched.select(*out)
