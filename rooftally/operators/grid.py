@@ -5,12 +5,12 @@ A tile serves the footprints whose lower-left corner lies in it; it looks a quar
 and right edges, so every footprint no larger than that quarter belongs to exactly one tile. Larger footprints
 move to a coarser level, the largest to ``TOP``, which is one tile for the whole world. A footprint is therefore
 matched in one place per area of interest: no de-duplication and no regrouping after the join.
+
+As in ``functions.geometry``, the functions take and return SQL text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 FINEST = 2.0 ** -8
 STEP = 4.0
 LEVELS = range(9)
@@ -20,57 +20,46 @@ OVERHANG = 0.25
 COARSER = 3
 
 
-def tile_size(level: Column) -> Column:
-    return F.lit(FINEST) * F.pow(F.lit(STEP), level)
+def tile_size(level: str) -> str:
+    return f"({FINEST}D * pow({STEP}D, {level}))"
 
 
-def footprint_level(width: Column, height: Column) -> Column:
-    """Finest level whose overhang holds the footprint."""
-    extent = F.greatest(width, height)
-    level = F.lit(0)
-    for j in LEVELS:
-        level = level + (extent > FINEST * STEP ** j * OVERHANG).cast("int")
-    return level
+def footprint_level(extent: str) -> str:
+    """Finest level whose overhang holds a footprint of this extent."""
+    return " + ".join(f"int({extent} > {FINEST * STEP ** j * OVERHANG}D)" for j in LEVELS)
 
 
-def area_level(extent: Column, n_points: Column, tiles_per_side: int = 64, detailed: int = 4096) -> Column:
+def area_level(extent: str, n_points: str, tiles_per_side: int = 64, detailed: int = 4096) -> str:
     """Finest level at which the area spans at most so many tiles; finely drawn areas get 4x as many."""
-    allowed = F.when(n_points > detailed, tiles_per_side * 4.0).otherwise(tiles_per_side * 1.0)
-    level = F.lit(0)
-    for j in LEVELS[:-1]:
-        level = level + (extent > allowed * (FINEST * STEP ** j)).cast("int")
-    return level
+    relative = f"({extent} / if({n_points} > {detailed}, {STEP * tiles_per_side}D, {1.0 * tiles_per_side}D))"
+    return " + ".join(f"int({relative} > {FINEST * STEP ** j}D)" for j in LEVELS[:-1])
 
 
-def match_level(own: Column, base: Column) -> Column:
+def match_level(own: str, base: str) -> str:
     """Level at which a footprint of level ``own`` meets an area of level ``base``."""
-    level = F.greatest(own, base)
-    return F.when((level > base + COARSER) | (level >= TOP), F.lit(TOP)).otherwise(level)
+    level = f"greatest({own}, {base})"
+    return f"if({level} > {base} + {COARSER} OR {level} >= {TOP}, {TOP}, {level})"
 
 
-def tile_key(level: Column, ix: Column, iy: Column) -> Column:
+def tile_key(level: str, ix: str, iy: str) -> str:
     """One BIGINT per tile: level, then column, then row."""
     half = 1 << 19
-    return (level.cast("bigint") * (1 << 40) + (ix.cast("bigint") + half) * (1 << 20)
-            + (iy.cast("bigint") + half))
+    return f"({level} * {1 << 40}L + ({ix} + {half}L) * {1 << 20}L + ({iy} + {half}L))"
 
 
-def key_of_corner(level: Column, minx: Column, miny: Column) -> Column:
-    size = tile_size(level)
-    cell = tile_key(level, F.floor(minx / size), F.floor(miny / size))
-    top = tile_key(F.lit(TOP), F.lit(0), F.lit(0))
-    return F.when(level == TOP, top).otherwise(cell)
+def key_of_corner(level: str, minx: str, miny: str) -> str:
+    cell = tile_key(level, f"floor({minx} / {tile_size(level)})", f"floor({miny} / {tile_size(level)})")
+    return f"if({level} = {TOP}, {tile_key(str(TOP), '0L', '0L')}, {cell})"
 
 
-def z_order(minx: Column, miny: Column) -> Column:
+def z_order(minx: str, miny: str) -> str:
     """Bit-interleaved finest tile number: neighbours on the map are mostly neighbours in the order."""
 
-    def spread(v):
-        v = v.cast("bigint")
+    def spread(v: str) -> str:
         for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
                             (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+            v = f"transform({v}, v -> (v | shiftleft(v, {shift})) & {mask}L)"
         return v
 
-    ix, iy = F.floor((minx + 180) / FINEST), F.floor((miny + 90) / FINEST)
-    return spread(ix).bitwiseOR(F.shiftleft(spread(iy), 1))
+    ix, iy = f"array(floor(({minx} + 180D) / {FINEST}D))", f"array(floor(({miny} + 90D) / {FINEST}D))"
+    return f"{spread(ix)}[0] | shiftleft({spread(iy)}[0], 1)"

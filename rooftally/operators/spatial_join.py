@@ -58,7 +58,7 @@ def _aoi_edges(aois: DataFrame) -> DataFrame:
     """One row per boundary edge, with its area's attributes; long rings are spread over the cluster."""
     extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
     sized = compute_once(aois, _extent=extent, _points=F.size(F.expr(G.points("mp"))))
-    described = compute_once(sized, base=grid.area_level(F.col("_extent"), F.col("_points")),
+    described = compute_once(sized, base=F.expr(grid.area_level("_extent", "_points")),
                              m2_factor=M.m2_factor(M.mean_latitude(F.col("miny"), F.col("maxy"))))
     rings = (
         described.select("aoi", *ABOUT, F.posexplode("mp").alias("polygon_no", "polygon"))
@@ -80,57 +80,46 @@ def _tile_rows(edges: DataFrame) -> DataFrame:
     An edge that passes above a tile matters to it only by where it starts and ends: a shape in the tile sees a
     lid over that stretch. Starts and ends of neighbouring edges cancel in the sum, mostly before the shuffle.
     """
-    e, s, level = F.col("e"), F.col("s"), F.col("level")
-    top = level == grid.TOP
+    top = f"level = {grid.TOP}"
     reach = 1 + grid.OVERHANG
-    slack = 1e-9  # in tiles; only ever adds an edge to a tile it nearly touches
-    zero = F.lit(0).cast("bigint")
+    slack = "1e-9D"  # in tiles; only ever adds an edge to a tile it nearly touches
 
     def first_tile(v):
-        return F.ceil(v / s - reach - slack)
+        return f"ceil({v} / s - {reach}D - {slack})"
 
     def last_tile(v):
-        return F.floor(v / s + slack)
-
-    levels = F.concat(F.filter(F.sequence("base", F.col("base") + grid.COARSER), lambda j: j < grid.TOP),
-                      F.array(F.lit(grid.TOP)))
-    columns = (
-        edges.withColumn("level", F.explode(levels))
-        .withColumn("s", grid.tile_size(level))
-        .withColumn("ix", F.explode(F.when(top, F.array(zero)).otherwise(
-            F.sequence(first_tile(e.x1), last_tile(e.x2)))))
-        .withColumn("wx0", F.col("ix") * s).withColumn("wx1", (F.col("ix") + reach) * s)
-    )
-    columns = compute_once(columns, xa=F.greatest(F.col("wx0"), F.least(e.x1, F.col("wx1"))),
-                           xb=F.greatest(F.col("wx0"), F.least(e.x2, F.col("wx1"))))
+        return f"floor({v} / s + {slack})"
 
     def y_at(x):
-        return e.y1 + (F.greatest(e.x1, F.least(x, e.x2)) - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1)
-
-    vertical = e.x1 == e.x2
-    spans = compute_once(columns, ya=F.when(vertical, e.y1).otherwise(y_at(F.col("xa"))),
-                         yb=F.when(vertical, e.y2).otherwise(y_at(F.col("xb"))))
-    spans = compute_once(spans,
-                         row_lo=F.when(top, zero).otherwise(first_tile(F.least("ya", "yb"))),
-                         row_hi=F.when(top, zero).otherwise(last_tile(F.greatest("ya", "yb"))),
-                         lowest=F.when(top, zero).otherwise(first_tile(F.col("miny"))))
-
-    def row(iy, real, x1, y1, x2, y2, w):
-        return F.struct(iy.alias("iy"), F.lit(real).alias("real"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"),
-                        y2.alias("y2"), w.alias("w"))
-
-    def lid(iy, x, w):
-        height = (iy + reach) * s
-        return row(iy, False, x, height, F.col("wx1"), height, w)
-
-    touching = F.transform(F.sequence("row_lo", "row_hi"), lambda iy: row(iy, True, e.x1, e.y1, e.x2, e.y2, e.w))
-    lids = F.flatten(F.transform(F.sequence(F.col("lowest"), F.col("row_lo") - 1), lambda iy: F.filter(
-        F.array(lid(iy, F.col("xa"), e.w), lid(iy, F.col("xb"), -e.w)), lambda r: r.x1 < F.col("wx1"))))
-    has_lids = (e.w != 0) & (F.col("row_lo") > F.col("lowest"))
-    rows = spans.select("aoi", *ABOUT, "level", "ix", F.inline(
-        F.when(has_lids, F.concat(touching, lids)).otherwise(touching)))
+        return f"(e.y1 + (greatest(e.x1, least({x}, e.x2)) - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1))"
+
+    leveled = edges.selectExpr("*", f"""explode(concat(filter(sequence(base, base + {grid.COARSER}),
+        j -> j < {grid.TOP}), array({grid.TOP}))) AS level""").selectExpr("*", f"{grid.tile_size('level')} AS s")
+    columns = leveled.selectExpr("*", f"""explode(if({top}, array(0L),
+        sequence({first_tile('e.x1')}, {last_tile('e.x2')}))) AS ix""")
+    columns = columns.selectExpr("*", "ix * s AS wx0", f"(ix + {reach}D) * s AS wx1")
+    columns = compute_once(columns, xa=F.expr("greatest(wx0, least(e.x1, wx1))"),
+                           xb=F.expr("greatest(wx0, least(e.x2, wx1))"))
+    spans = compute_once(columns, ya=F.expr(f"if(e.x1 = e.x2, e.y1, {y_at('xa')})"),
+                         yb=F.expr(f"if(e.x1 = e.x2, e.y2, {y_at('xb')})"))
+    spans = compute_once(spans, row_lo=F.expr(f"if({top}, 0L, {first_tile('least(ya, yb)')})"),
+                         row_hi=F.expr(f"if({top}, 0L, {last_tile('greatest(ya, yb)')})"),
+                         lowest=F.expr(f"if({top}, 0L, {first_tile('miny')})"))
+
+    def row(real, x1, y1, x2, y2, w):
+        return f"""named_struct('iy', iy, 'real', {real}, 'x1', {x1}, 'y1', {y1}, 'x2', {x2}, 'y2', {y2}, 'w', {w})"""
+
+    def lid(x, w):
+        return row("false", x, f"(iy + {reach}D) * s", "wx1", f"(iy + {reach}D) * s", w)
+
+    touching = f"""transform(sequence(row_lo, row_hi),
+        iy -> {row("true", "e.x1", "e.y1", "e.x2", "e.y2", "e.w")})"""
+    lids = f"""flatten(transform(sequence(lowest, row_lo - 1),
+        iy -> filter(array({lid("xa", "e.w")}, {lid("xb", "-e.w")}), r -> r.x1 < wx1)))"""
+    rows = spans.selectExpr("aoi", *ABOUT, "level", "ix", f"""inline(
+        CASE WHEN e.w != 0 AND row_lo > lowest THEN concat({touching}, {lids}) ELSE {touching} END)""")
     return (rows.groupBy("aoi", *ABOUT, "level", "ix", "iy", "real", "x1", "y1", "x2", "y2")
-            .agg(F.sum("w").alias("w")).where(F.col("real") | (F.col("w") != 0)))
+            .agg(F.sum("w").alias("w")).where("real OR w != 0"))
 
 
 def tile_aois(aois: DataFrame, slug: str = "slug") -> AoiTiles:
@@ -144,7 +133,7 @@ def tile_aois(aois: DataFrame, slug: str = "slug") -> AoiTiles:
     inside = F.aggregate("lids", F.lit(0.0), lambda acc, s: acc + s.w) != 0
     tiles = grouped.where(border | inside).select(
         "aoi", "base", "level", "ix", "iy",
-        grid.tile_key(F.col("level"), F.col("ix"), F.col("iy")).alias("tile"), "m2_factor",
+        F.expr(grid.tile_key("level", "ix", "iy")).alias("tile"), "m2_factor",
         *[F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")],
         F.when(border, F.col("segs")).alias("segs"),
         F.when(border, F.col("lids")).alias("lids"),
@@ -186,11 +175,10 @@ def bbox_prefilter(footprints: DataFrame, tiles: AoiTiles) -> DataFrame:
 
 def _with_tile(footprints: DataFrame, bases: tuple[int, ...]) -> DataFrame:
     """Add the footprint's tile per level in use (one row when all areas share a level)."""
-    own = grid.footprint_level(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    leveled = compute_once(footprints, _own=own)
-    wanted = F.array(*[grid.match_level(F.col("_own"), F.lit(b)) for b in bases])
-    return (leveled.withColumn("_level", F.explode(wanted if len(bases) == 1 else F.array_distinct(wanted)))
-            .withColumn("_tile", grid.key_of_corner(F.col("_level"), F.col("minx"), F.col("miny"))))
+    leveled = compute_once(footprints, _own=F.expr(grid.footprint_level("greatest(maxx - minx, maxy - miny)")))
+    wanted = f"array({', '.join(grid.match_level('_own', str(b)) for b in bases)})"
+    return (leveled.withColumn("_level", F.explode(F.expr(wanted if len(bases) == 1 else f"array_distinct({wanted})")))
+            .withColumn("_tile", F.expr(grid.key_of_corner("_level", "minx", "miny"))))
 
 
 def _candidates(footprints: DataFrame, tiles: AoiTiles, broadcast_bytes: int) -> DataFrame:
@@ -206,9 +194,8 @@ def _candidates(footprints: DataFrame, tiles: AoiTiles, broadcast_bytes: int) ->
         on.append("_salt")
     # an area further off than the tile is wide is dropped here, before any edge work
     return (placed.join(areas, on)
-            .where((F.col("_level") == grid.match_level(F.col("_own"), F.col("_base")))
-                   & (F.col("maxx") >= F.col("a_minx")) & (F.col("minx") <= F.col("a_maxx"))
-                   & (F.col("maxy") >= F.col("a_miny")) & (F.col("miny") <= F.col("a_maxy")))
+            .where(f"""_level = {grid.match_level("_own", "_base")} AND maxx >= a_minx AND minx <= a_maxx
+                       AND maxy >= a_miny AND miny <= a_maxy""")
             .drop("_tile", "_salt", "_own", "_level", "_base", "a_minx", "a_miny", "a_maxx", "a_maxy"))
 
 

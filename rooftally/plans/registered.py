@@ -215,7 +215,7 @@ def clip_area(spark, sf):
 
 
 def clip_by_shape(spark, sf):
-    shapes = W._aoi_frame(spark, sf).select(F.col("slug").alias("aoi"), W.shape_of(F.col("key")).alias("shape"))
+    shapes = W._aoi_frame(spark, sf).select(F.col("slug").alias("aoi"), W.shape_of("key").alias("shape"))
     per_aoi = world_clip(spark, sf).groupBy("aoi").agg(F.count("*").alias("n"), F.sum("area_deg2").alias("a"))
     return _rounded(per_aoi.join(shapes, "aoi").groupBy("shape").agg(
         F.sum("n").alias("n"), (F.sum("a") * M.M2_PER_DEG2).alias("area_m2")))

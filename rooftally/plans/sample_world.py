@@ -23,43 +23,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _town_x(town: Column) -> Column:
-    return F.lit(-45.4) + F.pmod(town, F.lit(400)) * F.lit(0.25)
+def _town_x(town: str) -> str:
+    return f"(-45.4D + pmod({town}, 400L) * 0.25D)"
 
 
-def _town_y(town: Column) -> Column:
-    return F.lit(-21.95) + F.pmod(F.floor(town / 400), F.lit(300)) * F.lit(0.2)
+def _town_y(town: str) -> str:
+    return f"(-21.95D + pmod(floor({town} / 400), 300L) * 0.2D)"
+
+
+def _box(x0: str, y0: str, x1: str, y1: str) -> str:
+    return f"array(array({x0}, {y0}), array({x1}, {y0}), array({x1}, {y1}), array({x0}, {y1}), array({x0}, {y0}))"
+
+
+def _corner(x0: str, y0: str, xm: str, ym: str, x1: str, y1: str) -> str:
+    """Box without its upper right quarter."""
+    return f"""array(array({x0}, {y0}), array({x1}, {y0}), array({x1}, {ym}), array({xm}, {ym}), array({xm}, {y1}),
+        array({x0}, {y1}), array({x0}, {y0}))"""
 
 
 # --- footprints ----------------------------------------------------------------------------------------------
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, geometry, bf_source, confidence, area_in_meters, customer key."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("custkey"), "o_totalprice",
-        F.when(F.col("o_orderstatus") == "P", "microsoft").otherwise("google").alias("bf_source"))
-    town = F.floor(F.col("id") / LOTS_PER_TOWN)
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", "o_custkey AS custkey", "o_totalprice",
+        "if(o_orderstatus = 'P', 'microsoft', 'google') AS bf_source")
+    town = f"floor(id / {LOTS_PER_TOWN})"
     lot = compute_once(
-        spread_small_scan(orders), side=F.sqrt("o_totalprice") / 20.0 / 111000.0,
-        x0=_town_x(town) + F.pmod("id", F.lit(100)) * F.lit(0.002),
-        y0=_town_y(town) + F.pmod(F.floor(F.col("id") / 100), F.lit(75)) * F.lit(0.002))
-    x0, y0, side, key = F.col("x0"), F.col("y0"), F.col("side"), F.col("id")
-    x1, y1 = x0 + side, y0 + side
-
-    def at(origin, part):
-        return origin + side * F.lit(part)
-
-    square = F.array(F.array(G.box(x0, y0, x1, y1)))
-    corner = F.array(F.array(F.array(
-        F.array(x0, y0), F.array(x1, y0), F.array(x1, at(y0, 0.5)), F.array(at(x0, 0.5), at(y0, 0.5)),
-        F.array(at(x0, 0.5), y1), F.array(x0, y1), F.array(x0, y0))))
-    courtyard = F.array(F.array(G.box(x0, y0, x1, y1),
-                                G.box(at(x0, 0.25), at(y0, 0.25), at(x0, 0.75), at(y0, 0.75))))
-    twin = F.array(F.array(G.box(x0, y0, at(x0, 0.375), y1)), F.array(G.box(at(x0, 0.625), y0, x1, y1)))
-    shape = (F.when(key % 4 == 3, corner).when(key % 16 == 1, courtyard).when(key % 16 == 9, twin)
-             .otherwise(square))
-    return compute_once(lot, geometry=shape).select("id", "geometry", "bf_source",
-                      (F.lit(0.65) + F.pmod("id", F.lit(36)) * F.lit(0.01)).alias("confidence"),
-                      (side * side * F.lit(111000.0 * 111000.0)).alias("area_in_meters"), "custkey")
+        spread_small_scan(orders), side=F.expr("sqrt(o_totalprice) / 20D / 111000D"),
+        x0=F.expr(f"{_town_x(town)} + pmod(id, 100L) * 0.002D"),
+        y0=F.expr(f"{_town_y(town)} + pmod(floor(id / 100), 75L) * 0.002D"))
+
+    def x(part):
+        return f"(x0 + side * {part}D)"
+
+    def y(part):
+        return f"(y0 + side * {part}D)"
+
+    x1, y1 = "(x0 + side)", "(y0 + side)"
+    shape = F.expr(f"""CASE
+        WHEN id % 4 = 3 THEN array(array({_corner('x0', 'y0', x(0.5), y(0.5), x1, y1)}))
+        WHEN id % 16 = 1 THEN array(array({_box('x0', 'y0', x1, y1)}, {_box(x(0.25), y(0.25), x(0.75), y(0.75))}))
+        WHEN id % 16 = 9 THEN array(array({_box('x0', 'y0', x(0.375), y1)}), array({_box(x(0.625), 'y0', x1, y1)}))
+        ELSE array(array({_box('x0', 'y0', x1, y1)})) END""")
+    return compute_once(lot, geometry=shape).selectExpr(
+        "id", "geometry", "bf_source", "0.65D + pmod(id, 36L) * 0.01D AS confidence",
+        "side * side * 12321000000D AS area_in_meters", "custkey")
 
 
 def with_country(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,72 +87,60 @@ def iso2(column: Column) -> Column:
 
 # --- areas of interest -----------------------------------------------------------------------------------------
 def _aoi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    town, seat = F.floor(key / AOIS_PER_TOWN), F.pmod(key, F.lit(AOIS_PER_TOWN))
-    whole_town = seat == 0
-    x0 = F.when(whole_town, _town_x(town) - F.lit(0.00013)).otherwise(
-        _town_x(town) + F.pmod(seat, F.lit(10)) * F.lit(0.019) + F.lit(0.00013))
-    y0 = F.when(whole_town, _town_y(town) - F.lit(0.00017)).otherwise(
-        _town_y(town) + F.floor(seat / 10) * F.lit(0.027) + F.lit(0.00017))
+    town, seat = f"floor(s_suppkey / {AOIS_PER_TOWN})", f"pmod(s_suppkey, {AOIS_PER_TOWN}L)"
     named = table(spark, sf_dir, "supplier").join(
         table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
         F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    # seat 0 is the whole town
     return compute_once(
-        named, key=key, slug=F.concat(F.lit("aoi_"), F.lpad(key.cast("string"), 9, "0")), x0=x0, y0=y0,
-        w=F.when(whole_town, F.lit(0.2003)).otherwise(F.lit(0.011) + F.pmod(key, F.lit(7)) * F.lit(0.004)),
-        h=F.when(whole_town, F.lit(0.1503)).otherwise(F.lit(0.009) + F.pmod(key, F.lit(5)) * F.lit(0.005)))
+        named, key=F.col("s_suppkey"), slug=F.expr("concat('aoi_', lpad(string(s_suppkey), 9, '0'))"),
+        x0=F.expr(f"""if({seat} = 0, {_town_x(town)} - 0.00013D,
+            {_town_x(town)} + pmod({seat}, 10L) * 0.019D + 0.00013D)"""),
+        y0=F.expr(f"""if({seat} = 0, {_town_y(town)} - 0.00017D,
+            {_town_y(town)} + floor({seat} / 10) * 0.027D + 0.00017D)"""),
+        w=F.expr(f"if({seat} = 0, 0.2003D, 0.011D + pmod(s_suppkey, 7L) * 0.004D)"),
+        h=F.expr(f"if({seat} = 0, 0.1503D, 0.009D + pmod(s_suppkey, 5L) * 0.005D)"))
 
 
-def shape_of(key: Column) -> Column:
-    return (F.when(key % 4 == 0, "box").when(key % 4 == 1, "corner").when(key % 4 == 2, "holed")
-            .otherwise("parts"))
+def shape_of(key: str) -> Column:
+    return F.expr(f"""CASE {key} % 4 WHEN 0 THEN 'box' WHEN 1 THEN 'corner' WHEN 2 THEN 'holed' ELSE 'parts' END""")
 
 
 def aoi_documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
     """GeoJSON text per supplier: box, L-shape, box with a hole, or two parts. With ``broken``, some break a rule."""
-    df = _aoi_frame(spark, sf_dir)
-    x0, y0, w, h, key = (F.col(c) for c in ("x0", "y0", "w", "h", "key"))
-    x1, y1 = x0 + w, y0 + h
-
     def x(part):
-        return x0 + w * F.lit(part)
+        return f"(x0 + w * {part}D)"
 
     def y(part):
-        return y0 + h * F.lit(part)
-
-    box = F.array(G.box(x0, y0, x1, y1))
-    corner = F.array(F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y(0.5)), F.array(x(0.5), y(0.5)),
-                             F.array(x(0.5), y1), F.array(x0, y1), F.array(x0, y0)))
-    holed = F.array(G.box(x0, y0, x1, y1), G.box(x(0.25), y(0.25), x(0.75), y(0.75)))
-    left, right = F.array(G.box(x0, y0, x(0.375), y1)), F.array(G.box(x(0.625), y0, x1, y1))
-    kind = key % 4
-    coordinates = F.when(kind == 3, F.to_json(F.array(left, right))).otherwise(
-        F.to_json(F.when(kind == 1, corner).when(kind == 2, holed).otherwise(box)))
-    geometry_type = F.when(kind == 3, "MultiPolygon").otherwise("Polygon")
-    document_type = F.lit("FeatureCollection")
-    n_features = F.lit(1)
+        return f"(y0 + h * {part}D)"
+
+    x1, y1 = "(x0 + w)", "(y0 + h)"
+    coordinates = f"""CASE key % 4
+        WHEN 1 THEN to_json(array({_corner('x0', 'y0', x(0.5), y(0.5), x1, y1)}))
+        WHEN 2 THEN to_json(array({_box('x0', 'y0', x1, y1)}, {_box(x(0.25), y(0.25), x(0.75), y(0.75))}))
+        WHEN 3 THEN to_json(array(array({_box('x0', 'y0', x(0.375), y1)}), array({_box(x(0.625), 'y0', x1, y1)})))
+        ELSE to_json(array({_box('x0', 'y0', x1, y1)})) END"""
+    geometry_type, document_type, n_features = "if(key % 4 = 3, 'MultiPolygon', 'Polygon')", "'FeatureCollection'", "1"
     if broken:
-        fault = key % 20
-        far = F.array(G.box(x0 + 300.0, y0, x1 + 300.0, y1))
-        high = F.array(G.box(x0, y0 + 200.0, x1, y1 + 200.0))
-        coordinates = (F.when(fault == 10, F.to_json(F.array(x0, y0))).when(fault == 11, "[]")
-                       .when(fault == 12, F.to_json(far)).when(fault == 13, F.to_json(high)).otherwise(coordinates))
-        geometry_type = (F.when(fault == 10, "Point").when(fault.isin(11, 12, 13), "Polygon")
-                         .otherwise(geometry_type))
-        document_type = F.when(fault == 8, "Feature").otherwise(document_type)
-        n_features = F.when(fault == 9, 2).when(fault == 14, 0).otherwise(n_features)
-    properties = F.to_json(F.struct(
-        F.col("s_name").alias("nome"), F.when(key % 5 != 4, F.col("n_name")).alias("uf"),
-        (F.lit(3100000) + key).cast("string").alias("ibge_code"),
-        F.when(key % 3 != 0, (w * h * F.lit(12321.0))).alias("area_km2_oficial"),
-        shape_of(key).alias("tipologia"), (key * 7 + 100).alias("populacao_2022")))
-    feature = F.format_string('{"type":"Feature","properties":%s,"geometry":{"type":"%s","coordinates":%s}}',
-                              properties, geometry_type, coordinates)
-    document = F.format_string('{"type":"%s","name":"%s","features":[%s]}', document_type, F.col("slug"),
-                               F.concat_ws(",", F.array_repeat(feature, n_features)))
+        coordinates = f"""CASE key % 20 WHEN 10 THEN to_json(array(x0, y0)) WHEN 11 THEN '[]'
+            WHEN 12 THEN to_json(array({_box('(x0 + 300D)', 'y0', f'({x1} + 300D)', y1)}))
+            WHEN 13 THEN to_json(array({_box('x0', '(y0 + 200D)', x1, f'({y1} + 200D)')}))
+            ELSE {coordinates} END"""
+        geometry_type = f"""CASE WHEN key % 20 = 10 THEN 'Point' WHEN key % 20 IN (11, 12, 13) THEN 'Polygon'
+            ELSE {geometry_type} END"""
+        document_type = f"if(key % 20 = 8, 'Feature', {document_type})"
+        n_features = f"CASE key % 20 WHEN 9 THEN 2 WHEN 14 THEN 0 ELSE 1 END"
+    properties = f"""to_json(named_struct('nome', s_name, 'uf', if(key % 5 != 4, n_name, NULL),
+        'ibge_code', string(3100000 + key), 'area_km2_oficial', if(key % 3 != 0, w * h * 12321D, NULL),
+        'tipologia', CASE key % 4 WHEN 0 THEN 'box' WHEN 1 THEN 'corner' WHEN 2 THEN 'holed' ELSE 'parts' END,
+        'populacao_2022', key * 7 + 100))"""
+    feature = f"""format_string('{{"type":"Feature","properties":%s,"geometry":{{"type":"%s","coordinates":%s}}}}',
+        {properties}, {geometry_type}, {coordinates})"""
+    document = f"""format_string('{{"type":"%s","name":"%s","features":[%s]}}', {document_type}, slug,
+        concat_ws(',', array_repeat({feature}, {n_features})))"""
     if broken:
-        document = F.when(key % 20 == 7, F.concat(F.lit("nao eh json "), F.col("slug"))).otherwise(document)
-    return compute_once(df, document=document).select("slug", "document")
+        document = f"if(key % 20 = 7, concat('nao eh json ', slug), {document})"
+    return compute_once(_aoi_frame(spark, sf_dir), document=F.expr(document)).select("slug", "document")
 
 
 # --- edge contact --------------------------------------------------------------------------------------------------

@@ -82,7 +82,7 @@ def write_geoparquet(df: DataFrame, path: str, geometry: str = "mp", partition_b
     measured = prepare_footprints(df, geometry)
     if dict(measured.dtypes)[geometry] != "binary":
         measured = measured.withColumn(geometry, multipolygon_to_wkb(F.col(geometry)))
-    ordered = measured.withColumn("_z", z_order(F.col("minx"), F.col("miny")))
+    ordered = measured.withColumn("_z", F.expr(z_order("minx", "miny")))
     keys = [*partition_by, "_z", "minx", "miny"]
     ranged = ordered.repartitionByRange(files, *keys) if files else ordered.repartitionByRange(*keys)
     (ranged.sortWithinPartitions(*keys).drop("_z").withColumnRenamed(geometry, "geometry")
