@@ -71,7 +71,8 @@ def compact_table(spark: SparkSession, database: str, table: str, new_path: str,
         return {"rows": before, "files": n_files}
     parts = [c.name for c in spark.catalog.listColumns(f"{database}.{table}") if c.isPartition]
     keys = [*parts, *cluster_by]
-    spread = df.repartitionByRange(n_files, *keys) if keys else df.repartition(n_files)
+    # by key, adaptive execution sizes the files and splits a key that holds most rows
+    spread = df.hint("rebalance", *keys) if keys else df.repartition(n_files)
     spread.write.mode("errorifexists").partitionBy(*parts).parquet(new_path)
     after = spark.read.parquet(new_path).count()
     if after != before:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rooftally.functions import geometry as G
 from rooftally.functions import measures as M
-from rooftally.functions.plan import compute_once
+from rooftally.functions.plan import compute_once, row_hash
 from rooftally.operators import grid
 from rooftally.sources.footprints import as_multipolygon, prepare_footprints
 from rooftally.workspace import write_and_read
@@ -211,8 +211,8 @@ def _salt(placed: DataFrame, areas: DataFrame, columns: list[str]) -> tuple[Data
     hot = F.broadcast(per_tile.where(F.col("n") > threshold)
                       .select("_tile", F.ceil(F.col("n") / threshold).cast("int").alias("_splits")))
     splits = F.coalesce("_splits", F.lit(1))
-    salted = (placed.join(hot, "_tile", "left")
-              .withColumn("_salt", F.pmod(F.xxhash64(*columns), splits).cast("int")).drop("_splits"))
+    salted = (placed.withColumn("_row", row_hash(placed.select(*columns))).join(hot, "_tile", "left")
+              .withColumn("_salt", F.pmod("_row", splits).cast("int")).drop("_splits", "_row"))
     repeated = (areas.join(hot, "_tile", "left")
                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_splits"))
     return salted, repeated

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rooftally.functions.geometry import MULTIPOLYGON
+from rooftally.functions.plan import compute_once, row_hash
 from rooftally.functions.wkb import multipolygon_to_wkb
 from rooftally.operators.grid import z_order
 from rooftally.sources.footprints import as_multipolygon, prepare_footprints
@@ -15,6 +16,14 @@ from rooftally.sources.footprints import as_multipolygon, prepare_footprints
 _POLYGON = "array<array<array<double>>>"
 
 
+def gathered(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Bring the rows of a partition value together before writing, so that it gets few files, not one per task.
+
+    Adaptive execution cuts a value that holds most rows into several tasks and merges small ones.
+    """
+    return df.hint("rebalance", *keys) if keys else df
+
+
 def geojson_geometry(mp: Column) -> Column:
     """GeoJSON text of a MultiPolygon; one part is written as Polygon."""
     single = F.size(mp) == 1
@@ -50,7 +59,7 @@ def _as_collections(features: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def write_geojson(df: DataFrame, path: str, geometry: str = "mp", columns: list[str] | None = None,
                   partition_by: tuple[str, ...] = (), collections: bool = False, mode: str = "overwrite") -> str:
     """Write features, one per line (or one FeatureCollection per line and batch), split by ``partition_by``."""
-    features = geojson_features(df, geometry, columns, partition_by)
+    features = gathered(geojson_features(df, geometry, columns, partition_by), partition_by)
     if collections:
         features = _as_collections(features, partition_by)
     features.write.mode(mode).partitionBy(*partition_by).text(path)
@@ -77,22 +86,23 @@ def write_geoparquet(df: DataFrame, path: str, geometry: str = "mp", partition_b
                      files: int | None = None, mode: str = "overwrite") -> str:
     """WKB with bounding box and area, in map order: neighbours share files and row groups.
 
-    Range partitioning splits a partition value that holds most rows over many files.
+    Range partitioning splits a partition value, or a spot, that holds most rows over many files; only exact
+    copies stay together (their task sorts with spilling).
     """
     measured = prepare_footprints(df, geometry)
     if dict(measured.dtypes)[geometry] != "binary":
         measured = measured.withColumn(geometry, multipolygon_to_wkb(F.col(geometry)))
-    ordered = measured.withColumn("_z", F.expr(z_order("minx", "miny")))
-    keys = [*partition_by, "_z", "minx", "miny"]
+    ordered = compute_once(measured, _z=F.expr(z_order("minx", "miny")), _tie=row_hash(measured))
+    keys = [*partition_by, "_z", "_tie"]
     ranged = ordered.repartitionByRange(files, *keys) if files else ordered.repartitionByRange(*keys)
-    (ranged.sortWithinPartitions(*keys).drop("_z").withColumnRenamed(geometry, "geometry")
+    (ranged.sortWithinPartitions(*keys).drop("_z", "_tie").withColumnRenamed(geometry, "geometry")
      .write.mode(mode).partitionBy(*partition_by).parquet(path))
     return path
 
 
 def write_clip(clip: DataFrame, path: str) -> str:
     """Keep a clip, by area; writing again replaces only the areas at hand."""
-    (clip.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("aoi").parquet(path))
+    (gathered(clip, ("aoi",)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("aoi").parquet(path))
     return path
 
 
