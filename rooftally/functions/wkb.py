@@ -1,4 +1,4 @@
-"""WKB columns to and from MultiPolygon arrays, in whole Arrow batches.
+"""WKB columns to and from MultiPolygon arrays, and the measures of both, in whole Arrow batches.
 
 The bytes of all geometries in a batch are walked together: one step reads the next ring header of every
 geometry that still has one, then all vertices of the batch are gathered at once.
@@ -136,7 +136,27 @@ def wkb_to_multipolygon(column: pa.Array) -> pa.Array:
 def wkb_stats(column: pa.Array) -> pa.Array:
     """Bounding box and planar area straight from the bytes, without building vertex lists."""
     _, geom, _, ring, count, x, y = _rings(column)
-    n = len(column)
+    return _measure(len(column), geom, ring, count, x, y)
+
+
+@F.arrow_udf(STATS)
+def multipolygon_stats(column: pa.Array) -> pa.Array:
+    """The same from nested arrays."""
+    polygons = column.flatten()
+    rings = polygons.flatten()
+    points = rings.flatten()
+    start = points.offsets.to_numpy()[:-1]  # a point may have more than two numbers
+    numbers = points.values.to_numpy(zero_copy_only=False)
+
+    def sizes(lists):
+        return np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+    parts, per_polygon, count = sizes(column), sizes(polygons), sizes(rings)
+    geom = np.repeat(np.repeat(np.arange(len(column)), parts), per_polygon)
+    return _measure(len(column), geom, _ranges(per_polygon), count, numbers[start], numbers[start + 1])
+
+
+def _measure(n, geom, ring, count, x, y) -> pa.Array:
     box = [np.full(n, v) for v in (np.inf, np.inf, -np.inf, -np.inf)]
     area = np.zeros(n)
     keep = count > 0

@@ -88,7 +88,7 @@ def iso2(column: Column) -> Column:
 # --- areas of interest -----------------------------------------------------------------------------------------
 def _aoi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     town, seat = f"floor(s_suppkey / {AOIS_PER_TOWN})", f"pmod(s_suppkey, {AOIS_PER_TOWN}L)"
-    named = table(spark, sf_dir, "supplier").join(
+    named = spread_small_scan(table(spark, sf_dir, "supplier")).join(
         table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
         F.col("s_nationkey") == F.col("n_nationkey"), "left")
     # seat 0 is the whole town

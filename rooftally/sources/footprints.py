@@ -6,9 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rooftally.functions import geometry as G
-from rooftally.functions.plan import compute_once
-from rooftally.functions.wkb import wkb_stats, wkb_to_multipolygon
+from rooftally.functions.wkb import multipolygon_stats, wkb_stats, wkb_to_multipolygon
 
 # The dataset's folder names, and country codes by convention of the two datasets.
 LAYOUTS = ("by_country", "by_country_s2")
@@ -50,17 +48,15 @@ def read_materialised(spark: SparkSession, table: str) -> DataFrame:
 def prepare_footprints(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Add bounding box and planar area where the table does not have them yet.
 
-    WKB geometries are measured in Arrow batches; MultiPolygon arrays by built-in expressions.
+    Both forms of geometry are measured in whole Arrow batches; on nested arrays that takes a quarter of the time
+    of higher-order functions, which are interpreted.
     """
     if set(PREPARED) <= set(df.columns):
         return df
-    if dict(df.dtypes)[geometry] == "binary":
-        measured = df.withColumn("_stats", wkb_stats(F.col(geometry)))
-        return measured.select(*df.columns, *[F.col("_stats")[c].alias(c) for c in PREPARED])
-    listed = compute_once(df, _x=F.expr(f"transform({G.points(geometry)}, p -> p[0])"),
-                          _y=F.expr(f"transform({G.points(geometry)}, p -> p[1])"))
-    return compute_once(listed, minx=F.array_min("_x"), miny=F.array_min("_y"), maxx=F.array_max("_x"),
-                        maxy=F.array_max("_y"), area_deg2=F.expr(G.polygon_area(geometry))).drop("_x", "_y")
+    stats = wkb_stats if dict(df.dtypes)[geometry] == "binary" else multipolygon_stats
+    kept = [c for c in df.columns if c not in PREPARED]
+    measured = df.withColumn("_stats", stats(F.col(geometry)))
+    return measured.select(*kept, *[F.col("_stats")[c].alias(c) for c in PREPARED])
 
 
 def as_multipolygon(df: DataFrame, geometry: str = "geometry"):
