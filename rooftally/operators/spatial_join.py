@@ -237,26 +237,28 @@ def clip(
     # the measured columns of the clip go before those of the same name
     keep = tuple(c for c in dict.fromkeys(keep) if c not in ("aoi", "area_deg2", "m2_factor", "cut", "mp"))
     box = ("minx", "miny", "maxx", "maxy")
-    columns = list(dict.fromkeys((*keep, *box, "area_deg2", geometry)))
+    columns = [c for c in dict.fromkeys((*keep, *box, "area_deg2")) if c != geometry] + [geometry]
     pairs = _candidates(prepare_footprints(footprints, geometry).select(*columns), tiles, broadcast_bytes)
 
-    # Where no boundary edge comes near the footprint's box, the box is wholly inside or wholly outside.
-    border, crossed = F.col("_segs").isNotNull(), F.col("_crossed")
-    pairs = compute_once(pairs, _crossed=border & F.expr(G.any_edge_in_box("_segs", "minx", "miny", "maxx", "maxy")))
-    within = F.expr(f"""{G.winding("_segs", "minx", "miny")} + {G.winding("_lids", "minx", "miny")} != 0""")
-    pairs = pairs.where(~border | crossed | within)
-
-    # The others are compared with the boundary edge by edge.
-    if dict(footprints.dtypes)[geometry] == "binary" and not with_geometry:
-        pairs = pairs.withColumn(geometry, F.when(crossed, F.col(geometry)))  # decode no more than needed
-    pairs = pairs.withColumn("_mp", as_multipolygon(pairs, geometry))
-    near = G.edges_near("_segs", "minx", "miny", "maxx")
-    pairs = compute_once(pairs, _edges=F.when(crossed, F.expr(G.edges("_mp"))), _near=F.when(crossed, F.expr(near)),
-                         _sides=F.when(crossed, F.expr(G.with_weight(f"concat({near}, _lids)"))))
+    # Where no boundary edge comes near the footprint's box, the box is wholly inside or wholly outside. Only rows
+    # that still need work take their shapes along.
+    state = f"""CASE WHEN _segs IS NULL THEN 'inside'
+        WHEN {G.any_edge_in_box("_segs", "minx", "miny", "maxx", "maxy")} THEN 'crossed'
+        WHEN {G.winding("_segs", "minx", "miny")} + {G.winding("_lids", "minx", "miny")} != 0 THEN 'inside' END"""
+    shape = geometry if with_geometry else f"if(st = 'crossed', {geometry}, NULL)"
+    pairs = pairs.select("aoi", *columns[:-1], "m2_factor", F.expr(f"""inline(transform(
+        filter(array({state}), st -> st IS NOT NULL), st -> named_struct('_crossed', st = 'crossed',
+            '_shape', {shape}, '_s', if(st = 'crossed', _segs, NULL), '_l', if(st = 'crossed', _lids, NULL))))"""))
+
+    # The crossed ones are compared with the boundary edge by edge.
+    crossed = F.col("_crossed")
+    pairs = pairs.withColumn("_mp", as_multipolygon(pairs, "_shape")).drop("_shape")
+    near = G.with_weight(f"concat({G.edges_near('_s', 'minx', 'miny', 'maxx')}, _l)")
+    pairs = compute_once(pairs, _edges=F.when(crossed, F.expr(G.edges("_mp"))), _sides=F.when(crossed, F.expr(near)))
     pairs = compute_once(pairs, _overlap=F.when(crossed, F.expr(G.overlap_area("_edges", "_sides", "miny"))))
 
     has_area = F.col("_overlap") > F.col("area_deg2") * G.AREA_NOISE
-    touches = F.expr(f"""{G.edges_meet("_edges", "_near")}
+    touches = F.expr(f"""{G.edges_meet("_edges", "_s")}
         OR {G.winding("_sides", "_edges[0].x1", "_edges[0].y1")} != 0""")
     matches = ~crossed | has_area | touches
     clipped = F.least("area_deg2", F.when(has_area, F.col("_overlap")).otherwise(0.0))
