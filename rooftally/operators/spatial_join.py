@@ -246,6 +246,8 @@ def clip(
         WHEN {G.any_edge_in_box("_segs", "minx", "miny", "maxx", "maxy")} THEN 'crossed'
         WHEN {G.winding("_segs", "minx", "miny")} + {G.winding("_lids", "minx", "miny")} != 0 THEN 'inside' END"""
     shape = geometry if with_geometry else f"if(st = 'crossed', {geometry}, NULL)"
+    if not with_geometry:
+        pairs = pairs.withColumn(geometry, F.when(F.col("_segs").isNotNull(), F.col(geometry)))
     pairs = pairs.select("aoi", *columns[:-1], "m2_factor", F.expr(f"""inline(transform(
         filter(array({state}), st -> st IS NOT NULL), st -> named_struct('_crossed', st = 'crossed',
             '_shape', {shape}, '_s', if(st = 'crossed', _segs, NULL), '_l', if(st = 'crossed', _lids, NULL))))"""))
