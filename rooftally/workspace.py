@@ -22,7 +22,10 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    return _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="rooftally-"))
+    app = context.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="rooftally-")
+    return _local_roots[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
