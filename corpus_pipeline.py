@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rooftally.llm import mixing, packing
+from rooftally.llm import line_dedup, mixing, packing, simhash, toxicity
+from rooftally.llm.common import table
 from rooftally.llm.queries import tokenizer_path
 from rooftally.workspace import fresh_path, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out the documents that the classifier chain rejects."""
+    ship_package(spark)
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), toxicity.label_categories())
+    return toxicity.drop_toxic(docs, chain)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take boilerplate lines out of the texts."""
+    ship_package(spark)
+    return line_dedup.strip_boilerplate(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    ship_package(spark)
+    return simhash.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Even out the sources; every document is taken at least once."""
     ship_package(spark)
@@ -25,7 +45,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES: list[tuple[str, Stage]] = [("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("simhash", dedup_documents),
+                                   ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: The stages learn a classifier, compare fingerprints and tokenise, which SQL does not express.
 ORACLE_SQL = None

@@ -26,7 +26,7 @@ from rooftally.llm.common import chunks
 from rooftally.workspace import write_and_read
 
 NEAREST = 20
-TREES = 24
+TREES = 48
 BITS = 32
 #: The part of a block that a query looks at, at least, and its least number of candidates.
 SHARE = 0.45

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rooftally.llm import hash_forest, license_scan, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
+from rooftally.llm import hash_forest, license_scan, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from rooftally.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), toxicity.label_categories()))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -55,5 +60,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_simhash, op2_line_dedup, op3_quality_rules, op4_license_scan, op6_url_filter, op7_hash_forest, op8_suffix_dedup,
+    op1_simhash, op2_line_dedup, op3_quality_rules, op4_license_scan, op5_toxicity, op6_url_filter, op7_hash_forest, op8_suffix_dedup,
     op9_packing, op10_mixing)}
