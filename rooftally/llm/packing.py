@@ -13,7 +13,9 @@ sequences.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +30,31 @@ SEQUENCE = 1024
 MOST_SEGMENTS = 64
 GROUP_ROWS = 8192
 #: Words whose ids a worker remembers, for speed alone; the memory is emptied when it is full.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, mix long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group long, bin long, offset long"
 
 
+#: Latin letters, which are letters for the tokenizer too, and what may follow them in a word after a certain boundary.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_HEAD = re.compile(f"([{_LETTERS}]+)(?:([,.;:!?].*))?", re.DOTALL)
+
+
+def _octet_names() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: its own, or one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + k) for k, b in enumerate(others)}}
+
+
 class WordEncoder:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit bytes, with remembered words.
 
     The tokenizer's pieces never reach from a character that isn't white space to one that is. A text is therefore cut before
     each such space, and the ids of `` word`` don't depend on what stands around it. Texts with runs of white space before
-    a space are given to the tokenizer whole.
+    a space are given to the tokenizer whole. A word of Latin letters is one piece, and so are the letters of a word that goes
+    on with a punctuation mark: they go to the tokenizer's model directly.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
@@ -48,34 +63,58 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.names = _octet_names()
+        self.space = self.names[32]
         self.remembered = remembered
         self.words: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Remember words that follow a space."""
+        tokenize, space, names, words, tails = self.model.tokenize, self.space, self.names, self.words, self.tails
+        others, tailed = [], []
+        for word in missing:
+            parts = _HEAD.fullmatch(word)
+            # an empty word, or one that ends in white space, stands before a run of white space
+            if not word or word[-1].isspace():
+                words[word] = None
+            elif parts is None:
+                others.append(word)
+            else:
+                head, tail = parts.groups()
+                if (ids := words.get(head)) is None:
+                    piece = head if head.isascii() else head.encode().decode("latin-1").translate(names)
+                    ids = words[head] = array("I", [t.id for t in tokenize(space + piece)]).tobytes()
+                if tail:
+                    tailed.append((word, ids, tail))
+        words.update(zip(others, self._ids([" " + w for w in others])))
+        new = list({t for _, _, t in tailed if t not in tails})
+        tails.update(zip(new, self._ids(new)))
+        words.update((word, ids + tails[tail]) for word, ids, tail in tailed)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; empty for an empty text."""
         cut = [t.split(" ") for t in texts]
-        missing = {w for ws in cut for w in ws[1:] if w not in self.words}
+        words = self.words
+        missing = {w for ws in cut for w in ws[1:] if w not in words}
         if missing:
-            if len(self.words) + len(missing) > self.remembered:
-                self.words.clear()
+            if len(words) + len(missing) > self.remembered:
+                words.clear()
+                self.tails.clear()
                 missing = {w for ws in cut for w in ws[1:]}
-            # an empty word, or one that ends in white space, stands before a run of white space
-            loose = {w for w in missing if not w or w[-1].isspace()}
-            fixed = list(missing - loose)
-            self.words.update(zip(fixed, self._ids([" " + w for w in fixed])))
-            self.words.update(dict.fromkeys(loose))
+            self._learn(missing)
         first = self._ids([ws[0] for ws in cut])
         out: list[bytes] = []
-        for text, words, head in zip(texts, cut, first):
-            if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
+        for text, ws, head in zip(texts, cut, first):
+            if len(ws) > 1 and (not ws[0] or ws[0][-1].isspace()):
                 out.append(self._ids([text])[0])
                 continue
             try:
-                out.append(head + b"".join([self.words[w] for w in words[1:]]))
+                out.append(head + b"".join([words[w] for w in ws[1:]]))
             except TypeError:
                 out.append(self._ids([text])[0])
         return out

@@ -8,7 +8,8 @@ from rooftally.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, length long, bin string"
 TEXTS = ["", None, "a", "word " * 3000, "one  two  three\n\n four", " lead", "trail ", "a\tb \n c", "Ünïcode — ‘quotes’ 123 456!!",
-         "x  y", "  ", "\n", "end\x1c next", "<|endoftext|> said", "a b c " * 400]
+         "x  y", "  ", "\n", "end\x1c next", "<|endoftext|> said", "a b c " * 400,
+         "don't stop, won't; Élan,\nvital über... x!'s ²½ ª ab² naïve—word (see) 日本語 дом, a.b 3,4 l'été ÷× end.'ll Ǆ ǅ,ɐ."]
 
 
 def whole(texts):
