@@ -29,7 +29,7 @@ NEAREST = 20
 TREES = 48
 BITS = 32
 #: The part of a block that a query looks at, at least, and its least number of candidates.
-SHARE = 0.45
+SHARE = 0.6
 LEAST_CANDIDATES = 400
 BLOCK = 8192
 CHUNK = 512

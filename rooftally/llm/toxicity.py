@@ -25,19 +25,22 @@ SAMPLE = 12_000
 #: Features per category, their least number of documents (and part of the sample), and the least association (p = 0.001).
 FEATURES, LEAST_DOCS, LEAST_SHARE, LEAST_G2 = 256, 3, 0.0005, 10.83
 FOLDS = 5
-PENALTY = 0.3
+PENALTY = 0.03
+#: Of the documents without the label a category may reject this part out of fold; the limit lies between these bounds.
+FALSE_SHARE, LOWEST, HIGHEST = 0.002, 0.05, 0.5
 LETTERS = 4
 
 _EDGES = ",.;:!?\"'()[]{}"
 
 
 class Link(NamedTuple):
-    """One model of the chain: weights of features, of the earlier probabilities, and the constant."""
+    """One model of the chain: weights of features, of the earlier probabilities, the constant, and the limit of rejection."""
 
     category: str
     features: dict[str, float]
     earlier: list[float]
     constant: float
+    limit: float
 
 
 def features_of(text: str | None) -> set[str]:
@@ -104,18 +107,24 @@ def train_chain(docs: list[set[str]], labels: dict[str, np.ndarray], folds: np.n
 
         every = np.arange(len(docs))
         chosen, w = fitted(every)
-        k = len(chosen)
-        chain.append(Link(category, dict(zip(chosen, w[:k].tolist())), w[k:-1].tolist(), float(w[-1])))
         unseen = np.zeros(len(docs))
         for f in np.unique(folds):
             names, v = fitted(every[folds != f]) if (folds != f).any() else (chosen, w)
             out = every[folds == f]
             x = _matrix([docs[i] for i in out], names, earlier[out])
             unseen[out] = _logistic(x @ v[:-1] + v[-1])
+        k = len(chosen)
+        chain.append(Link(category, dict(zip(chosen, w[:k].tolist())), w[k:-1].tolist(), float(w[-1]), _limit(unseen[y == 0])))
         earlier = np.concatenate([earlier, unseen[:, None]], axis=1)
     return chain
 
 
+def _limit(clean: np.ndarray) -> float:
+    """The probability that at most ``FALSE_SHARE`` of the clean documents exceed."""
+    allowed = int(FALSE_SHARE * len(clean))
+    return float(np.clip(np.sort(clean)[::-1][allowed], LOWEST, HIGHEST)) if len(clean) else HIGHEST
+
+
 def _matrix(docs: list[set[str]], chosen: list[str], earlier: np.ndarray) -> np.ndarray:
     place = {f: k for k, f in enumerate(chosen)}
     x = np.zeros((len(docs), len(chosen)))
@@ -143,7 +152,7 @@ def _trainer(categories: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
         docs = [features_of(t) for t in sample["text"]]
         chain = train_chain(docs, {c: sample[c].to_numpy() for c in categories}, (sample["key"].to_numpy() % FOLDS))
         rows = [(k, f, w) for k, link in enumerate(chain) for f, w in
-                [*((" " + f, w) for f, w in link.features.items()), *((f"p{j}", w) for j, w in enumerate(link.earlier)), ("c", link.constant)]]
+                [*((" " + f, w) for f, w in link.features.items()), *((f"p{j}", w) for j, w in enumerate(link.earlier)), ("c", link.constant), ("l", link.limit)]]
         return pd.DataFrame(rows, columns=["link", "name", "weight"])
     return run
 
@@ -166,7 +175,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     for k, name in enumerate(names):
         own = [(r["name"], r["weight"]) for r in weights if r["link"] == k]
         earlier = sorted((int(n[1:]), w) for n, w in own if n[0] == "p")
-        chain.append(Link(name, {n[1:]: w for n, w in own if n[0] == " "}, [w for _, w in earlier], dict(own)["c"]))
+        chain.append(Link(name, {n[1:]: w for n, w in own if n[0] == " "}, [w for _, w in earlier], dict(own)["c"],
+                          dict(own)["l"]))
     return chain
 
 
@@ -183,8 +193,8 @@ def chain_probabilities(chain: list[Link], text: Column) -> Column:
     return scored(text)
 
 
-def toxicity(docs: DataFrame, chain: list[Link], limit: float = 0.5) -> DataFrame:
-    """A row for each document: doc_id, a probability for each category, toxic (the last one exceeds ``limit``).
+def toxicity(docs: DataFrame, chain: list[Link]) -> DataFrame:
+    """A row for each document: doc_id, a probability for each category, toxic (the last one exceeds its limit).
 
     NULL and empty texts have no features and get the constants. Repeated rows stay. An empty chain (no labels) finds nothing.
     """
@@ -192,15 +202,15 @@ def toxicity(docs: DataFrame, chain: list[Link], limit: float = 0.5) -> DataFram
         return docs.select("doc_id", F.lit(False).alias("toxic"))
     scored = docs.select("doc_id", chain_probabilities(chain, F.col("text")).alias("p"))
     return scored.select("doc_id", *[F.round(F.col("p")[c.category], 9).alias("p_" + c.category) for c in chain],
-                         (F.col("p")[chain[-1].category] > limit).alias("toxic"))
+                         (F.col("p")[chain[-1].category] > chain[-1].limit).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, chain: list[Link], limit: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, chain: list[Link]) -> DataFrame:
     """The documents that the chain's last category does not reject, with all their columns."""
     if not chain:
         return docs
     kept = docs.select(F.struct("*").alias("_row"), chain_probabilities(chain, F.col("text")).alias("_p"))
-    return kept.filter(F.col("_p")[chain[-1].category] <= limit).select("_row.*")
+    return kept.filter(F.col("_p")[chain[-1].category] <= chain[-1].limit).select("_row.*")
 
 
 def label_categories() -> dict[str, Column]:
