@@ -19,9 +19,3 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
 def row_hash(df: DataFrame) -> Column:
     """Hash of a row's content (maps cannot be hashed and are left out): the same on every attempt of a task."""
     return F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer partitions than that; large scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

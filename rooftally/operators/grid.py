@@ -29,10 +29,9 @@ def footprint_level(extent: str) -> str:
     return " + ".join(f"int({extent} > {FINEST * STEP ** j * OVERHANG}D)" for j in LEVELS)
 
 
-def area_level(extent: str, n_points: str, tiles_per_side: int = 64, detailed: int = 4096) -> str:
-    """Finest level at which the area spans at most so many tiles; finely drawn areas get 4x as many."""
-    relative = f"({extent} / if({n_points} > {detailed}, {STEP * tiles_per_side}D, {1.0 * tiles_per_side}D))"
-    return " + ".join(f"int({relative} > {FINEST * STEP ** j}D)" for j in LEVELS[:-1])
+def area_level(extent: str, tiles_per_side: int = 64) -> str:
+    """Finest level at which the area spans at most so many tiles."""
+    return " + ".join(f"int({extent} / {1.0 * tiles_per_side}D > {FINEST * STEP ** j}D)" for j in LEVELS[:-1])
 
 
 def match_level(own: str, base: str) -> str:

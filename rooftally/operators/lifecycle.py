@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Fixed value: country tables, the only ones that may be pruned.
@@ -26,25 +24,24 @@ def _location(spark: SparkSession, database: str, table: str) -> str:
 
 
 def table_stats(spark: SparkSession, database: str) -> DataFrame:
-    """Rows, files and bytes per table, by name; a table that cannot be read is listed with its error."""
-    parts = []
+    """Rows, files and bytes per table, by name; a table that cannot be read is listed with its error.
+
+    Counting reads footers only; each table is counted on its own, so that one bad file doesn't end the listing.
+    """
+    shape = "table_name string, n_rows long, n_files long, n_bytes long, error string, prunable boolean"
+    rows = []
     for name in list_tables(spark, database):
+        n_rows = n_files = n_bytes = error = None
         try:
-            counted = spark.table(f"{database}.{name}").agg(F.count("*").alias("n_rows"))
             files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
                      .option("pathGlobFilter", "*.parquet").load(_location(spark, database, name))
-                     .agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")))
-            # both sides are single rows
-            row = counted.join(files).select(F.lit(name).alias("table_name"), "n_rows", "n_files", "n_bytes",
-                                             F.lit(None).cast("string").alias("error"))
+                     .agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")).first())
+            n_files, n_bytes = files["n_files"], files["n_bytes"]
+            n_rows = spark.table(f"{database}.{name}").count()
         except Exception as e:
-            row = spark.createDataFrame([(name, None, None, None, str(e).splitlines()[0])],
-                                        "table_name string, n_rows long, n_files long, n_bytes long, error string")
-        parts.append(row.withColumn("prunable", F.lit(bool(re.match(PRUNABLE, name)))))
-    if not parts:
-        return spark.createDataFrame([], "table_name string, n_rows long, n_files long, n_bytes long, "
-                                         "error string, prunable boolean")
-    return reduce(DataFrame.unionByName, parts).orderBy("table_name")
+            error = str(e).splitlines()[0]
+        rows.append((name, n_rows, n_files, n_bytes, error, bool(re.match(PRUNABLE, name))))
+    return spark.createDataFrame(rows, shape).orderBy("table_name")
 
 
 def prune_tables(spark: SparkSession, database: str, confirm: bool = False) -> list[str]:
@@ -61,20 +58,21 @@ def compact_table(spark: SparkSession, database: str, table: str, new_path: str,
     """Rewrite a table's small files as few large ones at a new place and let the table point there.
 
     The row counts are compared before the switch; the old table stays as ``<table>_bak`` and replaces an older
-    backup. Without ``confirm`` nothing is changed and only the present figures are returned.
+    backup. Without ``confirm`` nothing is changed and only the present figures are returned. No file gets more than
+    ``rows_per_file`` rows.
     """
     name, backup = f"`{database}`.`{table}`", f"`{database}`.`{table}_bak`"
     df = spark.table(name)
     before = df.count()
-    n_files = max(1, -(-before // rows_per_file))
     if not confirm:
-        return {"rows": before, "files": n_files}
+        return {"rows": before, "files": len(df.inputFiles())}
     parts = [c.name for c in spark.catalog.listColumns(f"{database}.{table}") if c.isPartition]
     keys = [*parts, *cluster_by]
     # by key, adaptive execution sizes the files and splits a key that holds most rows
-    spread = df.hint("rebalance", *keys) if keys else df.repartition(n_files)
-    spread.write.mode("errorifexists").partitionBy(*parts).parquet(new_path)
-    after = spark.read.parquet(new_path).count()
+    spread = df.hint("rebalance", *keys) if keys else df.repartition(max(1, -(-before // rows_per_file)))
+    spread.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).partitionBy(*parts).parquet(new_path)
+    written = spark.read.parquet(new_path)
+    after = written.count()
     if after != before:
         raise RuntimeError(f"compacted copy of {table} has {after} rows instead of {before}; nothing was changed")
     spark.sql(f"DROP TABLE IF EXISTS {backup}")
@@ -82,4 +80,4 @@ def compact_table(spark: SparkSession, database: str, table: str, new_path: str,
     spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{new_path}'")
     if parts:
         spark.sql(f"MSCK REPAIR TABLE {name}")
-    return {"rows": after, "files": n_files}
+    return {"rows": after, "files": len(written.inputFiles())}

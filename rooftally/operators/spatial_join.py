@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rooftally.functions import geometry as G
 from rooftally.functions import measures as M
@@ -30,7 +30,8 @@ SAME_SYSTEM = ("EPSG:4326", "OGC:CRS84")
 ABOUT = ("base", "m2_factor", "minx", "miny", "maxx", "maxy")
 CHUNK = 1024  # ring vertices handled per row while tiling
 BROADCAST_BYTES = 128 << 20
-BOXES_IN_FILTER = 16
+STRIPS = 16  # the areas' boxes are merged to so many literal ranges
+CELL = 0.25  # degrees, for the exact test against single boxes
 HOT_TILES = 10_000  # at most so many tiles are salted: those holding more than 1/HOT_TILES of all rows
 
 
@@ -57,8 +58,7 @@ def check_crs(*labels: str) -> None:
 def _aoi_edges(aois: DataFrame) -> DataFrame:
     """One row per boundary edge, with its area's attributes; long rings are spread over the cluster."""
     extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    sized = compute_once(aois, _extent=extent, _points=F.size(F.expr(G.points("mp"))))
-    described = compute_once(sized, base=F.expr(grid.area_level("_extent", "_points")),
+    described = compute_once(aois.withColumn("_extent", extent), base=F.expr(grid.area_level("_extent")),
                              m2_factor=M.m2_factor(M.mean_latitude(F.col("miny"), F.col("maxy"))))
     rings = (
         described.select("aoi", *ABOUT, F.posexplode("mp").alias("polygon_no", "polygon"))
@@ -78,7 +78,8 @@ def _tile_rows(edges: DataFrame) -> DataFrame:
     """Per tile: the edges that touch it, and the steps of the inside/outside state along its upper rim.
 
     An edge that passes above a tile matters to it only by where it starts and ends: a shape in the tile sees a
-    lid over that stretch. Starts and ends of neighbouring edges cancel in the sum, mostly before the shuffle.
+    lid over that stretch. Each edge leaves one start and one end per tile column; those of neighbouring edges cancel in the
+    sum, mostly before the shuffle, and a running sum down the column gives the lids of its tiles.
     """
     top = f"level = {grid.TOP}"
     reach = 1 + grid.OVERHANG
@@ -106,20 +107,27 @@ def _tile_rows(edges: DataFrame) -> DataFrame:
                          row_hi=F.expr(f"if({top}, 0L, {last_tile('greatest(ya, yb)')})"),
                          lowest=F.expr(f"if({top}, 0L, {first_tile('miny')})"))
 
-    def row(real, x1, y1, x2, y2, w):
-        return f"""named_struct('iy', iy, 'real', {real}, 'x1', {x1}, 'y1', {y1}, 'x2', {x2}, 'y2', {y2}, 'w', {w})"""
+    def row(iy, real, x1, y1, x2, y2, w):
+        return f"""named_struct('iy', {iy}, 'real', {real}, 'x1', {x1}, 'y1', {y1}, 'x2', {x2}, 'y2', {y2}, 'w', {w})"""
 
-    def lid(x, w):
-        return row("false", x, f"(iy + {reach}D) * s", "wx1", f"(iy + {reach}D) * s", w)
+    def step(x, w):
+        return row("row_lo", "false", x, "0D", "wx1", "0D", w)
 
-    touching = f"""transform(sequence(row_lo, row_hi),
-        iy -> {row("true", "e.x1", "e.y1", "e.x2", "e.y2", "e.w")})"""
-    lids = f"""flatten(transform(sequence(lowest, row_lo - 1),
-        iy -> filter(array({lid("xa", "e.w")}, {lid("xb", "-e.w")}), r -> r.x1 < wx1)))"""
+    touching = f"""transform(sequence(row_lo, row_hi), iy -> {row("iy", "true", "e.x1", "e.y1", "e.x2", "e.y2", "e.w")})"""
+    steps = f"filter(array({step('xa', 'e.w')}, {step('xb', '-e.w')}), r -> r.x1 < wx1)"
     rows = spans.selectExpr("aoi", *ABOUT, "level", "ix", f"""inline(
-        CASE WHEN e.w != 0 AND row_lo > lowest THEN concat({touching}, {lids}) ELSE {touching} END)""")
-    return (rows.groupBy("aoi", *ABOUT, "level", "ix", "iy", "real", "x1", "y1", "x2", "y2")
-            .agg(F.sum("w").alias("w")).where("real OR w != 0"))
+        CASE WHEN e.w != 0 AND row_lo > lowest THEN concat({touching}, {steps}) ELSE {touching} END)""")
+    rows = write_and_read(rows.groupBy("aoi", *ABOUT, "level", "ix", "iy", "real", "x1", "y1", "x2", "y2")
+                          .agg(F.sum("w").alias("w")).where("real OR w != 0"), "tile-rows")
+
+    # from step to step downwards the state at one x stays the same: only stretches with a state become rows
+    down = Window.partitionBy("aoi", "level", "ix", "x1").orderBy(F.desc("iy"))
+    state = (rows.where("NOT real").withColumn("s", F.expr(grid.tile_size("level")))
+             .withColumn("w", F.sum("w").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("until", F.coalesce(F.lead("iy").over(down), F.expr(f"bigint({first_tile('miny')})"))).where("w != 0"))
+    lids = (state.withColumn("iy", F.explode(F.expr("sequence(until, iy - 1)")))
+            .withColumn("y1", F.expr(f"(iy + {reach}D) * s")).withColumn("y2", F.col("y1")))
+    return rows.where("real").unionByName(lids.select(*rows.columns))
 
 
 def tile_aois(aois: DataFrame, slug: str = "slug") -> AoiTiles:
@@ -143,7 +151,6 @@ def tile_aois(aois: DataFrame, slug: str = "slug") -> AoiTiles:
 
 def measure_tiles(tiles: DataFrame) -> AoiTiles:
     """Size, levels and bounds of a tile table (also of one written by an earlier run)."""
-    bounds = ("a_minx", "a_miny", "a_maxx", "a_maxy")
     held = F.coalesce(F.size("segs"), F.lit(0)) + F.coalesce(F.size("lids"), F.lit(0))
     # every area has exactly one TOP tile
     r = tiles.agg(
@@ -153,24 +160,50 @@ def measure_tiles(tiles: DataFrame) -> AoiTiles:
         F.min("a_minx").alias("minx"), F.min("a_miny").alias("miny"),
         F.max("a_maxx").alias("maxx"), F.max("a_maxy").alias("maxy"),
     ).first()
-    boxes = (tiles.where(F.col("level") == grid.TOP).select(*bounds).collect()
-             if r.n_aois <= BOXES_IN_FILTER else [])
+    boxes = []
+    if r.n_aois:
+        width = max(r.maxx - r.minx, 1e-9)
+        strip = F.least(F.floor((F.col("a_minx") - r.minx) / width * STRIPS), F.lit(STRIPS - 1))
+        boxes = (tiles.where(F.col("level") == grid.TOP).groupBy(strip.alias("strip"))
+                 .agg(*[f("a_" + c).alias(c) for c, f in (("minx", F.min), ("miny", F.min), ("maxx", F.max), ("maxy", F.max))])
+                 .orderBy("strip").select("minx", "miny", "maxx", "maxy").collect())
     return AoiTiles(tiles, r.n_aois, r.n_bytes, tuple(sorted(r.bases)),
-                    None if r.minx is None else (r.minx, r.miny, r.maxx, r.maxy),
-                    tuple(tuple(b) for b in boxes))
+                    None if r.minx is None else (r.minx, r.miny, r.maxx, r.maxy), tuple(tuple(b) for b in boxes))
 
 
 # --- the join ------------------------------------------------------------------------------------------------
-def bbox_prefilter(footprints: DataFrame, tiles: AoiTiles) -> DataFrame:
-    """Keep footprints near some area, as literal comparisons that reach the Parquet row groups."""
-    if tiles.bounds is None:
+def near_ranges(footprints: DataFrame, tiles: AoiTiles) -> DataFrame:
+    """Keep footprints in the ranges that hold all areas, as literal comparisons that reach the Parquet row groups."""
+    if not tiles.boxes:
         return footprints.where(F.lit(False))
 
     def near(b):
         return ((F.col("maxx") >= b[0]) & (F.col("minx") <= b[2])
                 & (F.col("maxy") >= b[1]) & (F.col("miny") <= b[3]))
 
-    return footprints.where(reduce(Column.__or__, [near(b) for b in (tiles.boxes or (tiles.bounds,))]))
+    return footprints.where(reduce(Column.__or__, [near(b) for b in tiles.boxes]))
+
+
+def bbox_prefilter(footprints: DataFrame, tiles: AoiTiles) -> DataFrame:
+    """Keep the footprints whose box meets the box of at least one area, however many areas there are.
+
+    A footprint is looked up in the one cell of its lower-left corner; the areas' boxes reach further to the left and
+    below by the largest footprint. The join is an equality that keeps or drops whole rows.
+    """
+    near = near_ranges(footprints, tiles)
+    most = near.agg(F.max(F.col("maxx") - F.col("minx")), F.max(F.col("maxy") - F.col("miny"))).first()
+    if most[0] is None:
+        return near
+
+    def cells(low, high, reach):
+        return F.explode(F.sequence(F.floor((F.col(low) - reach) / CELL), F.floor(F.col(high) / CELL)))
+
+    boxes = (tiles.tiles.where(F.col("level") == grid.TOP).select("a_minx", "a_miny", "a_maxx", "a_maxy").distinct()
+             .withColumn("_cx", cells("a_minx", "a_maxx", most[0])).withColumn("_cy", cells("a_miny", "a_maxy", most[1])))
+    meets = ((F.floor(near["minx"] / CELL) == boxes["_cx"]) & (F.floor(near["miny"] / CELL) == boxes["_cy"])
+             & (near["maxx"] >= boxes["a_minx"]) & (near["minx"] <= boxes["a_maxx"])
+             & (near["maxy"] >= boxes["a_miny"]) & (near["miny"] <= boxes["a_maxy"]))
+    return near.join(boxes, meets, "left_semi")
 
 
 def _with_tile(footprints: DataFrame, bases: tuple[int, ...]) -> DataFrame:
@@ -182,7 +215,7 @@ def _with_tile(footprints: DataFrame, bases: tuple[int, ...]) -> DataFrame:
 
 
 def _candidates(footprints: DataFrame, tiles: AoiTiles, broadcast_bytes: int) -> DataFrame:
-    placed = _with_tile(bbox_prefilter(footprints, tiles), tiles.bases)
+    placed = _with_tile(near_ranges(footprints, tiles), tiles.bases)
     areas = tiles.tiles.select("aoi", F.col("base").alias("_base"), F.col("tile").alias("_tile"), "m2_factor",
                                "a_minx", "a_miny", "a_maxx", "a_maxy",
                                F.col("segs").alias("_segs"), F.col("lids").alias("_lids"))
@@ -190,7 +223,9 @@ def _candidates(footprints: DataFrame, tiles: AoiTiles, broadcast_bytes: int) ->
     if tiles.n_bytes <= broadcast_bytes:
         areas = F.broadcast(areas)
     else:
-        placed, areas = _salt(placed, areas, footprints.columns)
+        # only tiles with an area count, and neither side may be sent whole to every executor
+        placed = placed.join(areas.select("_tile").distinct(), "_tile", "left_semi")
+        placed, areas = _salt(placed, areas.hint("merge"), footprints.columns)
         on.append("_salt")
     # an area further off than the tile is wide is dropped here, before any edge work
     return (placed.join(areas, on)
@@ -261,7 +296,8 @@ def clip(
 
     has_area = F.col("_overlap") > F.col("area_deg2") * G.AREA_NOISE
     touches = F.expr(f"""{G.edges_meet("_edges", "_s")}
-        OR {G.winding("_sides", "_edges[0].x1", "_edges[0].y1")} != 0""")
+        OR {G.winding("_sides", "_edges[0].x1", "_edges[0].y1")} != 0
+        OR exists(_s, v -> {G.winding(G.with_weight("_edges"), "v.x1", "v.y1")} != 0)""")
     matches = ~crossed | has_area | touches
     clipped = F.least("area_deg2", F.when(has_area, F.col("_overlap")).otherwise(0.0))
     out = ["aoi", *keep, F.when(crossed, clipped).otherwise(F.col("area_deg2")).alias("area_deg2"),

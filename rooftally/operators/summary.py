@@ -71,7 +71,7 @@ def compare_aois(clip: DataFrame, aois: DataFrame | None = None) -> DataFrame:
     """One row per area with count, area and mean per source side by side, and both densities.
 
     ``density_bbox`` divides by the bounding box, ``density_official`` by the official size where there is one.
-    Without a row in ``aois`` an area has no density.
+    Every area of ``aois`` has a row, with zeros if it has no footprints. Without a row in ``aois`` an area has no density.
     """
     figures = [F.count("*").alias("total"), F.max("m2_factor").alias("_f")]
     for s in M.SOURCES:
@@ -90,9 +90,11 @@ def compare_aois(clip: DataFrame, aois: DataFrame | None = None) -> DataFrame:
         F.col("slug").alias("aoi"), "display_name",
         M.bbox_area_km2(*[F.col(c) for c in box]).alias("bbox_km2"),
         M.official_or_bbox_km2(F.col("properties"), *[F.col(c) for c in box]).alias("official_km2"))
-    return (wide.join(sizes, "aoi", "left")
-            .withColumn("density_bbox", F.when(F.col("bbox_km2").isNotNull(),
-                                               M.density(F.col("total"), F.col("bbox_km2"))))
+    figures = [c for c in wide.columns if c != "aoi"]
+    # an area without footprints has zeros
+    both = wide.join(sizes, "aoi", "full_outer").fillna(0, figures)
+    return (both.withColumn("density_bbox", F.when(F.col("bbox_km2").isNotNull(),
+                                                   M.density(F.col("total"), F.col("bbox_km2"))))
             .withColumn("density_official", F.when(F.col("official_km2").isNotNull(),
                                                    M.density(F.col("total"), F.col("official_km2")))))
 

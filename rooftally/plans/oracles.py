@@ -42,7 +42,8 @@ area_key AS (
 area AS (
   SELECT *,
     CASE WHEN seat = 0 THEN (-45.4::DOUBLE + (town % 400) * 0.25::DOUBLE) - 0.00013::DOUBLE
-         ELSE (-45.4::DOUBLE + (town % 400) * 0.25::DOUBLE) + (seat % 10) * 0.019::DOUBLE + 0.00013::DOUBLE END AS x0,
+         ELSE (-45.4::DOUBLE + (town % 400) * 0.25::DOUBLE) + (seat % 10) * 0.019::DOUBLE + 0.00013::DOUBLE
+              - CASE WHEN key % 25 = 24 THEN 124.6::DOUBLE ELSE 0 END END AS x0,
     CASE WHEN seat = 0 THEN (-21.95::DOUBLE + (town // 400 % 300) * 0.2::DOUBLE) - 0.00017::DOUBLE
          ELSE (-21.95::DOUBLE + (town // 400 % 300) * 0.2::DOUBLE) + (seat // 10) * 0.027::DOUBLE
               + 0.00017::DOUBLE END AS y0,
@@ -92,11 +93,11 @@ summary AS (
 
 WIDE = """
 wide0 AS (
-  SELECT slug AS aoi, count(*) AS total,
+  SELECT aoi.slug AS aoi, count(clip.slug) AS total,
          count(*) FILTER (bf_source = 'google') AS n_google, count(*) FILTER (bf_source = 'microsoft') AS n_microsoft,
-         coalesce(sum(area_deg2) FILTER (bf_source = 'google') * max(factor), 0) AS area_m2_google,
-         coalesce(sum(area_deg2) FILTER (bf_source = 'microsoft') * max(factor), 0) AS area_m2_microsoft
-  FROM clip GROUP BY slug),
+         coalesce(sum(area_deg2) FILTER (bf_source = 'google') * max(aoi.factor), 0) AS area_m2_google,
+         coalesce(sum(area_deg2) FILTER (bf_source = 'microsoft') * max(aoi.factor), 0) AS area_m2_microsoft
+  FROM aoi LEFT JOIN clip ON clip.slug = aoi.slug GROUP BY aoi.slug),
 wide AS (
   SELECT w.*, CASE WHEN n_google > 0 THEN area_m2_google / n_google ELSE 0 END AS mean_m2_google,
          CASE WHEN n_microsoft > 0 THEN area_m2_microsoft / n_microsoft ELSE 0 END AS mean_m2_microsoft,
@@ -148,10 +149,12 @@ ORACLES: dict[str, str] = {
         SELECT bf_source, count(*) AS n FROM fp_all JOIN country USING (custkey) WHERE country_iso = 'BRA'
         GROUP BY bf_source"""),
     "single_vs_merged": _world("""
-        SELECT country_iso, count(*) AS n_merged, count(*) FILTER (bf_source = 'google') AS n_single,
+        SELECT ['LSO', 'BRA', 'IND', 'PRT', 'EGY', 'DZA', 'ARG', 'JPN', 'FRA', 'SAU', 'KEN', 'CAN', 'IDN', 'DEU', 'IRN', 'MOZ', 'PER',
+                'VNM', 'ROU', 'JOR', 'NGA', 'USA', 'CHN', 'GBR', 'IRQ'][c_nationkey + 1] AS country_iso,
+               count(*) AS n_merged, count(*) FILTER (bf_source = 'google') AS n_single,
                count(*) FILTER (bf_source <> 'google') AS added
-        FROM fp_all JOIN country USING (custkey) GROUP BY country_iso"""),
-    "only_in_merged": _world("SELECT id, bf_source FROM fp_all WHERE bf_source = 'microsoft'"),
+        FROM fp_all JOIN customer ON c_custkey = custkey GROUP BY c_nationkey"""),
+    "only_in_merged": _world("SELECT id, bf_source FROM fp_all WHERE bf_source = 'microsoft' OR id % 5 = 0"),
     "analyze_files": _world(f"""
         SELECT slug AS aoi, bf_source, count(*) AS n, round(sum(area_deg2) * max(factor), 2) AS area_m2,
                round(sum(area_deg2) * max(factor) / count(*), 2) AS mean_m2
@@ -200,9 +203,8 @@ ORACLES: dict[str, str] = {
     "spatial_join_shuffled": _world("""
         SELECT slug, count(*) AS n, sum(id)::BIGINT AS id_sum FROM pair GROUP BY slug"""),
     "bbox_candidates": _world("""
-        SELECT count(*) AS n FROM fp_all, (SELECT min(minx) AS x0, min(miny) AS y0, max(maxx) AS x1, max(maxy) AS y1
-                                           FROM aoi) b
-        WHERE maxx >= b.x0 AND minx <= b.x1 AND maxy >= b.y0 AND miny <= b.y1"""),
+        SELECT count(*) AS n FROM fp_all f WHERE EXISTS (
+            SELECT 1 FROM aoi a WHERE f.maxx >= a.minx AND f.minx <= a.maxx AND f.maxy >= a.miny AND f.miny <= a.maxy)"""),
     "clip_area": _world("SELECT id, slug, round(m2, 2) AS area_m2 FROM clip"),
     "clip_by_shape": _world(f"""
         SELECT shape, count(*) AS n, round(sum(area_deg2) * {M2}, 2) AS area_m2 FROM clip GROUP BY shape"""),
@@ -221,7 +223,7 @@ ORACLES: dict[str, str] = {
     "aoi_summary": _world(f"SELECT aoi, bf_source, n, {_rounded('area_m2, mean_m2', 2)} FROM summary", SUMMARY),
     "aoi_summary_maps": _world("""
         SELECT slug AS aoi, display_name, coalesce(sum(n), 0)::BIGINT AS total,
-               (max(n) FILTER (bf_source = 'google'))::BIGINT AS n_google,
+               coalesce(max(n) FILTER (bf_source = 'google'), 0)::BIGINT AS n_google,
                round(max(area_m2) FILTER (bf_source = 'microsoft'), 2) AS area_microsoft,
                round(max(mean_m2) FILTER (bf_source = 'google'), 2) AS mean_google
         FROM aoi LEFT JOIN summary ON aoi.slug = summary.aoi GROUP BY slug, display_name""", SUMMARY),
@@ -244,16 +246,16 @@ ORACLES: dict[str, str] = {
                round(abs(mean_m2_google - mean_m2_microsoft), 2) AS gap_m2,
                mean_m2_google > mean_m2_microsoft AS google_larger FROM wide""", WIDE),
     "coverage_class": _world("""
-        SELECT aoi, round(100::DOUBLE * n_google / total, 6) AS google_pct,
-               CASE WHEN 100::DOUBLE * n_google / total >= 90 THEN 'google dominates'
-                    WHEN 100::DOUBLE * n_google / total >= 70 THEN 'significant microsoft'
+        SELECT aoi, coalesce(round(100::DOUBLE * n_google / nullif(total, 0), 6), 0) AS google_pct,
+               CASE WHEN 100::DOUBLE * n_google / nullif(total, 0) >= 90 THEN 'google dominates'
+                    WHEN 100::DOUBLE * n_google / nullif(total, 0) >= 70 THEN 'significant microsoft'
                     ELSE 'prominent microsoft' END AS coverage FROM wide""", WIDE),
     "aoi_ratio": _world("""
-        SELECT a.slug AS aoi_a, b.slug AS aoi_b, round(x.total / y.total, 4) AS n_ratio,
-               round((x.area_m2_google + x.area_m2_microsoft) / (y.area_m2_google + y.area_m2_microsoft), 4)
+        SELECT a.slug AS aoi_a, b.slug AS aoi_b, round(x.total / nullif(y.total, 0), 4) AS n_ratio,
+               round((x.area_m2_google + x.area_m2_microsoft) / nullif(y.area_m2_google + y.area_m2_microsoft, 0), 4)
                  AS built_ratio,
                round(x.official_km2 / y.official_km2, 4) AS km2_ratio,
-               round(x.density_official / y.density_official, 4) AS density_ratio
+               round(x.density_official / nullif(y.density_official, 0), 4) AS density_ratio
         FROM aoi a JOIN aoi b ON b.key = a.key + 1 JOIN wide x ON x.aoi = a.slug JOIN wide y ON y.aoi = b.slug""",
                         WIDE),
     "layers": _world("""
@@ -277,19 +279,19 @@ ORACLES: dict[str, str] = {
     "dashboard_payload": _world("""
         SELECT a.slug AS aoi, a.display_name, coalesce(w.total, 0)::BIGINT AS total, round(a.miny, 4) AS south,
                round(a.maxx, 4) AS east, 'data/aoi=' || a.slug || '/bf_source=google' AS google_file,
-               CASE WHEN w.n_microsoft > 0 THEN w.n_microsoft END::BIGINT AS n_microsoft,
+               coalesce(w.n_microsoft, 0)::BIGINT AS n_microsoft,
                coalesce(k.n, 0)::BIGINT AS big_google,
                round(coalesce(a.stated_km2, a.bbox_km2), 4) AS official_km2
         FROM aoi a LEFT JOIN wide w ON w.aoi = a.slug
         LEFT JOIN classed k ON k.slug = a.slug AND k.bf_source = 'google' AND k.bucket = '>=500'""", WIDE, BUCKETS),
     "table_stats": _world("""
         SELECT 'footprints_' || lower(country_iso) AS table_name, count(*) AS n_rows, true AS prunable
-        FROM fp_all JOIN country USING (custkey) WHERE country_iso IN ('BRA', 'LSO') GROUP BY country_iso
+        FROM fp_all JOIN country USING (custkey) GROUP BY country_iso
         UNION ALL SELECT 'aoi_all', count(*), false FROM aoi
         UNION ALL SELECT 'recorte_all', count(*), false FROM clip"""),
     "prune_dry_run": _world("""
         SELECT 'footprints_' || lower(country_iso) AS table_name, count(*) AS n_rows
-        FROM fp_all JOIN country USING (custkey) WHERE country_iso IN ('BRA', 'LSO') GROUP BY country_iso"""),
+        FROM fp_all JOIN country USING (custkey) GROUP BY country_iso"""),
     "prune_confirmed": _world("""
         SELECT 'aoi_all' AS table_name, count(*) AS n_rows FROM aoi
         UNION ALL SELECT 'recorte_all', count(*) FROM clip"""),

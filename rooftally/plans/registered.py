@@ -64,25 +64,26 @@ def read_country_count(spark, sf):
 
 
 def single_vs_merged(spark, sf):
-    """Merged dataset (three-letter codes) against the one without the second source (two-letter codes)."""
-    base = _write_countries(spark, sf)
+    """Merged dataset (three-letter codes) against the one without the second source (two-letter codes), all countries."""
+    world = W.with_nation(W.footprints(spark, sf), spark, sf).drop("custkey")
+    base = fresh_path(spark, "countries")
+    K.write_geoparquet(world, f"{base}/by_country_s2", "geometry", ("country_iso",))
     merged = spark.read.parquet(f"{base}/by_country_s2")
     single_path = fresh_path(spark, "single")
     (L.filter_source(merged, "google").withColumn("country_iso", W.iso2(F.col("country_iso"))).drop("bf_source")
      .write.partitionBy("country_iso").parquet(single_path))
-    codes = W.REGION_TO_ISO3.values()
-    single = [P.read_country_single_source(spark, single_path, P.ISO3_TO_ISO2[c]) for c in codes]
-    whole = single[0]
-    for part in single[1:]:
-        whole = whole.unionByName(part)
-    whole = whole.withColumn("country_iso", P.iso3_of(F.col("country_iso")))
+    whole = P.read_country_single_source(spark, single_path, *W.ISO3_TO_ISO2.values())
+    whole = whole.withColumn("country_iso", P.iso3_of(F.col("country_iso"), W.ISO3_TO_ISO2))
     return S.source_coverage(merged, whole, "country_iso")
 
 
 def only_in_merged(spark, sf):
-    """Footprints the single-source dataset does not have."""
+    """Footprints that a second dataset, with its own rows and other ids among them, does not have."""
     world = W.footprints(spark, sf).select("id", "bf_source")
-    return S.only_in_first(world, L.filter_source(world, "google"), ["id"])
+    path = fresh_path(spark, "second")
+    second = L.filter_source(world, "google").where("id % 5 <> 0").select("id")
+    second.union(world.select(F.col("id") + F.lit(1 << 40))).write.parquet(path)
+    return S.only_in_first(world, spark.read.parquet(path), ["id"])
 
 
 def analyze_files(spark, sf):
@@ -259,7 +260,7 @@ def aoi_summary_maps(spark, sf):
     maps = S.summary_maps(S.aoi_summary(world_clip(spark, sf)), world_aois(spark, sf))
     google, microsoft = M.SOURCES
     return _rounded(maps.select(
-        "aoi", "display_name", "total", F.col("n_by_source")[google].alias("n_google"),
+        "aoi", "display_name", "total", F.coalesce(F.col("n_by_source")[google], F.lit(0)).alias("n_google"),
         F.col("area_m2_by_source")[microsoft].alias("area_microsoft"),
         F.col("mean_m2_by_source")[google].alias("mean_google")))
 
@@ -358,7 +359,8 @@ def payload(spark, sf):
     back = spark.read.schema(records.schema).json(path)
     return _rounded(back.select(
         "aoi", "display_name", "total", F.col("bounds_sw")[0].alias("south"), F.col("bounds_ne")[1].alias("east"),
-        F.col("files")["google"].alias("google_file"), F.col("n_by_source")["microsoft"].alias("n_microsoft"),
+        F.col("files")["google"].alias("google_file"),
+        F.coalesce(F.col("n_by_source")["microsoft"], F.lit(0)).alias("n_microsoft"),
         F.col("histogram")["google"][">=500"].alias("big_google"), "official_km2"), 4)
 
 
@@ -373,8 +375,8 @@ def _new_database(spark) -> str:
 def _tables(spark, sf) -> str:
     database = _new_database(spark)
     world = W.with_country(W.footprints(spark, sf), spark, sf).select("id", "bf_source", "country_iso")
-    for iso3, name in (("BRA", "footprints_bra"), ("LSO", "footprints_lso")):
-        world.where(F.col("country_iso") == iso3).write.saveAsTable(f"{database}.{name}")
+    for iso3 in W.REGION_TO_ISO3.values():
+        world.where(F.col("country_iso") == iso3).write.saveAsTable(f"{database}.footprints_{iso3.lower()}")
     world_aois(spark, sf).select("slug", "display_name").write.saveAsTable(f"{database}.aoi_all")
     world_clip(spark, sf).select("aoi", "bf_source").write.saveAsTable(f"{database}.recorte_all")
     return database

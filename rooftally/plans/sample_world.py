@@ -11,11 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rooftally.functions import geometry as G
-from rooftally.functions.plan import compute_once, spread_small_scan
-from rooftally.sources.footprints import ISO3_TO_ISO2
+from rooftally.functions.plan import compute_once
 
 LOTS_PER_TOWN = 7500
 AOIS_PER_TOWN = 50
+# Two areas of each town lie in the sea, far from any footprint.
+SEA = "(pmod(s_suppkey, 25L) = 24)"
+# Three- and two-letter codes for the nations by number.
+NATION_CODES = ("LSO LS, BRA BR, IND IN, PRT PT, EGY EG, DZA DZ, ARG AR, JPN JP, FRA FR, SAU SA, KEN KE, CAN CA, IDN ID, "
+                "DEU DE, IRN IR, MOZ MZ, PER PE, VNM VN, ROU RO, JOR JO, NGA NG, USA US, CHN CN, GBR GB, IRQ IQ")
+ISO3_TO_ISO2 = dict(pair.split() for pair in NATION_CODES.split(", "))
 REGION_TO_ISO3 = {"AFRICA": "LSO", "AMERICA": "BRA", "ASIA": "IND", "EUROPE": "PRT", "MIDDLE EAST": "EGY"}
 
 
@@ -49,7 +54,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(o_orderstatus = 'P', 'microsoft', 'google') AS bf_source")
     town = f"floor(id / {LOTS_PER_TOWN})"
     lot = compute_once(
-        spread_small_scan(orders), side=F.expr("sqrt(o_totalprice) / 20D / 111000D"),
+        orders, side=F.expr("sqrt(o_totalprice) / 20D / 111000D"),
         x0=F.expr(f"{_town_x(town)} + pmod(id, 100L) * 0.002D"),
         y0=F.expr(f"{_town_y(town)} + pmod(floor(id / 100), 75L) * 0.002D"))
 
@@ -81,6 +86,14 @@ def with_country(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(country, "custkey")
 
 
+def with_nation(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add ``country_iso`` by the customer's nation: twenty-five countries."""
+    codes = F.array(*map(F.lit, ISO3_TO_ISO2))
+    country = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("custkey"), F.get(codes, F.col("c_nationkey").cast("int")).alias("country_iso"))
+    return df.join(country, "custkey")
+
+
 def iso2(column: Column) -> Column:
     return F.create_map(*[F.lit(v) for pair in ISO3_TO_ISO2.items() for v in pair])[column]
 
@@ -88,14 +101,14 @@ def iso2(column: Column) -> Column:
 # --- areas of interest -----------------------------------------------------------------------------------------
 def _aoi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     town, seat = f"floor(s_suppkey / {AOIS_PER_TOWN})", f"pmod(s_suppkey, {AOIS_PER_TOWN}L)"
-    named = spread_small_scan(table(spark, sf_dir, "supplier")).join(
+    named = table(spark, sf_dir, "supplier").join(
         table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
         F.col("s_nationkey") == F.col("n_nationkey"), "left")
     # seat 0 is the whole town
     return compute_once(
         named, key=F.col("s_suppkey"), slug=F.expr("concat('aoi_', lpad(string(s_suppkey), 9, '0'))"),
         x0=F.expr(f"""if({seat} = 0, {_town_x(town)} - 0.00013D,
-            {_town_x(town)} + pmod({seat}, 10L) * 0.019D + 0.00013D)"""),
+            {_town_x(town)} + pmod({seat}, 10L) * 0.019D + 0.00013D - if({SEA}, 124.6D, 0D))"""),
         y0=F.expr(f"""if({seat} = 0, {_town_y(town)} - 0.00017D,
             {_town_y(town)} + floor({seat} / 10) * 0.027D + 0.00017D)"""),
         w=F.expr(f"if({seat} = 0, 0.2003D, 0.011D + pmod(s_suppkey, 7L) * 0.004D)"),
@@ -139,7 +152,7 @@ def aoi_documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> Dat
     document = f"""format_string('{{"type":"%s","name":"%s","features":[%s]}}', {document_type}, slug,
         concat_ws(',', array_repeat({feature}, {n_features})))"""
     if broken:
-        document = f"if(key % 20 = 7, concat('nao eh json ', slug), {document})"
+        document = f"if(key % 20 = 7, concat('<moved>', slug), {document})"
     return compute_once(_aoi_frame(spark, sf_dir), document=F.expr(document)).select("slug", "document")
 
 

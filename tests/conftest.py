@@ -26,13 +26,26 @@ def square(x, y, side=0.001):
     return [[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]
 
 
+LOT_WIDTH, LOT_DEPTH = 2.0 ** -10, 2.0 ** -11
+WEST, SOUTH = -50.5, -15.25
+
+
+def lot_corner(i):
+    """Eight lots to a street, three streets; exact binary fractions."""
+    return WEST + (i % 8) * 2.0 ** -8, SOUTH + (i // 8) * 2.0 ** -7
+
+
+def rectangle(x, y, width, height):
+    return [[x, y], [x + width, y], [x + width, y + height], [x, y + height], [x, y]]
+
+
 @pytest.fixture(scope="session")
-def twenty_squares(spark):
-    """Twenty squares of 0.001 degrees, half of them from each source."""
-    rows = [(i, [[square(-45.34 + (i % 5) * 0.002, -21.88 + (i // 5) * 0.002)]],
-             "google" if i < 10 else "microsoft", 12100.0 + 100 * i, 0.85 + 0.01 * (i % 10)) for i in range(20)]
+def lots(spark):
+    """Twenty-four equal lots; every third comes from the second source."""
+    rows = [(i, [[rectangle(*lot_corner(i), LOT_WIDTH, LOT_DEPTH)]], "microsoft" if i % 3 == 2 else "google", 0.5 + i / 64)
+            for i in range(24)]
     return spark.createDataFrame(rows, "id int, geometry array<array<array<array<double>>>>, bf_source string, "
-                                       "area_in_meters double, confidence double")
+                                       "confidence double")
 
 
 def collection(*features, kind="FeatureCollection"):

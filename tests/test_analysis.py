@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collection, documents, feature, square
+from conftest import LOT_DEPTH, LOT_WIDTH, collection, documents, feature, lot_corner, rectangle, square
 from rooftally.functions import geometry as G
 from rooftally.functions import measures as M
 from rooftally.operators import layers as L
@@ -16,27 +16,27 @@ from rooftally.sources.aois import read_aois
 from rooftally.sources.footprints import prepare_footprints
 from rooftally.workspace import fresh_path
 
-OVER_ALL = collection(feature([[[-45.34, -21.88], [-45.33, -21.88], [-45.33, -21.87], [-45.34, -21.87], [-45.34, -21.88]]],
-                              nome="Toda", uf="MG", area_km2_oficial=2.0, populacao_2022=100))
-NOTHING = collection(feature([[[-40.0, -21.88], [-39.9, -21.88], [-39.9, -21.87], [-40.0, -21.88]]]))
+VALLEY = collection(feature([rectangle(-50.625, -15.375, 0.375, 0.25)], nome="Vale", uf="GO", area_km2_oficial=8.0))
+SEA = collection(feature([[[-20.0, -15.0], [-19.75, -15.0], [-20.0, -14.5], [-20.0, -15.0]]], nome="Mar"))
+LOT = LOT_WIDTH * LOT_DEPTH * M.M2_PER_DEG2  # at the equator
 
 
 @pytest.fixture(scope="module")
-def world(spark, twenty_squares):
-    aois = read_aois(documents(spark, toda=OVER_ALL, vazia=NOTHING)).cache()
-    c = clip(twenty_squares, tile_aois(aois), ("id", "bf_source"), with_geometry=True).cache()
+def world(spark, lots):
+    aois = read_aois(documents(spark, valley=VALLEY, sea=SEA)).cache()
+    c = clip(lots, tile_aois(aois), ("id", "bf_source"), with_geometry=True).cache()
     return aois, c
 
 
-def test_one_table_figures(spark, twenty_squares):
-    df = prepare_footprints(twenty_squares)
-    assert S.count_total(df).first().n == 20
-    assert [tuple(r) for r in S.count_by_source(df).collect()] == [("google", 10), ("microsoft", 10)]
+def test_one_table_figures(spark, lots):
+    df = prepare_footprints(lots)
+    assert S.count_total(df).first().n == 24
+    assert [tuple(r) for r in S.count_by_source(df).collect()] == [("google", 16), ("microsoft", 8)]
     assert [r.bf_source for r in S.distinct_sources(df).collect()] == ["google", "microsoft"]
-    for r in S.area_by_source(df).collect():
-        assert r.area_m2 == pytest.approx(123_210.0, abs=0.01)
-    for r in S.mean_area_by_source(df, -21.88).collect():
-        assert r.area_m2 == pytest.approx(114_334.74, abs=0.01) and r.mean_m2 == pytest.approx(11_433.47, abs=0.01)
+    assert {r.bf_source: r.area_m2 for r in S.area_by_source(df).collect()} == pytest.approx(
+        {"google": 16 * LOT, "microsoft": 8 * LOT})
+    for r in S.mean_area_by_source(df, 60.0).collect():
+        assert r.mean_m2 == pytest.approx(LOT / 2)
 
 
 def test_null_areas_and_sources(spark):
@@ -52,24 +52,34 @@ def test_null_areas_and_sources(spark):
 def test_summary_and_maps(world):
     aois, c = world
     rows = {r.aoi: r for r in S.summary_maps(S.aoi_summary(c), aois).collect()}
-    assert rows["toda"].total == 20 and rows["toda"].n_by_source == {"google": 10, "microsoft": 10}
-    assert rows["toda"].display_name == "Toda/MG"
-    assert rows["vazia"].total == 0 and rows["vazia"].n_by_source == {}
+    assert rows["valley"].total == 24 and rows["valley"].n_by_source == {"google": 16, "microsoft": 8}
+    assert rows["valley"].display_name == "Vale/GO"
+    assert rows["sea"].total == 0 and rows["sea"].n_by_source == {}
 
 
 def test_comparison(world):
     aois, c = world
-    r = S.compare_aois(c, aois).first()
-    assert r.density_bbox == pytest.approx(20 / r.bbox_km2)
-    assert r.bbox_km2 == pytest.approx(0.01 * 111 * 0.01 * 111 * math.cos(math.radians(-21.875)))
-    assert r.density_official == pytest.approx(10.0)
-    assert S.compare_aois(c, aois.where("slug = 'vazia'")).first().density_bbox is None
-    s = S.source_comparison(S.compare_aois(c, aois)).first()
-    assert s.google_pct == 50.0 and s.coverage == "prominent microsoft" and s.gap_m2 == pytest.approx(0, abs=1e-3)
-    shares = [x.pct for x in S.share_by_source(S.aoi_summary(c)).collect()]
-    assert shares == [50.0, 50.0]
-    t = S.comparison_table(S.compare_aois(c, aois)).first()
-    assert (t.total, t.n_google, t.n_microsoft) == (20, 10, 10)
+    rows = {r.aoi: r for r in S.compare_aois(c, aois).collect()}
+    r = rows["valley"]
+    assert r.bbox_km2 == pytest.approx(0.25 * 111 * 0.375 * 111 * math.cos(math.radians(-15.25)))
+    assert r.density_bbox == pytest.approx(24 / r.bbox_km2) and r.density_official == 3.0
+    assert (r.total, r.n_google, r.n_microsoft) == (24, 16, 8)
+    lot = LOT * math.cos(math.radians(-15.25))
+    assert r.area_m2_google == pytest.approx(16 * lot) and r.mean_m2_microsoft == pytest.approx(lot)
+    shares = {x.bf_source: x.pct for x in S.share_by_source(S.aoi_summary(c)).collect()}
+    assert shares == pytest.approx({"google": 200 / 3, "microsoft": 100 / 3})
+    labels = {x.aoi: x for x in S.source_comparison(S.compare_aois(c, aois)).collect()}
+    assert labels["valley"].coverage == "prominent microsoft" and labels["valley"].gap_m2 == pytest.approx(0, abs=1e-3)
+
+
+def test_areas_without_footprints_are_compared_with_zeros(world):
+    aois, c = world
+    r = {r.aoi: r for r in S.compare_aois(c, aois).collect()}["sea"]
+    assert (r.total, r.n_google, r.n_microsoft, r.area_m2_google, r.mean_m2_microsoft) == (0, 0, 0, 0.0, 0.0)
+    assert r.density_bbox == 0.0 and r.density_official == 0.0 and r.bbox_km2 > 0
+    label = {x.aoi: x for x in S.source_comparison(S.compare_aois(c, aois)).collect()}["sea"]
+    assert label.built_m2 == 0.0
+    assert [t.aoi for t in S.comparison_table(S.compare_aois(c, aois)).collect()] == ["sea", "valley"]
 
 
 @pytest.mark.parametrize("pct,label", [(100.0, "google dominates"), (90.0, "google dominates"),
@@ -89,32 +99,30 @@ def test_histogram_is_dense(world):
     aois, c = world
     rows = {(r.aoi, r.bf_source, r.bucket): r.n for r in S.area_histogram(c, aois).collect()}
     assert len(rows) == 2 * 2 * 5
-    assert rows[("toda", "google", ">=500")] == 10 and sum(rows.values()) == 20
+    assert rows[("valley", "google", ">=500")] == 16 and sum(rows.values()) == 24
 
 
 def test_ratio(spark, world):
     aois, c = world
-    wide = S.compare_aois(c, aois)
-    both = wide.unionByName(wide.withColumn("aoi", F.lit("half")).withColumn("total", F.lit(10).cast("bigint"))
-                            .withColumn("official_km2", F.lit(4.0)))
-    pairs = spark.createDataFrame([("toda", "half")], "aoi_a string, aoi_b string")
-    r = S.aoi_ratio(both, pairs).first()
-    assert r.n_ratio == 2.0 and r.km2_ratio == 0.5 and r.built_ratio == 1.0
-
-
-def test_analyze(spark, twenty_squares):
-    rows = analyze(twenty_squares, documents(spark, toda=OVER_ALL)).collect()
-    assert {(r.bf_source, r.n) for r in rows} == {("google", 10), ("microsoft", 10)}
-    factor = M.M2_PER_DEG2 * math.cos(math.radians(-21.875))
+    wide = S.compare_aois(c, aois).where("aoi = 'valley'")
+    both = wide.unionByName(wide.withColumn("aoi", F.lit("third")).withColumn("total", F.lit(8).cast("bigint"))
+                            .withColumn("official_km2", F.lit(16.0)))
+    r = S.aoi_ratio(both, spark.createDataFrame([("valley", "third")], "aoi_a string, aoi_b string")).first()
+    assert r.n_ratio == 3.0 and r.km2_ratio == 0.5 and r.built_ratio == 1.0
+
+
+def test_analyze(spark, lots):
+    rows = analyze(lots, documents(spark, valley=VALLEY)).collect()
+    assert {(r.bf_source, r.n) for r in rows} == {("google", 16), ("microsoft", 8)}
     for r in rows:
-        assert r.area_m2 == pytest.approx(1e-5 * factor, rel=1e-6)
+        assert r.area_m2 == pytest.approx(r.n * LOT * math.cos(math.radians(-15.25)), rel=1e-6)
 
 
 def test_layers(world):
     _, c = world
     rows = L.layers(c, min_area_m2=1000.0, tolerance=1e-5).collect()
-    assert len(rows) == 20 and all(r.area_m2 > 0 and len(r.mp[0][0]) == 5 for r in rows)
-    assert L.layers(c, min_area_m2=1_000_000.0).count() == 0
+    assert len(rows) == 24 and all(r.area_m2 > 0 and len(r.mp[0][0]) == 5 for r in rows)
+    assert L.layers(c, min_area_m2=LOT).count() == 0  # a lot is smaller away from the equator
 
 
 @pytest.mark.parametrize("call", [lambda d: L.filter_source(d, "osm"), lambda d: L.filter_min_area(d, 0),
@@ -152,50 +160,64 @@ def test_simplify(spark):
     assert len(huge[0][0]) >= 4
 
 
-def test_centre_and_hectares(spark, twenty_squares):
-    r = L.with_centre(L.with_area(prepare_footprints(twenty_squares), M.m2_factor())).where("id = 0").first()
-    assert (round(r.centre_lon, 6), round(r.centre_lat, 6)) == (-45.3395, -21.8795)
-    assert r.area_m2 == 12321.0 and r.area_ha == 1.2321
+def test_centre_and_hectares(spark, lots):
+    r = L.with_centre(L.with_area(prepare_footprints(lots), M.m2_factor())).where("id = 9").first()
+    x, y = lot_corner(9)
+    assert (r.centre_lon, r.centre_lat) == (x + LOT_WIDTH / 2, y + LOT_DEPTH / 2)
+    assert r.area_m2 == round(LOT, 2) and r.area_ha == pytest.approx(r.area_m2 / 1e4)
 
 
 def test_dashboard(world):
     aois, c = world
     rows = {r.aoi: r for r in dashboard_payload(c, aois).collect()}
-    r = rows["toda"]
-    assert r.bounds_sw == [-21.88, -45.34] and r.bounds_ne == [-21.87, -45.33] and r.official_km2 == 2.0
-    assert r.histogram["google"] == {"<50": 0, "50-100": 0, "100-200": 0, "200-500": 0, ">=500": 10}
-    assert r.files == {"google": "data/aoi=toda/bf_source=google", "microsoft": "data/aoi=toda/bf_source=microsoft"}
-    assert rows["vazia"].total == 0 and sum(rows["vazia"].histogram["google"].values()) == 0
+    r = rows["valley"]
+    assert r.bounds_sw == [-15.375, -50.625] and r.bounds_ne == [-15.125, -50.25] and r.official_km2 == 8.0
+    assert r.histogram["google"] == {"<50": 0, "50-100": 0, "100-200": 0, "200-500": 0, ">=500": 16}
+    assert r.files == {s: f"data/aoi=valley/bf_source={s}" for s in M.SOURCES}
+    assert rows["sea"].total == 0 and sum(rows["sea"].histogram["google"].values()) == 0
     with pytest.raises(ValueError):
         dashboard_payload(c, aois.where("false"))
 
 
-def test_table_lifecycle(spark, twenty_squares):
+def test_table_lifecycle(spark, lots):
     path = fresh_path(spark, "db")
     db = "db_" + path.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE {db} LOCATION '{path}'")
-    for name in ("footprints_bra", "footprints_xyz9", "aoi_x", "recorte_x", "footprints_cambuquira"):
-        twenty_squares.repartition(8).write.saveAsTable(f"{db}.{name}")
+    for name in ("footprints_bra", "footprints_xyz9", "aoi_x", "recorte_x", "footprints_downtown"):
+        lots.repartition(8).write.saveAsTable(f"{db}.{name}")
     stats = {r.table_name: r for r in T.table_stats(spark, db).collect()}
-    assert list(stats) == sorted(stats) and stats["aoi_x"].n_rows == 20 and stats["aoi_x"].n_bytes > 0
+    assert list(stats) == sorted(stats) and stats["aoi_x"].n_rows == 24 and stats["aoi_x"].n_bytes > 0
     assert [n for n, r in stats.items() if r.prunable] == ["footprints_bra"]
     assert T.prune_tables(spark, db) == ["footprints_bra"] and "footprints_bra" in T.list_tables(spark, db)
     T.prune_tables(spark, db, confirm=True)
-    assert T.list_tables(spark, db) == ["aoi_x", "footprints_cambuquira", "footprints_xyz9", "recorte_x"]
-    assert T.compact_table(spark, db, "recorte_x", fresh_path(spark, "c")) == {"rows": 20, "files": 1}
+    assert T.list_tables(spark, db) == ["aoi_x", "footprints_downtown", "footprints_xyz9", "recorte_x"]
+    assert T.compact_table(spark, db, "recorte_x", fresh_path(spark, "c")) == {"rows": 24, "files": 8}
     assert "recorte_x_bak" not in T.list_tables(spark, db)
     for _ in range(2):  # an older backup is replaced
         T.compact_table(spark, db, "recorte_x", fresh_path(spark, "c"), confirm=True)
     after = {r.table_name: r for r in T.table_stats(spark, db).collect()}
-    assert after["recorte_x"].n_rows == after["recorte_x_bak"].n_rows == 20
+    assert after["recorte_x"].n_rows == after["recorte_x_bak"].n_rows == 24
     assert after["recorte_x"].n_files == 1
-    twenty_squares.repartition(4).write.partitionBy("bf_source").saveAsTable(f"{db}.recorte_p")
-    T.compact_table(spark, db, "recorte_p", fresh_path(spark, "c"), confirm=True)
-    assert spark.table(f"{db}.recorte_p").where("bf_source = 'google'").count() == 10
+    lots.repartition(4).write.partitionBy("bf_source").saveAsTable(f"{db}.recorte_p")
+    assert T.compact_table(spark, db, "recorte_p", fresh_path(spark, "c"), rows_per_file=8, confirm=True) == {"rows": 24, "files": 3}
+    assert spark.table(f"{db}.recorte_p").where("bf_source = 'google'").count() == 16
     names = {r.column_name: r.column_type for r in T.describe_table(spark, db, "recorte_p").collect()}
     assert names["id"] == "int" and names["bf_source"] == "string"
 
 
+def test_stats_go_on_after_an_unreadable_table(spark, lots):
+    path = fresh_path(spark, "db")
+    db = "db_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{path}'")
+    for name in ("a_good", "b_bad", "c_good"):
+        lots.coalesce(1).write.saveAsTable(f"{db}.{name}")
+    for f in spark.table(f"{db}.b_bad").inputFiles():
+        with open(f.removeprefix("file://"), "wb") as out:
+            out.write(b"no parquet")
+    rows = {r.table_name: r for r in T.table_stats(spark, db).collect()}
+    assert rows["a_good"].n_rows == rows["c_good"].n_rows == 24 and rows["b_bad"].error and rows["b_bad"].n_rows is None
+
+
 def test_polygon_area_ignores_ring_direction(spark):
     ring = square(0.0, 0.0, 2.0)
     df = spark.createDataFrame([([[ring, square(0.5, 0.5, 1.0)]],), ([[ring[::-1], square(0.5, 0.5, 1.0)]],)],

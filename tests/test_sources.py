@@ -4,7 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collection, documents, feature, square
+from conftest import LOT_DEPTH, LOT_WIDTH, WEST, collection, documents, feature, lot_corner, rectangle, square
 from rooftally.functions import geometry as G
 from rooftally.functions.wkb import multipolygon_to_wkb, wkb_stats, wkb_to_multipolygon
 from rooftally.sources import aois as A
@@ -12,56 +12,58 @@ from rooftally.sources import footprints as P
 from rooftally.sources import writers as K
 
 MP = "array<array<array<array<double>>>>"
-BOX = [[[-45.36, -21.90], [-45.36, -21.82], [-45.24, -21.82], [-45.24, -21.90], [-45.36, -21.90]]]
-TWO = [[[[-46, -22], [-45, -22], [-45, -21], [-46, -21], [-46, -22]]],
-       [[[-48, -24], [-47, -24], [-47, -23], [-48, -23], [-48, -24]]]]
+FIELD = [[[-51.5, -12.25], [-51.0, -12.5], [-50.75, -12.0], [-51.25, -11.75], [-51.5, -12.25]]]
+ISLES = [[rectangle(-40.5, -3.0, 0.25, 0.5)], [[[-32.5, -3.75], [-32.25, -3.75], [-32.375, -3.5], [-32.5, -3.75]]]]
 
 
 # --- areas of interest -------------------------------------------------------------------------------------------
 def test_list_skips_what_is_not_an_area(spark, tmp_path):
-    for name, text in {"b_area": collection(feature(BOX, nome="Área", populacao_2022=12609)), "broken": "nao eh json",
-                       "empty": collection(), "a_nolist": '{"type": "FeatureCollection"}'}.items():
-        (tmp_path / f"{name}.geojson").write_text(text, encoding="utf-8")
-    (tmp_path / "other.txt").write_text("ignored")
-    rows = A.list_aois(A.read_documents(spark, str(tmp_path))).collect()
-    assert [r.slug for r in rows] == ["a_nolist", "b_area"]
-    assert rows[0].properties == {}
-    assert rows[1].properties == {"nome": "Área", "populacao_2022": "12609"}
+    files = {"z_field.geojson": collection(feature(FIELD, nome="Várzea", lots=24)), "m_bare.geojson": json.dumps({"type": "FeatureCollection"}),
+             "a_text.geojson": "<html>moved</html>", "b_none.geojson": collection(), "c_field.json": collection(feature(FIELD))}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    listed = {r.slug: r.properties for r in A.list_aois(A.read_documents(spark, str(tmp_path))).collect()}
+    assert listed == {"m_bare": {}, "z_field": {"nome": "Várzea", "lots": "24"}}
 
 
 def test_missing_folder_is_an_empty_listing(spark, tmp_path):
     assert A.list_aois(A.read_documents(spark, str(tmp_path / "nowhere"))).count() == 0
 
 
-@pytest.mark.parametrize("document,violations", [
-    (collection(feature(BOX)), []),
-    (collection(feature([BOX], "MultiPolygon")), []),
-    (collection(feature(BOX), kind="Feature"), ["not a FeatureCollection"]),
-    (collection(), ["not exactly one feature", "not Polygon or MultiPolygon"]),
-    (collection(feature(BOX), feature(BOX)), ["not exactly one feature"]),
-    (collection(feature([-45.0, -21.0], "Point")), ["not Polygon or MultiPolygon"]),
-    (collection(feature([[[-200, 0], [200, 0], [200, 1], [-200, 0]]])), ["longitude outside [-180, 180]"]),
-    (collection(feature([[[0, 0], [1, 0], [1, 95], [0, 0]]])), ["latitude outside [-90, 90]"]),
-    (collection(feature([])), ["no coordinates"]),
-])
-def test_rules(spark, document, violations):
-    assert A.check_aois(documents(spark, a=document)).first().violations == violations
+def shifted(ring, dx=0.0, dy=0.0):
+    return [[x + dx, y + dy] for x, y in ring]
+
+
+def test_rules(spark):
+    """Each way of breaking a good document names its own rule."""
+    good = feature(FIELD)
+    broken = {
+        "plain": (collection(good), []),
+        "parts": (collection(feature(ISLES, "MultiPolygon")), []),
+        "renamed": (collection(good, kind="Topology"), ["not a FeatureCollection"]),
+        "doubled": (collection(good, feature(ISLES, "MultiPolygon")), ["not exactly one feature"]),
+        "emptied": (collection(), ["not exactly one feature", "not Polygon or MultiPolygon"]),
+        "line": (collection(feature(FIELD[0], "LineString")), ["not Polygon or MultiPolygon"]),
+        "east": (collection(feature([shifted(FIELD[0], dx=240.0)])), ["longitude outside [-180, 180]"]),
+        "north": (collection(feature([shifted(FIELD[0], dy=110.0)])), ["latitude outside [-90, 90]"]),
+        "bare": (collection(feature([])), ["no coordinates"])}
+    found = {r.slug: r.violations for r in A.check_aois(documents(spark, **{k: d for k, (d, _) in broken.items()})).collect()}
+    assert found == {k: v for k, (_, v) in broken.items()}
 
 
 def test_bounds_of_parts(spark):
-    r = A.read_aois(documents(spark, two=collection(feature(TWO, "MultiPolygon")))).first()
-    assert (r.minx, r.miny, r.maxx, r.maxy) == (-48, -24, -45, -21)
+    r = A.read_aois(documents(spark, isles=collection(feature(ISLES, "MultiPolygon")))).first()
+    assert (r.minx, r.miny, r.maxx, r.maxy) == (-40.5, -3.75, -32.25, -2.5)
 
 
-@pytest.mark.parametrize("properties,name", [({"nome": "Cambuquira", "uf": "MG"}, "Cambuquira/MG"),
-                                             ({"nome": "Cambuquira"}, "Cambuquira"), ({"uf": "MG"}, "slug/MG"),
-                                             ({"nome": "X", "uf": ""}, "X"), ({}, "slug")])
+@pytest.mark.parametrize("properties,name", [({"nome": "Várzea", "uf": "MT"}, "Várzea/MT"), ({"nome": "Várzea"}, "Várzea"),
+                                             ({"uf": "MT"}, "slug/MT"), ({"nome": "V", "uf": ""}, "V"), ({}, "slug")])
 def test_display_name(spark, properties, name):
-    assert A.read_aois(documents(spark, slug=collection(feature(BOX, **properties)))).first().display_name == name
+    assert A.read_aois(documents(spark, slug=collection(feature(FIELD, **properties)))).first().display_name == name
 
 
 def test_get_aoi(spark):
-    docs = documents(spark, good=collection(feature(BOX)), bad=collection(feature(BOX), kind="Feature"))
+    docs = documents(spark, good=collection(feature(FIELD)), bad=collection(feature(FIELD), kind="Feature"))
     assert A.get_aoi(docs, "good").first().slug == "good"
     with pytest.raises(LookupError):
         A.get_aoi(docs, "other")
@@ -70,12 +72,12 @@ def test_get_aoi(spark):
 
 
 def test_features_without_the_one_feature_rule(spark):
-    rows = A.read_features(documents(spark, a=collection(feature(BOX, k=1), feature(TWO, "MultiPolygon", k=2)))).collect()
+    rows = A.read_features(documents(spark, a=collection(feature(FIELD, k=1), feature(ISLES, "MultiPolygon", k=2)))).collect()
     assert [(r.feature_no, len(r.mp), r.properties["k"]) for r in rows] == [(0, 1, "1"), (1, 2, "2")]
 
 
 def test_ring_checks(spark):
-    docs = documents(spark, ok=collection(feature(BOX)), open=collection(feature([BOX[0][:-1]])),
+    docs = documents(spark, ok=collection(feature(FIELD)), open=collection(feature([FIELD[0][:-1]])),
                      far=collection(feature([square(10.0, 10.0, 1.0)])))
     rows = {r.slug: r for r in A.ring_checks(A.read_aois(docs), (-74, -34, -34, 5)).collect()}
     assert rows["ok"].closed and rows["ok"].four_points and rows["ok"].in_country
@@ -83,7 +85,7 @@ def test_ring_checks(spark):
 
 
 def test_enrich_fills_only_what_is_absent(spark):
-    b = A.read_aois(documents(spark, cambuquira_mg=collection(feature(BOX)), other_1=collection(feature(BOX))))
+    b = A.read_aois(documents(spark, cambuquira_mg=collection(feature(FIELD)), other_1=collection(feature(FIELD))))
     b = b.drop("properties").withColumn("code", F.when(F.col("slug") == "other_1", 3100000).otherwise(3110707))
     rows = {r.slug: r.properties for r in A.enrich_aois(b, A.default_metadata(spark), "code", "official").collect()}
     assert rows["cambuquira_mg"]["ibge_code"] == "3110707" and rows["cambuquira_mg"]["area_km2_oficial"] == "246.38"
@@ -96,29 +98,29 @@ def test_enrich_fills_only_what_is_absent(spark):
 
 def test_written_areas_are_not_replaced_unasked(spark, tmp_path):
     path = str(tmp_path / "aois")
-    aois = A.read_aois(documents(spark, one=collection(feature(BOX, nome='with "quotes" and ção')),
-                                 two=collection(feature(TWO, "MultiPolygon"))))
+    aois = A.read_aois(documents(spark, one=collection(feature(FIELD, nome='with "quotes" and ção')),
+                                 two=collection(feature(ISLES, "MultiPolygon"))))
     K.write_aois(aois, path)
     with pytest.raises(Exception, match="exist"):
         K.write_aois(aois, path)
     K.write_aois(aois, path, overwrite=True)
     back = A.read_aois(A.read_documents(spark, path, one_per_line=True)).orderBy("slug").collect()
     assert [r.slug for r in back] == ["one", "two"]
-    assert back[0].properties["nome"] == 'with "quotes" and ção' and back[1].minx == -48
+    assert back[0].properties["nome"] == 'with "quotes" and ção' and back[1].minx == -40.5
 
 
 # --- footprints ---------------------------------------------------------------------------------------------------
-def test_country_partition(spark, twenty_squares, tmp_path):
+def test_country_partition(spark, lots, tmp_path):
     base = str(tmp_path / "bucket")
-    two = twenty_squares.withColumn("country_iso", F.lit("BRA")).unionByName(
-        twenty_squares.withColumn("country_iso", F.lit("LSO")).where("id < 5"))
+    two = lots.withColumn("country_iso", F.lit("BRA")).unionByName(
+        lots.withColumn("country_iso", F.lit("LSO")).where("id < 5"))
     K.write_geoparquet(two, f"{base}/by_country_s2", "geometry", ("country_iso",))
     df = P.read_country(spark, base, "BRA")
-    assert df.count() == 20 and {"geometry", "bf_source"} <= set(df.columns)
+    assert df.count() == 24 and {"geometry", "bf_source"} <= set(df.columns)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(country_iso" in plan
     single = f"{base}/single"
-    (twenty_squares.where("bf_source = 'google'").drop("bf_source").withColumn("country_iso", F.lit("BR"))
+    (lots.where("bf_source = 'google'").drop("bf_source").withColumn("country_iso", F.lit("BR"))
      .write.partitionBy("country_iso").parquet(single))
     assert P.read_country_single_source(spark, single, "BR").select("bf_source").distinct().first()[0] == "google"
 
@@ -132,9 +134,9 @@ def test_bad_arguments(spark, call):
         call(spark)
 
 
-def test_measures_of_the_twenty_squares(spark, twenty_squares):
-    r = P.prepare_footprints(twenty_squares).agg(F.sum("area_deg2"), F.min("minx"), F.max("maxy")).first()
-    assert r[0] == pytest.approx(2e-5, rel=1e-9) and r[1] == -45.34 and r[2] == pytest.approx(-21.873)
+def test_measures_of_the_lots(spark, lots):
+    r = P.prepare_footprints(lots).agg(F.sum("area_deg2"), F.min("minx"), F.max("maxy")).first()
+    assert tuple(r) == (24 * LOT_WIDTH * LOT_DEPTH, WEST, lot_corner(23)[1] + LOT_DEPTH)
 
 
 # --- WKB -------------------------------------------------------------------------------------------------------------
@@ -181,22 +183,22 @@ def test_bad_wkb_is_an_error(spark, bad):
 
 # --- sinks -----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("collections", [False, True])
-def test_geojson(spark, twenty_squares, tmp_path, collections):
+def test_geojson(spark, lots, tmp_path, collections):
     path = str(tmp_path / "out")
-    K.write_geojson(twenty_squares, path, "geometry", ["bf_source"], collections=collections)
+    K.write_geojson(lots, path, "geometry", ["bf_source"], collections=collections)
     lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
     features = [f for line in lines for f in (line["features"] if collections else [line])]
-    assert len(features) == 20 and all(f["geometry"]["type"] == "Polygon" for f in features)
+    assert len(features) == 24 and all(f["geometry"]["type"] == "Polygon" for f in features)
     assert all(set(f["properties"]) == {"bf_source"} for f in features)
-    assert K.read_geojson(spark, path).where(F.size("mp") == 1).count() == 20
+    assert K.read_geojson(spark, path).where(F.size("mp") == 1).count() == 24
 
 
-def test_geoparquet_splits_a_country_over_files(spark, twenty_squares, tmp_path):
+def test_geoparquet_splits_a_country_over_files(spark, lots, tmp_path):
     path = str(tmp_path / "out")
-    many = twenty_squares.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("country_iso", F.lit("BRA"))
+    many = lots.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("country_iso", F.lit("BRA"))
     K.write_geoparquet(many, path, "geometry", ("country_iso",), files=4)
     back = spark.read.parquet(path)
-    assert back.count() == 1000 and len(back.inputFiles()) > 1
+    assert back.count() == 1200 and len(back.inputFiles()) > 1
     assert back.dtypes[back.columns.index("geometry")][1] == "binary"
 
 

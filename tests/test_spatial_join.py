@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collection, documents, feature, square
+from conftest import collection, documents, feature, lot_corner, square
 from exact import intersects, overlap_area
 from rooftally.functions import geometry as G
 from rooftally.functions.wkb import multipolygon_to_wkb
@@ -155,15 +155,15 @@ def test_full_tiles_need_no_boundary_work(spark):
     assert sum(n.values()) <= 67 * 67
 
 
-def test_small_area_cuts_squares(spark, twenty_squares):
-    """The documented small area meets the first two rows of squares, all from one source."""
-    doc = collection(feature([[[-45.34, -21.88], [-45.32, -21.88], [-45.32, -21.877], [-45.34, -21.877],
-                               [-45.34, -21.88]]], nome="pequena"))
-    tiles = J.tile_aois(read_aois(documents(spark, small=doc)))
-    rows = J.clip(twenty_squares, tiles, ("id", "bf_source", "confidence")).collect()
-    assert len(rows) == 10
-    assert {r.bf_source for r in rows} == {"google"}
-    assert rows[0].confidence >= 0.85
+def test_area_over_part_of_the_lots(spark, lots):
+    """A slanted area over the middle of two streets meets the eight lots there and no other."""
+    (x0, y0), (x1, y1) = lot_corner(2), lot_corner(13)
+    slanted = [[x0 - 0.0005, y0 - 0.001], [x1 + 0.0015, y0 - 0.001], [x1 + 0.0025, y1 + 0.001], [x0 - 0.0005, y1 + 0.001],
+               [x0 - 0.0005, y0 - 0.001]]
+    tiles = J.tile_aois(read_aois(documents(spark, middle=collection(feature([slanted])))))
+    rows = J.clip(lots, tiles, ("id", "bf_source", "confidence")).collect()
+    assert sorted(r.id for r in rows) == [2, 3, 4, 5, 10, 11, 12, 13]
+    assert {r.id: r.confidence for r in rows}[12] == 0.5 + 12 / 64
 
 
 def test_one_polygon_for_a_plain_cut(spark):
@@ -187,10 +187,10 @@ def test_null_geometry_falls_out(spark):
     assert [r.id for r in J.clip(wkb, tiles, ("id",)).collect()] == [2]
 
 
-def test_no_area_is_an_error(spark, twenty_squares):
-    empty = read_aois(documents(spark, bad="nao eh json"))
+def test_no_area_is_an_error(spark, lots):
+    empty = read_aois(documents(spark, bad="no json here"))
     with pytest.raises(ValueError):
-        J.clip(twenty_squares, J.tile_aois(empty))
+        J.clip(lots, J.tile_aois(empty))
 
 
 def test_crs_labels():
@@ -199,10 +199,10 @@ def test_crs_labels():
         J.check_crs("EPSG:4326", "EPSG:31983")
 
 
-def test_box_filter_reaches_the_scan(spark, twenty_squares, tmp_path):
+def test_box_filter_reaches_the_scan(spark, lots, tmp_path):
     doc = collection(feature([[[-45.0, -21.0], [-44.0, -21.0], [-44.0, -20.0], [-45.0, -20.0], [-45.0, -21.0]]]))
     tiles = J.tile_aois(read_aois(documents(spark, a=doc)))
-    prepare_footprints(twenty_squares).write.parquet(str(tmp_path / "f"))
+    prepare_footprints(lots).write.parquet(str(tmp_path / "f"))
     plan = J.clip(spark.read.parquet(str(tmp_path / "f")), tiles)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(maxx,-45.0)" in plan and "LessThanOrEqual(minx,-44.0)" in plan
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
