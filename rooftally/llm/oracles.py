@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rooftally.llm.license_scan import TEMPLATES
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 OP3 = rf"""
@@ -123,4 +125,56 @@ SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(gone, 0) AS n_removed, md5(le
 FROM d LEFT JOIN kept ON d.text = kept.text
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op3_quality_rules": OP3, "op6_url_filter": OP6, "op10_mixing": OP10}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_GRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = f"""
+WITH templates(license, template, words) AS (
+  SELECT license, template, regexp_extract_all({_LOWER.format('body')}, '[a-z0-9]+') FROM (VALUES
+  {", ".join(f"({_quoted(name)}, {k}, {_quoted(v)})" for name, versions in TEMPLATES.items() for k, v in enumerate(versions))}) AS v(license, template, body)),
+theirs AS (SELECT license, template, size, g, count(*) AS n FROM (
+             SELECT license, template, len(words) - 1 AS size, unnest({_GRAMS.format('words')}) AS g FROM templates) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''),
+line AS (SELECT r, doc_id, len(lines) AS n_lines, k - 1 AS k, lines[k] AS line,
+                trim(lines[k], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) = '' AS blank
+         FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM d)),
+block AS (SELECT *, count(*) FILTER (blank) OVER (PARTITION BY r ORDER BY k) AS b FROM line),
+extents AS (
+  SELECT r, doc_id, 'text' AS segment, 0 AS a, n_lines - 1 AS z, 0 AS rank_ FROM line WHERE k = 0
+  UNION ALL SELECT r, doc_id, 'paragraph', min(k), max(k), 1 FROM block WHERE NOT blank GROUP BY r, doc_id, b
+  UNION ALL SELECT r, doc_id, 'line', k, k, 2 FROM line WHERE NOT blank),
+largest AS (SELECT * FROM extents QUALIFY row_number() OVER (PARTITION BY r, a, z ORDER BY rank_) = 1),
+words AS (SELECT l.r, l.doc_id, segment, a, z, regexp_extract_all({_LOWER.format("string_agg(line, chr(10) ORDER BY k)")}, '[a-z0-9]+') AS ws
+          FROM largest l JOIN line ON line.r = l.r AND k BETWEEN a AND z GROUP BY l.r, l.doc_id, segment, a, z),
+mine AS (SELECT r, doc_id, segment, a, z, size, g, count(*) AS n FROM (
+           SELECT r, doc_id, segment, a, z, len(ws) - 1 AS size, unnest({_GRAMS.format('ws')}) AS g FROM words
+           WHERE len(ws) BETWEEN 2 AND 1000) GROUP BY ALL)
+SELECT doc_id, license, template::INTEGER AS template, segment, a::BIGINT AS first_line, z::BIGINT AS last_line,
+       round(2 * sum(least(mine.n, theirs.n)) / (any_value(mine.size) + any_value(theirs.size)), 6)::DOUBLE AS dice
+FROM mine JOIN theirs USING (g) GROUP BY r, doc_id, license, template, segment, a, z
+HAVING 2 * sum(least(mine.n, theirs.n)) / (any_value(mine.size) + any_value(theirs.size)) >= 0.8
+"""
+
+OP8 = """
+WITH d AS (SELECT DISTINCT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+windows AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 200)) AS g FROM (SELECT *, unnest(range(0, length(hx) // 2 - 99)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+steps AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b
+         FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM steps) GROUP BY doc_id, k),
+before AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM runs),
+kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+                string_agg(substr(hx, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head
+         FROM before JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op2_line_dedup": OP2, "op3_quality_rules": OP3, "op4_license_scan": OP4, "op6_url_filter": OP6, "op8_suffix_dedup": OP8,
+           "op10_mixing": OP10}
