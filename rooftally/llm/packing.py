@@ -214,21 +214,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, length: int =
     groups = (pieces.filter(F.col("length") < length)
               .withColumn("group", F.pmod(F.xxhash64("mix", "start"), F.lit(n_groups))))
     packed = write_and_read(groups.groupBy("group").applyInPandas(_pack_group(limits), PLACED), "packed")
-    # sequence numbers: those of the groups follow each other; full pieces come after them, numbered by their file's rows
-    sizes = packed.groupBy("group").agg((F.max("bin") + 1).alias("bins"))
-    bases = {r["group"]: r["bins"] for r in sizes.collect()} if n_groups <= 1000 else None
-    if bases is not None:
-        total, rows = 0, []
-        for g in sorted(bases):
-            rows.append((g, total))
-            total += bases[g]
-        first = docs.sparkSession.createDataFrame(rows, "group long, base long")
-        together = packed.join(F.broadcast(first), "group").withColumn("sequence_id", F.col("base") + F.col("bin"))
-    else:  # sparse numbers: a group has at most as many sequences as rows
-        together = packed.withColumn("sequence_id", F.col("group") * F.lit(1 << 32) + F.col("bin"))
-        total = n_groups << 32
+    # a group has fewer than 2^32 sequences; those of full pieces are numbered after all groups by the rows of the written table
+    together = packed.withColumn("sequence_id", F.col("group") * F.lit(1 << 32) + F.col("bin"))
     alone = (pieces.filter(F.col("length") == length)
-             .select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                     (F.lit(total) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+             .withColumn("sequence_id", F.lit(n_groups << 32) + F.monotonically_increasing_id())
+             .withColumn("offset", F.lit(0).cast("long")))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return together.select(columns).unionByName(alone.select(columns))
