@@ -79,6 +79,7 @@ def _cleaned(docs: DataFrame, site: str, least_sites: int, log_k: int) -> DataFr
     lines = write_and_read(line_rows(docs, site), "lines")
     common = write_and_read(boilerplate(lines, least_sites, log_k), "boilerplate")
     places = lines.join(common, ["l1", "l2"], "left_semi").groupBy("t1", "t2").agg(F.collect_list("line_no").alias("places"))
+    places = write_and_read(places, "places")  # read from a table, the join below can split a text of very many copies
     t1, t2 = text_key(F.col("text"))
     whole = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), t1.alias("t1"), t2.alias("t2"))
     return whole.join(places, ["t1", "t2"], "left").select("_row", without_lines("_text", "places").alias("_new"))

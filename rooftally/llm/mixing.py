@@ -92,11 +92,10 @@ def budgets(totals: DataFrame, exponent: float, budget: int | None = None) -> Da
     """
     live = F.col("tokens") > 0
     relative = F.when(live, F.pow(F.col("tokens").cast("double"), F.lit(exponent - 1.0)))
-    base = totals.agg(F.min(relative).alias("least"), F.sum(F.when(live, F.pow(F.col("tokens").cast("double"), F.lit(exponent)))).alias("z"))
-    scale = F.lit(budget) / F.col("z") if budget is not None else 1 / F.col("least")
-    both = totals.crossJoin(F.broadcast(base))  # one row beside each source: the normaliser
-    return both.withColumn("repeats", F.round(F.coalesce(relative * scale, F.lit(0.0)), 6)).withColumn(
-        "quota", F.floor(F.round(F.col("tokens") * F.col("repeats"), 3)).cast("long")).drop("least", "z")
+    base = totals.agg(F.min(relative).alias("least"), F.sum(F.when(live, F.pow(F.col("tokens").cast("double"), F.lit(exponent)))).alias("z")).head()
+    whole = relative / F.lit(base["least"] or 1.0) if budget is None else relative * F.lit(budget / (base["z"] or 1.0))
+    return totals.withColumn("repeats", F.round(F.coalesce(whole, F.lit(0.0)), 6)).withColumn(
+        "quota", F.floor(F.round(F.col("tokens") * F.col("repeats"), 3)).cast("long"))
 
 
 def _order(*parts: Column) -> Column:

@@ -66,17 +66,14 @@ def host_verdicts(digests: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     k = m (1 - m) / between - 1, at least 1. Without such variance a host's own rate counts for nothing: k = 1e9.
     NULL hosts are one host. An empty table gives no rows.
     """
-    hosts = digests.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    m = F.sum("failed") / F.sum("n")
-    overall = hosts.agg(m.alias("m"))
-    spread = hosts.crossJoin(F.broadcast(overall)).agg(  # one row beside each host: the overall rate
-        F.first("m").alias("m"), F.avg((F.col("failed") / F.col("n") - F.col("m")) ** 2).alias("seen"),
-        F.avg(F.col("m") * (1 - F.col("m")) / F.col("n")).alias("chance"))
-    between = F.col("seen") - F.col("chance")
-    prior = spread.select("m", F.when(between > 1e-12, F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / between - 1))
-                          .otherwise(1e9).alias("k"))
-    rate = (F.col("failed") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k"))
-    return (hosts.crossJoin(F.broadcast(prior)).withColumn("shrunk_rate", rate)
+    hosts = write_and_read(digests.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
+    m = hosts.agg(F.sum("failed") / F.sum("n")).head()[0] or 0.0
+    spread = hosts.agg(F.avg((F.col("failed") / F.col("n") - m) ** 2).alias("seen"), F.avg(F.lit(m * (1 - m)) / F.col("n")).alias("chance")).head()
+    between = (spread["seen"] or 0.0) - (spread["chance"] or 0.0)
+    k = max(1.0, m * (1 - m) / between - 1) if between > 1e-12 else 1e9
+    rate = (F.col("failed") + F.lit(k * m)) / (F.col("n") + F.lit(k))
+    return (hosts.withColumn("shrunk_rate", rate)
             .select("host", "n", "failed", "shrunk_rate", (F.col("shrunk_rate") > limit).alias("host_failed")))
 
 

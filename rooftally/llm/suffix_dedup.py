@@ -29,7 +29,7 @@ from rooftally.workspace import fresh_path, write_and_read
 LENGTH = 100
 GRAM = 24
 #: Anchors of an exchange part, and contexts of a sorting bucket.
-PART_ANCHORS = 1_500_000
+PART_ANCHORS = 500_000
 BUCKET_CONTEXTS = 20_000
 #: Occurrences from which an anchor's windows are dealt one by one.
 HOT = 2_000
@@ -294,7 +294,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) ->
     digests = texts.join(runs.hint("shuffle_hash"), ["t1", "t2"], "left").select("t1", "t2", "text", "first", "last").mapInArrow(
         _digest(with_text), shape + ", kept binary" * with_text)
     firsts = texts.select("t1", "t2", F.col("doc_id").alias("first_id"))
-    each = body.select("doc_id", "t1", "t2").join(firsts.join(digests, ["t1", "t2"]), ["t1", "t2"])
+    # read from a table, so that the join can split a text of very many copies
+    known = write_and_read(firsts.join(digests, ["t1", "t2"]), "digests")
+    each = body.select("doc_id", "t1", "t2").join(known, ["t1", "t2"])
     copy = ~F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("n_bytes") >= LENGTH)
     return each.select("doc_id", "n_bytes", *[
         F.when(copy, value).otherwise(F.col(c)).alias(c) for c, value in (
