@@ -12,9 +12,10 @@ from pyspark.sql import functions as F, types as T
 
 from rooftally.functions.geometry import MULTIPOLYGON_TYPE
 
-# Fixed values of the format.
-POLYGON, MULTI = 3, 6
-EWKB_SRID_FLAG = 0x20000000
+# Fixed values of the format: kinds, the flags of its extended form, and what the other form adds to a kind for Z and M.
+POINT, LINE, POLYGON, MULTI_POINT, MULTI_LINE, MULTI = 1, 2, 3, 4, 5, 6
+EWKB_Z_FLAG, EWKB_M_FLAG, EWKB_SRID_FLAG = 0x80000000, 0x40000000, 0x20000000
+ISO_STEP = 1000
 
 STATS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("minx", "miny", "maxx", "maxy", "area_deg2")])
 
@@ -53,67 +54,90 @@ class _Cursor:
         raw = np.where(self.little[rows][:, None], raw, raw[:, ::-1])
         return np.ascontiguousarray(raw).view("<u4")[:, 0].astype(np.int64)
 
-    def doubles(self, rows, counts):
-        """Skip ``counts`` points per row; return their start offsets."""
+    def points(self, rows, counts, widths):
+        """Skip ``counts`` points of ``widths`` numbers per row; return their start offsets."""
         start = self.at[rows].copy()
-        self.at[rows] += counts * 16
+        self.at[rows] += counts * widths * 8
         if np.any(self.at[rows] > self.end[rows]):
             raise ValueError("truncated WKB geometry")
         return start
 
 
 def _header(cur: _Cursor, rows):
+    """Kind and numbers per point of the next geometry of each row; both ways of marking Z and M are known."""
     cur.order(rows)
-    kind = cur.uint(rows)
-    srid = rows[(kind & EWKB_SRID_FLAG) != 0]
+    raw = cur.uint(rows)
+    srid = rows[(raw & EWKB_SRID_FLAG) != 0]
     if len(srid):
         cur.uint(srid)
-    return kind & 0xFF
+    step = (raw & 0x0FFFFFFF) // ISO_STEP  # 1: Z, 2: M, 3: both
+    has_z = ((raw & EWKB_Z_FLAG) != 0) | (step == 1) | (step == 3)
+    has_m = ((raw & EWKB_M_FLAG) != 0) | (step == 2) | (step == 3)
+    if (step > 3).any():
+        raise ValueError("unknown WKB geometry")
+    return (raw & 0x0FFFFFFF) % ISO_STEP, 2 + has_z.astype(np.int64) + has_m
 
 
 def _rings(column: pa.Array):
-    """All rings of a batch in order: geometry, polygon and ring number, and the vertex coordinates."""
+    """All rings of a batch in order: geometry, polygon and ring number, whether it bounds an area, and the vertices.
+
+    Only x and y are read of points with more numbers. A line is a ring there and back, a point a ring that stays where it is;
+    neither bounds an area.
+    """
     cur = _Cursor(column)
+    n = len(cur.at)
     rows = np.flatnonzero(cur.valid)
-    kind = _header(cur, rows)
-    if not np.isin(kind, (POLYGON, MULTI)).all():
-        raise ValueError("only Polygon and MultiPolygon geometries are supported")
-    parts = np.zeros(len(cur.at), np.int64)
-    multi = rows[kind == MULTI]
+    kind, width = np.zeros(n, np.int64), np.full(n, 2)
+    kind[rows], width[rows] = _header(cur, rows)
+    if not ((kind[rows] >= POINT) & (kind[rows] <= MULTI)).all():
+        raise ValueError("only points, lines and polygons are supported")
+    is_multi = kind >= MULTI_POINT
+    parts = np.zeros(n, np.int64)
     parts[rows] = 1
+    multi = np.flatnonzero(is_multi)
     parts[multi] = cur.uint(multi)
-    is_multi = np.zeros(len(cur.at), bool)
-    is_multi[multi] = True
+    single = np.where(is_multi, kind - 3, kind)
 
-    found = []  # (geometry, polygon, ring, start, count, little)
+    found = []  # (geometry, polygon, ring, start, count, little, bytes of a point)
     polygon = 0
     while len(rows := np.flatnonzero(parts > polygon)):
         inner = rows[is_multi[rows]]
         if len(inner):
-            _header(cur, inner)
-        n_rings = np.zeros(len(cur.at), np.int64)
-        n_rings[rows] = cur.uint(rows)
+            own, width[inner] = _header(cur, inner)
+            if (own != single[inner]).any():
+                raise ValueError("mixed kinds in a WKB geometry")
+        n_rings = np.zeros(n, np.int64)
+        n_rings[rows] = 1
+        shells = rows[single[rows] == POLYGON]
+        n_rings[shells] = cur.uint(shells)
         ring = 0
         while len(here := np.flatnonzero(n_rings > ring)):
-            count = cur.uint(here)
-            start = cur.doubles(here, count)
-            found.append((here, np.full(len(here), polygon), np.full(len(here), ring), start, count,
-                          cur.little[here]))
+            count = np.ones(len(here), np.int64)
+            listed = single[here] != POINT
+            count[listed] = cur.uint(here[listed])
+            start = cur.points(here, count, width[here])
+            found.append((here, np.full(len(here), polygon), np.full(len(here), ring), start, count, cur.little[here],
+                          8 * width[here]))
             ring += 1
         polygon += 1
     if not found:
         empty = np.zeros(0, np.int64)
-        return parts, empty, empty, empty, empty, np.zeros(0), np.zeros(0)
-    geom, poly, ring, start, count, little = (np.concatenate(c) for c in zip(*found))
+        return parts, empty, empty, empty, empty.astype(bool), empty, np.zeros(0), np.zeros(0)
+    geom, poly, ring, start, count, little, size = (np.concatenate(c) for c in zip(*found))
     order = np.lexsort((ring, poly, geom))
-    geom, poly, ring, start, count, little = (c[order] for c in (geom, poly, ring, start, count, little))
-    at = np.repeat(start, count) + 16 * _ranges(count)
+    geom, poly, ring, start, count, little, size = (c[order] for c in (geom, poly, ring, start, count, little, size))
+    bounds = single[geom] == POLYGON
+    # lines there and back, points four times
+    longer = np.where(bounds, count, np.where(single[geom] == POINT, 4, np.maximum(2 * count - 1, 0)))
+    step, last = _ranges(longer), np.repeat(count - 1, longer)
+    step = np.where(np.repeat(single[geom] == POINT, longer), 0, np.where(step > last, 2 * last - step, step))
+    at = np.repeat(start, longer) + np.repeat(size, longer) * step
     raw = cur.data[at[:, None] + np.arange(16)]
-    big = ~np.repeat(little, count)
+    big = ~np.repeat(little, longer)
     if big.any():
         raw[big] = np.concatenate([raw[big, 7::-1], raw[big, 15:7:-1]], axis=1)
     xy = np.ascontiguousarray(raw).view("<f8")
-    return parts, geom, poly, ring, count, xy[:, 0], xy[:, 1]
+    return parts, geom, poly, ring, bounds, longer, xy[:, 0], xy[:, 1]
 
 
 def _offsets(counts):
@@ -122,7 +146,7 @@ def _offsets(counts):
 
 @F.arrow_udf(MULTIPOLYGON_TYPE)
 def wkb_to_multipolygon(column: pa.Array) -> pa.Array:
-    parts, geom, poly, ring, count, x, y = _rings(column)
+    parts, geom, poly, ring, _, count, x, y = _rings(column)
     flat = pa.array(np.column_stack([x, y]).ravel())
     pts = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(x) + 1, 2), pa.int32()), flat)
     rings = pa.ListArray.from_arrays(_offsets(count), pts)
@@ -134,9 +158,25 @@ def wkb_to_multipolygon(column: pa.Array) -> pa.Array:
 
 @F.arrow_udf(STATS)
 def wkb_stats(column: pa.Array) -> pa.Array:
-    """Bounding box and planar area straight from the bytes, without building vertex lists."""
-    _, geom, _, ring, count, x, y = _rings(column)
-    return _measure(len(column), geom, ring, count, x, y)
+    """Bounding box and planar area straight from the bytes, without building vertex lists; points and lines have none."""
+    _, geom, _, ring, bounds, count, x, y = _rings(column)
+    return _measure(len(column), geom, ring, count, x, y, bounds)
+
+
+@F.arrow_udf(T.StringType())
+def wkb_problem(column: pa.Array) -> pa.Array:
+    """Why a geometry can't be read, NULL if it can: to count and set aside bad rows before they end a job."""
+    def problems(part: pa.Array) -> list[str | None]:
+        try:
+            _rings(part)
+            return [None] * len(part)
+        except (ValueError, IndexError) as e:
+            if len(part) == 1:
+                return [str(e)]
+            half = len(part) // 2
+            return problems(part.slice(0, half)) + problems(part.slice(half))
+
+    return pa.array(problems(column), pa.string())
 
 
 @F.arrow_udf(STATS)
@@ -156,11 +196,12 @@ def multipolygon_stats(column: pa.Array) -> pa.Array:
     return _measure(len(column), geom, _ranges(per_polygon), count, numbers[start], numbers[start + 1])
 
 
-def _measure(n, geom, ring, count, x, y) -> pa.Array:
+def _measure(n, geom, ring, count, x, y, bounds=None) -> pa.Array:
     box = [np.full(n, v) for v in (np.inf, np.inf, -np.inf, -np.inf)]
     area = np.zeros(n)
     keep = count > 0
-    geom, ring, count = geom[keep], ring[keep], count[keep]
+    sign = np.where(ring == 0, 0.5, -0.5)[keep] if bounds is None else np.where(bounds, np.where(ring == 0, 0.5, -0.5), 0.0)[keep]
+    geom, count = geom[keep], count[keep]
     if len(count):
         start = np.cumsum(count) - count
         np.minimum.at(box[0], geom, np.minimum.reduceat(x, start))
@@ -171,7 +212,7 @@ def _measure(n, geom, ring, count, x, y) -> pa.Array:
         nxt = np.arange(len(x)) + 1
         nxt[start + count - 1] = start
         cross = np.add.reduceat(dx * dy[nxt] - dx[nxt] * dy, start)
-        np.add.at(area, geom, np.where(ring == 0, 0.5, -0.5) * np.abs(cross))
+        np.add.at(area, geom, sign * np.abs(cross))
     empty = ~np.isfinite(box[0])
     return pa.StructArray.from_arrays(
         [pa.array(v, mask=empty) for v in (*box, area)], ["minx", "miny", "maxx", "maxy", "area_deg2"])
@@ -179,32 +220,48 @@ def _measure(n, geom, ring, count, x, y) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def multipolygon_to_wkb(column: pa.Array) -> pa.Array:
-    """Little-endian WKB; a single polygon is written as Polygon, anything else as MultiPolygon."""
+    """Little-endian WKB; a single polygon is written as Polygon, anything else as MultiPolygon.
+
+    The headers and vertices of the whole batch are scattered into one buffer. Of a point only x and y are written.
+    """
     polygons = column.flatten()
     rings = polygons.flatten()
-    xy = rings.flatten().flatten().to_numpy(zero_copy_only=False).astype("<f8")
-    ring_sizes = rings.value_lengths().to_numpy(zero_copy_only=False)
-    ring_counts = polygons.value_lengths().to_numpy(zero_copy_only=False)
-    part_counts = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    points = rings.flatten()
+    at = points.offsets.to_numpy()[:-1]
+    numbers = points.values.to_numpy(zero_copy_only=False)
+    xy = np.stack([numbers[at], numbers[at + 1]], axis=1).astype("<f8") if len(at) else np.zeros((0, 2), "<f8")
+
+    def sizes(lists):
+        return np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+    parts, n_rings, count = sizes(column), sizes(polygons), sizes(rings)
     valid = np.asarray(column.is_valid())
-    body = xy.tobytes()
-
-    def head(kind, n):
-        return b"\x01" + int(kind).to_bytes(4, "little") + int(n).to_bytes(4, "little")
-
-    out, p, r, b = [], 0, 0, 0
-    for ok, n_parts in zip(valid, part_counts):
-        if not ok:
-            out.append(None)
-            continue
-        pieces = [] if n_parts == 1 else [head(MULTI, n_parts)]
-        for n_rings in ring_counts[p:p + n_parts]:
-            pieces.append(head(POLYGON, n_rings))
-            for size in ring_sizes[r:r + n_rings]:
-                pieces.append(int(size).to_bytes(4, "little"))
-                pieces.append(body[b:b + 16 * size])
-                b += 16 * size
-            r += n_rings
-        p += n_parts
-        out.append(b"".join(pieces))
-    return pa.array(out, pa.binary())
+    multi = valid & (parts != 1)
+    geom_of_poly = np.repeat(np.arange(len(column)), parts)
+    poly_of_ring = np.repeat(np.arange(len(polygons)), n_rings)
+    ring_bytes = 4 + 16 * count
+    headers = 9 * np.cumsum(multi)  # of multi geometries up to and with each geometry
+    ring_at = np.cumsum(ring_bytes) - ring_bytes + 9 * (poly_of_ring + 1) + headers[geom_of_poly[poly_of_ring]]
+    poly_bytes = 9 + np.bincount(poly_of_ring, ring_bytes, len(polygons)).astype(np.int64)
+    poly_at = np.cumsum(poly_bytes) - poly_bytes + headers[geom_of_poly]
+    geom_bytes = 9 * multi + np.bincount(geom_of_poly, poly_bytes, len(column)).astype(np.int64)
+    ends = np.cumsum(geom_bytes)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+
+    def put(where, values):
+        raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(where), -1)
+        out[where[:, None] + np.arange(raw.shape[1])] = raw
+
+    for where, kind, n in ((poly_at, POLYGON, n_rings), ((ends - geom_bytes)[multi], MULTI, parts[multi])):
+        if len(where):
+            out[where] = 1
+            put(where + 1, np.full(len(where), kind, "<u4"))
+            put(where + 5, n.astype("<u4"))
+    if len(ring_at):
+        put(ring_at, count.astype("<u4"))
+    if len(xy):
+        put(np.repeat(ring_at + 4, count) + 16 * _ranges(count), xy)
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [
+        None if valid.all() else pa.array(valid).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(out)])
+    return flat.cast(pa.binary())
