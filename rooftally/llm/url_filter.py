@@ -24,12 +24,12 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
-    return F.coalesce(F.translate(F.regexp_extract(url, r"^(?:(?!://)[\s\S])*://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(url, r"^[\s\S]*?://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """After the host up to ``?``, ``#`` or the end; empty without ``://``."""
-    return F.coalesce(F.regexp_extract(url, r"^(?:(?!://)[\s\S])*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def _located(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
@@ -40,7 +40,7 @@ def _located(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     host, path, query, node = (prefix + c for c in ("host", "path", "query", "node"))
     parts = compute_once(df, **{
         host: host_of(F.col(url)), path: path_of(F.col(url)),
-        query: F.coalesce(F.regexp_extract(url, r"^(?:(?!://)[\s\S])*://[^?#]*(\?[^#]*)", 1), F.lit(""))})
+        query: F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^?#]*(\?[^#]*)", 1), F.lit(""))})
     whole = F.when(F.col(host) != "", F.concat(host, F.when(F.col(path) == "", F.lit("/")).otherwise(F.col(path)), query))
     return parts.withColumn(node, whole).drop(query)
 
