@@ -8,8 +8,12 @@ from rooftally.functions import measures as M
 from rooftally.operators.summary import aoi_summary, area_histogram, summary_maps
 
 
-def dashboard_payload(clip: DataFrame, aois: DataFrame, layers_path: str = "data") -> DataFrame:
-    """One nested record per area; no areas is an error."""
+def dashboard_payload(clip: DataFrame, aois: DataFrame, layers_path: str = "data", written: DataFrame | None = None) -> DataFrame:
+    """One nested record per area; no areas is an error.
+
+    ``files`` lists the folders of each source's layer, one per part; ``written`` is what
+    ``write_layers`` returned.
+    """
     if not aois.take(1):
         raise ValueError("give at least one area of interest")
     box = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
@@ -19,8 +23,17 @@ def dashboard_payload(clip: DataFrame, aois: DataFrame, layers_path: str = "data
         F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("buckets"))
     histogram = by_source.groupBy("aoi").agg(
         F.map_from_entries(F.collect_list(F.struct("bf_source", "buckets"))).alias("histogram"))
-    files = F.create_map(*[v for s in M.SOURCES for v in (
-        F.lit(s), F.concat(F.lit(f"{layers_path}/aoi="), "slug", F.lit(f"/bf_source={s}")))])
+    def parts(source):
+        numbers = F.sequence(F.lit(0), F.coalesce(F.col("_parts")[source], F.lit(1)) - 1)
+        return F.transform(numbers, lambda k: F.concat(F.lit(f"{layers_path}/aoi="), "slug", F.lit(f"/bf_source={source}/part="), k))
+
+    if written is not None:
+        per_area = written.groupBy(F.col("aoi").alias("slug")).agg(
+            F.map_from_entries(F.collect_list(F.struct("bf_source", "parts"))).alias("_parts"))
+        aois = aois.join(per_area, "slug", "left")
+    else:
+        aois = aois.withColumn("_parts", F.create_map().cast("map<string,int>"))
+    files = F.create_map(*[v for s in M.SOURCES for v in (F.lit(s), parts(s))])
     described = aois.select(
         F.col("slug").alias("aoi"), "properties", F.array("miny", "minx").alias("bounds_sw"),
         F.array("maxy", "maxx").alias("bounds_ne"), files.alias("files"),

@@ -263,8 +263,17 @@ ORACLES: dict[str, str] = {
                round(sum(area_deg2 * 1e9), 2) AS simplified_area
         FROM clip WHERE m2 >= 100 GROUP BY slug, bf_source"""),
     "write_layers": _world("""
-        SELECT slug AS aoi, bf_source, count(*) AS n, round(sum(round(m2, 2)), 2) AS area_m2
-        FROM clip WHERE m2 >= 100 GROUP BY slug, bf_source"""),
+        SELECT a.slug AS aoi, s.bf_source, count(DISTINCT c.id) AS n, coalesce(round(sum(round(m2, 2)), 2), 0.0) AS area_m2,
+               greatest(1, ceil(count(c.id) / 500))::BIGINT AS n_files
+        FROM aoi a CROSS JOIN (VALUES ('google'), ('microsoft')) s(bf_source)
+        LEFT JOIN clip c ON c.slug = a.slug AND c.bf_source = s.bf_source AND m2 >= 100 GROUP BY ALL"""),
+    "summary_json": _world(f"SELECT aoi, bf_source, n, {_rounded('area_m2, mean_m2', 2)} FROM summary", SUMMARY),
+    "write_clip": _world(f"SELECT aoi, bf_source, n, {_rounded('area_m2, mean_m2', 2)} FROM summary", SUMMARY),
+    "read_features": _world("""
+        SELECT slug, i AS feature_no, CASE WHEN key % 20 = 10 THEN 0
+                                          WHEN shape = 'parts' AND key % 20 NOT IN (11, 12, 13) THEN 2 ELSE 1 END::BIGINT AS n_parts,
+               s_name AS nome
+        FROM aoi, LATERAL (SELECT unnest(range(0, CASE key % 20 WHEN 9 THEN 2 WHEN 14 THEN 0 WHEN 7 THEN 0 ELSE 1 END)) AS i)"""),
     "geojson_roundtrip": _world(f"""
         SELECT id, bf_source, 2::BIGINT AS n_properties, round(area_deg2 * {FACTOR_2188}, 2) AS area_m2 FROM fp_all"""),
     "geoparquet_roundtrip": _world(f"""
@@ -278,12 +287,15 @@ ORACLES: dict[str, str] = {
         FROM fp_all"""),
     "dashboard_payload": _world("""
         SELECT a.slug AS aoi, a.display_name, coalesce(w.total, 0)::BIGINT AS total, round(a.miny, 4) AS south,
-               round(a.maxx, 4) AS east, 'data/aoi=' || a.slug || '/bf_source=google' AS google_file,
+               round(a.maxx, 4) AS east,
+               'data/aoi=' || a.slug || '/bf_source=google/part=' || greatest(0, ceil(coalesce(f.n, 0) / 50)::BIGINT - 1) AS google_file,
                coalesce(w.n_microsoft, 0)::BIGINT AS n_microsoft,
                coalesce(k.n, 0)::BIGINT AS big_google,
                round(coalesce(a.stated_km2, a.bbox_km2), 4) AS official_km2
         FROM aoi a LEFT JOIN wide w ON w.aoi = a.slug
-        LEFT JOIN classed k ON k.slug = a.slug AND k.bf_source = 'google' AND k.bucket = '>=500'""", WIDE, BUCKETS),
+        LEFT JOIN classed k ON k.slug = a.slug AND k.bf_source = 'google' AND k.bucket = '>=500'
+        LEFT JOIN (SELECT slug, count(*) AS n FROM clip WHERE bf_source = 'google' AND m2 >= 100 GROUP BY slug) f
+          ON f.slug = a.slug""", WIDE, BUCKETS),
     "table_stats": _world("""
         SELECT 'footprints_' || lower(country_iso) AS table_name, count(*) AS n_rows, true AS prunable
         FROM fp_all JOIN country USING (custkey) GROUP BY country_iso

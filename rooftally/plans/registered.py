@@ -312,13 +312,15 @@ def layers(spark, sf):
 
 
 def write_layers(spark, sf):
-    """Layers written per area and source as FeatureCollections, and read back."""
+    """Layers of a few features per part, each file read back as one document; empty layers too."""
     path = fresh_path(spark, "layers")
     thin = L.layers(world_clip(spark, sf, with_geometry=True), min_area_m2=100.0)
-    K.write_geojson(thin, path, partition_by=("aoi", "bf_source"), collections=True)
-    back = K.read_geojson(spark, path)
-    return _rounded(back.groupBy("aoi", "bf_source").agg(
-        F.count("*").alias("n"), F.sum(F.col("properties")["area_m2"].cast("double")).alias("area_m2")))
+    K.write_layers(thin, world_aois(spark, sf), path, M.SOURCES, part_features=500)
+    whole = spark.read.text(path, wholetext=True).select("aoi", "bf_source", F.from_json(
+        "value", "struct<type: string, features: array<struct<properties: struct<area_m2: double>>>>").alias("d"))
+    return _rounded(whole.where("d.type = 'FeatureCollection'").groupBy("aoi", "bf_source").agg(
+        F.count("*").alias("n_files"), F.sum(F.size("d.features")).alias("n"),
+        F.sum(F.aggregate("d.features", F.lit(0.0), lambda a, x: a + x["properties"]["area_m2"])).alias("area_m2")))
 
 
 def geojson_roundtrip(spark, sf):
@@ -353,17 +355,42 @@ def wkb_decode(spark, sf):
 
 
 def payload(spark, sf):
-    records = dashboard_payload(world_clip(spark, sf), world_aois(spark, sf))
+    """The records name the parts that ``write_layers`` gives the same layers."""
+    clipped, aois = world_clip(spark, sf), world_aois(spark, sf)
+    parts = K.layer_parts(L.filter_min_area(clipped, 100.0, F.col("m2_factor")), aois, M.SOURCES, part_features=50)
+    records = dashboard_payload(clipped, aois, written=parts)
     path = fresh_path(spark, "payload")
     K.write_records(records, path)
     back = spark.read.schema(records.schema).json(path)
     return _rounded(back.select(
         "aoi", "display_name", "total", F.col("bounds_sw")[0].alias("south"), F.col("bounds_ne")[1].alias("east"),
-        F.col("files")["google"].alias("google_file"),
+        F.element_at(F.col("files")["google"], -1).alias("google_file"),
         F.coalesce(F.col("n_by_source")["microsoft"], F.lit(0)).alias("n_microsoft"),
         F.col("histogram")["google"][">=500"].alias("big_google"), "official_km2"), 4)
 
 
+def summary_json(spark, sf):
+    """Summaries written as JSON lines and read back."""
+    summary, path = S.aoi_summary(world_clip(spark, sf)), fresh_path(spark, "summary")
+    K.write_records(summary, path)
+    return _rounded(spark.read.schema(summary.schema).json(path))
+
+
+def write_clip(spark, sf):
+    """A clip kept by area, one of its areas written again, and summarised."""
+    path = fresh_path(spark, "clip")
+    clipped = world_clip(spark, sf)
+    K.write_clip(clipped, path)
+    K.write_clip(clipped.where("aoi LIKE '%7'"), path)
+    return _rounded(S.aoi_summary(spark.read.parquet(path)))
+
+
+def read_features(spark, sf):
+    features = A.read_features(W.aoi_documents(spark, sf, broken=True))
+    return features.select("slug", F.col("feature_no").cast("bigint").alias("feature_no"),
+                           F.coalesce(F.size("mp"), F.lit(0)).cast("bigint").alias("n_parts"), F.col("properties")["nome"].alias("nome"))
+
+
 # --- tables -----------------------------------------------------------------------------------------------------------
 def _new_database(spark) -> str:
     path = fresh_path(spark, "db")
@@ -426,7 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     count_total, count_by_source, area_by_source, mean_area_by_source, distinct_sources,
     aoi_summary, aoi_summary_maps, compare_aois, density_official, share_by_source, area_histogram,
     comparison_table, built_area_gap, coverage_class, aoi_ratio,
-    layers, write_layers, geojson_roundtrip, geoparquet_roundtrip, wkb_decode, payload,
+    layers, write_layers, summary_json, write_clip, read_features, geojson_roundtrip, geoparquet_roundtrip, wkb_decode, payload,
     table_stats, prune_dry_run, prune_confirmed, compact_counts, describe_table,
 )}
 QUERIES["dashboard_payload"] = QUERIES.pop("payload")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rooftally.functions.geometry import MULTIPOLYGON
 from rooftally.functions.plan import compute_once, row_hash
 from rooftally.functions.wkb import multipolygon_to_wkb
 from rooftally.operators.grid import z_order
 from rooftally.sources.footprints import as_multipolygon, prepare_footprints
+from rooftally.workspace import write_and_read
+
+PART_FEATURES = 50_000
 
 _POLYGON = "array<array<array<double>>>"
 
@@ -43,34 +43,52 @@ def geojson_features(df: DataFrame, geometry: str = "mp", columns: list[str] | N
                      .alias("value"))
 
 
-def _as_collections(features: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Join the features of each Arrow batch to one FeatureCollection per line: streamed, and no shuffle."""
-    def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            groups = batch.groupby(list(keys), sort=False, dropna=False) if keys else [((), batch)]
-            yield pd.DataFrame([
-                (*(key if isinstance(key, tuple) else (key,)),
-                 '{"type":"FeatureCollection","features":[' + ",".join(rows["value"]) + "]}")
-                for key, rows in groups], columns=[*keys, "value"])
-
-    return features.mapInPandas(wrap, features.schema)
-
-
 def write_geojson(df: DataFrame, path: str, geometry: str = "mp", columns: list[str] | None = None,
-                  partition_by: tuple[str, ...] = (), collections: bool = False, mode: str = "overwrite") -> str:
-    """Write features, one per line (or one FeatureCollection per line and batch), split by ``partition_by``."""
+                  partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> str:
+    """Write features, one per line, split by ``partition_by``."""
     features = gathered(geojson_features(df, geometry, columns, partition_by), partition_by)
-    if collections:
-        features = _as_collections(features, partition_by)
     features.write.mode(mode).partitionBy(*partition_by).text(path)
     return path
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features written by ``write_geojson``, either way: partition columns, properties, geometry."""
+def layer_parts(layers: DataFrame, aois: DataFrame, sources: tuple[str, ...], part_features: int = PART_FEATURES) -> DataFrame:
+    """Parts and features of each layer, zero features included: aoi, bf_source, parts, n."""
+    sized = layers.groupBy("aoi", "bf_source").agg(F.count("*").alias("n"))
+    every = aois.select(F.col("slug").alias("aoi"), F.explode(F.array(*map(F.lit, sources))).alias("bf_source"))
+    n = F.coalesce("n", F.lit(0))
+    return every.join(sized, ["aoi", "bf_source"], "left").select(
+        "aoi", "bf_source", F.greatest(F.lit(1), F.ceil(n / part_features)).cast("int").alias("parts"), n.alias("n"))
+
+
+def write_layers(layers: DataFrame, aois: DataFrame, path: str, sources: tuple[str, ...], geometry: str = "mp",
+                 part_features: int = PART_FEATURES, mode: str = "overwrite") -> DataFrame:
+    """Write one FeatureCollection document per area, source and part, also where there is no feature.
+
+    A layer has one part per ``part_features`` features, chosen by content; a part is one file, written line by line by
+    one task, and a document by itself. Returns the list of what was written: aoi, bf_source, parts, n.
+    """
+    keys = ["aoi", "bf_source"]
+    features = write_and_read(geojson_features(layers, geometry, keys=tuple(keys)), "features")
+    frame = write_and_read(layer_parts(features, aois, sources, part_features), "layers")
+    parts = frame.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ends = parts.select(*keys, "part", F.inline(F.array(
+        F.struct(F.lit(0).alias("kind"), F.lit('{"type":"FeatureCollection","features":[').alias("value")),
+        F.struct(F.lit(2).alias("kind"), F.lit("]}").alias("value")))))
+    placed = features.join(frame.select(*keys, "parts"), keys).select(
+        *keys, F.pmod(F.xxhash64("value"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "value")
+    inside = Window.partitionBy(*keys, "part").orderBy("kind", "value")
+    lines = ends.unionByName(placed).withColumn("_n", F.row_number().over(inside)).withColumn(
+        "value", F.when((F.col("kind") == 1) & (F.col("_n") > 2), F.concat(F.lit(","), "value")).otherwise(F.col("value")))
+    # the window leaves each document together and in order; the writer needs no other
+    lines.select(*keys, "part", "value").write.mode(mode).partitionBy(*keys, "part").text(path)
+    return frame
+
+
+def read_geojson(spark: SparkSession, path: str, documents: bool = False) -> DataFrame:
+    """Features written by ``write_geojson``, or by ``write_layers`` (``documents``): partition columns, properties, geometry."""
     feature = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
     line = f"struct<type:string,features:array<{feature}>,{feature[7:-1].replace('type:string,', '', 1)}>"
-    lines = spark.read.text(path)
+    lines = spark.read.text(path, wholetext=documents)
     keys = [c for c in lines.columns if c != "value"]
     parsed = lines.select(*keys, F.from_json("value", line).alias("_l"))
     alone = F.array(F.struct(F.lit("Feature").alias("type"), F.col("_l.properties").alias("properties"),

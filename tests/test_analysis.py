@@ -173,7 +173,7 @@ def test_dashboard(world):
     r = rows["valley"]
     assert r.bounds_sw == [-15.375, -50.625] and r.bounds_ne == [-15.125, -50.25] and r.official_km2 == 8.0
     assert r.histogram["google"] == {"<50": 0, "50-100": 0, "100-200": 0, "200-500": 0, ">=500": 16}
-    assert r.files == {s: f"data/aoi=valley/bf_source={s}" for s in M.SOURCES}
+    assert r.files == {s: [f"data/aoi=valley/bf_source={s}/part=0"] for s in M.SOURCES}
     assert rows["sea"].total == 0 and sum(rows["sea"].histogram["google"].values()) == 0
     with pytest.raises(ValueError):
         dashboard_payload(c, aois.where("false"))
