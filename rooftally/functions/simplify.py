@@ -2,7 +2,7 @@
 
 All rings of a batch are refined together: each round measures every open section of every ring at once and
 splits the ones that stray further than the tolerance. A ring keeps its first vertex and at least four points,
-and a geometry whose reduced outline would cross itself is left as it was.
+and a polygon whose reduced rings would cross themselves or each other is left as it was.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, functions as F
 
 from rooftally.functions.geometry import MULTIPOLYGON_TYPE
 
+BLOCK = 512  # edges compared at a time
+
 
 def _distance(px, py, ax, ay, bx, by):
     """Distance from points to segments."""
@@ -55,18 +57,34 @@ def kept_vertices(x, y, sizes, tolerance) -> np.ndarray:
         depth += 1
 
 
-def _crosses_itself(x, y) -> bool:
-    """Proper crossings between non-neighbouring edges of one closed ring."""
-    n = len(x) - 1
-    i, j = np.triu_indices(n, 2)
-    neighbours = (i == 0) & (j == n - 1)
-    i, j = i[~neighbours], j[~neighbours]
+def _crosses(x, y, ring) -> bool:
+    """Do edges of a polygon's closed rings, laid end to end, meet that are no neighbours?
+
+    Between rings only proper crossings count: a hole may touch its shell. Edges are sorted by x and compared in blocks with
+    those that begin before the block ends.
+    """
+    here = np.flatnonzero(ring[1:] == ring[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ring[1:] != ring[:-1]]))
+    closing = np.append(first[1:], len(x)) - 2  # the last edge of each ring
+    low, high = np.minimum(x[here], x[here + 1]), np.maximum(x[here], x[here + 1])
+    order = np.argsort(low, kind="stable")
+    edge, low, high = here[order], low[order], high[order]
 
     def side(a, b, p):
         return np.sign((x[b] - x[a]) * (y[p] - y[a]) - (y[b] - y[a]) * (x[p] - x[a]))
 
-    return bool(np.any((side(i, i + 1, j) * side(i, i + 1, j + 1) <= 0)
-                       & (side(j, j + 1, i) * side(j, j + 1, i + 1) <= 0)))
+    for at in range(0, len(edge), BLOCK):
+        until = np.searchsorted(low, high[at:at + BLOCK].max(), side="right")
+        i, j = np.nonzero((low[None, at:until] <= high[at:at + BLOCK, None])
+                          & (np.arange(at, until)[None, :] > np.arange(at, min(at + BLOCK, len(edge)))[:, None]))
+        i, j = edge[at + i], edge[at + j]
+        one, two = side(i, i + 1, j) * side(i, i + 1, j + 1), side(j, j + 1, i) * side(j, j + 1, i + 1)
+        same = ring[i] == ring[j]
+        a, b = np.minimum(i, j), np.maximum(i, j)
+        neighbours = same & ((b == a + 1) | ((a == first[ring[a]]) & (b == closing[ring[b]])))
+        if np.any(np.where(same, (one <= 0) & (two <= 0) & ~neighbours, (one < 0) & (two < 0))):
+            return True
+    return False
 
 
 def simplifier(tolerance: float) -> Callable[[Column], Column]:
@@ -78,7 +96,9 @@ def simplifier(tolerance: float) -> Callable[[Column], Column]:
     def simplify(column: pa.Array) -> pa.Array:
         polygons = column.flatten()
         rings = polygons.flatten()
-        xy = rings.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+        points = rings.flatten()
+        at, numbers = points.offsets.to_numpy()[:-1], points.values.to_numpy(zero_copy_only=False)
+        xy = np.stack([numbers[at], numbers[at + 1]], axis=1) if len(at) else np.zeros((0, 2))
         x, y = xy[:, 0], xy[:, 1]
         sizes = rings.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         if not len(sizes):
@@ -87,9 +107,18 @@ def simplifier(tolerance: float) -> Callable[[Column], Column]:
         if (sizes > 0).all():
             keep = kept_vertices(x, y, sizes, tolerance)
         start = np.cumsum(sizes) - sizes
-        for r in np.flatnonzero(np.add.reduceat(~keep, start)):
-            part = slice(start[r], start[r] + sizes[r])
-            if keep[part].sum() < 4 or _crosses_itself(x[part][keep[part]], y[part][keep[part]]):
+        short = np.flatnonzero(np.add.reduceat(keep.astype(np.int64), start) < 4)
+        for r in short:
+            keep[start[r]:start[r] + sizes[r]] = True
+        # rings of a polygon lie end to end
+        counts = polygons.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.append(start, len(x))[np.cumsum(np.nan_to_num(counts).astype(np.int64))]
+        begins = np.append(0, ends[:-1])
+        changed = np.append(0, np.cumsum(~keep))
+        for p in np.flatnonzero(changed[ends] > changed[begins]):
+            part = slice(begins[p], ends[p])
+            ring = np.searchsorted(start, np.arange(begins[p], ends[p]), side="right")
+            if _crosses(x[part][keep[part]], y[part][keep[part]], (ring - ring[0])[keep[part]]):
                 keep[part] = True
         left = np.add.reduceat(keep.astype(np.int64), start)
         pts = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * int(keep.sum()) + 1, 2), pa.int32()),

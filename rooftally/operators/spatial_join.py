@@ -260,13 +260,15 @@ def clip(
     geometry: str = "geometry",
     with_geometry: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    crs: tuple[str, ...] = (),
 ) -> DataFrame:
     """Intersection join and clip: one row per (footprint, area) that share at least a point.
 
     Columns: ``aoi``, the kept footprint columns, ``area_deg2`` of the clipped shape, ``m2_factor`` of the area,
     ``cut`` (does the boundary come near), and ``mp`` (the clipped shape) when asked for. A footprint that
-    only touches an area is a match with area 0 and an empty shape.
+    only touches an area is a match with area 0 and an empty shape. ``crs`` may give the labels of both sides' systems.
     """
+    check_crs(*crs)
     if not tiles.bases:
         raise ValueError("no valid area of interest to clip with")
     # the measured columns of the clip go before those of the same name

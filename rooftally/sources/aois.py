@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rooftally.functions import geometry as G
@@ -20,6 +21,7 @@ DEFAULT_METADATA = {
     "uberlandia_mg": {"nome": "Uberlandia", "uf": "MG", "ibge_code": "3170206", "area_km2_oficial": "4115.206",
                       "tipologia": "cidade_media_urbana_consolidada", "populacao_2022": "713224"},
 }
+NAMES_IN_ERROR = 20  # of existing areas
 VIOLATIONS = ("not a FeatureCollection", "not exactly one feature", "not Polygon or MultiPolygon",
               "no coordinates", "longitude outside [-180, 180]", "latitude outside [-90, 90]")
 
@@ -30,16 +32,17 @@ def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -
     A folder of ``<slug>.geojson`` files, or text files with one document per line whose slug is the
     document's ``name``. A missing folder gives no rows.
     """
-    empty = spark.createDataFrame([], "slug string, document string")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return empty
-    if one_per_line:
-        lines = spark.read.text(path).withColumnRenamed("value", "document")
-        return lines.select(F.get_json_object("document", "$.name").alias("slug"), "document")
-    files = spark.read.option("pathGlobFilter", "*.geojson").text(path, wholetext=True)
-    stem = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*)\.geojson$", 1)
-    return files.select(stem.alias("slug"), F.col("value").alias("document"))
+    try:
+        if one_per_line:
+            lines = spark.read.text(path).withColumnRenamed("value", "document")
+            return lines.select(F.get_json_object("document", "$.name").alias("slug"), "document")
+        files = spark.read.option("pathGlobFilter", "*.geojson").text(path, wholetext=True)
+        stem = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*)\.geojson$", 1)
+        return files.select(stem.alias("slug"), F.col("value").alias("document"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "slug string, document string")
 
 
 def _parsed() -> Column:
@@ -117,7 +120,8 @@ def get_aoi(documents: DataFrame, slug: str) -> DataFrame:
     """One valid area; an unknown slug or a broken rule is an error."""
     found = check_aois(documents.where(F.col("slug") == slug)).select("violations").take(1)
     if not found:
-        raise LookupError(f"area {slug!r} not found")
+        known = [r.slug for r in list_aois(documents).select("slug").take(NAMES_IN_ERROR)]
+        raise LookupError(f"area {slug!r} not found; there are, among others, {', '.join(known) or 'none'}")
     if found[0].violations:
         raise ValueError(f"area {slug!r} is not valid: {'; '.join(found[0].violations)}")
     return read_aois(documents.where(F.col("slug") == slug))

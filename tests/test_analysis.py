@@ -1,11 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import LOT_DEPTH, LOT_WIDTH, collection, documents, feature, lot_corner, rectangle, square
 from rooftally.functions import geometry as G
 from rooftally.functions import measures as M
+from rooftally.functions.simplify import _crosses
 from rooftally.operators import layers as L
 from rooftally.operators import lifecycle as T
 from rooftally.operators import summary as S
@@ -160,6 +162,29 @@ def test_simplify(spark):
     assert len(huge[0][0]) >= 4
 
 
+def test_simplified_rings_do_not_cross_each_other(spark):
+    """The shell's bulge around a hole goes with the tolerance, so the polygon stays as it was; alone, the shell is thinned."""
+    shell = [[0.0, 0.0], [2.0, -0.9], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]
+    hole = [[1.9, -0.6], [2.1, -0.6], [2.1, 3.0], [1.9, 3.0], [1.9, -0.6]]
+    df = spark.createDataFrame([(1, [[shell, hole]]), (2, [[shell]]), (3, [[[p + [5.0] for p in shell]]])],
+                               "id int, mp array<array<array<array<double>>>>").repartition(1)
+    got = {r.id: r.mp for r in L.simplify(df, 1.0).collect()}
+    assert got[1] == [[shell, hole]] and got[2] == got[3] == [[[p for p in shell if p != [2.0, -0.9]]]]
+
+
+def test_crossings_of_long_rings_in_blocks():
+    n = 6000
+    angle = 2 * np.pi * np.arange(n + 1) / n
+    x, y = np.cos(angle), np.sin(angle)
+    x[-1], y[-1] = x[0], y[0]
+    ring = np.zeros(n + 1, int)
+    assert not _crosses(x, y, ring)
+    assert not _crosses(np.append(x, x / 2), np.append(y, y / 2), np.append(ring, ring + 1))
+    assert _crosses(np.append(x, x / 2 + 0.7), np.append(y, y / 2), np.append(ring, ring + 1))
+    x[n // 2] = 2.0
+    assert _crosses(x, y, ring)
+
+
 def test_centre_and_hectares(spark, lots):
     r = L.with_centre(L.with_area(prepare_footprints(lots), M.m2_factor())).where("id = 9").first()
     x, y = lot_corner(9)

@@ -193,10 +193,40 @@ def test_no_area_is_an_error(spark, lots):
         J.clip(lots, J.tile_aois(empty))
 
 
-def test_crs_labels():
+def test_crs_labels(lots):
     J.check_crs("EPSG:4326", "OGC:CRS84")
-    with pytest.raises(ValueError):
-        J.check_crs("EPSG:4326", "EPSG:31983")
+    with pytest.raises(ValueError, match="31983"):
+        J.clip(lots, None, crs=("EPSG:4326", "EPSG:31983"))
+
+
+@pytest.mark.parametrize("width", [1e-3, 1e-5, 1e-7])
+def test_a_tiny_area_inside_a_footprint_is_a_match(spark, width):
+    tiny = collection(feature([[[-44.5, -20.5], [-44.5 + width, -20.5], [-44.5, -20.5 + width], [-44.5, -20.5]]]))
+    tiles = J.tile_aois(read_aois(documents(spark, tiny=tiny)))
+    f = spark.createDataFrame([(1, [[square(-45.0, -21.0, 1.0)]]), (2, [[square(-44.4, -20.4, 1.0)]])], f"id int, geometry {MP}")
+    assert [(r.id, r.area_deg2 < 1e-6) for r in J.clip(f, tiles, ("id",)).collect()] == [(1, True)]
+
+
+@pytest.mark.parametrize("n", [5, 40])
+def test_box_prefilter_means_the_same_for_any_number_of_areas(spark, n):
+    """Areas along a diagonal: their common hull is nearly empty of them."""
+    corners = [(-50 + 0.5 * k, -20 + 0.5 * k) for k in range(n)]
+    areas = {f"a{k}": collection(feature([square(x, y, 0.1)])) for k, (x, y) in enumerate(corners)}
+    tiles = J.tile_aois(read_aois(documents(spark, **areas)))
+    spots = [(-50 + 0.25 * i, -20 + 0.25 * j) for i in range(2 * n) for j in range(2 * n)]
+    f = prepare_footprints(spark.createDataFrame([(k, [[square(x, y, 0.01)]]) for k, (x, y) in enumerate(spots)], f"id int, geometry {MP}"))
+    assert J.bbox_prefilter(f, tiles).count() == n
+
+
+def test_detailed_rings_make_few_rows(spark):
+    n = 4000
+    ring = [[-50 + 0.2 * math.cos(2 * math.pi * (k % n) / n), -20 + 0.2 * math.sin(2 * math.pi * (k % n) / n)] for k in range(n + 1)]
+    aois = read_aois(documents(spark, disc=collection(feature([ring]))))
+    assert J._tile_rows(J._aoi_edges(aois.withColumnRenamed("slug", "aoi"))).count() < 10 * n
+    f = spark.createDataFrame([(1, [[square(-50.01, -20.01, 0.02)]]), (2, [[square(-49.81, -20.0, 0.02)]]), (3, [[square(-49.7, -20.0, 0.02)]])],
+                              f"id int, geometry {MP}")
+    got = {r.id: r.area_deg2 for r in J.clip(f, J.tile_aois(aois), ("id",)).collect()}
+    assert set(got) == {1, 2} and got[1] == pytest.approx(4e-4) and 0 < got[2] < 4e-4
 
 
 def test_box_filter_reaches_the_scan(spark, lots, tmp_path):
