@@ -53,7 +53,7 @@ class Forest:
         return (signs @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))).T
 
     def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """For each query the rows under its prefixes at the deepest level at which they are at least ``least``."""
+        """For each query the rows under its prefixes, ascending in all trees until they are at least ``least``."""
         codes = self.codes(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1))
         n = self.sorted.shape[1]
         shift = np.arange(self.bits + 1)
@@ -66,15 +66,15 @@ class Forest:
         sizes = (ends - starts).sum(axis=0)
         for q in range(len(queries)):
             level = int(np.argmax(sizes[q] >= min(least, n)))
-            seen = np.zeros(n, bool)
-            while True:
-                for t in range(self.trees):
+            seen, found = np.zeros(n, bool), 0
+            while found < min(least, n):  # the whole block at the latest: every prefix is empty then
+                for t in range(self.trees):  # the last level may stop between trees
                     seen[self.rows[t, starts[t, q, level]:ends[t, q, level]]] = True
-                found = np.flatnonzero(seen)
-                if len(found) >= min(least, n) or level == self.bits:
-                    yield found
-                    break
+                    found = np.count_nonzero(seen)
+                    if found >= min(least, n):
+                        break
                 level += 1
+            yield np.flatnonzero(seen)
 
 
 def _search(width: int, longest: float, share: float, least: int, k: int, trees: int, bits: int):
