@@ -16,6 +16,7 @@ from pyspark.sql import Column, functions as F
 from rooftally.functions.geometry import MULTIPOLYGON_TYPE
 
 BLOCK = 512  # edges compared at a time
+SMALL, PAIRS = 48, 1 << 18  # polygons of so few edges are compared together, so many pairs of edges at a time
 
 
 def _distance(px, py, ax, ay, bx, by):
@@ -87,6 +88,44 @@ def _crosses(x, y, ring) -> bool:
     return False
 
 
+def _crossing_polygons(x, y, ring, polygon) -> np.ndarray:
+    """Numbers of the polygons whose rings cross; vertices of closed rings laid end to end, by polygon.
+
+    Polygons of the same, small number of edges are compared together; the others one by one.
+    """
+    edge = np.flatnonzero(ring[1:] == ring[:-1])
+    opens = np.concatenate([[True], ring[edge][1:] != ring[edge][:-1]])
+    ring_start = np.flatnonzero(opens)
+    ring_size = np.diff(np.append(ring_start, len(edge)))
+    place = np.arange(len(edge)) - np.repeat(ring_start, ring_size)
+    last = np.repeat(ring_size, ring_size) - 1
+    numbers, start, size = np.unique(polygon[edge], return_index=True, return_counts=True)
+    found = []
+    for m in np.unique(size):
+        own = np.flatnonzero(size == m)
+        if m > SMALL:
+            for p in own:
+                part = polygon == numbers[p]
+                if _crosses(x[part], y[part], ring[part]):
+                    found.append(numbers[p:p + 1])
+            continue
+        i, j = np.triu_indices(m, 1)
+        for at in range(0, len(own), max(1, PAIRS // max(1, len(i)))):
+            some = own[at:at + max(1, PAIRS // max(1, len(i)))]
+            a, b = edge[start[some][:, None] + i], edge[start[some][:, None] + j]
+            ea, eb = start[some][:, None] + i, start[some][:, None] + j
+
+            def side(u, v, q):
+                return np.sign((x[v] - x[u]) * (y[q] - y[u]) - (y[v] - y[u]) * (x[q] - x[u]))
+
+            one, two = side(a, a + 1, b) * side(a, a + 1, b + 1), side(b, b + 1, a) * side(b, b + 1, a + 1)
+            same = ring[a] == ring[b]
+            neighbours = same & ((place[eb] == place[ea] + 1) | ((place[ea] == 0) & (place[eb] == last[eb])))
+            hit = np.where(same, (one <= 0) & (two <= 0) & ~neighbours, (one < 0) & (two < 0)).any(axis=1)
+            found.append(numbers[some[hit]])
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
 def simplifier(tolerance: float) -> Callable[[Column], Column]:
     """UDF that simplifies a MultiPolygon column with the given tolerance (in coordinate units)."""
     if not tolerance > 0:
@@ -115,11 +154,15 @@ def simplifier(tolerance: float) -> Callable[[Column], Column]:
         ends = np.append(start, len(x))[np.cumsum(np.nan_to_num(counts).astype(np.int64))]
         begins = np.append(0, ends[:-1])
         changed = np.append(0, np.cumsum(~keep))
-        for p in np.flatnonzero(changed[ends] > changed[begins]):
-            part = slice(begins[p], ends[p])
-            ring = np.searchsorted(start, np.arange(begins[p], ends[p]), side="right")
-            if _crosses(x[part][keep[part]], y[part][keep[part]], (ring - ring[0])[keep[part]]):
-                keep[part] = True
+        touched = np.flatnonzero(changed[ends] > changed[begins])
+        if len(touched):
+            polygon = np.repeat(np.arange(len(ends)), ends - begins)
+            ring = np.repeat(np.arange(len(sizes)), sizes)
+            part = np.zeros(len(ends), bool)
+            part[touched] = True
+            seen = keep & part[polygon]
+            for p in _crossing_polygons(x[seen], y[seen], ring[seen], polygon[seen]):
+                keep[begins[p]:ends[p]] = True
         left = np.add.reduceat(keep.astype(np.int64), start)
         pts = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * int(keep.sum()) + 1, 2), pa.int32()),
                                        pa.array(xy[keep].ravel()))

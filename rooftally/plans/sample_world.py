@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Short rows dealt over the cluster before they grow into shapes; a file of the order tables is one row group."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _town_x(town: str) -> str:
     return f"(-45.4D + pmod({town}, 400L) * 0.25D)"
 
@@ -54,7 +59,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(o_orderstatus = 'P', 'microsoft', 'google') AS bf_source")
     town = f"floor(id / {LOTS_PER_TOWN})"
     lot = compute_once(
-        orders, side=F.expr("sqrt(o_totalprice) / 20D / 111000D"),
+        dealt(orders, "id"), side=F.expr("sqrt(o_totalprice) / 20D / 111000D"),
         x0=F.expr(f"{_town_x(town)} + pmod(id, 100L) * 0.002D"),
         y0=F.expr(f"{_town_y(town)} + pmod(floor(id / 100), 75L) * 0.002D"))
 
@@ -101,7 +106,7 @@ def iso2(column: Column) -> Column:
 # --- areas of interest -----------------------------------------------------------------------------------------
 def _aoi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     town, seat = f"floor(s_suppkey / {AOIS_PER_TOWN})", f"pmod(s_suppkey, {AOIS_PER_TOWN}L)"
-    named = table(spark, sf_dir, "supplier").join(
+    named = dealt(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey").join(
         table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
         F.col("s_nationkey") == F.col("n_nationkey"), "left")
     # seat 0 is the whole town

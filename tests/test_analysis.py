@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import LOT_DEPTH, LOT_WIDTH, collection, documents, feature, lot_corner, rectangle, square
 from rooftally.functions import geometry as G
 from rooftally.functions import measures as M
-from rooftally.functions.simplify import _crosses
+from rooftally.functions.simplify import _crosses, _crossing_polygons
 from rooftally.operators import layers as L
 from rooftally.operators import lifecycle as T
 from rooftally.operators import summary as S
@@ -185,6 +185,23 @@ def test_crossings_of_long_rings_in_blocks():
     assert _crosses(x, y, ring)
 
 
+def test_small_polygons_are_judged_together_as_one_by_one():
+    rng = np.random.default_rng(5)
+    xs, ys, rings, polygons, want = [], [], [], [], []
+    for p in range(300):
+        parts = []
+        for _ in range(rng.integers(1, 3)):
+            n = int(rng.integers(3, 8))
+            x, y = rng.integers(0, 30, n).astype(float), rng.integers(0, 30, n).astype(float)
+            parts.append((np.append(x, x[0]), np.append(y, y[0])))
+        ring = np.concatenate([np.full(len(x), k) for k, (x, _) in enumerate(parts)])
+        x, y = (np.concatenate([part[k] for part in parts]) for k in (0, 1))
+        want.append(_crosses(x, y, ring))
+        xs.append(x), ys.append(y), rings.append(ring + 10 * p), polygons.append(np.full(len(x), p))
+    found = _crossing_polygons(*[np.concatenate(v) for v in (xs, ys, rings, polygons)])
+    assert 0 < len(found) < 300 and sorted(found) == [p for p in range(300) if want[p]]
+
+
 def test_centre_and_hectares(spark, lots):
     r = L.with_centre(L.with_area(prepare_footprints(lots), M.m2_factor())).where("id = 9").first()
     x, y = lot_corner(9)
