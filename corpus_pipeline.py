@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rooftally.llm import line_dedup, mixing, packing, simhash, toxicity
+from rooftally.llm import line_dedup, mixing, near_copies, packing, toxicity
 from rooftally.llm.common import table
 from rooftally.llm.queries import tokenizer_path
 from rooftally.workspace import fresh_path, ship_package
@@ -28,9 +28,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
+    """Keep one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     ship_package(spark)
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

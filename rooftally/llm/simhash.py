@@ -38,32 +38,40 @@ AT_ONCE = 1 << 15
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a text: a bit is set if it is in over half the XXH64 hashes of its shingles.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The unsigned XXH64 hashes of a text's shingles, in order and with repeats.
 
     A-Z are lower-cased; words are runs without ASCII white space. With fewer words than a shingle has, the whole
-    sequence is one; NULL and texts without words have 0.
+    sequence is one; NULL and texts without words have none.
     """
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        first, last = (ends - sizes)[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist()
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last)]
+        return np.array([xxh64_intdigest(joined, SEED)], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    first, last = (ends - sizes)[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist()
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half the hashes, 0 for none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), AT_ONCE):
-        octets = np.array(hashes[at:at + AT_ONCE], "<u8").view(np.uint8).reshape(-1, 8)
+        octets = hashes[at:at + AT_ONCE].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a text: a bit is set if it is in over half the hashes of its shingles; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 @pandas_udf(T.LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
     """Fingerprints as signed longs."""
