@@ -2,16 +2,17 @@
 
 Each tree of the forest gives every vector a long string of hash bits (signs of random projections) and keeps the strings in a
 sorted array. A query descends in each tree to its longest prefix match and then ascends in all trees at once, one bit at a
-time, until the vectors under its prefixes are enough; these candidates are scored exactly.
+time, until the vectors under its prefixes are enough; these candidates are scored exactly. Rows not seen whose length times the
+query's can still reach the k-th score are scored too, so that no neighbour is lost to unlike lengths.
 
-Nearness is the inner product. Vectors are hashed after adding one component that gives all the same length, so
+Nearness is the inner product. Vectors are hashed after adding one component that gives all of a block the same length, so
 that large inner products become small angles; queries have zero there.
 
-Scale: equal vectors are one entry with their smallest ids, so copies cost nothing. Entries are dealt by hash to blocks of about
-``BLOCK`` rows; a block's forest is built in the task that searches it. The stated query set goes to all blocks in chunks, and
+Scale: equal vectors are one entry with their smallest ids, so copies cost nothing. Entries are dealt by length, and by hash
+within one length, to blocks of about ``BLOCK`` rows; a block's forest is built in the task that searches it. The stated query set goes to all blocks in chunks, and
 each (chunk, block) gives at most ``k`` rows per query, merged by a ranked window with a map-side limit. The candidates are a
-share of the block: with nearly isotropic vectors, as here, no smaller number reaches the recall, so the work is queries times entries
-times that share; memory per task is one block and one chunk.
+share of the block and what the lengths leave open: with nearly isotropic vectors of like lengths, as here, that is nearly
+the whole block, so the work is queries times entries; memory per task is one block and one chunk.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from rooftally.llm.common import chunks
 from rooftally.workspace import write_and_read
@@ -42,7 +45,8 @@ class Forest:
     def __init__(self, vectors: np.ndarray, longest: float, trees: int = TREES, bits: int = BITS, seed: int = SEED):
         self.vectors, self.trees, self.bits = vectors, trees, bits
         self.planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, trees * bits))
-        rest = np.sqrt(np.maximum(longest ** 2 - (vectors ** 2).sum(axis=1), 0.0))
+        self.lengths = np.sqrt((vectors ** 2).sum(axis=1))
+        rest = np.sqrt(np.maximum(longest ** 2 - self.lengths ** 2, 0.0))
         codes = self.codes(np.concatenate([vectors, rest[:, None]], axis=1))
         self.rows = np.argsort(codes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(codes, self.rows, axis=1)
@@ -52,8 +56,11 @@ class Forest:
         signs = (lifted @ self.planes > 0).reshape(len(lifted), self.trees, self.bits)
         return (signs @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))).T
 
-    def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """For each query the rows under its prefixes, ascending in all trees until they are at least ``least``."""
+    def candidates(self, queries: np.ndarray, least: int, k: int | None = None) -> Iterator[np.ndarray]:
+        """For each query the rows under its prefixes, ascending in all trees until they are at least ``least``.
+
+        With ``k`` also the rows whose length lets them reach the k-th score of those.
+        """
         codes = self.codes(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1))
         n = self.sorted.shape[1]
         shift = np.arange(self.bits + 1)
@@ -68,16 +75,24 @@ class Forest:
             level = int(np.argmax(sizes[q] >= min(least, n)))
             seen, found = np.zeros(n, bool), 0
             while found < min(least, n):  # the whole block at the latest: every prefix is empty then
-                for t in range(self.trees):  # the last level may stop between trees
+                for t in range(self.trees):
                     seen[self.rows[t, starts[t, q, level]:ends[t, q, level]]] = True
-                    found = np.count_nonzero(seen)
-                    if found >= min(least, n):
-                        break
+                found = np.count_nonzero(seen)
                 level += 1
+            if k is not None and found < n:
+                if found < k:
+                    seen[:] = True
+                else:
+                    edge = np.partition(self.scores(np.flatnonzero(seen), queries[q]), found - k)[found - k]
+                    seen |= self.lengths * np.linalg.norm(queries[q]) >= edge - 1e-9 * max(1.0, abs(edge))
             yield np.flatnonzero(seen)
 
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products of the rows with a query; many rows are cheaper to score all than to copy out."""
+        return (self.vectors @ query)[rows] if 4 * len(rows) > len(self.vectors) else self.vectors[rows] @ query
+
 
-def _search(width: int, longest: float, share: float, least: int, k: int, trees: int, bits: int):
+def _search(width: int, share: float, least: int, k: int, trees: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, forest, ids = None, None, None
         for batch in batches:
@@ -86,13 +101,14 @@ def _search(width: int, longest: float, share: float, least: int, k: int, trees:
                 if block != at:
                     ids = batch.column("entries")[r].values.to_numpy(zero_copy_only=False)
                     vectors = batch.column("vectors")[r].values.to_numpy(zero_copy_only=False).reshape(-1, width)
+                    longest = float(np.sqrt((vectors ** 2).sum(axis=1).max()))
                     forest, at = Forest(vectors, longest, trees, bits), block
                 names = batch.column("queries")[r].values.to_numpy(zero_copy_only=False)
                 asked = batch.column("asked")[r].values.to_numpy(zero_copy_only=False).reshape(-1, width)
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 wanted = max(least, int(np.ceil(share * len(ids))))
-                for name, query, found in zip(names, asked, forest.candidates(asked, wanted)):
-                    scores = forest.vectors[found] @ query
+                for name, query, found in zip(names, asked, forest.candidates(asked, wanted, k)):
+                    scores = forest.scores(found, query)
                     if len(found) > k:  # with all ties of the last place: the smaller ids win later
                         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
                         near = scores >= edge - 1e-12 * max(1.0, abs(edge))
@@ -103,6 +119,19 @@ def _search(width: int, longest: float, share: float, least: int, k: int, trees:
     return run
 
 
+def _by_length(squares: DataFrame, blocks: int):
+    """The block of a squared length and a hash: quantiles of the lengths; a length that spans several blocks is dealt by the hash."""
+    at = [k / blocks for k in range(1, blocks)]
+    bounds = np.array(squares.agg(F.percentile_approx("square", at, 100 * blocks).alias("q")).head()["q"] if at else [], float)
+
+    @pandas_udf("long")
+    def block(square: pd.Series, code: pd.Series) -> pd.Series:
+        first, last = (np.searchsorted(bounds, square.to_numpy(), side) for side in ("left", "right"))
+        return pd.Series(first + code.to_numpy() % (last - first + 1))
+
+    return block
+
+
 def _clean(vectors: DataFrame, name: str) -> DataFrame:
     """(vec_id, v): vectors in double precision that are not NULL, zero, or with a NULL or non-finite component."""
     v = F.transform(F.col(name), lambda x: x.cast("double"))
@@ -120,8 +149,7 @@ def nearest(vectors: DataFrame, is_query, embedding: str = "embedding", *, k: in
     query with that id, and candidates each for others.
     """
     known = write_and_read(_clean(vectors, embedding).withColumn("asked", is_query), "vectors")
-    shape = known.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b"), F.count(F.lit(1)).alias("n"),
-                      F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).head()
+    shape = known.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b"), F.count(F.lit(1)).alias("n")).head()
     empty = "query_id long, rank int, vec_id long, score double"
     if not shape["n"]:
         return vectors.sparkSession.createDataFrame([], empty)
@@ -131,7 +159,8 @@ def nearest(vectors: DataFrame, is_query, embedding: str = "embedding", *, k: in
     # one entry for equal vectors; an entry's number is the smallest id
     entries = write_and_read(known.groupBy("v").agg(F.min("vec_id").alias("entry"), F.max("asked").alias("asked")), "entries")
     blocks = chunks(entries.count(), block)
-    dealt = entries.withColumn("block", F.pmod(F.xxhash64("entry"), F.lit(blocks)))
+    squares = entries.withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    dealt = squares.withColumn("block", _by_length(squares, blocks)("square", F.xxhash64("entry"))).drop("square")
     inner = F.collect_list(F.struct("entry", "v"))
     index = dealt.groupBy("block").agg(inner.alias("x")).select("block", F.col("x.entry").alias("entries"),
                                                                F.flatten("x.v").alias("vectors"))
@@ -142,7 +171,7 @@ def nearest(vectors: DataFrame, is_query, embedding: str = "embedding", *, k: in
                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at")))
     pairs = index.join(chunked, F.col("block") == F.col("at").cast("long"))
     spread = pairs.repartition(min(blocks * sets, 4096), "block", "chunk").select("block", "entries", "vectors", "queries", "asked")
-    found = spread.mapInArrow(_search(width, float(np.sqrt(shape["longest"])), share, least, k + 1, trees, bits),
+    found = spread.mapInArrow(_search(width, share, least, k + 1, trees, bits),
                               "query long, entry long, near double")
     best = Window.partitionBy("query").orderBy(F.desc("near"), "entry")
     # k + 1 entries hold the k nearest rows other than the query's own, ties included: an entry's number is its smallest id
