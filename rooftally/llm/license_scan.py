@@ -4,7 +4,10 @@ A text is looked at as a whole, paragraph by paragraph and line by line. Each su
 with the licence templates by the Dice coefficient of their multisets of word bigrams. Sizes bound the coefficient, so only
 templates whose size is near enough are compared: 2 min(a, b) / (a + b) must reach the threshold.
 
-Scale: a narrow map, linear in the text, without any shuffle. Templates are a fixed list. A task holds one text and its words
+Windows of each template's sizes over the whole word sequence find what is part of a longer segment or spans several; they are tried where
+enough of the template's bigrams lie close together, and come only where no segment already has the licence.
+
+Scale: a narrow map, linear in the text (times the size of a template where one is near), without any shuffle. Templates are a fixed list. A task holds one text and its words
 at a time.
 """
 
@@ -125,6 +128,44 @@ class Templates:
         return out
 
 
+    def windows(self, words: list[bytes]) -> list[tuple[str, int, float, int, int]]:
+        """(licence, template, coefficient, first word, last word) of the best windows; those of a licence don't overlap.
+
+        The best window starts and ends with a bigram of the template, as any other only adds to its size.
+        """
+        pairs = list(zip(words, words[1:]))
+        anchors = [p for p, g in enumerate(pairs) if g in self.pairs]
+        found: dict[str, list] = {}
+        for size, name, k, theirs in self.known if anchors else ():
+            mine = [p for p in anchors if pairs[p] in theirs]
+            most = int(size * (2 - self.least) / self.least + 1e-9)  # bigrams of a window
+            shared_least = max(1, -int(-(size * self.least / (2 - self.least) - 1e-9) // 1))
+            for i in range(len(mine) - shared_least + 1):
+                if mine[i + shared_least - 1] - mine[i] >= most:
+                    continue
+                counts, shared, best = Counter(), 0, None
+                for p in mine[i:i + most]:
+                    length = p - mine[i] + 1
+                    if length > most:
+                        break
+                    g = pairs[p]
+                    counts[g] += 1
+                    shared += counts[g] <= theirs[g]
+                    dice = 2 * shared / (size + length)
+                    if dice >= self.least and (best is None or dice > best[0]):
+                        best = (dice, p)
+                if best:
+                    found.setdefault(name, []).append((-best[0], -size, mine[i], best[1] + 1, k))
+        out = []
+        for name, some in found.items():
+            taken = bytearray(len(words))
+            for dice, _, a, b, k in sorted(some):
+                if not any(taken[a:b + 1]):
+                    taken[a:b + 1] = b"\x01" * (b + 1 - a)
+                    out.append((name, k, -dice, a, b))
+        return sorted(out, key=lambda w: (w[3], w[0]))
+
+
 def segments(text: str) -> Iterator[tuple[str, int, int, list[bytes]]]:
     """(kind, first line, last line, words) of each line, paragraph and the whole; segments alike in extent come once, as the larger."""
     lines = [words_of(x) for x in text.split("\n")]
@@ -143,6 +184,17 @@ def segments(text: str) -> Iterator[tuple[str, int, int, list[bytes]]]:
             yield "line", k, k, words
 
 
+def in_windows(text: str, templates: Templates, known: list[tuple]) -> list[tuple[str, int, str, int, int, float]]:
+    """(licence, template, "window", first line, last line, coefficient) where no known segment of that licence is."""
+    lines = [words_of(x) for x in text.split("\n")]
+    found = templates.windows([w for x in lines for w in x])
+    if not found:
+        return []
+    line = [k for k, x in enumerate(lines) for _ in x]
+    rows = [(name, k, "window", line[a], line[b], d) for name, k, d, a, b in found]
+    return [r for r in rows if not any(m[0] == r[0] and m[3] <= r[4] and r[3] <= m[4] for m in known)]
+
+
 def _scan(texts: dict[str, tuple[str, ...]], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(texts, least)
@@ -153,17 +205,17 @@ def _scan(texts: dict[str, tuple[str, ...]], least: float):
             for doc, text in zip(batch.column("doc_id"), batch.column("text")):
                 text = text.as_py()
                 if text:
-                    for kind, a, b, words in segments(text):
-                        rows += [(doc.as_py(), name, k, kind, a, b, round(d, 6)) for name, k, d in templates.matches(words)]
+                    known = [(name, k, kind, a, b, d) for kind, a, b, words in segments(text) for name, k, d in templates.matches(words)]
+                    rows += [(doc.as_py(), *m[:5], round(m[5], 6)) for m in known + in_windows(text, templates, known)]
             cols = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
     return run
 
 
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = LEAST_DICE) -> DataFrame:
-    """A row for each segment of a document and template whose coefficient is at least ``least``.
+    """A row for each segment of a document and template whose coefficient is at least ``least``, and for windows besides them.
 
-    doc_id, license, template (its number), segment (text, paragraph or line), first_line, last_line (from 0), dice. NULL and
+    doc_id, license, template (its number), segment (text, paragraph, line or window), first_line, last_line (from 0), dice. NULL and
     empty texts, and segments of fewer than two words, match nothing. Repeated rows give repeated results.
     """
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_scan(templates or TEMPLATES, least), FOUND)
