@@ -1,4 +1,3 @@
-import json
 import sys
 from pathlib import Path
 
@@ -7,6 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from helpers import LOT_DEPTH, LOT_WIDTH, lot_corner, rectangle  # noqa: E402
 from rooftally.workspace import ship_package  # noqa: E402
 
 
@@ -22,23 +22,6 @@ def spark():
     session.stop()
 
 
-def square(x, y, side=0.001):
-    return [[x, y], [x + side, y], [x + side, y + side], [x, y + side], [x, y]]
-
-
-LOT_WIDTH, LOT_DEPTH = 2.0 ** -10, 2.0 ** -11
-WEST, SOUTH = -50.5, -15.25
-
-
-def lot_corner(i):
-    """Eight lots to a street, three streets; exact binary fractions."""
-    return WEST + (i % 8) * 2.0 ** -8, SOUTH + (i // 8) * 2.0 ** -7
-
-
-def rectangle(x, y, width, height):
-    return [[x, y], [x + width, y], [x + width, y + height], [x, y + height], [x, y]]
-
-
 @pytest.fixture(scope="session")
 def lots(spark):
     """Twenty-four equal lots; every third comes from the second source."""
@@ -46,15 +29,3 @@ def lots(spark):
             for i in range(24)]
     return spark.createDataFrame(rows, "id int, geometry array<array<array<array<double>>>>, bf_source string, "
                                        "confidence double")
-
-
-def collection(*features, kind="FeatureCollection"):
-    return json.dumps({"type": kind, "features": list(features)})
-
-
-def feature(coordinates, kind="Polygon", **properties):
-    return {"type": "Feature", "properties": properties, "geometry": {"type": kind, "coordinates": coordinates}}
-
-
-def documents(spark, **by_slug):
-    return spark.createDataFrame(list(by_slug.items()), "slug string, document string")

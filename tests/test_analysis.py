@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import LOT_DEPTH, LOT_WIDTH, collection, documents, feature, lot_corner, rectangle, square
+from helpers import LOT_DEPTH, LOT_WIDTH, collection, documents, feature, lot_corner, rectangle, square
 from rooftally.functions import geometry as G
 from rooftally.functions import measures as M
 from rooftally.functions.simplify import _crosses, _crossing_polygons

@@ -4,7 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import LOT_DEPTH, LOT_WIDTH, WEST, collection, documents, feature, lot_corner, rectangle, square
+from helpers import LOT_DEPTH, LOT_WIDTH, WEST, collection, documents, feature, lot_corner, rectangle, square
 from rooftally.functions import geometry as G
 from rooftally.functions.wkb import multipolygon_to_wkb, wkb_problem, wkb_stats, wkb_to_multipolygon
 from rooftally.sources import aois as A

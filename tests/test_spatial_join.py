@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collection, documents, feature, lot_corner, square
+from helpers import collection, documents, feature, lot_corner, square
 from exact import intersects, overlap_area
 from rooftally.functions import geometry as G
 from rooftally.functions.wkb import multipolygon_to_wkb
