@@ -176,5 +176,47 @@ SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n
 FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+def _field(v: str) -> str:
+    return f"coalesce(octet_length(encode(({v})::VARCHAR))::VARCHAR || ':' || ({v})::VARCHAR, '-')"
+
+
+OP13 = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree,
+         sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field('text')}) AS leaf,
+         sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars + 1')} || {_field('text')}) AS forged,
+         -- CRC-32 a bit at a time: each byte is folded in ahead of eight steps
+         xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+                         lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS crc
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+node AS (
+  SELECT tree, 0 AS level, i, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM node WHERE n > 1
+  GROUP BY tree, level, i // 2),
+subroot AS (SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+high AS (
+  SELECT 0 AS level, i, h, n FROM subroot
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, i // 2),
+low_fold AS (
+  SELECT doc_id, tree, i AS leaf_no, i, 0 AS level, n, CASE WHEN crc % 7 = 0 THEN forged ELSE leaf END AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.tree, f.leaf_no, f.i // 2, f.level + 1, (f.n + 1) // 2,
+         sha256(CASE WHEN f.i % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+  FROM low_fold f LEFT JOIN node s ON s.tree = f.tree AND s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1),
+high_fold AS (
+  SELECT f.doc_id, f.tree, f.leaf_no, r.i, 0 AS level, r.n, f.h, f.proof FROM low_fold f JOIN subroot r ON r.tree = f.tree WHERE f.n = 1
+  UNION ALL
+  SELECT f.doc_id, f.tree, f.leaf_no, f.i // 2, f.level + 1, (f.n + 1) // 2,
+         sha256(CASE WHEN f.i % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+  FROM high_fold f LEFT JOIN high s ON s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1)
+SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM placed p JOIN high_fold f ON f.tree = p.tree AND f.leaf_no = p.i AND f.n = 1 JOIN subroot r ON r.tree = p.tree
+JOIN high t ON t.n = 1
+"""
+
 ORACLES = {"op2_line_dedup": OP2, "op3_quality_rules": OP3, "op4_license_scan": OP4, "op6_url_filter": OP6, "op8_suffix_dedup": OP8,
-           "op10_mixing": OP10}
+           "op10_mixing": OP10, "op13_merkle": OP13}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rooftally.llm import hash_forest, license_scan, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from rooftally.llm import (hash_forest, license_scan, line_dedup, merkle, mixing, packing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity,
+                           url_filter, whitening)
 from rooftally.llm.common import table
 
 
@@ -59,6 +60,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), most_repeats=mixing.MOST_REPEATS)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.secret_digests(secret_scan.find_secrets(docs, secret_scan.fit_tagger(docs)))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.proofs(merkle.build_manifest(docs, merkle.tampered_digest(docs)))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_simhash, op2_line_dedup, op3_quality_rules, op4_license_scan, op5_toxicity, op6_url_filter, op7_hash_forest, op8_suffix_dedup,
-    op9_packing, op10_mixing)}
+    op9_packing, op10_mixing, op11_whitening, op12_secret_scan, op13_merkle)}
