@@ -12,7 +12,7 @@ from rooftally.llm.line_dedup import LEAST_SITES
 from rooftally.llm.packing import WordEncoder
 from rooftally.llm.queries import tokenizer_path
 from test_line_dedup import brute as brute_lines
-from test_simhash import slow_fingerprint
+from test_near_copies import brute as brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,18 +54,9 @@ def test_lines(stages):
 
 
 def test_one_document_of_each_group(stages):
-    before = stages["line_dedup"][1]
-    codes = [slow_fingerprint(r.text) for r in before]
-    group = list(range(len(before)))
-    for i in range(len(before)):
-        for j in range(i):
-            if (codes[i] ^ codes[j]).bit_count() <= 4 and group[i] != group[j]:
-                old, new = max(group[i], group[j]), min(group[i], group[j])
-                group = [new if g == old else g for g in group]
-    least = {}
-    for g, r in zip(group, before):
-        least[g] = min(least.get(g, r.doc_id), r.doc_id)
-    assert Counter(stages["simhash"][1]) == Counter(r for r in before if r.doc_id in set(least.values()))
+    """Groups of five-word shingles with a similarity of 0.8 or more, by all pairs; the smallest doc_id of each stays."""
+    before = sorted(stages["line_dedup"][1], key=lambda r: r.doc_id)
+    assert Counter(stages["simhash"][1]) == Counter(brute_groups([tuple(r) for r in before]))
 
 
 def test_mixing_repeats_whole_documents_towards_the_weights(stages):
