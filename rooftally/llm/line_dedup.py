@@ -2,9 +2,8 @@
 
 Every different line has a HyperLogLog sketch of the sites it stands on. The sketches merge by aggregation; lines clearly
 over or under the threshold are settled by the estimate, those near it get an exact distinct count. Lines on at least
-``least_sites`` sites are boilerplate and are removed wherever they stand. In the query, exact copies of a whole text count as one
-text on one site, as in its SQL, so a page mirrored everywhere isn't taken for boilerplate. The pipeline's stage counts the sites of all
-copies and spares mirrored pages by a condition of its own: a line of one text only is no boilerplate.
+``least_sites`` sites are boilerplate and are removed wherever they stand. The sites of all copies of a text count. A page mirrored everywhere
+is spared by a condition of its own: a line that stands in one different text only is no boilerplate.
 
 Scale: lines travel as two 64-bit hashes, one row per different line of a text. Sketches are built before the shuffle, so a line that
 stands in a third of all documents costs one small sketch per task. Exact counts read only the lines near the threshold, pre-aggregated by
@@ -28,13 +27,11 @@ LOG_K = 10
 ERRORS = 4.0
 
 
-def line_rows(docs: DataFrame, site: str = "source", copies: bool = False) -> DataFrame:
-    """(t1, t2, l1, l2, site, line_no): the different lines of each different text, where each first stands.
+def line_rows(docs: DataFrame, site: str = "source") -> DataFrame:
+    """(t1, t2, l1, l2, site, line_no): the different lines of each different text on each of its sites, where each first stands.
 
-    With ``copies`` there is a row for each site of a text.
-
-    Lines are compared without the white space around them; lines without anything else are left out. Copies of a text have one site,
-    the smallest. NULL sites count as a site named by the empty string.
+    Lines are compared without the white space around them; lines without anything else are left out. NULL sites count as a site
+    named by the empty string.
     """
     t1, t2 = text_key(F.col("text"))
     lines = docs.filter("text is not null").select(
@@ -42,19 +39,16 @@ def line_rows(docs: DataFrame, site: str = "source", copies: bool = False) -> Da
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     bare = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).filter("line <> ''")
     l1, l2 = text_key(F.col("line"))
-    if copies:
-        return bare.groupBy("t1", "t2", l1.alias("l1"), l2.alias("l2"), "site").agg(F.min("line_no").alias("line_no"))
-    return bare.groupBy("t1", "t2", l1.alias("l1"), l2.alias("l2")).agg(
-        F.min("site").alias("site"), F.min("line_no").alias("line_no"))
+    return bare.groupBy("t1", "t2", l1.alias("l1"), l2.alias("l2"), "site").agg(F.min("line_no").alias("line_no"))
 
 
-def boilerplate(lines: DataFrame, least_sites: int = LEAST_SITES, log_k: int = LOG_K, copies: bool = False) -> DataFrame:
-    """(l1, l2) of the lines on at least ``least_sites`` different sites, exactly; with ``copies`` in two different texts at least."""
+def boilerplate(lines: DataFrame, least_sites: int = LEAST_SITES, log_k: int = LOG_K) -> DataFrame:
+    """(l1, l2) of the lines on at least ``least_sites`` different sites, exactly, and in two different texts at least."""
     text = F.struct("t1", "t2")
     # a line with fewer rows than sites asked for needs no sketch
     wide = write_and_read(lines.groupBy("l1", "l2").agg(
         F.count(F.lit(1)).alias("rows"), F.min(text).alias("a"), F.max(text).alias("z"), F.hll_sketch_agg("site", F.lit(log_k)).alias("sketch"))
-        .filter((F.col("rows") >= least_sites) & ((F.col("a") != F.col("z")) | F.lit(not copies)))
+        .filter((F.col("rows") >= least_sites) & (F.col("a") != F.col("z")))
         .select("l1", "l2", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
     band = ERRORS * 1.04 / 2 ** (log_k / 2)
     low, high = least_sites * (1 - band), least_sites * (1 + band)
@@ -80,10 +74,10 @@ def without_lines(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
 
-def _cleaned(docs: DataFrame, site: str, least_sites: int, log_k: int, copies: bool = False) -> DataFrame:
+def _cleaned(docs: DataFrame, site: str, least_sites: int, log_k: int) -> DataFrame:
     """The rows of ``docs`` as a struct, and the struct of ``without_lines``."""
-    lines = write_and_read(line_rows(docs, site, copies), "lines")
-    common = write_and_read(boilerplate(lines, least_sites, log_k, copies), "boilerplate")
+    lines = write_and_read(line_rows(docs, site), "lines")
+    common = write_and_read(boilerplate(lines, least_sites, log_k), "boilerplate")
     places = lines.join(common, ["l1", "l2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("line_no").alias("places"))
     places = write_and_read(places, "places")  # read from a table, the join below can split a text of very many copies
     t1, t2 = text_key(F.col("text"))
@@ -102,10 +96,7 @@ def line_dedup(docs: DataFrame, site: str = "source", least_sites: int = LEAST_S
 
 
 def strip_boilerplate(docs: DataFrame, site: str = "source", least_sites: int = LEAST_SITES, log_k: int = LOG_K) -> DataFrame:
-    """The documents, same columns and rows, with boilerplate lines taken out of ``text`` (and n_chars made to agree).
-
-    Sites are those of all copies of a text; a line that stands in one different text only is kept.
-    """
-    out = _cleaned(docs, site, least_sites, log_k, copies=True)
+    """The documents, same columns and rows, with boilerplate lines taken out of ``text`` (and n_chars made to agree)."""
+    out = _cleaned(docs, site, least_sites, log_k)
     new = {"text": F.col("_new.text"), "n_chars": F.length("_new.text").cast("long")}
     return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -113,10 +113,10 @@ FROM (SELECT *, unnest(range(0, copies)) AS k FROM placed)
 
 OP2 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source FROM documents),
-texts AS (SELECT text, min(coalesce(source, '')) AS site FROM d WHERE text IS NOT NULL GROUP BY text),
+texts AS (SELECT DISTINCT text FROM d WHERE text IS NOT NULL),
 bare AS (SELECT DISTINCT text, site, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
-         FROM (SELECT text, site, unnest(string_split(text, chr(10))) AS line FROM texts)),
-common AS (SELECT line FROM bare WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+         FROM (SELECT text, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL)),
+common AS (SELECT line FROM bare WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10 AND count(DISTINCT text) > 1),
 each AS (SELECT text, i, lines[i] AS line FROM (SELECT text, lines, unnest(range(1, len(lines) + 1)) AS i
          FROM (SELECT text, string_split(text, chr(10)) AS lines FROM texts))),
 kept AS (SELECT text, count(*) AS n, count(c.line) AS gone, coalesce(string_agg(e.line, chr(10) ORDER BY i) FILTER (c.line IS NULL), '') AS left_

@@ -7,14 +7,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def brute(rows, least):
-    site, sites = {}, defaultdict(set)
+    """Lines on so many sites, of all copies of a text, that stand in two different texts at least are taken out."""
+    sites, texts = defaultdict(set), defaultdict(set)
     for _, s, t in rows:
-        if t is not None:
-            site[t] = min(site.get(t, s or ""), s or "")
-    for t, s in site.items():
-        for line in t.split("\n"):
-            sites[line.strip(BLANKS)].add(s)
-    common = {x for x, s in sites.items() if x and len(s) >= least}
+        for line in [] if t is None else t.split("\n"):
+            sites[line.strip(BLANKS)].add(s or "")
+            texts[line.strip(BLANKS)].add(t)
+    common = {x for x, s in sites.items() if x and len(s) >= least and len(texts[x]) > 1}
     out = []
     for d, _, t in rows:
         lines = [] if t is None else t.split("\n")
