@@ -7,7 +7,7 @@ and a polygon whose reduced rings would cross themselves or each other is left a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import Column, functions as F
 
 from rooftally.functions.geometry import MULTIPOLYGON_TYPE
 
-BLOCK = 512  # edges compared at a time
+CELLS = 8  # cells of the grid that an edge covers on average, at most
 SMALL, PAIRS = 48, 1 << 18  # polygons of so few edges are compared together, so many pairs of edges at a time
 
 
@@ -58,31 +58,58 @@ def kept_vertices(x, y, sizes, tolerance) -> np.ndarray:
         depth += 1
 
 
+def _near_pairs(lowx, highx, lowy, highy) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of boxes that share a cell of a grid: every pair that meets is among them, some more than once.
+
+    The cells are about as large as the boxes, so the outlines of a map make a few pairs for each edge, however long and however they run.
+    """
+    n = len(lowx)
+    size = max(2 * float(np.mean(highx - lowx + highy - lowy)), 1e-300)
+    while True:
+        left, right, bottom, top = (np.floor((v - base) / size).astype(np.int64) for v, base in (
+            (lowx, lowx.min()), (highx, lowx.min()), (lowy, lowy.min()), (highy, lowy.min())))
+        across, up = right - left + 1, top - bottom + 1
+        if (across.astype(float) * up).sum() <= CELLS * n or size > 1e300:
+            break
+        size *= 2  # a few long edges would cover too many cells
+    held = across * up
+    box = np.repeat(np.arange(n), held)
+    step = np.arange(len(box)) - np.repeat(np.cumsum(held) - held, held)
+    cell = (left[box] + step % across[box]) * (int(top.max()) + 1) + bottom[box] + step // across[box]
+    order = np.argsort(cell, kind="stable")
+    cell, box = cell[order], box[order]
+    at = np.arange(len(cell))
+    for k in range(1, len(cell)):
+        at = at[at + k < len(cell)]
+        at = at[cell[at] == cell[at + k]]
+        if not len(at):
+            return
+        for some in range(0, len(at), PAIRS):
+            yield box[at[some:some + PAIRS]], box[at[some:some + PAIRS] + k]
+
+
 def _crosses(x, y, ring) -> bool:
     """Do edges of a polygon's closed rings, laid end to end, meet that are no neighbours?
 
-    Between rings only proper crossings count: a hole may touch its shell. Edges are sorted by x and compared in blocks with
-    those that begin before the block ends.
+    Between rings only proper crossings count: a hole may touch its shell. Only edges of a common grid cell are compared.
     """
-    here = np.flatnonzero(ring[1:] == ring[:-1])
+    edge = np.flatnonzero(ring[1:] == ring[:-1])
+    if not len(edge):
+        return False
     first = np.flatnonzero(np.concatenate([[True], ring[1:] != ring[:-1]]))
     closing = np.append(first[1:], len(x)) - 2  # the last edge of each ring
-    low, high = np.minimum(x[here], x[here + 1]), np.maximum(x[here], x[here + 1])
-    order = np.argsort(low, kind="stable")
-    edge, low, high = here[order], low[order], high[order]
+    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+    boxes = [f(v[edge], v[edge + 1]) for v in (x, y) for f in (np.minimum, np.maximum)]
 
     def side(a, b, p):
         return np.sign((x[b] - x[a]) * (y[p] - y[a]) - (y[b] - y[a]) * (x[p] - x[a]))
 
-    for at in range(0, len(edge), BLOCK):
-        until = np.searchsorted(low, high[at:at + BLOCK].max(), side="right")
-        i, j = np.nonzero((low[None, at:until] <= high[at:at + BLOCK, None])
-                          & (np.arange(at, until)[None, :] > np.arange(at, min(at + BLOCK, len(edge)))[:, None]))
-        i, j = edge[at + i], edge[at + j]
+    for i, j in _near_pairs(*boxes):
+        i, j = edge[i], edge[j]
         one, two = side(i, i + 1, j) * side(i, i + 1, j + 1), side(j, j + 1, i) * side(j, j + 1, i + 1)
         same = ring[i] == ring[j]
         a, b = np.minimum(i, j), np.maximum(i, j)
-        neighbours = same & ((b == a + 1) | ((a == first[ring[a]]) & (b == closing[ring[b]])))
+        neighbours = same & ((b == a + 1) | ((a == first[number[a]]) & (b == closing[number[b]])))
         if np.any(np.where(same, (one <= 0) & (two <= 0) & ~neighbours, (one < 0) & (two < 0))):
             return True
     return False

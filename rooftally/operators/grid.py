@@ -3,8 +3,9 @@
 Level ``j`` has square tiles of ``2**-8 * 4**j`` degrees, so tile numbers are exact divisions by powers of two.
 A tile serves the footprints whose lower-left corner lies in it; it looks a quarter of its size beyond its upper
 and right edges, so every footprint no larger than that quarter belongs to exactly one tile. Larger footprints
-move to a coarser level, the largest to ``TOP``, which is one tile for the whole world. A footprint is therefore
-matched in one place per area of interest: no de-duplication and no regrouping after the join.
+move to a coarser level. A footprint is therefore matched in one place per area of interest: no de-duplication and no regrouping
+after the join. The few that are too large for an area's coarsest level meet its whole boundary where all tiles are broadcast (``TOP``),
+and are cut along its tiles where they are not, so that no key ever holds a long boundary.
 
 As in ``functions.geometry``, the functions take and return SQL text.
 """
@@ -17,7 +18,10 @@ LEVELS = range(9)
 TOP = 9
 OVERHANG = 0.25
 # An area is tiled at its own level and this many coarser ones before TOP.
-COARSER = 3
+COARSER = 1
+# Areas with more boundary edges are tiled finer, at one level only, and have no TOP tile.
+MANY_EDGES = 1 << 16
+TILES_PER_SIDE, TILES_OF_MANY = 64, 256
 
 
 def tile_size(level: str) -> str:
@@ -29,15 +33,15 @@ def footprint_level(extent: str) -> str:
     return " + ".join(f"int({extent} > {FINEST * STEP ** j * OVERHANG}D)" for j in LEVELS)
 
 
-def area_level(extent: str, tiles_per_side: int = 64) -> str:
+def area_level(extent: str, tiles_per_side: int = TILES_PER_SIDE) -> str:
     """Finest level at which the area spans at most so many tiles."""
     return " + ".join(f"int({extent} / {1.0 * tiles_per_side}D > {FINEST * STEP ** j}D)" for j in LEVELS[:-1])
 
 
-def match_level(own: str, base: str) -> str:
-    """Level at which a footprint of level ``own`` meets an area of level ``base``."""
+def match_level(own: str, base: str, last: str) -> str:
+    """Level at which a footprint of level ``own`` meets an area tiled from ``base`` to ``last``."""
     level = f"greatest({own}, {base})"
-    return f"if({level} > {base} + {COARSER} OR {level} >= {TOP}, {TOP}, {level})"
+    return f"if({level} > {last} OR {level} >= {TOP}, {TOP}, {level})"
 
 
 def tile_key(level: str, ix: str, iy: str) -> str:

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import re
-from pyspark.sql import DataFrame, SparkSession, functions as F
+
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from rooftally.sources.geoparquet import INDEX, file_index, list_files
 
 # Fixed value: country tables, the only ones that may be pruned.
 PRUNABLE = r"^footprints_[a-z]{2,3}$"
@@ -26,22 +31,57 @@ def _location(spark: SparkSession, database: str, table: str) -> str:
 def table_stats(spark: SparkSession, database: str) -> DataFrame:
     """Rows, files and bytes per table, by name; a table that cannot be read is listed with its error.
 
-    Counting reads footers only; each table is counted on its own, so that one bad file doesn't end the listing.
+    One job for all tables: their files are listed together and the footers are read by tasks, so nothing is scanned and one bad file doesn't
+    end the listing.
     """
-    shape = "table_name string, n_rows long, n_files long, n_bytes long, error string, prunable boolean"
-    rows = []
-    for name in list_tables(spark, database):
-        n_rows = n_files = n_bytes = error = None
+    names = list_tables(spark, database)
+    shape = "table_name string, location string, prunable boolean"
+    tables = spark.createDataFrame([(n, _location(spark, database, n), bool(re.match(PRUNABLE, n))) for n in names], shape)
+    folders = {r.location.rstrip("/") + "/": r.table_name for r in tables.collect()}
+    index = _index_of(spark, sorted(folders)).withColumn("table_name", _owner(folders, "file"))
+    held = index.groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"),
+                                           F.min_by("error", F.struct(F.col("error").isNull(), "file")).alias("error"))
+    return tables.join(held, "table_name", "left").select(
+        "table_name", F.when(F.col("error").isNull(), F.coalesce("n_rows", F.lit(0))).alias("n_rows"), F.coalesce("n_files", F.lit(0)).alias("n_files"),
+        F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "error", "prunable").orderBy("table_name")
+
+
+def _index_of(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Footers of all files below the folders that exist."""
+    try:
+        return file_index(spark, *folders) if folders else spark.createDataFrame([], INDEX)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    there = []
+    for folder in folders:  # names only: a table without its folder holds nothing
         try:
-            files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                     .option("pathGlobFilter", "*.parquet").load(_location(spark, database, name))
-                     .agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")).first())
-            n_files, n_bytes = files["n_files"], files["n_bytes"]
-            n_rows = spark.table(f"{database}.{name}").count()
-        except Exception as e:
-            error = str(e).splitlines()[0]
-        rows.append((name, n_rows, n_files, n_bytes, error, bool(re.match(PRUNABLE, name))))
-    return spark.createDataFrame(rows, shape).orderBy("table_name")
+            list_files(spark, folder)
+            there.append(folder)
+        except AnalysisException:
+            pass
+    return file_index(spark, *there) if there else spark.createDataFrame([], INDEX)
+
+
+def _owner(folders: dict[str, str], file: str) -> Column:
+    """The table whose folder a file lies in; there are as many as tables."""
+    def plain(path: str) -> str:
+        return re.sub(r"^file:/+", "/", path)
+
+    known = {plain(f): n for f, n in folders.items()}
+
+    @F.pandas_udf("string")
+    def owner(files: pd.Series) -> pd.Series:
+        def of(path: str) -> str | None:
+            at = plain(path)
+            while at.count("/") > 1:
+                at = at[:at.rstrip("/").rindex("/") + 1]
+                if at in known:
+                    return known[at]
+            return None
+        return files.map(of)
+
+    return owner(file)
 
 
 def prune_tables(spark: SparkSession, database: str, confirm: bool = False) -> list[str]:

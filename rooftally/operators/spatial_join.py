@@ -6,7 +6,8 @@ then an equality on the tile number. Footprints in full tiles are inside as they
 are compared edge by edge, with the original coordinates.
 
 The tile table is broadcast when it is measured to be small. Otherwise both sides are shuffled by tile, and tiles
-that hold many footprints are salted.
+that hold many footprints are salted; footprints too large for an area's tiles are cut along them (``operators.large``), so no
+row and no key holds more of a boundary than a tile does.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from rooftally.functions import geometry as G
 from rooftally.functions import measures as M
 from rooftally.functions.plan import compute_once, row_hash
 from rooftally.operators import grid
+from rooftally.operators.box_join import BOX, meeting_any
+from rooftally.operators.large import clip_large
 from rooftally.sources.footprints import as_multipolygon, prepare_footprints
 from rooftally.workspace import write_and_read
 
@@ -27,11 +30,10 @@ from rooftally.workspace import write_and_read
 SAME_SYSTEM = ("EPSG:4326", "OGC:CRS84")
 
 # What every tile knows about its area.
-ABOUT = ("base", "m2_factor", "minx", "miny", "maxx", "maxy")
+ABOUT = ("base", "last", "m2_factor", "minx", "miny", "maxx", "maxy")
 CHUNK = 1024  # ring vertices handled per row while tiling
 BROADCAST_BYTES = 128 << 20
 STRIPS = 16  # the areas' boxes are merged to so many literal ranges
-CELL = 0.25  # degrees, for the exact test against single boxes
 HOT_TILES = 10_000  # at most so many tiles are salted: those holding more than 1/HOT_TILES of all rows
 
 
@@ -42,7 +44,8 @@ class AoiTiles:
     tiles: DataFrame
     n_aois: int
     n_bytes: int
-    bases: tuple[int, ...]
+    kinds: tuple[tuple[int, int], ...]  # finest and coarsest level of the areas, as far as they differ
+    n_long: int  # areas with a boundary too long for one row
     bounds: tuple[float, float, float, float] | None
     boxes: tuple[tuple[float, float, float, float], ...]
 
@@ -55,13 +58,20 @@ def check_crs(*labels: str) -> None:
 
 
 # --- areas of interest to tiles ----------------------------------------------------------------------------
+def _described(aois: DataFrame) -> DataFrame:
+    """Areas with their levels and the factor of their latitude."""
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    many = F.aggregate(F.flatten("mp"), F.lit(0), lambda n, ring: n + F.size(ring)) > grid.MANY_EDGES
+    sized = compute_once(aois, _extent=extent, _many=F.coalesce(many, F.lit(False)))
+    leveled = compute_once(sized, base=F.expr(f"if(_many, {grid.area_level('_extent', grid.TILES_OF_MANY)}, {grid.area_level('_extent')})"),
+                           m2_factor=M.m2_factor(M.mean_latitude(F.col("miny"), F.col("maxy"))))
+    return leveled.withColumn("last", F.col("base") + F.when(F.col("_many"), 0).otherwise(grid.COARSER)).drop("_extent", "_many")
+
+
 def _aoi_edges(aois: DataFrame) -> DataFrame:
     """One row per boundary edge, with its area's attributes; long rings are spread over the cluster."""
-    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    described = compute_once(aois.withColumn("_extent", extent), base=F.expr(grid.area_level("_extent")),
-                             m2_factor=M.m2_factor(M.mean_latitude(F.col("miny"), F.col("maxy"))))
     rings = (
-        described.select("aoi", *ABOUT, F.posexplode("mp").alias("polygon_no", "polygon"))
+        _described(aois).select("aoi", *ABOUT, F.posexplode("mp").alias("polygon_no", "polygon"))
         .select("aoi", *ABOUT, "polygon_no", F.posexplode("polygon").alias("ring_no", "ring"))
         .where(F.size("ring") >= 2)
     )
@@ -94,8 +104,8 @@ def _tile_rows(edges: DataFrame) -> DataFrame:
     def y_at(x):
         return f"(e.y1 + (greatest(e.x1, least({x}, e.x2)) - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1))"
 
-    leveled = edges.selectExpr("*", f"""explode(concat(filter(sequence(base, base + {grid.COARSER}),
-        j -> j < {grid.TOP}), array({grid.TOP}))) AS level""").selectExpr("*", f"{grid.tile_size('level')} AS s")
+    leveled = edges.selectExpr("*", f"""explode(concat(filter(sequence(base, last), j -> j < {grid.TOP}),
+        if(last > base, array({grid.TOP}), array()))) AS level""").selectExpr("*", f"{grid.tile_size('level')} AS s")
     columns = leveled.selectExpr("*", f"""explode(if({top}, array(0L),
         sequence({first_tile('e.x1')}, {last_tile('e.x2')}))) AS ix""")
     columns = columns.selectExpr("*", "ix * s AS wx0", f"(ix + {reach}D) * s AS wx1")
@@ -132,7 +142,8 @@ def _tile_rows(edges: DataFrame) -> DataFrame:
 
 def tile_aois(aois: DataFrame, slug: str = "slug") -> AoiTiles:
     """Cut areas (slug, mp, minx, miny, maxx, maxy) into tiles, keep them as a table, and measure it."""
-    rows = _tile_rows(_aoi_edges(aois.withColumnRenamed(slug, "aoi")))
+    aois = aois.withColumnRenamed(slug, "aoi")
+    rows = _tile_rows(_aoi_edges(aois))
     side = F.struct("x1", "y1", "x2", "y2", "w")
     grouped = rows.groupBy("aoi", *ABOUT, "level", "ix", "iy").agg(
         F.collect_list(F.when(F.col("real"), side)).alias("segs"),
@@ -140,13 +151,20 @@ def tile_aois(aois: DataFrame, slug: str = "slug") -> AoiTiles:
     border = F.size("segs") > 0
     inside = F.aggregate("lids", F.lit(0.0), lambda acc, s: acc + s.w) != 0
     tiles = grouped.where(border | inside).select(
-        "aoi", "base", "level", "ix", "iy",
-        F.expr(grid.tile_key("level", "ix", "iy")).alias("tile"), "m2_factor",
-        *[F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")],
+        *_about_tile(),
         F.when(border, F.col("segs")).alias("segs"),
         F.when(border, F.col("lids")).alias("lids"),
     )
-    return measure_tiles(write_and_read(tiles, "aoi-tiles"))
+    # every area has one TOP row; that of a long boundary holds none of it
+    long = _described(aois).where((F.col("last") == F.col("base")) & F.col("minx").isNotNull()).select(
+        "*", F.lit(grid.TOP).alias("level"), F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"))
+    none = [F.lit(None).cast(tiles.schema[c].dataType).alias(c) for c in ("segs", "lids")]
+    return measure_tiles(write_and_read(tiles.unionByName(long.select(*_about_tile(), *none)), "aoi-tiles"))
+
+
+def _about_tile() -> list[Column]:
+    return [*map(F.col, ("aoi", "base", "last", "level", "ix", "iy")), F.expr(grid.tile_key("level", "ix", "iy")).alias("tile"),
+            F.col("m2_factor"), *[F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")]]
 
 
 def measure_tiles(tiles: DataFrame) -> AoiTiles:
@@ -156,7 +174,8 @@ def measure_tiles(tiles: DataFrame) -> AoiTiles:
     r = tiles.agg(
         F.count_if(F.col("level") == grid.TOP).alias("n_aois"),
         F.coalesce(F.sum(held.cast("bigint") * 56 + 144), F.lit(0)).alias("n_bytes"),
-        F.collect_set("base").alias("bases"),
+        F.collect_set(F.struct("base", "last")).alias("kinds"),
+        F.count_if((F.col("level") == grid.TOP) & (F.col("last") == F.col("base"))).alias("n_long"),
         F.min("a_minx").alias("minx"), F.min("a_miny").alias("miny"),
         F.max("a_maxx").alias("maxx"), F.max("a_maxy").alias("maxy"),
     ).first()
@@ -167,7 +186,7 @@ def measure_tiles(tiles: DataFrame) -> AoiTiles:
         boxes = (tiles.where(F.col("level") == grid.TOP).groupBy(strip.alias("strip"))
                  .agg(*[f("a_" + c).alias(c) for c, f in (("minx", F.min), ("miny", F.min), ("maxx", F.max), ("maxy", F.max))])
                  .orderBy("strip").select("minx", "miny", "maxx", "maxy").collect())
-    return AoiTiles(tiles, r.n_aois, r.n_bytes, tuple(sorted(r.bases)),
+    return AoiTiles(tiles, r.n_aois, r.n_bytes, tuple(sorted(map(tuple, r.kinds))), r.n_long,
                     None if r.minx is None else (r.minx, r.miny, r.maxx, r.maxy), tuple(tuple(b) for b in boxes))
 
 
@@ -185,63 +204,56 @@ def near_ranges(footprints: DataFrame, tiles: AoiTiles) -> DataFrame:
 
 
 def bbox_prefilter(footprints: DataFrame, tiles: AoiTiles) -> DataFrame:
-    """Keep the footprints whose box meets the box of at least one area, however many areas there are.
+    """Keep the footprints whose box meets the box of at least one area, however many areas there are and however large a footprint is."""
+    boxes = registry(tiles).select(*[F.col(f"a_{c}").alias(c) for c in BOX])
+    return meeting_any(near_ranges(footprints, tiles), boxes)
 
-    A footprint is looked up in the one cell of its lower-left corner; the areas' boxes reach further to the left and
-    below by the largest footprint. The join is an equality that keeps or drops whole rows.
-    """
-    near = near_ranges(footprints, tiles)
-    most = near.agg(F.max(F.col("maxx") - F.col("minx")), F.max(F.col("maxy") - F.col("miny"))).first()
-    if most[0] is None:
-        return near
-
-    def cells(low, high, reach):
-        return F.explode(F.sequence(F.floor((F.col(low) - reach) / CELL), F.floor(F.col(high) / CELL)))
 
-    boxes = (tiles.tiles.where(F.col("level") == grid.TOP).select("a_minx", "a_miny", "a_maxx", "a_maxy").distinct()
-             .withColumn("_cx", cells("a_minx", "a_maxx", most[0])).withColumn("_cy", cells("a_miny", "a_maxy", most[1])))
-    meets = ((F.floor(near["minx"] / CELL) == boxes["_cx"]) & (F.floor(near["miny"] / CELL) == boxes["_cy"])
-             & (near["maxx"] >= boxes["a_minx"]) & (near["minx"] <= boxes["a_maxx"])
-             & (near["maxy"] >= boxes["a_miny"]) & (near["miny"] <= boxes["a_maxy"]))
-    return near.join(boxes, meets, "left_semi")
+def registry(tiles: AoiTiles) -> DataFrame:
+    """One row for each area, without its boundary."""
+    return tiles.tiles.where(F.col("level") == grid.TOP).drop("segs", "lids", "level", "ix", "iy", "tile")
 
 
-def _with_tile(footprints: DataFrame, bases: tuple[int, ...]) -> DataFrame:
+def _with_tile(footprints: DataFrame, kinds: tuple[tuple[int, int], ...]) -> DataFrame:
     """Add the footprint's tile per level in use (one row when all areas share a level)."""
     leveled = compute_once(footprints, _own=F.expr(grid.footprint_level("greatest(maxx - minx, maxy - miny)")))
-    wanted = f"array({', '.join(grid.match_level('_own', str(b)) for b in bases)})"
-    return (leveled.withColumn("_level", F.explode(F.expr(wanted if len(bases) == 1 else f"array_distinct({wanted})")))
+    wanted = f"array({', '.join(grid.match_level('_own', str(base), str(last)) for base, last in kinds)})"
+    return (leveled.withColumn("_level", F.explode(F.expr(wanted if len(kinds) == 1 else f"array_distinct({wanted})")))
             .withColumn("_tile", F.expr(grid.key_of_corner("_level", "minx", "miny"))))
 
 
-def _candidates(footprints: DataFrame, tiles: AoiTiles, broadcast_bytes: int) -> DataFrame:
-    placed = _with_tile(near_ranges(footprints, tiles), tiles.bases)
-    areas = tiles.tiles.select("aoi", F.col("base").alias("_base"), F.col("tile").alias("_tile"), "m2_factor",
+def _candidates(footprints: DataFrame, tiles: AoiTiles, broadcast_bytes: int) -> tuple[DataFrame, bool]:
+    """Footprints beside the tile that they lie in; and whether there are others, too large for the tiles of some area."""
+    placed = _with_tile(near_ranges(footprints, tiles), tiles.kinds)
+    areas = tiles.tiles.select("aoi", F.col("base").alias("_base"), F.col("last").alias("_last"), F.col("tile").alias("_tile"), "m2_factor",
                                "a_minx", "a_miny", "a_maxx", "a_maxy",
                                F.col("segs").alias("_segs"), F.col("lids").alias("_lids"))
-    on = ["_tile"]
-    if tiles.n_bytes <= broadcast_bytes:
+    on, any_large = ["_tile"], False
+    if tiles.n_bytes <= broadcast_bytes and not tiles.n_long:
         areas = F.broadcast(areas)
     else:
         # only tiles with an area count, and neither side may be sent whole to every executor
         placed = placed.join(areas.select("_tile").distinct(), "_tile", "left_semi")
-        placed, areas = _salt(placed, areas.hint("merge"), footprints.columns)
+        placed, areas, any_large = _salt(placed, areas.hint("merge"), footprints.columns)
         on.append("_salt")
     # an area further off than the tile is wide is dropped here, before any edge work
     return (placed.join(areas, on)
-            .where(f"""_level = {grid.match_level("_own", "_base")} AND maxx >= a_minx AND minx <= a_maxx
+            .where(f"""_level = {grid.match_level("_own", "_base", "_last")} AND maxx >= a_minx AND minx <= a_maxx
                        AND maxy >= a_miny AND miny <= a_maxy""")
-            .drop("_tile", "_salt", "_own", "_level", "_base", "a_minx", "a_miny", "a_maxx", "a_maxy"))
+            .drop("_tile", "_salt", "_own", "_level", "_base", "_last", "a_minx", "a_miny", "a_maxx", "a_maxy")), any_large
 
 
-def _salt(placed: DataFrame, areas: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def _salt(placed: DataFrame, areas: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, bool]:
     """Split tiles that hold a large share of the footprints; their areas are repeated once per split.
 
+    TOP tiles are left out on both sides; the last result tells whether any footprint would have needed them.
     The list of such tiles cannot be longer than HOT_TILES, whatever the data, so it is safe to broadcast. Rows
     that agree in every column stay together; adaptive skew handling splits those by map output.
     """
-    per_tile = placed.groupBy("_tile").agg(F.count("*").alias("n"))
-    per_tile = write_and_read(per_tile, "tile-counts")
+    per_tile = write_and_read(placed.groupBy("_tile").agg(F.count("*").alias("n")), "tile-counts")
+    below = F.col("_tile") < F.expr(grid.tile_key(str(grid.TOP), "0L", "0L"))  # the level comes first in the number
+    any_large = bool(per_tile.where(~below).head(1))
+    per_tile, placed, areas = per_tile.where(below), placed.where(below), areas.where(below)
     threshold = max(1, int((per_tile.agg(F.sum("n")).first()[0] or 0) / HOT_TILES))
     hot = F.broadcast(per_tile.where(F.col("n") > threshold)
                       .select("_tile", F.ceil(F.col("n") / threshold).cast("int").alias("_splits")))
@@ -250,7 +262,7 @@ def _salt(placed: DataFrame, areas: DataFrame, columns: list[str]) -> tuple[Data
               .withColumn("_salt", F.pmod("_row", splits).cast("int")).drop("_splits", "_row"))
     repeated = (areas.join(hot, "_tile", "left")
                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_splits"))
-    return salted, repeated
+    return salted, repeated, any_large
 
 
 def clip(
@@ -269,14 +281,25 @@ def clip(
     only touches an area is a match with area 0 and an empty shape. ``crs`` may give the labels of both sides' systems.
     """
     check_crs(*crs)
-    if not tiles.bases:
+    if not tiles.kinds:
         raise ValueError("no valid area of interest to clip with")
     # the measured columns of the clip go before those of the same name
     keep = tuple(c for c in dict.fromkeys(keep) if c not in ("aoi", "area_deg2", "m2_factor", "cut", "mp"))
-    box = ("minx", "miny", "maxx", "maxy")
-    columns = [c for c in dict.fromkeys((*keep, *box, "area_deg2")) if c != geometry] + [geometry]
-    pairs = _candidates(prepare_footprints(footprints, geometry).select(*columns), tiles, broadcast_bytes)
+    columns = [c for c in dict.fromkeys((*keep, *BOX, "area_deg2")) if c != geometry] + [geometry]
+    prepared = prepare_footprints(footprints, geometry).select(*columns)
+    pairs, any_large = _candidates(prepared, tiles, broadcast_bytes)
+    matched = overlaps(pairs, keep, columns, geometry, with_geometry)
+    if not any_large:
+        return matched
+    return matched.unionByName(clip_large(near_ranges(prepared, tiles), tiles.tiles, registry(tiles), min(last for _, last in tiles.kinds), keep, geometry,
+                                          with_geometry, overlaps, tiles.n_long > 0))
+
 
+def overlaps(pairs: DataFrame, keep: tuple[str, ...], columns: list[str], geometry: str, with_geometry: bool) -> DataFrame:
+    """The clip from footprints beside a tile: ``_segs`` and ``_lids`` are its boundary edges and lids, NULL in a full tile.
+
+    The last of ``columns`` is the geometry.
+    """
     # Where no boundary edge comes near the footprint's box, the box is wholly inside or wholly outside. Only rows
     # that still need work take their shapes along.
     state = f"""CASE WHEN _segs IS NULL THEN 'inside'

@@ -8,11 +8,12 @@ from rooftally.functions import measures as M
 from rooftally.operators.summary import aoi_summary, area_histogram, summary_maps
 
 
-def dashboard_payload(clip: DataFrame, aois: DataFrame, layers_path: str = "data", written: DataFrame | None = None) -> DataFrame:
+def dashboard_payload(clip: DataFrame, aois: DataFrame, layers_path: str = "data", written: DataFrame | None = None,
+                      typed: DataFrame | None = None) -> DataFrame:
     """One nested record per area; no areas is an error.
 
     ``files`` lists the folders of each source's layer, one per part; ``written`` is what
-    ``write_layers`` returned.
+    ``write_layers`` returned. ``typed`` has the properties (slug, properties) with values of their own types; without it they are texts.
     """
     if not aois.take(1):
         raise ValueError("give at least one area of interest")
@@ -33,9 +34,15 @@ def dashboard_payload(clip: DataFrame, aois: DataFrame, layers_path: str = "data
         aois = aois.join(per_area, "slug", "left")
     else:
         aois = aois.withColumn("_parts", F.create_map().cast("map<string,int>"))
+    if typed is not None:
+        aois = aois.drop("properties").join(typed.select("slug", F.col("properties").alias("_typed")), "slug", "left")
+        official = F.coalesce(F.expr("try_variant_get(_typed['area_km2_oficial'], '$', 'double')"), M.bbox_area_km2(*box))
+        aois = aois.withColumn("properties", F.col("_typed"))
+    else:
+        official = M.official_or_bbox_km2(F.col("properties"), *box)
     files = F.create_map(*[v for s in M.SOURCES for v in (F.lit(s), parts(s))])
     described = aois.select(
         F.col("slug").alias("aoi"), "properties", F.array("miny", "minx").alias("bounds_sw"),
         F.array("maxy", "maxx").alias("bounds_ne"), files.alias("files"),
-        M.official_or_bbox_km2(F.col("properties"), *box).alias("official_km2"))
+        official.alias("official_km2"))
     return described.join(summary, "aoi").join(histogram, "aoi")

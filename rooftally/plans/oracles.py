@@ -136,6 +136,18 @@ site_box AS (
 """
 
 
+# blocks as disjoint boxes
+BLOCKS = """
+block AS (
+  SELECT c_custkey AS id, (-45.4::DOUBLE + ((c_custkey // 750) % 400) * 0.25::DOUBLE) + (c_custkey % 750 % 25) * 0.007::DOUBLE AS x0,
+         (-21.95::DOUBLE + ((c_custkey // 750 // 400) % 300) * 0.2::DOUBLE) + (c_custkey % 750 // 25) * 0.004::DOUBLE AS y0,
+         0.013::DOUBLE + (c_custkey % 9) * 0.011::DOUBLE AS side FROM customer),
+block_box AS (
+  SELECT id, x0 + side * px0 AS bx0, y0 + side * py0 AS by0, x0 + side * px1 AS bx1, y0 + side * py1 AS by1
+  FROM block JOIN fp_part ON shape = CASE WHEN id % 4 = 1 THEN 'courtyard' ELSE 'square' END)
+"""
+
+
 def _world(select: str, *more: str) -> str:
     return f"WITH {','.join((WORLD, *more))} {select}"
 
@@ -202,6 +214,21 @@ ORACLES: dict[str, str] = {
         GROUP BY id, slug""",
     "spatial_join_shuffled": _world("""
         SELECT slug, count(*) AS n, sum(id)::BIGINT AS id_sum FROM pair GROUP BY slug"""),
+    "spatial_join_large": _world(f"""
+        SELECT id, slug, round(sum((least(bx1, ax1) - greatest(bx0, ax0)) * (least(by1, ay1) - greatest(by0, ay0))) * {M2}, 2) AS area_m2
+        FROM block_box JOIN aoi_box ON bx0 <= ax1 AND bx1 >= ax0 AND by0 <= ay1 AND by1 >= ay0 GROUP BY id, slug""", BLOCKS),
+    "shape_pairs": _world(f"""
+        SELECT b.id AS block, f.id, round(sum(greatest(0, least(b.bx1, f.bx1) - greatest(b.bx0, f.bx0))
+                                              * greatest(0, least(b.by1, f.by1) - greatest(b.by0, f.by0))) * {M2}, 3) AS shared_m2
+        FROM block_box b JOIN fp_box f ON b.bx0 <= f.bx1 AND b.bx1 >= f.bx0 AND b.by0 <= f.by1 AND b.by1 >= f.by0
+        WHERE b.id % 10 = 3 GROUP BY b.id, f.id""", BLOCKS),
+    "only_in_merged_by_shape": _world("""
+        SELECT f.id, f.bf_source FROM fp_all f LEFT JOIN (
+            SELECT a.id, b.id AS other, sum(greatest(0, least(a.bx1, b.bx1 + 0.00001) - greatest(a.bx0, b.bx0 + 0.00001))
+                                            * greatest(0, least(a.by1, b.by1) - greatest(a.by0, b.by0))) AS shared
+            FROM fp_box a JOIN fp_box b ON a.bx0 <= b.bx1 + 0.00001 AND a.bx1 >= b.bx0 + 0.00001 AND a.by0 <= b.by1 AND a.by1 >= b.by0
+            WHERE b.bf_source = 'google' AND b.id % 5 <> 0 GROUP BY a.id, b.id) p ON p.id = f.id
+        GROUP BY f.id, f.bf_source, f.area_deg2 HAVING coalesce(max(shared), 0) <= f.area_deg2 * 0.5"""),
     "bbox_candidates": _world("""
         SELECT count(*) AS n FROM fp_all f WHERE EXISTS (
             SELECT 1 FROM aoi a WHERE f.maxx >= a.minx AND f.minx <= a.maxx AND f.maxy >= a.miny AND f.miny <= a.maxy)"""),
@@ -279,6 +306,30 @@ ORACLES: dict[str, str] = {
     "geoparquet_roundtrip": _world(f"""
         SELECT id, bf_source, round(area_deg2 * {FACTOR_2188}, 2) AS area_m2, round(minx, 6) AS minx, round(maxy, 6) AS maxy
         FROM fp_all"""),
+    "geoparquet_index": _world("""
+        SELECT CASE bf_source WHEN 'google' THEN 'EPSG:4326' ELSE 'OGC:CRS84' END AS crs, '1.1.0' AS version, 'geometry' AS primary_column,
+               'WKB' AS encoding, count(*) AS n_rows, round(min(minx), 6) AS minx, round(min(miny), 6) AS miny, round(max(maxx), 6) AS maxx,
+               round(max(maxy), 6) AS maxy FROM fp_all GROUP BY bf_source"""),
+    "geoparquet_clip": _world(f"""
+        SELECT aoi, s.bf_source, n, {_rounded('area_m2, mean_m2', 2)}, 'EPSG:4326, OGC:CRS84' AS labels
+        FROM summary s JOIN area_key k ON k.slug = s.aoi WHERE town % 5 = 0""", SUMMARY),
+    "file_pruning": _world("""
+        SELECT count(*) AS n_candidates, count(*) AS n_all, true AS pruned FROM fp_all f WHERE EXISTS (
+            SELECT 1 FROM aoi a WHERE a.key < 50 AND a.minx > -100 AND f.maxx >= a.minx AND f.minx <= a.maxx AND f.maxy >= a.miny AND f.miny <= a.maxy)"""),
+    "sorted_geometries": _world("""
+        SELECT CASE WHEN id % 11 = 0 THEN 'truncated WKB geometry' WHEN id % 13 = 0 THEN 'ring is not closed'
+                    WHEN id % 17 = 0 THEN 'ring has fewer than four points' ELSE 'none' END AS problem, count(*) AS n, sum(id)::BIGINT AS id_sum
+        FROM fp_all GROUP BY 1"""),
+    "typed_properties": _world("""
+        SELECT slug, k AS key, CASE k WHEN 'checked' THEN 'boolean' WHEN 'none' THEN 'void' WHEN 'populacao_2022' THEN 'bigint'
+                                      WHEN 'ratio' THEN 'double' WHEN 'area_km2_oficial' THEN 'double' ELSE 'string' END AS kind, v AS value
+        FROM (SELECT slug, unnest(['checked', 'none', 'ratio', 'tags', 'nome', 'uf', 'ibge_code', 'area_km2_oficial', 'tipologia', 'populacao_2022']) AS k,
+                     unnest([(key % 2 = 0)::VARCHAR, NULL, (key / 4)::DOUBLE::VARCHAR, '[1,' || key || ']', s_name,
+                             CASE WHEN key % 5 <> 4 THEN n_name END, (3100000 + key)::VARCHAR, stated_km2::VARCHAR, shape, (key * 7 + 100)::VARCHAR]) AS v FROM aoi)
+        WHERE v IS NOT NULL OR k = 'none'"""),
+    "payload_typed": _world(f"""
+        SELECT slug AS aoi, total, s_name AS nome, (key * 7 + 100)::BIGINT AS population, round(stated_km2, 4) AS stated_km2,
+               round(coalesce(stated_km2, a.bbox_km2), 4) AS official_km2 FROM aoi a JOIN wide w ON w.aoi = a.slug""", WIDE),
     "wkb_decode": _world("""
         SELECT id, CASE shape WHEN 'square' THEN 93 WHEN 'corner' THEN 125 WHEN 'courtyard' THEN 177
                    ELSE 195 END::BIGINT AS n_bytes,

@@ -11,6 +11,7 @@ from rooftally.functions import measures as M
 from rooftally.functions.wkb import multipolygon_to_wkb
 from rooftally.operators import layers as L
 from rooftally.operators import lifecycle as T
+from rooftally.operators import shape_join
 from rooftally.operators import summary as S
 from rooftally.operators.spatial_join import AoiTiles, bbox_prefilter, clip, tile_aois
 from rooftally.plans import sample_world as W
@@ -18,7 +19,9 @@ from rooftally.plans.analyze import analyze_country
 from rooftally.plans.dashboard import dashboard_payload
 from rooftally.sources import aois as A
 from rooftally.sources import footprints as P
+from rooftally.sources import geoparquet as GP
 from rooftally.sources import writers as K
+from rooftally.sources.quarantine import set_aside
 from rooftally.workspace import fresh_path
 
 LATITUDE = -21.88
@@ -204,6 +207,27 @@ def spatial_join_shuffled(spark, sf):
     return pairs.groupBy(F.col("aoi").alias("slug")).agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
 
 
+def spatial_join_large(spark, sf):
+    """Blocks larger than the areas' tiles, by the shuffled way: cut along the tiles."""
+    pairs = clip(W.large_footprints(spark, sf), world_tiles(spark, sf), ("id",), broadcast_bytes=0)
+    return _rounded(pairs.select("id", F.col("aoi").alias("slug"), (F.col("area_deg2") * M.M2_PER_DEG2).alias("area_m2")))
+
+
+def shape_pairs(spark, sf):
+    """Blocks and footprints whose shapes share a point, from two tables without common ids."""
+    blocks = W.large_footprints(spark, sf).where("id % 10 = 3").withColumnRenamed("id", "block")
+    pairs = shape_join.shape_pairs(blocks, W.footprints(spark, sf), "block", "id")
+    return _rounded(pairs.select("block", "id", (F.col("shared_deg2") * M.M2_PER_DEG2).alias("shared_m2")), 3)
+
+
+def only_in_merged_by_shape(spark, sf):
+    """Footprints that a second dataset, slightly moved and with ids of its own, does not cover to more than half."""
+    world = W.footprints(spark, sf)
+    moved = F.expr("transform(geometry, p -> transform(p, r -> transform(r, v -> array(v[0] + 0.00001D, v[1]))))")
+    second = L.filter_source(world, "google").where("id % 5 <> 0").select(moved.alias("geometry"))
+    return shape_join.only_in_first_by_shape(world.select("id", "bf_source", "geometry"), second, least_share=0.5).select("id", "bf_source")
+
+
 def bbox_candidates(spark, sf):
     tiles = world_tiles(spark, sf)
     return S.count_total(bbox_prefilter(_measured(spark, sf), tiles))
@@ -344,6 +368,64 @@ def geoparquet_roundtrip(spark, sf):
         F.round("minx", 6).alias("minx"), F.round("maxy", 6).alias("maxy"))
 
 
+def _write_both_labels(spark, sf, files: int = 16) -> str:
+    """One folder of GeoParquet, each source's files with a label of its own."""
+    world, path = W.footprints(spark, sf).select("id", "bf_source", "geometry"), fresh_path(spark, "geo")
+    GP.write_geo(L.filter_source(world, "google"), path, "geometry", files=files)
+    GP.write_geo(L.filter_source(world, "microsoft"), path, "geometry", files=files, crs=GP.CRS84, mode="append")
+    return path
+
+
+def geoparquet_index(spark, sf):
+    """What the footers of written files say: rows and box by label of the coordinate system, and the parts of the key."""
+    index = GP.file_index(spark, _write_both_labels(spark, sf))
+    key = F.from_json("geo", "struct<version: string, primary_column: string, columns: map<string, struct<encoding: string>>>")
+    known = index.select("*", key.alias("k"))
+    return _rounded(known.groupBy("crs", F.col("k.version").alias("version"), F.col("k.primary_column").alias("primary_column"),
+                                  F.col("k.columns")["geometry"]["encoding"].alias("encoding")).agg(
+        F.sum("n_rows").alias("n_rows"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"),
+        F.max("maxy").alias("maxy")), 6)
+
+
+def geoparquet_clip(spark, sf):
+    """The summary of one town in five from GeoParquet with mixed labels: only the files near those areas are read."""
+    path = _write_both_labels(spark, sf)
+    aois = world_aois(spark, sf).where("cast(substring(slug, 5) AS bigint) DIV 50 % 5 = 0 AND minx > -100")
+    scan = GP.read_near(spark, path, aois)
+    pairs = clip(scan.footprints, tile_aois(aois), ("bf_source",), crs=scan.crs)
+    summary = S.aoi_summary(pairs)
+    return _rounded(summary.withColumn("labels", F.lit(", ".join(scan.crs))))
+
+
+def file_pruning(spark, sf):
+    """The footprints near the areas of the first town, from the files that the index names and from all files: some are left out, nothing is lost."""
+    path = _write_both_labels(spark, sf)
+    aois = world_aois(spark, sf).where("cast(substring(slug, 5) AS bigint) < 50 AND minx > -100")
+    scan, tiles = GP.read_near(spark, path, aois), tile_aois(aois)
+    whole = bbox_prefilter(P.prepare_footprints(spark.read.parquet(path)), tiles).agg(F.count("*").alias("n_all"))
+    some = bbox_prefilter(P.prepare_footprints(scan.footprints), tiles).agg(F.count("*").alias("n_candidates"))
+    return some.select("n_candidates", F.lit(whole.first().n_all).alias("n_all"), F.lit(scan.n_files < scan.n_present).alias("pruned"))
+
+
+def sorted_geometries(spark, sf):
+    """Torn bytes, open rings and rings of three points are set aside with their problem; the rest goes on."""
+    done = set_aside(W.faulty_wkb(spark, sf))
+    kinds = done.bad.groupBy("problem").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+    rest = P.prepare_footprints(done.sound).agg(F.lit("none").alias("problem"), F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+    return kinds.unionByName(rest)
+
+
+def typed_properties(spark, sf):
+    """Properties of all kinds, each with the kind that it keeps and its text."""
+    key = F.expr("cast(substring(slug, 5) AS bigint)")
+    more = F.format_string('"properties":{"checked":%s,"ratio":%s,"tags":[1,%s],"none":null,', (key % 2 == 0).cast("string"),
+                           (key / 4).cast("string"), key.cast("string"))
+    docs = W.aoi_documents(spark, sf).withColumn("document", F.replace("document", F.lit('"properties":{'), more))
+    each = A.typed_properties(docs).select("slug", F.explode("properties").alias("key", "value"))
+    return each.select("slug", "key", F.lower(F.expr("schema_of_variant(value)")).alias("kind"),
+                       F.expr("try_variant_get(value, '$', 'string')").alias("value"))
+
+
 def wkb_decode(spark, sf):
     """Vertices and rings of WKB bytes, decoded to nested arrays."""
     encoded = W.footprints(spark, sf).select("id", multipolygon_to_wkb("geometry").alias("geometry"))
@@ -354,6 +436,18 @@ def wkb_decode(spark, sf):
                           F.size(F.expr(G.points("mp"))).cast("bigint").alias("n_points"))
 
 
+def payload_typed(spark, sf):
+    """Payload whose properties keep their types when written as JSON and read back."""
+    aois, docs = world_aois(spark, sf), W.aoi_documents(spark, sf)
+    records = dashboard_payload(world_clip(spark, sf), aois, typed=A.typed_properties(docs))
+    path = fresh_path(spark, "payload")
+    K.write_records(records.select("aoi", "total", "properties", "official_km2"), path)
+    back = spark.read.schema("aoi string, total long, properties struct<nome: string, populacao_2022: long, area_km2_oficial: double>, "
+                             "official_km2 double").json(path)
+    return _rounded(back.select("aoi", "total", "properties.nome", F.col("properties.populacao_2022").alias("population"),
+                                F.col("properties.area_km2_oficial").alias("stated_km2"), "official_km2"), 4)
+
+
 def payload(spark, sf):
     """The records name the parts that ``write_layers`` gives the same layers."""
     clipped, aois = world_clip(spark, sf), world_aois(spark, sf)
@@ -448,12 +542,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     read_country_count, single_vs_merged, only_in_merged, analyze_files, read_materialised,
     list_aois, aoi_violations, aoi_bounds, aoi_display, ring_checks, aoi_enriched,
     filter_source, filter_min_area, filter_min_area_equatorial, footprint_area_m2, bbox_centre, simplify_vertices,
-    spatial_join_pairs, spatial_join_touch, spatial_join_shuffled, bbox_candidates,
+    spatial_join_pairs, spatial_join_touch, spatial_join_shuffled, spatial_join_large, shape_pairs, only_in_merged_by_shape, bbox_candidates,
     clip_area, clip_by_shape, clip_geometry,
     count_total, count_by_source, area_by_source, mean_area_by_source, distinct_sources,
     aoi_summary, aoi_summary_maps, compare_aois, density_official, share_by_source, area_histogram,
     comparison_table, built_area_gap, coverage_class, aoi_ratio,
-    layers, write_layers, summary_json, write_clip, read_features, geojson_roundtrip, geoparquet_roundtrip, wkb_decode, payload,
+    layers, write_layers, summary_json, write_clip, read_features, geojson_roundtrip, geoparquet_roundtrip, geoparquet_index,
+    geoparquet_clip, file_pruning, sorted_geometries, typed_properties, wkb_decode, payload, payload_typed,
     table_stats, prune_dry_run, prune_confirmed, compact_counts, describe_table,
 )}
 QUERIES["dashboard_payload"] = QUERIES.pop("payload")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rooftally.functions import geometry as G
 from rooftally.functions.plan import compute_once
+from rooftally.functions.wkb import multipolygon_to_wkb
 
 LOTS_PER_TOWN = 7500
 AOIS_PER_TOWN = 50
@@ -161,6 +162,29 @@ def aoi_documents(spark: SparkSession, sf_dir: str, broken: bool = False) -> Dat
     return compute_once(_aoi_frame(spark, sf_dir), document=F.expr(document)).select("slug", "document")
 
 
+def large_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, geometry: a block for every customer, larger than the tiles of the areas around it; every fourth has a courtyard."""
+    town, lot = "floor(c_custkey / 750)", "pmod(c_custkey, 750L)"
+    placed = compute_once(
+        dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"), id=F.col("c_custkey"),
+        x0=F.expr(f"{_town_x(town)} + pmod({lot}, 25L) * 0.007D"), y0=F.expr(f"{_town_y(town)} + floor({lot} / 25) * 0.004D"),
+        side=F.expr("0.013D + pmod(c_custkey, 9L) * 0.011D"))
+    inner = _box("(x0 + side * 0.25D)", "(y0 + side * 0.25D)", "(x0 + side * 0.75D)", "(y0 + side * 0.75D)")
+    outer = _box("x0", "y0", "(x0 + side)", "(y0 + side)")
+    return compute_once(placed, geometry=F.expr(f"if(id % 4 = 1, array(array({outer}, {inner})), array(array({outer})))")).select("id", "geometry")
+
+
+def faulty_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, geometry: WKB of which some is torn, some has open rings and some has rings of three points."""
+    def cut(points: str) -> str:
+        return f"transform(geometry, polygon -> transform(polygon, ring -> {points}))"
+
+    rows = footprints(spark, sf_dir).select("id", F.expr(f"""CASE WHEN id % 13 = 0 THEN {cut('slice(ring, 1, size(ring) - 1)')}
+        WHEN id % 17 = 0 THEN {cut('concat(slice(ring, 1, 2), slice(ring, 1, 1))')} ELSE geometry END""").alias("mp"))
+    wkb = rows.select("id", multipolygon_to_wkb("mp").alias("geometry"))
+    return wkb.select("id", F.expr("if(id % 11 = 0, substring(geometry, 1, length(geometry) - 5), geometry)").alias("geometry"))
+
+
 # --- edge contact --------------------------------------------------------------------------------------------------
 def lattice_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes on multiples of 1/512 degree, so that shared edges and corners are exact."""

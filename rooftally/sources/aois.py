@@ -116,6 +116,25 @@ def read_features(documents: DataFrame) -> DataFrame:
                     F.col("_f")["properties"].alias("properties")))
 
 
+def clean_properties(json: str = "_json") -> Column:
+    """Properties from a column of JSON text as a map of VARIANT values that any reader of JSON can take.
+
+    Whole numbers, texts, booleans and nulls stay as they are, other numbers become doubles, and lists and objects their JSON text. NULL and text
+    that is no object give an empty map.
+    """
+    kind = "upper(schema_of_variant(v))"
+    value = f"""CASE WHEN {kind} LIKE 'DECIMAL%' OR {kind} IN ('FLOAT', 'DOUBLE') THEN cast(cast(v AS double) AS variant)
+        WHEN {kind} LIKE 'ARRAY%' OR {kind} LIKE 'OBJECT%' THEN cast(to_json(v) AS variant) ELSE v END"""
+    return F.expr(f"""coalesce(transform_values(try_variant_get(try_parse_json({json}), '$', 'map<string, variant>'), (k, v) -> {value}),
+        cast(map() AS map<string, variant>))""")
+
+
+def typed_properties(documents: DataFrame) -> DataFrame:
+    """(slug, properties) of each document's first feature, with values that keep their type: see ``clean_properties``."""
+    return documents.select("slug", F.get_json_object("document", "$.features[0].properties").alias("_json")).select(
+        "slug", clean_properties().alias("properties"))
+
+
 def get_aoi(documents: DataFrame, slug: str) -> DataFrame:
     """One valid area; an unknown slug or a broken rule is an error."""
     found = check_aois(documents.where(F.col("slug") == slug)).select("violations").take(1)

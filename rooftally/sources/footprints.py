@@ -62,6 +62,8 @@ def prepare_footprints(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     kept = [c for c in df.columns if c not in PREPARED]
     if _has_covering(df):
         boxed = df.select(*kept, *[F.col("bbox")[c].cast("double").alias(n) for c, n in zip(COVERING, PREPARED)])
+        if dict(df.dtypes).get("area_deg2") == "double":  # measured when it was written
+            return df.select(*kept, *[F.col("bbox")[c].cast("double").alias(n) for c, n in zip(COVERING, PREPARED)], "area_deg2")
         return boxed.withColumn("area_deg2", stats(F.col(geometry))["area_deg2"])
     # through a generator: a filter on one measure may not bring a second run of the measuring
     measured = compute_once(df.select(*kept), _stats=stats(F.col(geometry)))
