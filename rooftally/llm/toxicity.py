@@ -2,7 +2,8 @@
 
 Categories are predicted one after the other: each logistic model sees the words of a text and the probabilities of the
 categories before it. In training those probabilities are out-of-fold predictions, so a later model learns from what an earlier one says about
-texts it has not seen. Features are words and their first letters, chosen per category by their association with the label.
+texts it has not seen. Features are words, their first letters and traits of the
+whole text (marks, repetition, capitals), chosen per category by their association with the label.
 
 Scale: the models are fitted in one task on a bounded sample of labelled documents (``SAMPLE`` rows, chosen by a hash of
 the id); this is the only bound. Scoring is a narrow map over all whole texts by set intersection with the chosen features, without a
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +33,8 @@ FALSE_SHARE, LOWEST, HIGHEST = 0.002, 0.05, 0.5
 LETTERS = 4
 
 _EDGES = ",.;:!?\"'()[]{}"
+#: Traits of a whole text, with the shares that they must exceed.
+MARKS, TRAITS = "#*$%&|<>", {"marks": (0.01, 0.05), "echoes": (0.1, 0.3), "repeats": (0.45, 0.6, 0.8), "capitals": (0.1, 0.3), "lines": (0.2, 0.5)}
 
 
 class Link(NamedTuple):
@@ -44,10 +48,21 @@ class Link(NamedTuple):
 
 
 def features_of(text: str | None) -> set[str]:
-    """The different words of a text, lower-cased and without punctuation around them, and ``^`` with their first letters."""
-    words = {w.strip(_EDGES) for w in set((text or "").lower().split())}
+    """The different words of a text, lower-cased and without punctuation around them, ``^`` with their first letters, and ``~`` with the text's traits."""
+    spoken = (text or "").split()
+    words = {w.lower().strip(_EDGES) for w in set(spoken)}
     words.discard("")
-    return words | {"^" + w[:LETTERS] for w in words if len(w) > LETTERS}
+    return words | {"^" + w[:LETTERS] for w in words if len(w) > LETTERS} | traits_of(text or "", spoken)
+
+
+def traits_of(text: str, words: list[str]) -> set[str]:
+    """Which limits of ``TRAITS`` a text exceeds: marks among its characters, words equal to the one before, words and lines seen before, words in capitals."""
+    if not words:
+        return set()
+    n, lines = len(words), text.split("\n")
+    shares = {"marks": sum(map(text.count, MARKS)) / len(text), "echoes": sum(map(eq, words, words[1:])) / n, "repeats": 1 - len(set(words)) / n,
+              "capitals": sum(map(str.isupper, words)) / n, "lines": 1 - len(set(lines)) / len(lines)}
+    return {f"~{trait}{k}" for trait, limits in TRAITS.items() for k, limit in enumerate(limits) if shares[trait] > limit}
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -167,7 +182,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[e.cast("int").alias(c) for c, e in categories.items()])
     known = known.dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    rows = text.join(F.broadcast(known), "doc_id").select("text", F.xxhash64("text").alias("key"), *names)
+    rows = text.join(F.broadcast(known), "doc_id").select("text", F.xxhash64("text").alias("key"), *names).dropDuplicates(["key", *names])
     weights = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_trainer(names), "link int, name string, weight double").collect()
     if not weights:
         return []

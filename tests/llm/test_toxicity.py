@@ -48,3 +48,21 @@ def test_awkward_rows(table):
     none = X.fit_chain(docs, labels.limit(0), X.label_categories())
     assert none == [] and X.toxicity(docs, none).filter("toxic").count() == 0 and X.drop_toxic(docs, none).count() == 9
     assert X.toxicity(docs.limit(0), chain).count() == 0
+
+
+def test_traits_of_whole_texts():
+    assert X.traits_of("", []) == set()
+    def traits(text):
+        return X.traits_of(text, text.split())
+    assert traits("a plain text of some words\nand another line") == set()
+    assert traits("HA HA HA HA HA HA HA HA HA HA") == {"~echoes0", "~echoes1", "~repeats0", "~repeats1", "~repeats2", "~capitals0", "~capitals1"}
+    assert traits("one### two### three### four###") == {"~marks0", "~marks1"}
+    assert traits("same line\nsame line\nother words here\nsame line") >= {"~lines0"}
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    rows = [(k, f"{'bad' if k % 4 == 0 else 'fine'} word{k % 7} text{k}", k) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    labels = spark.createDataFrame([(k, 1 - (k % 4 == 0), int(k % 8 == 0)) for k in range(200)], "doc_id long, quality int, toxic int")
+    once = X.fit_chain(docs, labels, X.label_categories())
+    assert X.fit_chain(docs.union(docs).union(docs.where("doc_id < 50")), labels, X.label_categories()) == once
