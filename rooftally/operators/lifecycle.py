@@ -97,8 +97,8 @@ def compact_table(spark: SparkSession, database: str, table: str, new_path: str,
                   cluster_by: tuple[str, ...] = (), confirm: bool = False) -> dict[str, int]:
     """Rewrite a table's small files as few large ones at a new place and let the table point there.
 
-    The row counts are compared before the switch; the old table stays as ``<table>_bak`` and replaces an older
-    backup. Without ``confirm`` nothing is changed and only the present figures are returned. No file gets more than
+    The row counts are compared before the switch; the old files stay readable as ``<table>_bak``, which replaces an older
+    backup. A table without partitions is switched by one change of its location, so a crash leaves it readable, before or after. Without ``confirm`` nothing is changed and only the present figures are returned. No file gets more than
     ``rows_per_file`` rows.
     """
     name, backup = f"`{database}`.`{table}`", f"`{database}`.`{table}_bak`"
@@ -116,8 +116,12 @@ def compact_table(spark: SparkSession, database: str, table: str, new_path: str,
     if after != before:
         raise RuntimeError(f"compacted copy of {table} has {after} rows instead of {before}; nothing was changed")
     spark.sql(f"DROP TABLE IF EXISTS {backup}")
-    spark.sql(f"ALTER TABLE {name} RENAME TO {backup}")
-    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{new_path}'")
-    if parts:
+    if parts:  # the partitions have locations of their own
+        spark.sql(f"ALTER TABLE {name} RENAME TO {backup}")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{new_path}'")
         spark.sql(f"MSCK REPAIR TABLE {name}")
+    else:
+        spark.sql(f"CREATE TABLE {backup} USING parquet LOCATION '{_location(spark, database, table)}'")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{new_path}'")
+        spark.catalog.refreshTable(name)
     return {"rows": after, "files": len(written.inputFiles())}

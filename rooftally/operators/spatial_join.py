@@ -156,7 +156,7 @@ def tile_aois(aois: DataFrame, slug: str = "slug") -> AoiTiles:
         F.when(border, F.col("lids")).alias("lids"),
     )
     # every area has one TOP row; that of a long boundary holds none of it
-    long = _described(aois).where((F.col("last") == F.col("base")) & F.col("minx").isNotNull()).select(
+    long = rows.where("real AND last = base").select("aoi", *ABOUT).distinct().select(
         "*", F.lit(grid.TOP).alias("level"), F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"))
     none = [F.lit(None).cast(tiles.schema[c].dataType).alias(c) for c in ("segs", "lids")]
     return measure_tiles(write_and_read(tiles.unionByName(long.select(*_about_tile(), *none)), "aoi-tiles"))

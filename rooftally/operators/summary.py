@@ -154,6 +154,17 @@ def area_histogram(clip: DataFrame, aois: DataFrame | None = None) -> DataFrame:
     return counted.select("aoi", F.inline(rows))
 
 
+def counted_once(clip: DataFrame) -> DataFrame:
+    """Summary and size classes in one pass over a clip: ``aoi_summary`` with a map ``buckets`` of the counts by class, zeros included."""
+    bucket = M.area_bucket(F.col("area_deg2") * F.col("m2_factor"))
+    classed = clip.select("aoi", SOURCE, "area_deg2", "m2_factor", bucket.alias("_b"))
+    per_source = classed.groupBy("aoi", SOURCE).agg(
+        F.count("*").alias("n"), (F.coalesce(F.sum("area_deg2"), F.lit(0.0)) * F.max("m2_factor")).alias("area_m2"),
+        *[F.count_if(F.col("_b") == b).alias(f"_{i}") for i, b in enumerate(M.AREA_BUCKETS)])
+    buckets = F.create_map(*[v for i, b in enumerate(M.AREA_BUCKETS) for v in (F.lit(b), F.col(f"_{i}"))])
+    return per_source.select("aoi", SOURCE, "n", "area_m2", M.mean_area(F.col("area_m2"), F.col("n")).alias("mean_m2"), buckets.alias("buckets"))
+
+
 def source_coverage(merged: DataFrame, single: DataFrame, key: str) -> DataFrame:
     """Footprints with and without the second source per ``key``, and what the merge adds."""
     def counted(df, name):

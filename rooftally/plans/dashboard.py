@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rooftally.functions import measures as M
-from rooftally.operators.summary import aoi_summary, area_histogram, summary_maps
+from rooftally.operators.summary import counted_once, summary_maps
+from rooftally.workspace import write_and_read
 
 
 def dashboard_payload(clip: DataFrame, aois: DataFrame, layers_path: str = "data", written: DataFrame | None = None,
@@ -18,12 +19,15 @@ def dashboard_payload(clip: DataFrame, aois: DataFrame, layers_path: str = "data
     if not aois.take(1):
         raise ValueError("give at least one area of interest")
     box = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
-    summary = summary_maps(aoi_summary(clip), aois)
+    counted = write_and_read(counted_once(clip), "counted")  # a row for each area and source; the clip is read once
+    summary = summary_maps(counted.drop("buckets"), aois)
     # always the same ten entries per area
-    by_source = area_histogram(clip, aois).groupBy("aoi", "bf_source").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("buckets"))
-    histogram = by_source.groupBy("aoi").agg(
-        F.map_from_entries(F.collect_list(F.struct("bf_source", "buckets"))).alias("histogram"))
+    none = F.create_map(*[v for b in M.AREA_BUCKETS for v in (F.lit(b), F.lit(0).cast("long"))])
+    known = counted.where(F.col("bf_source").isin(*M.SOURCES)).groupBy("aoi").agg(
+        F.map_from_entries(F.collect_list(F.struct("bf_source", "buckets"))).alias("_known"))
+    filled = F.create_map(*[v for s in M.SOURCES for v in (F.lit(s), F.coalesce(F.col("_known")[s], none))])
+    histogram = aois.select(F.col("slug").alias("aoi")).join(known, "aoi", "left").select("aoi", filled.alias("histogram"))
+
     def parts(source):
         numbers = F.sequence(F.lit(0), F.coalesce(F.col("_parts")[source], F.lit(1)) - 1)
         return F.transform(numbers, lambda k: F.concat(F.lit(f"{layers_path}/aoi="), "slug", F.lit(f"/bf_source={source}/part="), k))

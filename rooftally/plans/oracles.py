@@ -175,6 +175,7 @@ ORACLES: dict[str, str] = {
     "read_materialised": _world(f"SELECT aoi, bf_source, n, {_rounded('area_m2, mean_m2', 2)} FROM summary", SUMMARY),
     "list_aois": _world("""
         SELECT slug, s_name AS nome, (3100000 + key)::VARCHAR AS code FROM aoi WHERE key % 20 NOT IN (7, 14)"""),
+    "get_aoi": _world(f"SELECT slug, display_name, {_rounded('minx, miny, maxx, maxy', 6)} FROM aoi WHERE key = 1"),
     "aoi_violations": _world("""
         SELECT slug, CASE key % 20
             WHEN 7 THEN 'not a FeatureCollection; not exactly one feature; not Polygon or MultiPolygon'
@@ -206,6 +207,10 @@ ORACLES: dict[str, str] = {
     "simplify_vertices": _world("""
         SELECT id, CASE shape WHEN 'square' THEN 9 WHEN 'corner' THEN 13 ELSE 18 END::BIGINT AS n_before,
                n_points AS n_after FROM fp_all"""),
+    "simplify_slanted": _world("""
+        SELECT id, CASE shape WHEN 'square' THEN 9 WHEN 'corner' THEN 13 ELSE 18 END::BIGINT AS n_before,
+               CASE WHEN id % 2 = 0 THEN n_points ELSE CASE shape WHEN 'square' THEN 9 WHEN 'corner' THEN 13 ELSE 18 END END::BIGINT AS n_after
+        FROM fp_all"""),
     "spatial_join_pairs": _world("SELECT id, slug FROM pair"),
     "spatial_join_touch": f"""WITH {LATTICE}
         SELECT id, slug, sum(greatest(0, least(bx0 + size, ax1) - greatest(bx0, ax0))

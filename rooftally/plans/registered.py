@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rooftally.functions import geometry as G
 from rooftally.functions import measures as M
+from rooftally.functions.plan import compute_once
 from rooftally.functions.wkb import multipolygon_to_wkb
 from rooftally.operators import layers as L
 from rooftally.operators import lifecycle as T
@@ -127,6 +128,12 @@ def aoi_display(spark, sf):
         F.col("properties")["populacao_2022"].try_cast("bigint").alias("population")), 6)
 
 
+def get_aoi(spark, sf):
+    """One area by its slug, among documents of which some break a rule."""
+    found = A.get_aoi(W.aoi_documents(spark, sf, broken=True), "aoi_000000001")
+    return _rounded(found.select("slug", "display_name", "minx", "miny", "maxx", "maxy"), 6)
+
+
 def ring_checks(spark, sf):
     return A.ring_checks(world_aois(spark, sf), BRAZIL_BOX)
 
@@ -189,6 +196,21 @@ def simplify_vertices(spark, sf):
     return kept.select("id", "n_before", n_points("mp").alias("n_after"))
 
 
+def simplify_slanted(spark, sf):
+    """Slanted outlines, some with holes or parts, of which every edge has a vertex beside its middle: those within the tolerance go, others stay."""
+    off = "if(id % 2 = 0, 5e-8D, 3e-7D)"
+    middle = f"""array((r[i][0] + r[i + 1][0]) / 2 + {off} * (r[i + 1][1] - r[i][1]) / hypot(r[i + 1][0] - r[i][0], r[i + 1][1] - r[i][1]),
+        (r[i][1] + r[i + 1][1]) / 2 - {off} * (r[i + 1][0] - r[i][0]) / hypot(r[i + 1][0] - r[i][0], r[i + 1][1] - r[i][1]))"""
+    dense = f"""transform(geometry, p -> transform(p, r -> concat(flatten(transform(sequence(0, size(r) - 2), i -> array(r[i], {middle}))),
+        array(element_at(r, -1)))))"""
+    turned = """transform(mp, p -> transform(p, r -> transform(r, v -> array(
+        mp[0][0][0][0] + (v[0] - mp[0][0][0][0]) * 0.8D - (v[1] - mp[0][0][0][1]) * 0.6D,
+        mp[0][0][0][1] + (v[0] - mp[0][0][0][0]) * 0.6D + (v[1] - mp[0][0][0][1]) * 0.8D))))"""
+    shapes = W.footprints(spark, sf).select("id", F.expr(dense).alias("mp"))
+    shapes = compute_once(shapes, mp=F.expr(turned)).withColumn("n_before", F.size(F.expr(G.points("mp"))).cast("bigint"))
+    return L.simplify(shapes, 1e-7).select("id", "n_before", F.size(F.expr(G.points("mp"))).cast("bigint").alias("n_after"))
+
+
 # --- joins ---------------------------------------------------------------------------------------------------------
 def spatial_join_pairs(spark, sf):
     return world_clip(spark, sf, ("id",)).select("id", F.col("aoi").alias("slug"))
@@ -540,8 +562,8 @@ def describe_table(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     read_country_count, single_vs_merged, only_in_merged, analyze_files, read_materialised,
-    list_aois, aoi_violations, aoi_bounds, aoi_display, ring_checks, aoi_enriched,
-    filter_source, filter_min_area, filter_min_area_equatorial, footprint_area_m2, bbox_centre, simplify_vertices,
+    list_aois, get_aoi, aoi_violations, aoi_bounds, aoi_display, ring_checks, aoi_enriched,
+    filter_source, filter_min_area, filter_min_area_equatorial, footprint_area_m2, bbox_centre, simplify_vertices, simplify_slanted,
     spatial_join_pairs, spatial_join_touch, spatial_join_shuffled, spatial_join_large, shape_pairs, only_in_merged_by_shape, bbox_candidates,
     clip_area, clip_by_shape, clip_geometry,
     count_total, count_by_source, area_by_source, mean_area_by_source, distinct_sources,
