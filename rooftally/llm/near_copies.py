@@ -198,10 +198,14 @@ def true_forest(x: Sets, y: Sets, same: bool, radius: int) -> tuple[np.ndarray,
     for i, j in candidate_blocks(x.codes, y.codes, radius):
         fits = 5 * np.minimum(x.sizes[i], y.sizes[j]) >= 4 * np.maximum(x.sizes[i], y.sizes[j])
         i, j = i[fits], j[fits]
+        some = 1
         while len(i):
             open_ = root[i] != root[j + shift]  # most are connected once the first of their group are
             i, j = i[open_], j[open_]
-            take = np.unique(i, return_index=True)[1]
+            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+            place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+            take = np.flatnonzero(place < some)  # of each row one candidate, then two, four, ...
+            some *= 2
             good = take[alike(x, y, i[take], j[take])]
             away = np.flatnonzero(root != np.arange(len(root)))
             root = local_roots(np.concatenate([away, i[good]]), np.concatenate([root[away], j[good] + shift]), len(root))
