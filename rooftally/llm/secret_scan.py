@@ -4,8 +4,8 @@ The field tags tokens as begin, inside or outside by their shape, by neighbourin
 the tags. It is trained here: on excerpts of at most ``SAMPLE`` documents, in which what the patterns find is tagged, with made-up secrets and
 lookalikes (addresses, versions, identifiers, digests' short forms, …) set in at random, so that it also learns forms which the patterns don't know.
 
-Scale: finding is a narrow map over the texts, without a shuffle; the model (under a megabyte) is fitted once in one task. Plain words, numbers and
-short tokens are outside by the model's definition and cut the chain, so only the runs of other tokens between them are decoded.
+Scale: finding is a narrow map over the texts, without a shuffle; the model (under a megabyte) is fitted once in one task. Every token is scored, plain
+words and numbers too. Where outside leads by more than the transitions could make up for, the chain is cut, and the runs between are decoded.
 
 Defined cases: NULL and empty texts have no secrets. Texts are searched whole, whatever their length. Patterns are leftmost and
 don't overlap within a kind; spans of the field that lie inside a pattern's span are left out, others stay beside it. Repeated rows stay and
@@ -170,7 +170,8 @@ def fit_tagger(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Tag
         rows = pd.concat([pd.DataFrame({"key": [], "t": []}), *batches]).sort_values(["key", "t"], kind="stable")
         yield pd.DataFrame({"model": [pickle.dumps(train(training_sequences(rows["t"].tolist())))]})
 
-    return pickle.loads(some.coalesce(1).mapInPandas(fitted, "model binary").first()["model"])
+    fit = some.coalesce(1).mapInPandas(fitted, "model binary").first()
+    return pickle.loads(fit["model"]) if fit else train([])  # an empty table may have no task
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import string
-from dataclasses import dataclass
+from bisect import bisect_right
+from dataclasses import dataclass, field
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -18,8 +21,8 @@ BUCKETS = 1 << 12
 #: Own features are hashed to so many buckets of their own.
 SHAPES = 1 << 13
 FILES = 16
-#: Shorter tokens are never part of a secret, nor are plain words and numbers; see ``unusual``.
-LEAST_TOKEN = 8
+#: Words whose scores a process keeps between texts.
+KEPT_WORDS = 1 << 18
 PENALTY = 1e-3
 STEPS, RATE = 60, 0.15
 _CLASSES = str.maketrans({**dict.fromkeys(string.ascii_lowercase, "a"), **dict.fromkeys(string.ascii_uppercase, "A"),
@@ -30,26 +33,22 @@ _RUNS = re.compile(r"(.)\1*", re.S)
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey", "private key", "bearer", "credential")
 
 
+@lru_cache(1 << 16)
 def _bucket(text: str, size: int) -> int:
     return crc32(text.encode("utf-8", "surrogatepass")) % size
 
 
 def _level(n: float, limits: tuple[float, ...]) -> int:
-    return sum(n >= v for v in limits)
+    return bisect_right(limits, n)
 
 
 def unusual(word: str) -> bool:
-    """Whether a token can be part of a secret at all: any other has the tag outside by definition.
-
-    Those are short tokens, numbers, and words of letters only that are written small, with a capital, or all in capitals.
-    """
-    if len(word) < LEAST_TOKEN or word.isdigit():
-        return False
-    return not word.isalpha() or (word[1:] != word[1:].lower() and word != word.upper())
+    """Whether a token can be part of a secret at all: any can. What speaks against plain words, numbers and marks is learned."""
+    return True
 
 
 def shape_features(word: str) -> list[int]:
-    """Buckets of what an unusual token looks like by itself."""
+    """Buckets of what a token looks like by itself."""
     n = len(word)
     classes = word.translate(_CLASSES)
     lower, upper, digit = classes.count("a"), classes.count("A"), classes.count("0")
@@ -57,19 +56,19 @@ def shape_features(word: str) -> list[int]:
     other = n - lower - upper - digit - sum(map(word.count, marks))
     runs = len(_RUNS.findall(classes)) if n <= 4096 else n
     kinds = f"{lower > 0:d}{upper > 0:d}{digit > 0:d}{other > 0:d}"
-    length = _level(n, (8, 10, 12, 16, 20, 24, 32, 40, 64))
+    length = _level(n, (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 40, 64))
     changes = _level(runs / n, (0.05, 0.15, 0.25, 0.35, 0.5))
     vowels = _level(sum(map(word.lower().count, "aeiou")) / max(1, lower + upper), (0.1, 0.2, 0.3, 0.45))
     different = _level(len(set(word)) / min(n, 40), (0.2, 0.35, 0.5, 0.7))
     digits = _level(digit / n, (0.01, 0.1, 0.25, 0.45, 0.7, 1.0))
     names = [f"l{length}", f"k{kinds}{marks}", f"kl{kinds}{length}", f"c{changes}{kinds}", f"v{vowels}{length}", f"d{digits}{length}{kinds}",
-             f"u{different}{changes}", f"p{word[:4]}{kinds}{length >= 4:d}", f"m{marks}{digits}{changes}", f"x{bool(_HEX.fullmatch(word)):d}{length}"]
+             f"u{different}{changes}", f"p{word[:4]}{kinds}{length >= 7:d}", f"m{marks}{digits}{changes}", f"x{bool(_HEX.fullmatch(word)):d}{length}"]
     return [_bucket(v, SHAPES) for v in names]
 
 
 def neighbour(word: str) -> int:
     """Bucket of a word as a neighbour: itself if short, else its kind."""
-    return _bucket(word.lower() if len(word) <= 14 else "~long", BUCKETS)
+    return crc32(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS if len(word) <= 14 else _bucket("~long", BUCKETS)
 
 
 def file_features(text: str) -> list[int]:
@@ -89,6 +88,9 @@ class Tagger:
     near: np.ndarray
     file: np.ndarray
     moves: np.ndarray
+    _ids: dict[str, int] = field(default_factory=dict, init=False, repr=False, compare=False)
+    _own: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)), init=False, repr=False, compare=False)
+    _near: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), init=False, repr=False, compare=False)
 
     def scores(self, words: list[str], at: int, base: np.ndarray) -> np.ndarray:
         s = self.shape[shape_features(words[at])].sum(axis=0) + base
@@ -97,8 +99,39 @@ class Tagger:
                 s += self.near[k, bucket]
         return s
 
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words, by which ``_own`` holds what each scores itself and ``_near`` its bucket as a neighbour."""
+        if len(self._ids) > KEPT_WORDS:
+            self._ids = {}
+        ids, first = self._ids, len(self._ids)
+        out = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+        if len(ids) > len(self._own):
+            room = max(1024, len(ids))
+            self._own, self._near = np.concatenate([self._own, np.zeros((room, 3))]), np.concatenate([self._near, np.zeros(room, np.int64)])
+        if len(ids) > first:
+            new = list(itertools.islice(reversed(ids), len(ids) - first))[::-1]
+            self._own[first:len(ids)] = self.shape[[shape_features(w) for w in new]].sum(axis=1)
+            self._near[first:len(ids)] = [neighbour(w) for w in new]
+        return out
+
+    def all_scores(self, words: list[str], base: np.ndarray) -> np.ndarray:
+        """The scores of every token of a text."""
+        ids, n = self._known(words), len(words)
+        out, near = self._own[ids] + base, self._near[ids]
+        for k, off in enumerate(OFFSETS):
+            a, b = max(0, -off), max(0, n - max(0, off))
+            if a < b:
+                out[a:b] += self.near[k, near[a + off:b + off]]
+        return out
+
+    def undecided(self, scores: np.ndarray) -> np.ndarray:
+        """Tokens whose tag depends on the path: at all others, outside beats any tag by more than all moves to and from it could make up for."""
+        gain = (self.moves - self.moves[:, [OUTSIDE]]).max(axis=0) + (self.moves - self.moves[OUTSIDE]).max(axis=1)
+        lead = scores[:, [OUTSIDE]] - scores
+        return (lead[:, [BEGIN, INSIDE]] <= gain[[BEGIN, INSIDE]] + 1e-9).any(axis=1)
+
     def best(self, scores: np.ndarray) -> list[int]:
-        """The best tags of a run of unusual tokens, with outside before and after it (Viterbi)."""
+        """The best tags of a run of tokens, with outside before and after it (Viterbi)."""
         total, back = self.moves[OUTSIDE] + scores[0], []
         for s in scores[1:]:
             paths = total[:, None] + self.moves
@@ -112,22 +145,26 @@ class Tagger:
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Secrets of a text as (start, end), by Viterbi over all its tokens.
 
-        Tokens that are outside by definition cut the chain, so each run of unusual ones between them is decoded by itself.
+        Every token is scored. Those that are outside on any best path cut the chain, so each run of others is decoded by itself.
         """
-        if not any(map(unusual, set(TOKEN.findall(text)))):
+        words = TOKEN.findall(text)
+        if not words:
+            return []
+        scores = self.all_scores(words, self.file[file_features(text)].sum(axis=0))
+        tags = np.full(len(words), OUTSIDE)
+        edges = np.flatnonzero(np.diff(self.undecided(scores), prepend=False, append=False))
+        for first, last in zip(edges[::2], edges[1::2]):
+            tags[first:last] = self.best(scores[first:last])
+        if (tags == OUTSIDE).all():
             return []
-        found = [m.span() for m in TOKEN.finditer(text)]
-        words = [text[a:b] for a, b in found]
-        base = self.file[file_features(text)].sum(axis=0)
         out: list[tuple[int, int]] = []
-        for first, last in runs_of(words):
-            tags = self.best(np.array([self.scores(words, k, base) for k in range(first, last)]))
-            for j, tag in enumerate(tags):
-                a, b = found[first + j]
-                if tag == INSIDE and j and tags[j - 1] != OUTSIDE:
-                    out[-1] = (out[-1][0], b)
-                elif tag != OUTSIDE:
-                    out.append((a, b))
+        old = OUTSIDE
+        for tag, m in zip(tags.tolist(), TOKEN.finditer(text)):
+            if tag == INSIDE and old != OUTSIDE:
+                out[-1] = (out[-1][0], m.end())
+            elif tag != OUTSIDE:
+                out.append(m.span())
+            old = tag
         return out
 
 
@@ -137,15 +174,8 @@ def near_features(words: list[str], at: int) -> list[int]:
 
 
 def runs_of(words: list[str]) -> list[tuple[int, int]]:
-    """Runs (first, end) of unusual tokens."""
-    out: list[tuple[int, int]] = []
-    for k, word in enumerate(words):
-        if unusual(word):
-            if out and out[-1][1] == k:
-                out[-1] = (out[-1][0], k + 1)
-            else:
-                out.append((k, k + 1))
-    return out
+    """Runs (first, end) of tokens that can be part of a secret: all of them."""
+    return [(0, len(words))] if words else []
 
 
 # --- training ----------------------------------------------------------------------------------------------------
@@ -179,22 +209,24 @@ def _expected(scores: np.ndarray, moves: np.ndarray, held: np.ndarray) -> tuple[
 
 
 def train(sequences: list[tuple[list[str], list[int], str]]) -> Tagger:
-    """Maximum likelihood with a small quadratic penalty from (words, tags, text); only the runs of unusual tokens are uncertain."""
+    """Maximum likelihood with a small quadratic penalty from (words, tags, text)."""
     runs = [(words, tags, file_features(text), first, last) for words, tags, text in sequences for first, last in runs_of(words)]
     width, n = 10, len(runs)
     t = max((last - first for *_, first, last in runs), default=1)
-    shape = np.full((n, t, width), SHAPES)
+    ids: dict[str, int] = {}
+    word = np.zeros((n, t), int)
     near = np.full((n, t, len(OFFSETS)), BUCKETS)
     file, gold, held = np.zeros((n, 3), int), np.full((n, t), OUTSIDE), np.zeros((n, t), bool)
     for i, (words, tags, traits, first, last) in enumerate(runs):
         for k in range(first, last):
-            own = shape_features(words[k])
-            shape[i, k - first, :len(own)], near[i, k - first] = own, [BUCKETS if v < 0 else v for v in near_features(words, k)]
+            word[i, k - first] = ids.setdefault(words[k], len(ids))
+            near[i, k - first] = [BUCKETS if v < 0 else v for v in near_features(words, k)]
         file[i], gold[i, :last - first], held[i, :last - first] = traits, tags[first:last], True
     weights = [np.zeros((SHAPES + 1, 3)), np.zeros((len(OFFSETS), BUCKETS + 1, 3)), np.zeros((FILES, 3)), np.zeros((3, 3))]
     if not n:
         weights[2][:, OUTSIDE] = 1e6  # nothing was seen, so nothing is found
         return Tagger(*_trimmed(weights))
+    shape = np.array([shape_features(w) for w in ids])  # of distinct words
     weights[3][OUTSIDE, INSIDE] = -4.0
     one = np.eye(3)[gold] * held[:, :, None]
     seen = np.zeros((3, 3))
@@ -203,10 +235,11 @@ def train(sequences: list[tuple[list[str], list[int], str]]) -> Tagger:
     np.add.at(seen, (gold[np.arange(n), held.sum(axis=1) - 1], OUTSIDE), 1)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, STEPS + 1):
-        scores = weights[0][shape].sum(axis=2) + sum(weights[1][k][near[:, :, k]] for k in range(len(OFFSETS))) + weights[2][file].sum(axis=1)[:, None, :]
+        scores = weights[0][shape].sum(axis=1)[word] + sum(weights[1][k][near[:, :, k]] for k in range(len(OFFSETS))) + weights[2][file].sum(axis=1)[:, None, :]
         _, tags, pairs = _expected(scores, weights[3], held)
         off = tags - one
-        grades = [np.stack([np.bincount(shape.ravel(), np.repeat(off[:, :, y].ravel(), width), SHAPES + 1) for y in range(3)], axis=1),
+        each = [np.bincount(word.ravel(), off[:, :, y].ravel(), len(ids)) for y in range(3)]
+        grades = [np.stack([np.bincount(shape.ravel(), np.repeat(v, width), SHAPES + 1) for v in each], axis=1),
                   np.stack([np.stack([np.bincount(near[:, :, k].ravel(), off[:, :, y].ravel(), BUCKETS + 1) for y in range(3)], axis=1)
                             for k in range(len(OFFSETS))]),
                   np.stack([np.bincount(file.ravel(), np.repeat(off[:, :, y].sum(axis=1), 3), FILES) for y in range(3)], axis=1), pairs - seen]
