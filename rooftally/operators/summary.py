@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rooftally.functions import measures as M
+from rooftally.workspace import write_and_read
 
 SOURCE = "bf_source"
 
@@ -130,6 +131,7 @@ def aoi_ratio(wide: DataFrame, pairs: DataFrame) -> DataFrame:
                            built.alias(f"built_{suffix}"), F.col("official_km2").alias(f"km2_{suffix}"),
                            F.col("density_official").alias(f"density_{suffix}"))
 
+    wide = write_and_read(wide, "compared")  # a row for each area, which both sides read; the clip behind it runs once
     joined = pairs.join(side("a"), "aoi_a").join(side("b"), "aoi_b")
     return joined.select("aoi_a", "aoi_b", *[
         F.try_divide(F.col(f"{c}_a"), F.col(f"{c}_b")).alias(f"{c}_ratio") for c in ("n", "built", "km2", "density")])
