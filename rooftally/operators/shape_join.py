@@ -24,16 +24,34 @@ def shape_pairs(left: DataFrame, right: DataFrame, left_id: str = "l_id", right_
     Candidates are pairs of boxes, found by size class in equality joins; the shapes of a pair are compared edge by edge in the one row that reports it.
     Shapes that merely touch share an area of 0. NULL and empty geometries meet nothing.
     """
-    pairs = box_pairs(_shaped(left, geometry, left_id), _shaped(right, geometry, right_id))
-    low = "least(l.miny, r.miny)"
-    shared = compute_once(pairs, _area=F.expr(G.overlap_area(G.with_weight("l.edges"), G.with_weight("r.edges"), low)))
-    real = F.col("_area") > F.least("l.area_deg2", "r.area_deg2") * G.AREA_NOISE
-    touches = F.expr(f"""{G.edges_meet("l.edges", "r.edges")}
-        OR exists(l.edges, e -> {G.winding(G.with_weight("r.edges"), "e.x1", "e.y1")} != 0)
-        OR exists(r.edges, e -> {G.winding(G.with_weight("l.edges"), "e.x1", "e.y1")} != 0)""")
-    return shared.where(real | touches).select(
-        F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id),
-        F.when(real, F.least("_area", "l.area_deg2", "r.area_deg2")).otherwise(0.0).alias("shared_deg2"))
+    placed = _placed(box_pairs(_shaped(left, geometry, left_id), _shaped(right, geometry, right_id)), left_id, right_id)
+    crossed = F.col("_state") == "crossed"
+    shared = compute_once(placed, _area=F.when(crossed, F.expr(G.overlap_area(G.with_weight("_edges_l"), G.with_weight("_edges_r"), "_low"))))
+    smaller = F.least("_area_l", "_area_r")
+    real = F.col("_area") > smaller * G.AREA_NOISE
+    touches = F.expr(f"""{G.edges_meet("_edges_l", "_edges_r")}
+        OR exists(_edges_l, e -> {G.winding(G.with_weight("_edges_r"), "e.x1", "e.y1")} != 0)
+        OR exists(_edges_r, e -> {G.winding(G.with_weight("_edges_l"), "e.x1", "e.y1")} != 0)""")
+    return shared.where(~crossed | real | touches).select(
+        left_id, right_id, F.when(F.col("_state") == "l", F.col("_area_l")).when(F.col("_state") == "r", F.col("_area_r"))
+        .when(real, F.least("_area", smaller)).otherwise(0.0).alias("shared_deg2"))
+
+
+def _placed(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Pairs with the shape that lies in the other (``l``, ``r``), or ``crossed``; those that lie apart are left out.
+
+    Where no edge of one shape comes near the other's box, that box is wholly inside or wholly outside. Only crossed pairs take their edges along.
+    """
+    def state(outer: str, inner: str, then: str) -> str:
+        near = G.any_edge_in_box(f"{outer}.edges", *[f"{inner}.{c}" for c in BOX])
+        inside = f"""size({inner}.edges) > 0 AND {G.winding(f"{outer}.edges", f"{inner}.minx", f"{inner}.miny")} != 0"""
+        return f"CASE WHEN {near} THEN {then} WHEN {inside} THEN '{inner}' END"
+
+    known = compute_once(pairs, _state=F.expr(state("l", "r", state("r", "l", "'crossed'")))).where("_state IS NOT NULL")
+    crossed = F.col("_state") == "crossed"
+    return known.select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), "_state",
+                        F.col("l.area_deg2").alias("_area_l"), F.col("r.area_deg2").alias("_area_r"), F.least("l.miny", "r.miny").alias("_low"),
+                        F.when(crossed, F.col("l.edges")).alias("_edges_l"), F.when(crossed, F.col("r.edges")).alias("_edges_r"))
 
 
 def only_in_first_by_shape(first: DataFrame, second: DataFrame, geometry: str = "geometry", least_share: float = 0.0) -> DataFrame:
