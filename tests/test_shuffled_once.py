@@ -40,3 +40,18 @@ def test_footprints_are_shuffled_once_and_pairs_are_the_same(spark):
 def test_edges_are_shuffled_once(spark):
     plan = J._tile_rows(J._aoi_edges(areas(spark).withColumnRenamed("slug", "aoi")))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(aoi[^,]*, level[^,]*, ix", plan)) == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_tiles_are_not_read_to_count_the_footprints_in_them(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write_and_read(df, name)
+
+    write_and_read = J.write_and_read
+    monkeypatch.setattr(J, "write_and_read", noted)
+    tiles = J.tile_aois(areas(spark))
+    rows = J.clip(footprints(spark), tiles, ("id",), broadcast_bytes=0).count()
+    (name, plan), = plans
+    assert name == "tile-counts" and "LeftSemi" not in plan and rows > 100
