@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space, x20 and x09 to x0D, as characters and as a regular expression.
@@ -28,3 +31,10 @@ def text_key(text: Column) -> list[Column]:
 def chunks(total: int, size: int, least: int = 1) -> int:
     """How many parts of about ``size`` hold ``total``."""
     return max(least, -(-total // size))
+
+
+def distinct_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of texts cut at each space: how many words each has, the number of each word of all texts in turn, and the distinct words by number."""
+    cut = pc.split_pattern(pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()), b" ")
+    words = cut.flatten().dictionary_encode()
+    return np.diff(cut.offsets.to_numpy()), words.indices.to_numpy(), [w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]

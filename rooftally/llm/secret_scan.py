@@ -4,8 +4,9 @@ The field tags tokens as begin, inside or outside by their shape, by neighbourin
 the tags. It is trained here: on excerpts of at most ``SAMPLE`` documents, in which what the patterns find is tagged, with made-up secrets and
 lookalikes (addresses, versions, identifiers, digests' short forms, …) set in at random, so that it also learns forms which the patterns don't know.
 
-Scale: finding is a narrow map over the texts, without a shuffle; the model (under a megabyte) is fitted once in one task. Every token is scored, plain
-words and numbers too. Where outside leads by more than the transitions could make up for, the chain is cut, and the runs between are decoded.
+Scale: finding is a narrow map over the texts, without a shuffle; the model (under a megabyte) is fitted once in one task. Every token is judged, plain
+words and numbers too. Where outside leads by more than the transitions could make up for, the chain is cut, and the runs between are decoded. A task
+takes the texts of about a megabyte together: their distinct words are cut into tokens once, and the traits of new tokens are taken in arrays.
 
 Defined cases: NULL and empty texts have no secrets. Texts are searched whole, whatever their length. Patterns are leftmost and
 don't overlap within a kind; spans of the field that lie inside a pattern's span are left out, others stay beside it. Repeated rows stay and
@@ -30,11 +31,15 @@ SAMPLE, EXCERPT = 1500, 1200
 #: Tokens of a training sequence at most.
 WINDOW = 40
 SEED = 12
+#: Characters of texts that a task looks at together.
+PORTION = 1 << 20
 # The patterns, the kinds in their order and the least lengths.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs of 16 or more; shorter ones would be dropped
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
+#: Bytes as 0 if they are hex digits, else as a space, and 16 digits so written.
+HEX_BYTES, HEX_LEAST = bytes(48 if chr(b) in "0123456789abcdef" else 32 for b in range(256)), b"0" * 16
 KINDS = ("assign", "access", "hex", "tagged")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
@@ -49,7 +54,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGN]
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    out += [("hex", *m.span()) for m in HEX.finditer(text)]
+    if HEX_LEAST in text.encode("utf-8", "surrogatepass").translate(HEX_BYTES):
+        out += [("hex", *m.span()) for m in HEX.finditer(text)]
     return sorted(out, key=_order)
 
 
@@ -59,11 +65,30 @@ def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
 
 def all_spans(text: str | None, tagger: Tagger) -> list[tuple[str, int, int]]:
     """The patterns' spans and those that the field adds."""
-    if not text:
-        return []
-    base = base_spans(text)
-    more = [("tagged", a, b) for a, b in tagger.spans(text) if not any(s <= a and b <= e for _, s, e in base)]
-    return sorted(base + more, key=_order) if more else base
+    return spans_of([text], tagger)[0]
+
+
+def spans_of(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
+    """Of each text, the patterns' spans and those that the field adds."""
+    texts = [t or "" for t in texts]
+    out = []
+    for text, tagged in zip(texts, tagger.spans_of(texts)):
+        base = base_spans(text)
+        more = [("tagged", a, b) for a, b in tagged if not any(s <= a and b <= e for _, s, e in base)]
+        out.append(sorted(base + more, key=_order) if more else base)
+    return out
+
+
+def portions(texts: list[str | None], letters: int = PORTION) -> Iterator[list[str | None]]:
+    """Neighbouring texts of at most so many characters together, or one longer text."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size > letters and k > first:
+            yield texts[first:k]
+            first, size = k, len(text or "")
+    if first < len(texts):
+        yield texts[first:]
 
 
 # --- training data ------------------------------------------------------------------------------------------------
@@ -179,7 +204,8 @@ def secrets(tagger: Tagger, text: Column) -> Column:
     """All spans of a text, sorted by start and then kind."""
     @F.arrow_udf(SPANS)
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("kind", "start", "end"), s)) for s in all_spans(t, tagger)] for t in texts.to_pylist()], _ARROW)
+        rows = (spans for part in portions(texts.to_pylist()) for spans in spans_of(part, tagger))
+        return pa.array([[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in rows], _ARROW)
 
     return found(text)
 

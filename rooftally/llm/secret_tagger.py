@@ -12,17 +12,20 @@ from zlib import crc32
 
 import numpy as np
 
+from rooftally.llm.common import distinct_words
+
 #: Letters, digits and marks of a token; any other mark is a token by itself.
 TOKEN = re.compile(r"[\w+/]+(?:[.\-]+[\w+/]+)*|[^\s\w+/]")
 BEGIN, INSIDE, OUTSIDE = range(3)
-#: Neighbouring words that are looked at, and the buckets that their features share.
+#: Neighbouring words that are looked at, how far the farthest is, and the buckets that their features share.
 OFFSETS = (-3, -2, -1, 1, 2)
+GAP = 3
 BUCKETS = 1 << 12
 #: Own features are hashed to so many buckets of their own.
 SHAPES = 1 << 13
 FILES = 16
-#: Words whose scores a process keeps between texts.
-KEPT_WORDS = 1 << 18
+#: Words, as they stand between spaces, that a process keeps between texts with their tokens and scores; emptied when full, for speed alone.
+KEPT_WORDS, KEPT_LETTERS = 1 << 19, 1 << 24
 PENALTY = 1e-3
 STEPS, RATE = 60, 0.15
 _CLASSES = str.maketrans({**dict.fromkeys(string.ascii_lowercase, "a"), **dict.fromkeys(string.ascii_uppercase, "A"),
@@ -66,6 +69,66 @@ def shape_features(word: str) -> list[int]:
     return [_bucket(v, SHAPES) for v in names]
 
 
+_LENGTHS, _CHANGES, _VOWELS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 40, 64), (0.05, 0.15, 0.25, 0.35, 0.5), (0.1, 0.2, 0.3, 0.45)
+_DIFFERENT, _DIGITS = (0.2, 0.35, 0.5, 0.7), (0.01, 0.1, 0.25, 0.45, 0.7, 1.0)
+_MARKS = "+/._-"
+
+
+@lru_cache(1)
+def _shape_tables() -> tuple[list[bytes], list[np.ndarray]]:
+    """The names of 16 mixes of letter kinds, and of each trait but the first letters, the buckets by its levels."""
+    kinds = [f"{k:04b}" for k in range(16)]
+    marks = ["".join(c for i, c in enumerate(_MARKS) if m >> i & 1) for m in range(32)]
+    l, c, v, d, u = (range(len(limits) + 1) for limits in (_LENGTHS, _CHANGES, _VOWELS, _DIGITS, _DIFFERENT))
+    names = [(lambda i: f"l{i}", l), (lambda k, m: f"k{k}{m}", kinds, marks), (lambda k, i: f"kl{k}{i}", kinds, l), (lambda j, k: f"c{j}{k}", c, kinds),
+             (lambda j, i: f"v{j}{i}", v, l), (lambda j, i, k: f"d{j}{i}{k}", d, l, kinds), (lambda i, j: f"u{i}{j}", u, c),
+             (lambda m, i, j: f"m{m}{i}{j}", marks, d, c), (lambda h, i: f"x{h}{i}", range(2), l)]
+    return [k.encode() for k in kinds], [np.array([_bucket(name(*at), SHAPES) for at in itertools.product(*axes)]).reshape([len(a) for a in axes])
+                                         for name, *axes in names]
+
+
+#: What a code point below 128 counts as: itself, or one letter for its class; and whether it is a vowel or a digit of hex.
+_CLASS = np.array([ord(chr(c).translate(_CLASSES)) for c in range(128)], np.uint32)
+_VOWEL, _HEXES = (np.array([chr(c) in letters for c in range(129)]) for letters in ("aeiouAEIOU", "0123456789abcdefABCDEF"))
+_DOTTED_I = 0x130  # the one other letter whose lower case has a vowel in it
+
+
+def shapes_of(words: list[str]) -> np.ndarray:
+    """``shape_features`` of many tokens, a row for each."""
+    if not words:
+        return np.zeros((0, 10), np.int64)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(n) - n
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.minimum(codes, 128)
+    classes = np.where(low < 128, np.append(_CLASS, 0)[low], codes)
+
+    def count(which: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(which, first, dtype=np.int64)
+
+    def level(value: np.ndarray, limits: tuple[float, ...]) -> np.ndarray:
+        return np.searchsorted(limits, value, side="right")
+
+    lower, upper, digit = (count(classes == ord(c)) for c in "aA0")
+    marks = [count(codes == ord(c)) for c in _MARKS]
+    new = np.ones(len(codes), bool)
+    new[1:] = classes[1:] != classes[:-1]
+    new[first] = True
+    runs = np.where(n <= 4096, count(new), n)
+    k = (lower > 0) * 8 + (upper > 0) * 4 + (digit > 0) * 2 + (n - lower - upper - digit - sum(marks) > 0)
+    m = sum((v > 0).astype(np.int64) << i for i, v in enumerate(marks))
+    length, changes, digits = level(n, _LENGTHS), level(runs / n, _CHANGES), level(digit / n, _DIGITS)
+    vowels = level(count(_VOWEL[low] | (codes == _DOTTED_I)) / np.maximum(1, lower + upper), _VOWELS)
+    different = level(np.fromiter(map(len, map(set, words)), np.int64, len(words)) / np.minimum(n, 40), _DIFFERENT)
+    hexes = (count(_HEXES[low]) == n).astype(np.int64)
+    kinds, tables = _shape_tables()
+    ends = [b"%b%d" % (kind, long) for kind in kinds for long in (0, 1)]
+    starts = [crc32(b"p" + w[:4].encode("utf-8", "surrogatepass") + ends[e]) % SHAPES for w, e in zip(words, (2 * k + (length >= 7)).tolist())]
+    levels = [(length,), (k, m), (k, length), (changes, k), (vowels, length), (digits, length, k), (different, changes), (m, digits, changes), (hexes, length)]
+    columns = [t[at] for t, at in zip(tables, levels)]
+    return np.stack([*columns[:7], np.array(starts), *columns[7:]], axis=1)
+
+
 def neighbour(word: str) -> int:
     """Bucket of a word as a neighbour: itself if short, else its kind."""
     return crc32(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS if len(word) <= 14 else _bucket("~long", BUCKETS)
@@ -88,9 +151,7 @@ class Tagger:
     near: np.ndarray
     file: np.ndarray
     moves: np.ndarray
-    _ids: dict[str, int] = field(default_factory=dict, init=False, repr=False, compare=False)
-    _own: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)), init=False, repr=False, compare=False)
-    _near: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), init=False, repr=False, compare=False)
+    _known: _Words | None = field(default=None, init=False, repr=False, compare=False)
 
     def scores(self, words: list[str], at: int, base: np.ndarray) -> np.ndarray:
         s = self.shape[shape_features(words[at])].sum(axis=0) + base
@@ -99,25 +160,9 @@ class Tagger:
                 s += self.near[k, bucket]
         return s
 
-    def _known(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words, by which ``_own`` holds what each scores itself and ``_near`` its bucket as a neighbour."""
-        if len(self._ids) > KEPT_WORDS:
-            self._ids = {}
-        ids, first = self._ids, len(self._ids)
-        out = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-        if len(ids) > len(self._own):
-            room = max(1024, len(ids))
-            self._own, self._near = np.concatenate([self._own, np.zeros((room, 3))]), np.concatenate([self._near, np.zeros(room, np.int64)])
-        if len(ids) > first:
-            new = list(itertools.islice(reversed(ids), len(ids) - first))[::-1]
-            self._own[first:len(ids)] = self.shape[[shape_features(w) for w in new]].sum(axis=1)
-            self._near[first:len(ids)] = [neighbour(w) for w in new]
-        return out
-
     def all_scores(self, words: list[str], base: np.ndarray) -> np.ndarray:
         """The scores of every token of a text."""
-        ids, n = self._known(words), len(words)
-        out, near = self._own[ids] + base, self._near[ids]
+        out, near, n = self.shape[shapes_of(words)].sum(axis=1) + base, np.array([neighbour(w) for w in words]), len(words)
         for k, off in enumerate(OFFSETS):
             a, b = max(0, -off), max(0, n - max(0, off))
             if a < b:
@@ -126,9 +171,12 @@ class Tagger:
 
     def undecided(self, scores: np.ndarray) -> np.ndarray:
         """Tokens whose tag depends on the path: at all others, outside beats any tag by more than all moves to and from it could make up for."""
+        return (_lead(scores) <= self.gain() + 1e-9).any(axis=1)
+
+    def gain(self) -> np.ndarray:
+        """What the moves to and from begin and inside could make up for at most."""
         gain = (self.moves - self.moves[:, [OUTSIDE]]).max(axis=0) + (self.moves - self.moves[OUTSIDE]).max(axis=1)
-        lead = scores[:, [OUTSIDE]] - scores
-        return (lead[:, [BEGIN, INSIDE]] <= gain[[BEGIN, INSIDE]] + 1e-9).any(axis=1)
+        return gain[[BEGIN, INSIDE]]
 
     def best(self, scores: np.ndarray) -> list[int]:
         """The best tags of a run of tokens, with outside before and after it (Viterbi)."""
@@ -143,31 +191,109 @@ class Tagger:
         return tags[::-1]
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """Secrets of a text as (start, end), by Viterbi over all its tokens.
+        """Secrets of a text as (start, end), by Viterbi over all its tokens."""
+        return self.spans_of([text])[0]
 
-        Every token is scored. Those that are outside on any best path cut the chain, so each run of others is decoded by itself.
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Secrets of each text as (start, end), by Viterbi over all its tokens.
+
+        Every token gets a lower bound of the lead of outside, from its own part, its neighbours' and the text's; where the bound leaves it open, the
+        scores are added up. Tokens that are outside on any best path cut the chain, so each run of others is decoded by itself.
         """
-        words = TOKEN.findall(text)
-        if not words:
-            return []
-        scores = self.all_scores(words, self.file[file_features(text)].sum(axis=0))
-        tags = np.full(len(words), OUTSIDE)
-        edges = np.flatnonzero(np.diff(self.undecided(scores), prepend=False, append=False))
-        for first, last in zip(edges[::2], edges[1::2]):
-            tags[first:last] = self.best(scores[first:last])
-        if (tags == OUTSIDE).all():
-            return []
-        out: list[tuple[int, int]] = []
-        old = OUTSIDE
-        for tag, m in zip(tags.tolist(), TOKEN.finditer(text)):
-            if tag == INSIDE and old != OUTSIDE:
-                out[-1] = (out[-1][0], m.end())
-            elif tag != OUTSIDE:
-                out.append(m.span())
-            old = tag
+        if self._known is None:
+            self._known = _Words(self)
+        known = self._known
+        token, starts = known.tokens(texts)
+        base = np.array([self.file[file_features(t)].sum(axis=0) for t in texts]).reshape(-1, 3)
+        near, last = known.bucket[token], len(token) - GAP
+        low = known.low[token[GAP:last]] + np.repeat(_lead(base).min(axis=1), np.diff(starts))[:last - GAP]
+        for k, off in enumerate(OFFSETS):
+            low += known.near_low[k, near[GAP + off:last + off]]
+        places = np.flatnonzero(low <= 1e-6) + GAP
+        whose = np.searchsorted(starts, places, side="right") - 1
+        scores = known.own[token[places]] + base[whose]
+        for k, off in enumerate(OFFSETS):
+            scores += known.near[k, near[places + off]]
+        left = self.undecided(scores)
+        places, whose, scores = places[left], whose[left], scores[left]
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        tags: dict[int, np.ndarray] = {}
+        edges = [0, *(np.flatnonzero(np.diff(places) > 1) + 1), len(places)] if len(places) else [0]
+        for first, end in itertools.pairwise(edges):
+            best = self.best(scores[first:end])
+            if any(tag != OUTSIDE for tag in best):
+                k = int(whose[first])
+                at = places[first] - starts[k]
+                tags.setdefault(k, np.full(starts[k + 1] - starts[k], OUTSIDE))[at:at + len(best)] = best
+        for k, tagged in tags.items():
+            old = OUTSIDE
+            for tag, m in zip(tagged.tolist(), TOKEN.finditer(texts[k])):
+                if tag == INSIDE and old != OUTSIDE:
+                    out[k][-1] = (out[k][-1][0], m.end())
+                elif tag != OUTSIDE:
+                    out[k].append(m.span())
+                old = tag
         return out
 
 
+def _lead(scores: np.ndarray) -> np.ndarray:
+    """By how much outside leads begin and inside."""
+    return scores[..., [OUTSIDE]] - scores[..., [BEGIN, INSIDE]]
+
+
+class _Words:
+    """The tokens of words, as they stand between spaces, and what each token adds to scores by itself and as a neighbour.
+
+    No token reaches over a space. Number 0 is a gap between texts: tokens that are never in question and add nothing to their neighbours.
+    """
+
+    def __init__(self, tagger: Tagger):
+        self.shape, self.gain = tagger.shape, tagger.gain()
+        self.near = np.concatenate([tagger.near, np.zeros((len(OFFSETS), 1, 3))], axis=1)
+        self.near_low = _lead(self.near).min(axis=2)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids, self.letters = {None: 0}, {None: 0}, 0
+        self.at, self.count, self.parts = np.zeros(1, np.int64), np.full(1, GAP), np.zeros(GAP, np.int64)
+        self.own, self.low, self.bucket = np.zeros((1, 3)), np.full(1, np.inf), np.full(1, BUCKETS)
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens of the texts in turn, with a gap before each and at the end, and where those of each text start (and one more would)."""
+        sizes, which, words = distinct_words(texts)
+        new = set(words).difference(self.words)
+        if len(self.words) + len(new) > KEPT_WORDS or self.letters > KEPT_LETTERS:
+            self.clear()
+            new = set(words)
+        if new:
+            self._learn(list(new))
+        # the words' own numbers, with a gap before each text and at the end
+        gaps = np.cumsum([0, *sizes]) + np.arange(len(texts) + 1)
+        known = np.zeros(len(which) + len(gaps), np.int64)
+        held = np.ones(len(known), bool)
+        held[gaps] = False
+        known[held] = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[which]
+        counts = self.count[known]
+        ends = np.cumsum(counts)
+        return self.parts[np.arange(ends[-1]) + np.repeat(self.at[known] - ends + counts, counts)], ends[gaps]
+
+    def _learn(self, words: list[str]) -> None:
+        found = [TOKEN.findall(w) for w in words]
+        tokens, ids = list(itertools.chain.from_iterable(found)), self.ids
+        new = list(set(tokens).difference(ids))
+        ids.update(zip(new, itertools.count(len(ids))))
+        self.words.update(zip(words, itertools.count(len(self.words))))
+        self.letters += sum(map(len, words))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self.at = np.concatenate([self.at, len(self.parts) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.parts = np.concatenate([self.parts, np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))])
+        own = [self.own, *(self.shape[shapes_of(new[k:k + 4096])].sum(axis=1) for k in range(0, len(new), 4096))]
+        self.low = np.concatenate([self.low, *((_lead(v) - self.gain).min(axis=1) for v in own[1:])])
+        self.own = np.concatenate(own)
+        self.bucket = np.concatenate([self.bucket, np.fromiter(map(neighbour, new), np.int64, len(new))])
+
+
 def near_features(words: list[str], at: int) -> list[int]:
     """Buckets of the neighbours, -1 beyond the text."""
     return [neighbour(words[at + off]) if 0 <= at + off < len(words) else -1 for off in OFFSETS]
