@@ -37,4 +37,7 @@ def distinct_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]
     """Of texts cut at each space: how many words each has, the number of each word of all texts in turn, and the distinct words by number."""
     cut = pc.split_pattern(pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()), b" ")
     words = cut.flatten().dictionary_encode()
-    return np.diff(cut.offsets.to_numpy()), words.indices.to_numpy(), [w.decode("utf-8", "surrogatepass") for w in words.dictionary.to_pylist()]
+    # the words come back as one string, as no word has a space in it
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), b" ")[0].as_py()
+    distinct = joined.decode("utf-8", "surrogatepass").split(" ") if len(words.dictionary) else []
+    return np.diff(cut.offsets.to_numpy()), words.indices.to_numpy(), distinct

@@ -17,20 +17,25 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from rooftally.llm.common import chunks, text_key
+from rooftally.llm.common import chunks, distinct_words, text_key
 from rooftally.workspace import write_and_read
 
 SEQUENCE = 1024
 MOST_SEGMENTS = 64
 GROUP_ROWS = 8192
-#: Words whose ids a worker remembers, for speed alone; the memory is emptied when it is full.
-REMEMBERED_WORDS = 500_000
+#: Words whose ids a worker remembers, and their characters, for speed alone; the memory is emptied when it is full.
+REMEMBERED_WORDS, REMEMBERED_LETTERS = 1_000_000, 1 << 24
+#: Bytes of texts that are encoded together, so that a word that repeats among them is looked up once.
+PORTION = 1 << 23
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, mix long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group long, bin long, offset long"
@@ -67,6 +72,7 @@ class WordEncoder:
         self.names = _octet_names()
         self.space = self.names[32]
         self.remembered = remembered
+        self.letters = 0
         self.words: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -75,6 +81,7 @@ class WordEncoder:
 
     def _learn(self, missing: set[str]) -> None:
         """Remember words that follow a space."""
+        self.letters += sum(map(len, missing))
         tokenize, space, names, words, tails = self.model.tokenize, self.space, self.names, self.words, self.tails
         others, tailed = [], []
         for word in missing:
@@ -98,34 +105,55 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; empty for an empty text."""
-        cut = [t.split(" ") for t in texts]
+        parts = [t.partition(" ") for t in texts]
+        # the words behind the first space of each text that has one
+        sizes, which, distinct = distinct_words([rest for _, space, rest in parts if space])
         words = self.words
-        missing = {w for ws in cut for w in ws[1:] if w not in words}
+        missing = {w for w in distinct if w not in words}
         if missing:
-            if len(words) + len(missing) > self.remembered:
+            if len(words) + len(missing) > self.remembered or self.letters > REMEMBERED_LETTERS:
                 words.clear()
                 self.tails.clear()
-                missing = {w for ws in cut for w in ws[1:]}
+                self.letters, missing = 0, set(distinct)
             self._learn(missing)
-        first = self._ids([ws[0] for ws in cut])
-        out: list[bytes] = []
-        for text, ws, head in zip(texts, cut, first):
-            if len(ws) > 1 and (not ws[0] or ws[0][-1].isspace()):
-                out.append(self._ids([text])[0])
-                continue
-            try:
-                out.append(head + b"".join([words[w] for w in ws[1:]]))
-            except TypeError:
-                out.append(self._ids([text])[0])
+        found = [words[w] for w in distinct]
+        blank = np.fromiter((f is None for f in found), bool, len(found))[which]
+        counts = np.fromiter((len(f or b"") // 4 for f in found), np.int64, len(found))
+        at = (np.cumsum(counts) - counts)[which]
+        counts = counts[which]
+        ends = np.append(0, np.cumsum(counts))
+        ids = np.frombuffer(b"".join(f for f in found if f), "<u4")[np.arange(ends[-1]) + np.repeat(at - ends[:-1], counts)]
+        stops = np.append(0, np.cumsum(sizes))
+        blanks = np.append(0, np.cumsum(blank))[stops]
+        stops = ends[stops]
+        out = self._ids([head for head, _, _ in parts])
+        whole = []
+        k = 0
+        for i, (head, space, _) in enumerate(parts):
+            if space:
+                if not head or head[-1].isspace() or blanks[k + 1] > blanks[k]:
+                    whole.append(i)
+                else:
+                    out[i] += ids[stops[k]:stops[k + 1]].tobytes()
+                k += 1
+        for i, all_ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = all_ids
         return out
 
 
+@lru_cache(1)
+def _encoder(path: str) -> WordEncoder:
+    """The encoder that a worker keeps for all its tasks."""
+    return WordEncoder(path)
+
+
 def _pieces(path: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = _encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            for at, to in pairwise([0, *(np.flatnonzero(np.diff(sizes // PORTION)) + 1).tolist(), batch.num_rows]):
+                part = batch.slice(at, to - at)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows: list[tuple] = []
                 for doc, mix, ids in zip(part.column("doc_id").to_pylist(), part.column("mix").to_pylist(),
