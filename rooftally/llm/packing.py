@@ -32,7 +32,7 @@ from rooftally.workspace import write_and_read
 SEQUENCE = 1024
 MOST_SEGMENTS = 64
 GROUP_ROWS = 8192
-#: Words whose ids a worker remembers, and their characters, for speed alone; the memory is emptied when it is full.
+#: Words whose ids a worker remembers, and their characters, for speed alone; when they are too many, only those at hand are kept.
 REMEMBERED_WORDS, REMEMBERED_LETTERS = 1_000_000, 1 << 24
 #: Bytes of texts that are encoded together, so that a word that repeats among them is looked up once.
 PORTION = 1 << 23
@@ -85,6 +85,10 @@ class WordEncoder:
         tokenize, space, names, words, tails = self.model.tokenize, self.space, self.names, self.words, self.tails
         others, tailed = [], []
         for word in missing:
+            if word.isascii() and word.isalpha():
+                if word not in words:
+                    words[word] = array("I", [t.id for t in tokenize(space + word)]).tobytes()
+                continue
             parts = _HEAD.fullmatch(word)
             # an empty word, or one that ends in white space, stands before a run of white space
             if not word or word[-1].isspace():
@@ -112,9 +116,10 @@ class WordEncoder:
         missing = {w for w in distinct if w not in words}
         if missing:
             if len(words) + len(missing) > self.remembered or self.letters > REMEMBERED_LETTERS:
-                words.clear()
+                # the words at hand stay, as the frequent ones are among them
+                self.words = words = {w: words[w] for w in distinct if w in words}
                 self.tails.clear()
-                self.letters, missing = 0, set(distinct)
+                self.letters = sum(map(len, words))
             self._learn(missing)
         found = [words[w] for w in distinct]
         blank = np.fromiter((f is None for f in found), bool, len(found))[which]
@@ -185,9 +190,13 @@ def place(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
     bins, order = np.empty(len(demand), np.int64), np.empty(len(demand), np.int64)
     room, used, placed = limits.astype(np.float64), 0, 0
     live = np.arange(len(kinds))
+    first, *others = np.ascontiguousarray(kinds.T)
     empty = True
     while placed < len(demand):
-        fits = live[(kinds[live] <= room).all(axis=1)]
+        # kinds ascend by their first demand
+        fits = live[:np.searchsorted(first[live], room[0], side="right")]
+        for other, most in zip(others, room[1:]):
+            fits = fits[other[fits] <= most]
         if not len(fits):
             room, used, empty = limits.astype(np.float64), used + 1, True
             live = live[left[live] > 0]

@@ -48,3 +48,31 @@ def test_worker_keeps_its_encoder(monkeypatch):
     many = list(K._pieces(tokenizer_path(), 0, 1024)([batch, batch.slice(0, 0)]))
     assert len(many) > 5 and pa.Table.from_batches(many).equals(one)
     assert len(made) <= 1
+
+
+def test_words_at_hand_stay_when_the_memory_is_full(monkeypatch):
+    encoder = K.WordEncoder(tokenizer_path(), 4)
+    encoder.encode(["x often other third"])
+    learned = []
+    monkeypatch.setattr(encoder, "_learn", lambda missing, old=encoder._learn: (learned.append(set(missing)), old(missing)))
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(["x often new newer"])] == whole(["x often new newer"])
+    assert learned == [{"new", "newer"}] and "other" not in encoder.words
+
+
+def test_placing_takes_the_best_of_all_kinds_that_fit():
+    rng = np.random.default_rng(2)
+    demand, limits = np.stack([rng.integers(1, 64, 400), np.ones(400, int), rng.integers(0, 50, 400)], axis=1), np.array([64, 3, 50])
+    kinds, kind_of = np.unique(demand, axis=0, return_inverse=True)
+    bins, order = K.place(demand, limits)
+    left, room, used = np.bincount(kind_of.reshape(-1)), limits.astype(float), 0
+    for item in np.argsort(order):
+        fits = np.flatnonzero((kinds <= room).all(axis=1) & (left > 0))
+        if not len(fits):
+            room, used = limits.astype(float), used + 1
+            fits = np.flatnonzero(left > 0)
+        weight = np.ones(3) if (room == limits).all() else room / limits
+        values = (kinds[fits] / limits) @ weight
+        kind = kind_of.reshape(-1)[item]
+        assert bins[item] == used and kind in fits and values[fits == kind][0] == pytest.approx(values.max())
+        left[kind] -= 1
+        room = room - kinds[kind]
