@@ -226,7 +226,7 @@ ORACLES: dict[str, str] = {
         SELECT b.id AS block, f.id, round(sum(greatest(0, least(b.bx1, f.bx1) - greatest(b.bx0, f.bx0))
                                               * greatest(0, least(b.by1, f.by1) - greatest(b.by0, f.by0))) * {M2}, 3) AS shared_m2
         FROM block_box b JOIN fp_box f ON b.bx0 <= f.bx1 AND b.bx1 >= f.bx0 AND b.by0 <= f.by1 AND b.by1 >= f.by0
-        WHERE b.id % 10 = 3 GROUP BY b.id, f.id""", BLOCKS),
+        GROUP BY b.id, f.id""", BLOCKS),
     "only_in_merged_by_shape": _world("""
         SELECT f.id, f.bf_source FROM fp_all f LEFT JOIN (
             SELECT a.id, b.id AS other, sum(greatest(0, least(a.bx1, b.bx1 + 0.00001) - greatest(a.bx0, b.bx0 + 0.00001))
